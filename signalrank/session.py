@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that later steps reread it instead of running it again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as a table to the shared checkpoint folder and read again, so that later steps neither run it again nor depend on executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
