@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from signalrank.llm import decontaminate, exact_dedup, near_dedup, url_filter
+from signalrank.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, url_filter
 
 
 def queries():
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
