@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalrank.llm import decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, toxicity, url_filter
+from signalrank.llm import decontaminate, exact_dedup, hidden_markov, html_text, language_id, near_dedup, packing, toxicity, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_language_id": language_id.op2_language_id,
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_html_text": html_text.op4_html_text,
+        "op5_hidden_markov": hidden_markov.op5_hidden_markov,
         "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
         "op9_decontaminate": decontaminate.op9_decontaminate,
