@@ -5,11 +5,12 @@ sketches each set: the hash's top bits choose one of REGISTERS buckets, and each
 and MANTISSA bits of its least hash. Equal sets are one node. Bands of registers give buckets of nodes; small sets are
 also entered under their least quarter of hashes, which finds all their links exactly.
 
-Pairs are made without listing all pairs of a bucket: first every node meets its bucket's centre. The confirmed links
-give components, and then only pairs of different components in the same bucket are left; of these, pairs that cannot
-reach the threshold are left out by exact bounds on the sizes: of a set, only hashes that some other set holds can be
-shared. Sketches estimate the similarity, corrected for register collisions, and pairs far below the threshold go;
-the rest is confirmed on the full sets. Links of similarity 0.75 are missed by all bands with a chance under 1e-5.
+Pairs are made without listing all pairs of a bucket: first every node meets its bucket's centre. Sketches estimate
+the similarity, corrected for register collisions; pairs far below the threshold go, and the rest is confirmed on the
+full sets. The links give components, and then only buckets that hold several components are open. Of their nodes,
+those that cannot reach the threshold are left out by an exact bound: of a set, only hashes that some other open set
+holds can be shared. What is left is joined into clusters by shared buckets, and each cluster's full sets are compared
+in blocks of bounded size. Links of similarity 0.75 are missed by all bands with a chance under 1e-5.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. doc_id may be null or repeated; equal
 texts are always in one group. An empty table gives an empty report. Other columns do no harm.
@@ -178,11 +179,17 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.mapInArrow(run, "a binary, b binary, doc_id_a long, text_hash_a long, doc_id_b long, text_hash_b long")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one text of each of `nodes` (node, doc_id, text_hash)."""
+    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
+    return nodes.alias("m").join(docs.alias("d"), same).select("m.node", "d.text").dropDuplicates(["node"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked on their full sets."""
-    for s in "ab":
-        text = docs.select(F.col("doc_id").alias(f"own_id_{s}"), F.col("text_hash").alias(f"own_hash_{s}"), F.col("text").alias(f"text_{s}"))
-        pairs = pairs.join(text, F.col(f"doc_id_{s}").eqNullSafe(F.col(f"own_id_{s}")) & (F.col(f"text_hash_{s}") == F.col(f"own_hash_{s}"))).drop(f"own_id_{s}", f"own_hash_{s}")
+    sides = [pairs.select(F.col(s).alias("node"), F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"text_hash_{s}").alias("text_hash")) for s in "ab"]
+    texts = cut(_texts(sides[0].unionByName(sides[1]).distinct(), docs))
+    full = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -194,42 +201,96 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(linked(shingle_set(text_a), held))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
-def _left_over(entries: DataFrame, labels: DataFrame, tested: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in the same bucket that sizes and shared hashes do not rule out and that are not in `tested`."""
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+def _links_within(nodes: list[bytes], parts: list[bytes], blocks: list[int], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links between different parts, one for each two parts. Sets of the same block are compared only where all are of one block."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    hashes, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column, minlength=len(hashes)) > 1
+    rank = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(column, (start, start + 4096))
+        grid = np.zeros((len(sets), 4096), np.float32)
+        grid[owner[lo:hi], column[lo:hi] - start] = 1
+        common += grid @ grid.T
+    number = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+    part = np.array([number[p] for p in parts])
+    block = np.array(blocks)
+    near = SIM_DEN * common >= SIM_NUM * (sizes[:, None] + sizes[None, :] - common)
+    near &= part[:, None] < part[None, :]
+    if block.min() != block.max():
+        near &= block[:, None] != block[None, :]
+    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    for i, j in zip(*np.nonzero(near)):
+        found.setdefault((part[i], part[j]), (nodes[i], nodes[j]))
+    return list(found.values())
+
+
+def _left_over(entries: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, at least one for each two components with a link."""
     placed = cut(entries.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
-    mixed = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("size > 2 and low <> high").select("key"))
-    open_rows = cut(placed.join(mixed, "key").select("key", "node", "part"))
+    several = lambda rows: rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("b")).where("low <> high").select("key", "b")
+    open_rows = cut(placed.join(cut(several(placed)).select("key"), "key"))
     members = open_rows.select("node").distinct().join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
-    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
-    texts = members.alias("m").join(docs.alias("d"), same).select("m.node", "m.n", "d.text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text")):
+                found = shingle_set(text.as_py()).view(np.int64)
+                for start in range(0, len(found), 50_000):
+                    part = found[start : start + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("node")[k].as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "hash"])
+
+    texts = cut(_texts(members, docs))
+    # A hash that no other set in an open bucket holds cannot be shared.
+    alone = texts.mapInArrow(hashes, "node binary, hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    usable = F.col("n") - F.coalesce("alone", F.lit(0))
+    # With needed overlap (n + m) * SIM_NUM / (SIM_NUM + SIM_DEN), a partner has at most `most` hashes, and at least SIM_NUM / SIM_DEN * n.
+    most = F.floor(usable * (SIM_NUM + SIM_DEN) / SIM_NUM + 1e-9) - F.col("n")
+    able = members.join(alone, "node", "left").select("node", "n", most.alias("most")).where(SIM_DEN * F.col("most") >= SIM_NUM * F.col("n"))
+    rows = cut(open_rows.join(able, "node"))
+    stars = rows.join(cut(several(rows)), "key").select(F.col("node").alias("a"), "b")
+    clusters = components(stars).select("node", F.col("label").alias("cluster"))
+    placed = cut(rows.select("node", "part", "n").distinct().join(clusters, "node"))
+    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = placed.join(cut(sizes), "cluster").withColumn("block", block)
+    # Every two blocks meet once; a cluster of one block is only compared with itself.
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("lo"), F.greatest(k, "block").alias("hi")))
+    spread = dealt.join(texts, "node").select("cluster", F.explode(meets).alias("pair"), "block", "node", "part", "text")
+    spread = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            found = _links_within(*zip(*rows)) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            hashes = [shingle_set(text).view(np.int64) for text in batch.column("text").to_pylist()]
-            sizes = np.array([len(h) for h in hashes], np.int64)
-            at = pa.array(np.repeat(np.arange(len(hashes)), sizes))
-            for start in range(0, len(at), 50_000):
-                part = at.slice(start, 50_000)
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(part), pa.array(np.concatenate(hashes)[start : start + 50_000])], ["node", "hash"])
-
-    held = cut(texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node binary, hash long"))
-    shared = held.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
-    usable = held.join(shared, "hash", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("usable"))
-    # With needed overlap (n + m) * SIM_NUM / (SIM_NUM + SIM_DEN), a partner has between SIM_NUM / SIM_DEN * n and `most` hashes.
-    most = F.floor(F.col("usable") * (SIM_NUM + SIM_DEN) / SIM_NUM + 1e-9) - F.col("n")
-    bounds = members.join(usable, "node").select("node", "n", most.alias("most")).where(SIM_DEN * F.col("most") >= SIM_NUM * F.col("n"))
-    rows = cut(open_rows.join(bounds, "node"))
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n", "most"))) for s in "ab")
-    fits = (
-        (F.col("node_a") < F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-        & (SIM_NUM * F.col("n_a") <= SIM_DEN * F.col("n_b")) & (SIM_NUM * F.col("n_b") <= SIM_DEN * F.col("n_a"))
-    )
-    pairs = left.join(right, (left["key"] == right["key"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    either = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(either, ["a", "b"], "left_anti")
+            for cluster, pair, block, node, part, text in zip(*(batch.column(c) for c in ("cluster", "pair", "block", "node", "part", "text"))):
+                own = (cluster.as_py(), *pair.as_py().values())
+                if own != group and rows:
+                    yield close()
+                    rows = []
+                group = own
+                rows.append((node.as_py(), part.as_py(), block.as_py(), shingle_set(text.as_py())))
+        if rows:
+            yield close()
+
+    return spread.mapInArrow(links, "a binary, b binary")
+
+
+#: Left-over sets are compared in blocks of about this many hashes, and sets, at most.
+BLOCK_HASHES, BLOCK_SETS = 400_000, 1500
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,12 +304,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # The least node of a bucket is its centre; nodes are hashes, so this is an arbitrary but settled choice.
     centres = cut(entries.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "b"))
     entries = cut(entries.join(centres, "key"))
-    tested = cut(entries.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    links = cut(_confirmed(_estimated(tested, nodes), own))
-    rest = cut(_left_over(entries.select("key", "node"), components(links), tested, nodes, own))
-    if not rest.isEmpty():
-        links = cut(links.unionByName(_confirmed(_estimated(rest, nodes), own)))
-    labels = components(links)
+    first = entries.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    links = cut(_confirmed(cut(_estimated(first, nodes)), own))
+    more = cut(_left_over(entries.select("key", "node"), components(links), nodes, own))
+    labels = components(links.unionByName(more))
     named = nodes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     chosen = cut(labels.join(named, "label").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))))
     hot, cold = _split_hot(drawn, chosen)
