@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signalrank.llm import decontaminate, exact_dedup, hidden_markov, html_text, language_id, near_dedup, packing, toxicity, url_filter
+from signalrank.llm import decontaminate, exact_dedup, hidden_markov, html_text, language_id, near_dedup, packing, quality, toxicity, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_hidden_markov": hidden_markov.op5_hidden_markov,
         "op6_packing": packing.op6_packing,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_quality": quality.op8_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
