@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from signalrank.session import table
 
-TITLE = F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
 #: Interest terms of the flagship query and the prestige of its sources.
 TERMS = ["the", "that", "with"]
 PRESTIGE = {"src0": 1.0, "src1": 0.8, "src2": 0.6}
 
 
+def first_line():
+    return F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
+
+
 def ranked_feed(spark, sf_dir):
     """Documents as papers: keyword and source scores, an average-rank percentile, the best twenty."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", TITLE.alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", first_line().alias("title"))
     low = F.concat(F.lit(" "), F.lower("title"), F.lit(" "))
     keyword = F.least(F.lit(1.0), sum((F.when(F.instr(low, f" {t} ") > 0, 0.25).otherwise(0.0) for t in TERMS), F.lit(0.0)))
     prestige = F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in PRESTIGE.items()], F.lit(0.3))
