@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters without a decomposition and what they are written as.
 LETTER_PAIRS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ŋ": "ng"}
@@ -336,14 +337,14 @@ def first_paragraph(html_text: Column, keywords: list[str], least: int = 60, mos
     return F.substring(F.get(fit, 0), 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_exact(text: pd.Series) -> pd.Series:
     """As strip_accents, for every script: Unicode's own decompositions."""
     table = str.maketrans(LETTER_PAIRS | LETTER_SINGLES)
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s.translate(table)).encode("ascii", "ignore").decode("ascii"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities_exact(text: pd.Series) -> pd.Series:
     """All named and numeric character references, decoded twice."""
     return text.map(lambda s: None if s is None else html.unescape(html.unescape(s)))

@@ -1,9 +1,11 @@
-"""Named queries over the shared tables, with their DuckDB counterparts."""
+"""All named queries of the package, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signalrank.plans import graph_queries, stream_queries, text_queries
+from signalrank.plans.text_queries import first_line
 from signalrank.session import table
 
 #: Interest terms of the flagship query and the prestige of its sources.
@@ -11,12 +13,8 @@ TERMS = ["the", "that", "with"]
 PRESTIGE = {"src0": 1.0, "src1": 0.8, "src2": 0.6}
 
 
-def first_line():
-    return F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"\s+", " "))
-
-
 def ranked_feed(spark, sf_dir):
-    """Documents as papers: keyword and source scores, an average-rank percentile, the best twenty."""
+    """Documents as papers: keyword and source scores, a weighted sum, the best twenty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", first_line().alias("title"))
     low = F.concat(F.lit(" "), F.lower("title"), F.lit(" "))
     keyword = F.least(F.lit(1.0), sum((F.when(F.instr(low, f" {t} ") > 0, 0.25).otherwise(0.0) for t in TERMS), F.lit(0.0)))
@@ -38,8 +36,8 @@ SELECT doc_id, title, score FROM s ORDER BY score DESC, doc_id LIMIT 20
 
 
 def queries():
-    return {"ranked_feed": ranked_feed}
+    return {"ranked_feed": ranked_feed} | text_queries.QUERIES | graph_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql():
-    return {"ranked_feed": RANKED_FEED_SQL}
+    return {"ranked_feed": RANKED_FEED_SQL} | text_queries.SQL | graph_queries.SQL | stream_queries.SQL
