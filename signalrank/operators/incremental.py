@@ -32,7 +32,7 @@ def memoized(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def vote_fold(start: Column, votes: Column) -> Column:
     """A weight after an ordered array of boolean votes: each moves it towards 1 by UP, or towards 0 by DOWN, rounded to 6 digits."""
-    return F.aggregate(votes, start, lambda w, up: F.round(F.when(up, w + F.lit(UP) * (F.lit(1.0) - w)).otherwise(w - F.lit(DOWN) * w), 6))
+    return F.aggregate(votes, start, lambda w, up: F.rint(F.when(up, w + F.lit(UP) * (F.lit(1.0) - w)).otherwise(w - F.lit(DOWN) * w) * 1e6) / 1e6)
 
 
 def folded_weights(votes: DataFrame, start: DataFrame, default: float = 0.1) -> DataFrame:

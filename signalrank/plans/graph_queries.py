@@ -1,2 +1,282 @@
+"""Queries over orders as papers, suppliers as authors, line items as edges, parts as codes, embeddings as library and candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from signalrank.functions import dates
+from signalrank.operators import features, library, ranking, store, vectors
+from signalrank.session import table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+AS_OF = "1998-08-02"
+TRACKED = [3, 17, 42]
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def edges(spark, sf_dir):
+    """(paper_id, author_id, position): a supplier's first line in an order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return lines.groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id")).agg(F.min("l_linenumber").alias("position"))
+
+
+def authors(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("author_id"), F.col("s_name").alias("name"), "s_nationkey", "s_acctbal")
+    return suppliers.withColumns({"is_tracked": F.col("author_id").isin(TRACKED), "auto_discovered": F.col("s_acctbal") > 5000})
+
+
+_EDGES = "e AS (SELECT l_orderkey AS paper_id, l_suppkey AS author_id, min(l_linenumber) AS position FROM lineitem GROUP BY ALL)"
+_TIERS = f"""{_EDGES}, a AS (SELECT s_suppkey AS author_id, s_suppkey IN (3, 17, 42) AS tracked, s_acctbal > 5000 AS found FROM supplier),
+tp AS (SELECT DISTINCT paper_id FROM e JOIN a USING (author_id) WHERE tracked),
+near AS (SELECT DISTINCT author_id FROM e JOIN tp USING (paper_id)),
+t AS (SELECT e.paper_id, max(CASE WHEN tracked THEN 1.0 WHEN near.author_id IS NOT NULL THEN 0.5 WHEN found THEN 0.3 ELSE 0.0 END)::DOUBLE AS author
+      FROM e JOIN a USING (author_id) LEFT JOIN near ON near.author_id = e.author_id GROUP BY e.paper_id)"""
+
+
+@query("""SELECT o_orderkey, round(CASE WHEN d < 0 THEN 0.5 WHEN d <= 7 THEN 1.0 WHEN d >= 90 THEN 0.0 ELSE 1.0 - (d - 7) / 83.0 END::DOUBLE, 6) AS recency
+FROM (SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS d FROM orders)""")
+def recency_decay(spark, sf_dir):
+    """D02."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.recency(day, F.lit(AS_OF).cast("date")), 6).alias("recency"))
+
+
+@query("""SELECT o_orderkey, d::BIGINT AS days, CASE WHEN d <= 3 THEN 'final' WHEN d <= 14 THEN 'urgent' WHEN d <= 45 THEN 'soon' ELSE 'upcoming' END AS urgency
+FROM (SELECT o_orderkey, date_diff('day', DATE '1995-06-01', o_orderdate::DATE) AS d FROM orders) WHERE d >= 0""")
+def urgency_buckets(spark, sf_dir):
+    """The date range is pushed to the scan as a plain comparison of the column."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1995-06-01").cast("timestamp_ntz"))
+    days = dates.days_left(F.col("o_orderdate").cast("date"), F.lit("1995-06-01").cast("date"))
+    return orders.select("o_orderkey", days.cast("long").alias("days"), dates.urgency(days).alias("urgency"))
+
+
+@query("""SELECT o_orderkey, coalesce(list_min(list_filter([60, 30, 14, 7, 3, 1], lambda t: t >= d)), -1)::BIGINT AS threshold
+FROM (SELECT o_orderkey, date_diff('day', DATE '1995-06-01', o_orderdate::DATE) AS d FROM orders) WHERE d BETWEEN 0 AND 90""")
+def alert_threshold(spark, sf_dir):
+    """D19."""
+    start = F.lit("1995-06-01").cast("date")
+    days = dates.days_left(F.col("o_orderdate").cast("date"), start)
+    rows = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1995-06-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1995-08-31").cast("timestamp_ntz")))
+    return rows.select("o_orderkey", F.coalesce(dates.alert_threshold(days), F.lit(-1)).cast("long").alias("threshold"))
+
+
+@query("""SELECT o_orderkey, strftime(CASE WHEN make_date(year(d), 6, 15) >= d THEN make_date(year(d), 6, 15) ELSE make_date(year(d) + 1, 6, 15) END, '%Y-%m-%d') AS next_call FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def next_occurrence(spark, sf_dir):
+    """The next 15th of June."""
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(dates.next_fifteenth(F.lit(6), day), "yyyy-MM-dd").alias("next_call"))
+
+
+@query("""SELECT l_orderkey, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.6 ELSE 0.3 END)::DOUBLE AS prestige, arg_min(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_linestatus)) AS primary_source FROM lineitem GROUP BY l_orderkey""")
+def prestige_max(spark, sf_dir):
+    """Best of all sightings and the first one's source."""
+    value = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.6).otherwise(0.3)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(value).alias("prestige"), F.min_by("l_linestatus", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")).alias("primary_source"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT s AS source, count(*)::BIGINT AS n, min(l_orderkey) AS first_seen FROM p GROUP BY s""")
+def source_mix(spark, sf_dir):
+    """A08."""
+    primary = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("source"))
+    return primary.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_seen"))
+
+
+@query(f"""WITH {_EDGES} SELECT paper_id, string_agg(s_name, '|' ORDER BY position, s_name) AS names, count(*)::BIGINT AS n FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id""")
+def author_list_by_position(spark, sf_dir):
+    """Each author once, at the first position."""
+    named = edges(spark, sf_dir).join(features.small(authors(spark, sf_dir).select("author_id", "name")), "author_id")
+    listed = F.array_sort(F.collect_list(F.struct("position", "name")))
+    return named.groupBy("paper_id").agg(F.array_join(F.transform(listed, lambda x: x["name"]), "|").alias("names"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_TIERS} SELECT e.paper_id, count(DISTINCT e.author_id)::BIGINT AS near_authors FROM e JOIN near USING (author_id) GROUP BY e.paper_id""")
+def coauthor_of_tracked(spark, sf_dir):
+    """Authors within two hops of a tracked one, from the tracked authors outward."""
+    all_edges, tracked = edges(spark, sf_dir), authors(spark, sf_dir).where("is_tracked").select("author_id")
+    papers = all_edges.join(tracked, "author_id", "left_semi").select("paper_id").distinct()
+    near = all_edges.join(papers, "paper_id", "left_semi").select("author_id").distinct()
+    return all_edges.join(near, "author_id", "left_semi").groupBy("paper_id").agg(F.count(F.lit(1)).alias("near_authors"))
+
+
+@query(f"WITH {_TIERS} SELECT paper_id, author FROM t")
+def author_proximity(spark, sf_dir):
+    """R03."""
+    return features.author_scores(edges(spark, sf_dir), authors(spark, sf_dir))
+
+
+@query(f"""WITH {_EDGES} SELECT paper_id, max(CASE WHEN n_name = 'INDIA' OR r_name = 'ASIA' THEN 1.0 ELSE 0.0 END)::DOUBLE AS home FROM e JOIN supplier ON s_suppkey = author_id
+JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY paper_id""")
+def country_gate(spark, sf_dir):
+    """A paper passes when one of its authors' countries does."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    home = authors(spark, sf_dir).join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("author_id", ((F.col("n_name") == "INDIA") | (F.col("r_name") == "ASIA")).alias("home"))
+    return edges(spark, sf_dir).join(features.small(home), "author_id").groupBy("paper_id").agg(F.max(F.when(F.col("home"), 1.0).otherwise(0.0)).alias("home"))
+
+
+def order_features(spark, sf_dir):
+    """(paper_id, author, prestige, recency, social): orders with the features of papers."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderdate", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(
+        F.max(F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.6).otherwise(0.3)).alias("prestige"), F.count(F.lit(1)).alias("posts")
+    )
+    recency = dates.recency(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date"))
+    rows = orders.join(author_proximity(spark, sf_dir), "paper_id", "left").join(lines, "paper_id", "left")
+    return rows.select(
+        "paper_id", F.coalesce("author", F.lit(0.0)).alias("author"), F.coalesce("prestige", F.lit(0.3)).alias("prestige"), recency.alias("recency"),
+        F.when(F.col("posts") >= 3, 1.0).when(F.col("posts") >= 1, 0.5).otherwise(0.0).alias("social"),
+    )
+
+
+_FEATURES = f"""{_TIERS}, l AS (SELECT l_orderkey AS paper_id, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.6 ELSE 0.3 END)::DOUBLE AS prestige, count(*) AS posts FROM lineitem GROUP BY 1),
+f AS (SELECT o_orderkey AS paper_id, coalesce(author, 0.0) AS author, coalesce(prestige, 0.3)::DOUBLE AS prestige,
+ CASE WHEN posts >= 3 THEN 1.0 WHEN posts >= 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS social,
+ (SELECT CASE WHEN d < 0 THEN 0.5::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE WHEN d >= 90 THEN 0.0::DOUBLE ELSE 1.0 - (d - 7) / 83.0::DOUBLE END FROM (SELECT date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS d)) AS recency
+ FROM orders LEFT JOIN t ON t.paper_id = o_orderkey LEFT JOIN l ON l.paper_id = o_orderkey)"""
+_SCORE = "round(0.05 * author + 0.35 * prestige + 0.05 * recency + 0.03 * social, 6)"
+
+
+def _score():
+    w = features.WEIGHTS
+    return F.round(w["author"] * F.col("author") + w["prestige"] * F.col("prestige") + w["recency"] * F.col("recency") + w["social"] * F.col("social"), 6)
+
+
+@query(f"WITH {_FEATURES} SELECT paper_id, {_SCORE} AS relevance FROM f")
+def composite_score(spark, sf_dir):
+    """All features of all papers in one pass of grouped joins."""
+    return order_features(spark, sf_dir).select("paper_id", _score().alias("relevance"))
+
+
+@query(f"""WITH {_FEATURES}, s AS (SELECT paper_id, {_SCORE} AS score FROM f)
+SELECT paper_id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS percentile FROM s""")
+def avg_rank_percentile(spark, sf_dir):
+    """W01, through counts of distinct values: no task sorts all rows."""
+    rows = composite_score(spark, sf_dir)
+    return ranking.percentiles(rows, "relevance", "percentile").select("paper_id", F.round("percentile", 6).alias("percentile"))
+
+
+@query("""SELECT p_brand, p_partkey, round(((rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY p_brand)
+ + (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY p_brand)) / 2, 6) AS final FROM part""")
+def combine_channels(spark, sf_dir):
+    """W02 within brands."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size")
+    return rows.select("p_brand", "p_partkey", F.round(ranking.combined(["p_retailprice", "p_size"], ["p_brand"]), 6).alias("final"))
+
+
+@query(f"""WITH {_FEATURES}, s AS (SELECT paper_id, {_SCORE} AS score FROM f) SELECT paper_id, score FROM s WHERE score >= 0.2 ORDER BY score DESC, paper_id LIMIT 100""")
+def top_papers(spark, sf_dir):
+    """The hundred best above a threshold."""
+    rows = composite_score(spark, sf_dir).withColumnRenamed("relevance", "score")
+    return rows.where("score >= 0.2").orderBy(F.desc("score"), "paper_id").limit(100)
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END AS track FROM orders WHERE o_orderstatus = 'F'),
+k AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY o_totalprice DESC, o_orderkey) AS n FROM r),
+b AS (SELECT *, CASE WHEN n <= 6 THEN track ELSE 2 END AS bucket FROM k)
+SELECT o_orderkey, o_orderpriority, o_totalprice FROM b ORDER BY bucket, o_totalprice DESC, o_orderkey LIMIT 10""")
+def balanced_priority_list(spark, sf_dir):
+    """Six of each track, then the best of the rest, ten in all."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranking.balanced(rows, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), [F.desc("o_totalprice"), F.col("o_orderkey")])
+
+
+@query("""SELECT item_id, max(CASE WHEN f = 'qty' THEN v END) AS qty, max(CASE WHEN f = 'tax' THEN v END) AS tax FROM (
+ SELECT l_orderkey AS item_id, 'qty' AS f, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, 'tax', l_tax FROM lineitem) GROUP BY item_id""")
+def eav_pivot(spark, sf_dir):
+    """J13."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))
+    return library.pivot_items(lines.unpivot("item_id", ["qty", "tax"], "field", "value"), ["qty", "tax"])
+
+
+@query("""WITH o AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' Ltd' ELSE 'x' END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 <> 1)
+SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN length(coalesce(n.c_name, '')) > length(coalesce(o.c_name, '')) THEN n.c_name ELSE o.c_name END AS c_name, round(coalesce(n.c_acctbal, o.c_acctbal), 6) AS c_acctbal
+FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
+def upsert_merge(spark, sf_dir):
+    """Longest name, newest balance."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = rows.where("c_custkey % 3 <> 1").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.lit("x")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return store.upsert(new, rows.where("c_custkey % 3 <> 0"), ["c_custkey"], {"c_name": store.longest_of}).withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+_GOOD, _BAD, _STUDENT = ["steel", "brass"], ["copper", "tin"], ["small"]
+
+
+def _count_sql(terms):
+    return "(" + " + ".join(f"contains(t, '{x}')::INT" for x in terms) + ")"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, lower(p_type) AS t, p_size % 4 AS tier, p_size % 5 <> 0 AS eligible FROM part)
+SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round_even(CASE tier WHEN 1 THEN 0.88 WHEN 2 THEN 0.62 WHEN 3 THEN 0.42 ELSE 0.50 END::DOUBLE + least(0.12::DOUBLE, 0.03::DOUBLE * {_count_sql(_GOOD)})
+ - 0.35::DOUBLE * least({_count_sql(_BAD)}, 2) + CASE WHEN {_count_sql(_STUDENT)} > 0 THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN eligible THEN 0 ELSE 0.12::DOUBLE END, 3))) AS score FROM p""")
+def funding_score(spark, sf_dir):
+    """R13."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", (F.col("p_size") % 4).alias("tier"), (F.col("p_size") % 5 != 0).alias("eligible"))
+    return parts.select("p_partkey", features.funding_score(F.col("p_type"), F.col("tier"), F.col("eligible"), _GOOD, _BAD, _STUDENT).alias("score"))
+
+
+@query("""WITH p AS (SELECT c_custkey, min(o_orderkey) AS paper_id FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+SELECT event_id, paper_id FROM events LEFT JOIN p ON c_custkey = user_id""")
+def post_doc_link(spark, sf_dir):
+    """Posts to the first paper of their key, without fan-out."""
+    firsts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias("paper_id"))
+    known = firsts.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
+    return table(spark, sf_dir, "events").select("event_id", "user_id").join(known, "user_id", "left").select("event_id", "paper_id")
+
+
+@query("""WITH l AS (SELECT embedding AS v FROM embeddings WHERE vec_id % 10 = 0), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 10 <> 0),
+s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS sim FROM c CROSS JOIN l),
+k AS (SELECT vec_id, sim, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC) AS n FROM s)
+SELECT vec_id, round(avg(sim), 5) AS similarity, round(greatest(0, least(0.7, (avg(sim) - 0.45) / 0.35)) * 10, 4) AS affinity FROM k WHERE n <= 5 GROUP BY vec_id""")
+def topk_cosine_pool(spark, sf_dir):
+    """Mean of the five nearest library vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = vectors.library_affinity(rows.where("id % 10 <> 0"), rows.where("id % 10 = 0"))
+    return found.select(F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"), F.round("affinity", 4).alias("affinity"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e WHERE label IN (0, 1)),
+p AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM u),
+c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL) GROUP BY label)
+SELECT vec_id, round(1 / (1 + exp(-8.0 * (list_cosine_similarity(e.v, g.v) - list_cosine_similarity(e.v, b.v)))), 5) AS score FROM e, (SELECT v FROM c WHERE label = 1) g, (SELECT v FROM c WHERE label = 0) b""")
+def centroid_probability(spark, sf_dir):
+    """V07."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    model = vectors.centroids(rows.where("label IN (0, 1)"))
+    return vectors.score_by_centroids(rows, model).select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+@query(None)
+def logistic_rank(spark, sf_dir):
+    """A balanced logistic ranker of label 1 against label 0."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    model = vectors.train_ranker(rows.where("label = 1"), rows.where("label = 0"))
+    if model is None:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    return model.score(rows).select(F.col("id").alias("vec_id"), "score")
+
+
+@query("""SELECT o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderdate < TIMESTAMP '1998-08-01' ORDER BY day DESC, o_orderkey LIMIT 50""")
+def recent_papers(spark, sf_dir):
+    """A date range that reaches the scan, then top rows."""
+    orders = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1998-08-01").cast("timestamp_ntz")))
+    return orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).orderBy(F.desc("day"), "o_orderkey").limit(50)
+
+
+@query("""WITH d AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS keep, arg_max(c_name, (length(c_name), -c_custkey)) AS longest FROM customer GROUP BY ALL HAVING count(*) > 1)
+SELECT c_nationkey, c_mktsegment, n::BIGINT AS n, keep, longest FROM d""")
+def duplicate_survivors(spark, sf_dir):
+    """Repeated keys with the least id and the longest name."""
+    best = F.max_by("c_name", F.struct(F.length("c_name"), -F.col("c_custkey")))
+    found = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("keep"), best.alias("longest"))
+    return found.where("n > 1")
