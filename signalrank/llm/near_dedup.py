@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.llm.components import components
+from signalrank.operators.components import components
 from signalrank.session import cut, table
 
 SHINGLE = 5
@@ -299,7 +299,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     drawn = cut(sketches(own))
     own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     best = F.min(F.struct("doc_id", "text_hash", "n", "registers", "keys"))
-    nodes = cut(drawn.where("node is not null").groupBy("node").agg(best.alias("x")).select("node", "x.*"))
+    nodes = cut(drawn.where("node is not null").groupBy("node").agg(best.alias("x"), F.min("doc_id").alias("low")).select("node", "x.*", "low"))
     entries = nodes.select("node", F.explode("keys").alias("key"))
     # The least node of a bucket is its centre; nodes are hashes, so this is an arbitrary but settled choice.
     centres = cut(entries.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "b"))
@@ -308,8 +308,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = cut(_confirmed(cut(_estimated(first, nodes)), own))
     more = cut(_left_over(entries.select("key", "node"), components(links), nodes, own))
     labels = components(links.unionByName(more))
-    named = nodes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    chosen = cut(labels.join(named, "label").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))))
+    named = nodes.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("component_id"))
+    chosen = cut(labels.join(named, "label").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("low").alias("component_id"))))
     hot, cold = _split_hot(drawn, chosen)
     found = hot.unionByName(cold).unionByName(drawn.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
