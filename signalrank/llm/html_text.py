@@ -81,7 +81,7 @@ def blocks_of(html: str | None) -> list[Block]:
     """Blocks of a page that nothing leaves out, in page order."""
     if not html:
         return []
-    root = _Node("", "", False, None, False, None)
+    root = _Node("", "", False, True, False, None)  # fragments have no body
     stack = [root]
     found: list[Block] = []
     parts: list[str] = []
