@@ -45,7 +45,8 @@ def parse_slash(text: Column) -> Column:
 
 def parse_mail_date(text: Column) -> Column:
     """RFC 822 date of a feed, as a timestamp."""
-    return F.coalesce(*[F.try_to_timestamp(F.regexp_replace(F.trim(text), r"\b(GMT|UTC|Z)$", "+0000"), F.lit(f)) for f in ("EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z")])
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"\b(GMT|UTC|Z)$", "+0000")
+    return F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
 def from_parts(parts: Column) -> Column:
