@@ -46,14 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of an Arrow batch at most, so that a Python worker's memory does not follow the length of texts.
-BATCH_ROWS, BATCH_BYTES = 1000, "8m"
-_SPARK_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES)}
+#: Rows and bytes of an Arrow batch, and rows of a Parquet batch, at most, so that memory does not follow the length of texts.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 1000, "8m", 512
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", str(READ_ROWS)),
+}
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches for operators over long texts; settings that the user changed from Spark's own stay."""
-    for key, (default, wanted) in _SPARK_BATCHES.items():
+    """Bounds batches for operators over long texts; settings that the user changed from Spark's own stay."""
+    for key, (default, wanted) in _BATCHES.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, wanted)
     return spark
