@@ -222,7 +222,7 @@ def repec_handle(link: Column) -> Column:
 def split_byline(title: Column) -> Column:
     """struct(title, authors) of "Title -- by A, B and C"; without a byline the authors are empty."""
     parts = F.split(title, r"\s+--\s+by\s+", 2)
-    names = F.filter(F.transform(F.split(F.coalesce(F.get(parts, 1), F.lit("")), r",\s*|\s+and\s+|\s*&\s*"), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.coalesce(F.get(parts, 1), F.lit("")), r",\s*|\s+and\s+|\s*&\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.trim(F.get(parts, 0)).alias("title"), names.alias("authors"))
 
 

@@ -57,7 +57,6 @@ def same_work_edges(papers: DataFrame) -> DataFrame:
     # One paper stands for all with the same tokens and families; the others are tied to it by their title.
     firsts = rows.where(F.size("tokens") > 0).groupBy("tokens", "families").agg(F.min("id").alias("id"))
     copies = rows.alias("r").join(firsts.alias("f"), ["tokens", "families"]).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
-    copies = copies.where(F.lit(True))
     near = similar_pairs(firsts.select("id", "tokens"), LOW)
     near = near.join(firsts.select(F.col("id").alias("a"), F.col("families").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("families").alias("fb")), "b")
     near = near.where((F.col("jaccard") >= HIGH - 1e-12) | (F.size(F.array_intersect("fa", "fb")) >= SHARED)).select("a", "b")

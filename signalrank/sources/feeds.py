@@ -77,7 +77,7 @@ def nep_papers(items: DataFrame, code: str) -> DataFrame:
     link = F.coalesce(text.blank_to_null(F.col("link")), text.blank_to_null(F.col("_about")))
     handle = text.repec_handle(link)
     title = F.trim("title")
-    keywords = F.filter(F.transform(F.split(F.coalesce("subject", F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    keywords = F.filter(F.transform(F.split(F.coalesce("subject", F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     rows = items.select(
         title.alias("title"), _clean_list(F.col("creator")).alias("authors"), text.blank_to_null(F.col("description")).alias("abstract"), F.lit(None).cast("string").alias("doi"), link.alias("url"),
         F.date_format(dates.parse_any(F.col("date")), "yyyy-MM-dd").alias("published_at"), F.lit("working_paper").alias("paper_type"), text.jel_codes(F.coalesce("description", F.lit(""))).alias("jel_codes"),

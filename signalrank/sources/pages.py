@@ -52,7 +52,7 @@ def detail_fields(pages: DataFrame) -> DataFrame:
         "paper_number", _first(html, [meta("citation_title"), r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title>(.*?)</title>"]).alias("title"), F.array_distinct(_all(html, meta("citation_author"))).alias("authors"),
         abstract.alias("abstract"), F.date_format(dates.parse_any(F.replace(_first(html, [meta("citation_publication_date"), meta("citation_date")]), F.lit("/"), F.lit("-"))), "yyyy-MM-dd").alias("published_at"),
         F.coalesce(text.blank_to_null(F.regexp_extract(html, meta("citation_doi"), 1)), text.doi_in_text(text.strip_html(html))).alias("doi"), text.jel_codes(text.strip_html(html)).alias("jel_codes"),
-        F.filter(F.transform(F.split(F.coalesce(_first(html, [meta("citation_keywords"), meta("keywords")]), F.lit("")), "[,;]"), F.trim), lambda x: x != "").alias("keywords"),
+        F.filter(F.transform(F.split(F.coalesce(_first(html, [meta("citation_keywords"), meta("keywords")]), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("keywords"),
     )
 
 

@@ -1,0 +1,201 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from signalrank.sources import calls, feeds, pages, profiles, records, social
+
+ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">
+<entry><id>http://arxiv.org/abs/2401.00001v2</id><title> Land
+ Use</title><summary>About  land.</summary><published>2024-01-02T10:00:00Z</published><author><name>Ann Lee</name></author><author><name>Bo Chan</name></author>
+<arxiv:doi>10.1/x</arxiv:doi><category term="econ.GN"/><category term="q-fin"/><arxiv:primary_category term="econ.GN"/>
+<link href="http://arxiv.org/abs/2401.00001v2" rel="alternate" type="text/html"/><link title="pdf" href="http://arxiv.org/pdf/2401.00001v2" rel="related" type="application/pdf"/></entry>
+<entry><id>http://arxiv.org/abs/2401.00001v3</id><title>Land Use again</title></entry>
+<entry><id>http://arxiv.org/abs/2402.00002v1</id><title>No links</title></entry><entry><id>x</id><title> </title></entry></feed>"""
+RSS = """<rss><channel><item><title>Wages and Towns -- by Ann Lee, Bo Chan</title><description>Text &amp; more</description><link>https://www.nber.org/papers/w31705#fromrss</link></item>
+<item><title>No byline</title><guid>https://www.nber.org/papers/w2</guid></item><item><title>No number</title><link>https://x.org/</link></item></channel></rss>"""
+RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">
+<item rdf:about="http://d.repec.org/n?u=RePEc:abc:wp:1"><title>A paper</title><link>http://d.repec.org/n?u=RePEc%3Aabc%3Awp:1&amp;r=urb</link><description>Text. JEL: R31, O12</description><dc:creator>Lee, Ann</dc:creator><dc:creator>Chan, Bo</dc:creator><dc:date>2024-03</dc:date><dc:subject>land; housing, x</dc:subject></item>
+<item rdf:about="http://y.org/"><title>No handle</title></item></rdf:RDF>"""
+
+
+@pytest.fixture()
+def landed(tmp_path):
+    def write(name, body):
+        path = tmp_path / name
+        path.write_text(body)
+        return f"file://{path}"
+
+    return write
+
+
+def rows(spark, *values):
+    return spark.createDataFrame([(v if isinstance(v, str) else json.dumps(v),) for v in values], "value string")
+
+
+def by(df, key="source_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_arxiv(spark, landed):
+    got = by(feeds.arxiv_papers(feeds.atom_of(spark, landed("a.xml", ATOM))))
+    assert set(got) == {"2401.00001", "2402.00002"}
+    r = got["2401.00001"]
+    assert r["title"] == "Land Use" and r["authors"] == ["Ann Lee", "Bo Chan"] and r["abstract"] == "About land." and r["doi"] == "10.1/x" and r["published_at"] == "2024-01-02"
+    assert r["keywords"] == ["econ.GN", "q-fin"] and r["url"] == "http://arxiv.org/abs/2401.00001v2" and r["pdf_url"] == "http://arxiv.org/pdf/2401.00001v2" and r["primary_category"] == "econ.GN"
+    assert got["2402.00002"]["url"] == "https://arxiv.org/abs/2402.00002v1" and got["2402.00002"]["pdf_url"] is None
+    assert feeds.arxiv_papers(feeds.atom_of(spark, landed("bad.xml", "<feed><entry><title>x"))).count() == 0
+
+
+def test_nber(spark, landed):
+    papers = feeds.nber_papers(feeds.rss_of(spark, landed("n.xml", RSS)))
+    got = by(papers)
+    assert set(got) == {"w31705", "w2"} and got["w31705"]["title"] == "Wages and Towns" and got["w31705"]["authors"] == ["Ann Lee", "Bo Chan"]
+    assert got["w31705"]["url"] == "https://www.nber.org/papers/w31705" and got["w2"]["authors"] == []
+    page = spark.createDataFrame([("w2", '<meta name="citation_publication_date" content="2024/05/06"><meta name="citation_doi" content="10.3386/w2">')], "source_id string, html string")
+    full = by(feeds.enriched(papers, page))
+    assert full["w2"]["published_at"] == "2024-05-06" and full["w2"]["doi"] == "10.3386/w2" and full["w31705"]["doi"] is None
+    assert set(by(feeds.within_lookback(feeds.enriched(papers, page), 5, F.lit("2024-06-01").cast("date")))) == {"w31705"}
+
+
+def test_nep(spark, landed):
+    got = by(feeds.nep_papers(feeds.rdf_of(spark, landed("r.xml", RDF)), "urb"))
+    r = got["repec:abc:wp:1"]
+    assert r["authors"] == ["Lee, Ann", "Chan, Bo"] and r["jel_codes"] == ["R31", "O12"] and r["keywords"] == ["land", "housing", "x"] and r["published_at"] == "2024-03-01"
+    assert len(got) == 2 and any(k.startswith("urb:") and len(k) == 14 for k in got)
+    assert feeds.list_codes("URB, ure;urb, ") == ["urb", "ure"]
+
+
+def test_rss_posts(spark, landed):
+    got = by(feeds.rss_posts(feeds.rss_of(spark, landed("n.xml", RSS)), feeds.atom_of(spark, landed("a.xml", ATOM)), "feed"), "url")
+    assert got["https://www.nber.org/papers/w31705#fromrss"]["content"].endswith("Text & more") and "http://arxiv.org/abs/2401.00001v2" in got
+
+
+def test_openalex(spark):
+    work = {
+        "id": "https://openalex.org/W1", "title": "T", "doi": "https://doi.org/10.1/X", "type": "article", "publication_date": "2024-01-01", "abstract_inverted_index": {"land": [1], "On": [0], "use": [2]},
+        "primary_location": {"landing_page_url": "https://j.org/1", "source": {"display_name": "J Dev"}},
+        "authorships": [{"author": {"id": "https://openalex.org/A1", "display_name": " Ann ", "orcid": "https://orcid.org/0-1"}, "institutions": [{"display_name": "MIT", "country_code": "US"}]}, {"author": {"display_name": ""}}],
+        "concepts": [{"display_name": "Economics", "level": 0}, {"display_name": "Deep", "level": 3}],
+    }
+    papers = records.openalex_works(rows(spark, work, {"id": "https://openalex.org/W2", "title": ""}, {"id": "https://openalex.org/W3", "title": "Z", "doi": "https://doi.org/10.5281/z"}, "nonsense"))
+    got = by(papers)
+    r = got["W1"]
+    assert r["abstract"] == "On land use" and r["doi"] == "10.1/X" and r["url"] == "https://doi.org/10.1/X" and r["keywords"] == ["Economics", "J Dev"] and r["paper_type"] == "journal_article"
+    assert tuple(r["author_details"][0]) == ("Ann", "A1", "0-1", "MIT", "US") and r["authors"] == ["Ann"]
+    assert set(by(records.without_repositories(papers))) == {"W1"}
+
+
+def test_crossref(spark):
+    parts = lambda *a: {"date-parts": [list(a)]}
+    works = [
+        {"title": [" A B "], "DOI": "10.1/a", "abstract": "<jats:p>x  y</jats:p>", "author": [{"given": "John", "family": "Smith"}, {"family": "Lee"}, {}], "published-online": parts(2024, 5), "created": parts(2024, 4, 2), "issued": parts(2020)},
+        {"title": ["Front Matter"], "DOI": "10.1/b"}, {"title": [], "DOI": "10.1/c"}, {"title": ["No doi"]}, {"title": ["Future"], "DOI": "10.1/d", "issued": parts(2030)},
+    ]
+    got = by(records.crossref_works(rows(spark, *works), F.lit("2024-06-01").cast("date")))
+    assert set(got) == {"10.1/a", "10.1/d"}
+    r = got["10.1/a"]
+    assert r["title"] == "A B" and r["authors"] == ["John Smith", "Lee"] and r["abstract"] == "x y" and r["published_at"] == "2024-04-02" and r["url"] == "https://doi.org/10.1/a"
+
+
+def test_worldbank(spark):
+    doc = {"id": "D1", "display_title": "A\n title", "docdt": "2024-02-03T00:00:00Z", "authors": {"10": {"author": "Last"}, "2": {"author": "First"}}, "abstracts": {"cdata!": " text  here "}, "url": "http://w/1"}
+    got = by(records.worldbank_documents(rows(spark, {"documents": {"D1": doc, "facets": {"count": 3}, "D2": {"id": "D2", "docna": {"0": {"docna": "Other"}}}}}, {"total": 0})))
+    assert set(got) == {"D1", "D2"} and got["D1"]["title"] == "A title" and got["D1"]["authors"] == ["First", "Last"] and got["D1"]["abstract"] == "text here" and got["D1"]["published_at"] == "2024-02-03"
+    assert got["D2"]["title"] == "Other" and got["D2"]["authors"] == [] and got["D2"]["published_at"] is None
+
+
+def test_recommendations(spark):
+    recs = [{"paperId": "p1", "title": "T", "year": 2021, "externalIds": {"ArXiv": "1"}, "authors": [{"name": "A"}, {"name": ""}], "abstract": None}, {"paperId": "", "title": "x"}, {"paperId": "p2", "title": " "}, {"paperId": "p3", "title": "U", "externalIds": {"DOI": "10.1/u"}, "year": 99}]
+    got = by(records.recommended_papers(rows(spark, {"recommendedPapers": recs})))
+    assert set(got) == {"p1", "p3"} and got["p1"]["paper_type"] == "working_paper" and got["p1"]["published_at"] == "2021-01-01" and got["p1"]["authors"] == ["A"]
+    assert got["p3"]["doi"] == "10.1/u" and got["p3"]["published_at"] is None and got["p3"]["paper_type"] == "journal_article"
+    top = records.seeds(spark.createDataFrame([("a", 3), ("b", 2), ("a", 1), ("", 0)], "doi string, rank int"), 2)
+    assert [(r["doi"], r["rank"]) for r in top.collect()] == [("a", 1), ("b", 2)]
+
+
+def test_search_results(spark):
+    found = [
+        {"id": "1", "url": "https://www.imf.org/wpiea2024001", "title": "A Long Enough Working Paper Title, WP/24/1, May 2024", "author": "Ann Lee and Bo Chan; Cy", "publishedDate": "2024-05-01T00:00:00"},
+        {"id": "2", "url": "https://x.org", "title": "Another Long Enough Title Here", "authors": [{"name": "Di"}, {"display_name": "Flo"}]}, {"id": "3", "url": "https://x.org/3", "title": "Third Long Enough Title Here", "authors": ["Gus"]},
+        {"id": "4", "title": "IMF Working Papers", "text": "x"}, {"id": "5", "url": "https://x.org/5", "title": "Nothing known about this title"},
+    ]
+    got = by(records.search_papers(rows(spark, *found)), "title")
+    assert got["A Long Enough Working Paper Title"]["authors"] == ["Ann Lee", "Bo Chan", "Cy"] and got["A Long Enough Working Paper Title"]["published_at"] == "2024-05-01"
+    assert got["Another Long Enough Title Here"]["authors"] == ["Di", "Flo"] and got["Third Long Enough Title Here"]["authors"] == ["Gus"] and len(got) == 3
+
+
+def test_stored_fields(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(records.venue_of(F.lit('{"container-title": ["J A"]}'))) == "J A" and one(records.venue_of(F.lit('{"primary_location": {"source": {"display_name": "J B"}}}'))) == "J B" and one(records.venue_of(F.lit('{"journal": "J C"}'))) == "J C"
+    assert "j d" in one(records.venue_words(F.lit('{"host_venue": {"display_name": "J D"}}')))
+    assert one(records.listed_field(F.lit('["a", " b"]'))) == ["a", "b"] and one(records.listed_field(F.lit("a| b"), "|")) == ["a", "b"]
+
+
+def test_posts(spark):
+    toots = [
+        {"id": "1", "url": "https://econ.example/@a/1", "content": "<p>New paper<br>https://doi.org/10.1257/aer.1</p>", "created_at": "2024-01-02T03:04:05.000Z", "favourites_count": 2, "reblogs_count": 1, "account": {"acct": "a"}},
+        {"id": "2", "uri": "https://m.org/2", "content": "x", "account": {"acct": "b@m.org"}}, {"id": "3", "content": "no url"}, {"id": "4", "url": "https://m.org/4", "content": "<p></p>"},
+    ]
+    posts = social.mastodon_posts(rows(spark, *toots))
+    got = by(posts)
+    r = got["https://econ.example/@a/1"]
+    assert set(got) == {"https://econ.example/@a/1", "https://m.org/2"} and r["author_handle"] == "@a@econ.example" and r["doi"] == "10.1257/aer.1" and r["engagement_score"] == 1.3863 and r["published_at"] == "2024-01-02T03:04:05Z"
+    skeets = [{"uri": "at://did:x/app.bsky.feed.post/k1", "author": {"handle": "h.org"}, "record": {"text": "see nber.org/papers/w12", "createdAt": "2024-01-02T00:00:00Z"}, "likeCount": 1}, {"uri": "bad", "record": {"text": "x"}}]
+    sky = social.bluesky_posts(rows(spark, *skeets))
+    assert sky.first()["url"] == "https://bsky.app/profile/h.org/post/k1" and sky.first()["doi"] == "10.3386/w12" and sky.count() == 1
+    assert social.merged(posts, posts.unionByName(sky)).count() == 3
+    papers = spark.createDataFrame([(5, "10.1257/AER.1"), (4, "https://doi.org/10.1257/aer.1"), (9, None)], "paper_id long, doi string")
+    assert by(social.linked(posts, papers))["https://econ.example/@a/1"]["paper_id"] == 4 and by(social.linked(posts, papers))["https://m.org/2"]["paper_id"] is None
+    news = spark.createDataFrame([(1, "s1", "New working paper out"), (2, "s2", "hello"), (3, "s3", "just published")], "seq int, source_id string, content string")
+    hits = spark.createDataFrame([("s1", "A Proper Title of a Paper | NBER", "https://n.org", "", "Ann and Bo", "2024"), ("s3", "Short", "https://doi.org/10.1111/abc", "", "", "")], "source_id string, title string, url string, text string, author string, published string")
+    assert {(r["title"], r["doi"]) for r in social.announced(news, hits, r"\s*\|.*$").collect()} == {("A Proper Title of a Paper", None), ("Short", "10.1111/abc")}
+
+
+def test_calls(spark):
+    hit = lambda i, t, d: {"id": i, "title": t, "agency": "NSF", "closeDate": d}
+    payload = {"data": {"hitCount": 3, "oppHits": [hit("1", "Urban Research &amp;amp; Policy", "03/04/2026"), hit("2", "Urban x", ""), hit("3", "Fish stocks", "03/04/2026")]}}
+    got = calls.grant_calls(rows(spark, payload)).collect()
+    assert [(r["name"], str(r["deadline_date"])) for r in got] == [("Urban Research & Policy", "2026-03-04")]
+    registry = spark.createDataFrame([("F1", "O", "u", None, 3, None, "annual"), ("F2", "O", "u", None, None, None, "rolling"), ("F3", "O", "u", "2026-09-09", None, None, "annual")], "name string, organization string, url string, explicit string, month int, second_month int, recurrence string")
+    today = F.lit("2026-04-01").cast("date")
+    assert {r["name"]: str(r["deadline_date"]) for r in calls.curated_calls(registry, today).collect()} == {"F1": "2027-03-15", "F2": "None", "F3": "2026-09-09"}
+    page = spark.createDataFrame([("F2", "<p>We fund research on towns and land, with grants for young scholars of all fields.</p><p>Application deadline: June 5, 2026.</p>")], "name string, html string")
+    scraped = {r["name"]: r for r in calls.scraped_calls(page, registry, today).collect()}
+    assert str(scraped["F2"]["deadline_date"]) == "2026-06-05" and scraped["F2"]["description"].startswith("We fund") and str(scraped["F3"]["deadline_date"]) == "2026-09-09"
+    meetings = spark.createDataFrame([("C1", "O", "https://c.org/x", 5, 11), ("C2", "O", "https://d.org/", 2, 1)], "name string, organization string, url string, deadline_month int, event_month int")
+    body = '<a href="/cfp">Call for papers</a><p>Submission deadline: May 20, 2026. Conference dates: 3 November 2026</p>'
+    found = {r["name"]: r for r in calls.conference_calls(spark.createDataFrame([("C1", body, None)], "name string, html string, sub_html string"), meetings, today).collect()}
+    assert str(found["C1"]["deadline_date"]) == "2026-05-20" and str(found["C1"]["event_date"]) == "2026-11-03" and found["C1"]["url"] == "https://c.org/cfp"
+    assert str(found["C2"]["deadline_date"]) == "2027-02-01" and str(found["C2"]["event_date"]) == "2028-01-01"
+
+
+def test_listing_pages(spark):
+    card = lambda n, t: f'<article><h2><a href="/publications/dp/{n}/x">{t}</a></h2><div>IZA DP No. {n}: by Ann Lee, Bo Chan</div><span>May 2024</span></article>'
+    listing = spark.createDataFrame([("https://i.org/list", card(100, "First") + card(101, "Second")), ("https://i.org/other", '<a href="/publications/dp/99/y">Third</a>')], "url string, html string")
+    cards = pages.listing_cards(listing)
+    got = by(cards, "paper_number")
+    assert set(got) == {"100", "101", "99"} and got["100"]["title"] == "First" and got["100"]["authors"] == ["Ann Lee", "Bo Chan"] and got["100"]["published_at"] == "2024-05-01" and got["100"]["url"] == "https://i.org/publications/dp/100/x"
+    abstract = "This abstract is long enough to be taken, as it has more than sixty characters."
+    detail = spark.createDataFrame([("101", f'<meta name="citation_title" content="Second, full"><meta name="citation_author" content="Cy"><div class="abstract">{abstract}</div><p>JEL: J31</p>')], "paper_number string, html string")
+    full = by(pages.completed(cards, pages.detail_fields(detail), 99), "paper_number")
+    assert set(full) == {"100", "101"} and full["101"]["abstract"] == abstract and full["101"]["authors"] == ["Cy"] and full["101"]["jel_codes"] == ["J31"] and full["100"]["authors"] == ["Ann Lee", "Bo Chan"]
+    bread = spark.createDataFrame([("https://b.org/wp/", '<p><a href="wp1.pdf">Alpha &amp; land</a> Ann Lee and Bo Chan. Spring 2021. JEL: O12</p><p><a href="wp2.pdf">Beta</a> Cy Dunn (2020)</p><a href="/home">Home</a>')], "url string, html string")
+    found = by(pages.between_anchors(bread, r"wp\d+\.pdf"), "title")
+    assert set(found) == {"Alpha & land", "Beta"} and found["Alpha & land"]["authors"] == ["Ann Lee", "Bo Chan"] and found["Alpha & land"]["published_at"] == "2021-04-01" and found["Alpha & land"]["jel_codes"] == ["O12"]
+    assert found["Beta"]["authors"] == ["Cy Dunn"] and found["Beta"]["url"] == "https://b.org/wp/wp2.pdf"
+
+
+def test_profiles(spark, tmp_path):
+    assert profiles.interest_phrases("# Me\n## Topics of Interest\n- Land use, Housing\n- land  use\n## Other\n- no") == ["housing", "land use"]
+    weights, default = profiles.code_weights(spark, '{"O1": 0.5, "_default": 0.2}')
+    assert default == 0.2 and weights.collect()[0]["prefix"] == "O1"
+    assert profiles.code_weights(spark, "broken")[1] == 0.1 and profiles.code_weights(spark, None)[0].count() == 0
+    assert json.loads(profiles.weights_json(weights.withColumnRenamed("prefix", "code"), 0.2)) == {"O1": 0.5, "_default": 0.2}
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"paper_id": 1, "interesting": true, "at": "a"}\nbroken\n{"paper_id": 1, "interesting": false, "at": "b"}\n')
+    votes = profiles.votes(spark, f"file://{log}")
+    assert [(r["paper_id"], r["interesting"]) for r in votes.orderBy("seq").collect()] == [(1, True), (1, False)]
+    values = spark.createDataFrame([(1, "article", "title", "T"), (1, "article", "DOI", "10.1/x"), (2, "note", "title", "N")], "item_id int, kind string, field string, value string")
+    items = profiles.library_items(values, ["article"])
+    assert [(r["title"], r["DOI"], r["date"]) for r in items.collect()] == [("T", "10.1/x", None)]
