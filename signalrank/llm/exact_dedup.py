@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import checkpoint_dir, cut, table
+from signalrank.session import checkpoint_dir, cut, small_batches, table
 
 #: Groups of at least this share of all rows are hot; there can be at most 1 / HOT_SHARE of them, which bounds their broadcast.
 HOT_SHARE = 0.001
@@ -60,7 +60,7 @@ def report(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     `index` is a fresh one unless given; with an index that already holds a text, its earlier keep_id stays and all
     new rows of that text are dropped.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     index = index or DigestIndex(spark)
     own = cut(groups(docs, id_col, text_col))
     index.append(own.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))

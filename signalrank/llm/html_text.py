@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import cut, table
+from signalrank.session import cut, small_batches, table
 
 #: Winning paths of up to this many hosts are broadcast; those of more meet the pages in a shuffle join.
 MAX_BROADCAST_HOSTS = 100_000
@@ -220,6 +220,7 @@ def winners(voted: DataFrame, least: int = LEAST_VOTES) -> DataFrame:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     paths = cut(winners(votes(rows)))
     if paths.count() <= max_broadcast:

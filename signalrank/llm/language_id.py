@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import table
+from signalrank.session import small_batches, table
 
 #: Documents of each language to learn from, in expectation (they are chosen by hash), and trigrams kept in all.
 TRAIN_DOCS, MOST_GRAMS = 3000, 400_000
@@ -105,7 +105,7 @@ class Filter:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Filter:
     """docs: rows to learn from; those without a language are left out. Languages stand in order of their documents, most first."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, lang_col: str = "lang",
 
 def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

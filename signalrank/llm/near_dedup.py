@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalrank.operators.components import components
-from signalrank.session import cut, table
+from signalrank.session import cut, small_batches, table
 
 SHINGLE = 5
 #: Links need SIM_NUM * union <= SIM_DEN * intersection, that is a similarity of 0.75.
@@ -40,7 +40,7 @@ BUCKET_BITS, MANTISSA = 7, 10
 SMALL = 16
 #: Estimates this many standard deviations under the threshold are dropped.
 DEVIATIONS = 5.0
-WORD_MEMO = 500_000
+WORD_MEMO = 150_000
 _EMPTY = np.uint16(0xFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -290,11 +290,12 @@ def _left_over(entries: DataFrame, labels: DataFrame, nodes: DataFrame, docs: Da
 
 
 #: Left-over sets are compared in blocks of about this many hashes, and sets, at most.
-BLOCK_HASHES, BLOCK_SETS = 400_000, 1500
+BLOCK_HASHES, BLOCK_SETS = 300_000, 1000
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = cut(sketches(own))
     own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
