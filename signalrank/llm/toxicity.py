@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import cut, table
+from signalrank.session import cut, small_batches, table
 
 #: Labelled rows to learn from at most, chosen by hash; terms of the lexicon, and clean words known to it, at most.
 TRAIN_ROWS, MOST_TERMS, MOST_CLEAN = 20_000, 2_000, 200_000
@@ -34,7 +34,7 @@ LEAST_VAGUE = 2
 #: Words on either side of a hit that are looked at.
 WINDOW = 5
 THRESHOLD = 0.7
-WORD_MEMO = 300_000
+WORD_MEMO = 200_000
 WORDS = re.compile(r"[^\W_]+")
 # Quotation marks, words that report what others say, and characters written for letters.
 QUOTES = "\"“”„«»‹›"
@@ -43,63 +43,96 @@ REPORTING = {
     "sagte", "sagt", "zitat", "wort", "nannte", "dit", "mot", "citation", "traité", "dijo", "palabra", "cita", "llamó",
 }
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"})
-SIGNS = str.maketrans({"@": "a", "$": "s"})
+
+
+def letters_of(word: str) -> int:
+    """Bit set of a word's letters, folded to 64 bits: one edit changes two of them at most."""
+    bits = 0
+    for char in word:
+        bits |= 1 << (ord(char) & 63)
+    return bits
 
 
 class Trie:
-    """Terms as a trie of dicts. `near` walks it with the states of the Levenshtein automaton of a word: a row of edit costs, given up once all exceed k."""
+    """Terms as a trie of dicts, walked with the states of a word's Levenshtein automaton.
+
+    A state is, for each number of edits, the bit set of the word's prefixes that the path may spell with so many edits;
+    a path is given up once no prefix is left. Words that share neither end nor middle with a term need no walk.
+    """
 
     def __init__(self, terms: dict[str, float]):
         self.root: dict = {}
         self.terms = terms
-        halves: set[str] = set()
-        for term in terms:
+        self.heads: dict[int, dict[str, list]] = {}
+        self.tails: dict[int, dict[str, list]] = {}
+        self.middles: dict[str, list] = {}
+        self.sizes: set[int] = set()
+        for term in sorted(terms):
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-            halves |= {f"^{term[: len(term) // 3]}", f"${term[-(len(term) // 3) :]}", f"-{term[len(term) // 3 : len(term) - len(term) // 3]}"}
-        self.halves = halves
-        self.sizes = {len(t) for t in terms}
-        self.starts = {h[1:] for h in halves if h[0] == "^"}
-        self.ends = {h[1:] for h in halves if h[0] == "$"}
-        self.start_sizes, self.end_sizes = sorted({len(h) for h in self.starts}), sorted({len(h) for h in self.ends})
-        middles = sorted({h[1:] for h in halves if h[0] == "-"})
-        self.middle = re.compile("|".join(map(re.escape, middles))) if middles else None
+            k = self.edits(term)
+            if k:
+                size, entry = len(term) // (k + 1), (len(term), letters_of(term))
+                self.heads.setdefault(size, {}).setdefault(term[:size], []).append(entry)
+                self.tails.setdefault(size, {}).setdefault(term[-size:], []).append(entry)
+                self.sizes |= set(range(len(term) - k, len(term) + k + 1))
+                if k == 2:
+                    for i in range(size, len(term) - size - 2):
+                        self.middles.setdefault(term[i : i + 3], []).append(entry)
 
     @staticmethod
     def edits(word: str) -> int:
         return 2 if len(word) >= 9 else 1 if len(word) >= 5 else 0
 
-    def may_be_near(self, word: str) -> bool:
-        """With two edits, one third of the term is still whole in the word."""
-        return (
-            any(word[:n] in self.starts for n in self.start_sizes)
-            or any(word[-n:] in self.ends for n in self.end_sizes)
-            or (self.middle is not None and self.middle.search(word) is not None)
-        )
+    def may_be_near(self, word: str, k: int) -> bool:
+        """With one edit the first or the last half of a term is whole in the word, with two one third of it; and few letters differ."""
+        found: list = []
+        for size, heads in self.heads.items():
+            if (entries := heads.get(word[:size])) is not None:
+                found += entries
+            if (entries := self.tails[size].get(word[-size:])) is not None:
+                found += entries
+        if self.middles and len(word) >= 7:
+            for i in range(1, len(word) - 3):
+                if (entries := self.middles.get(word[i : i + 3])) is not None:
+                    found += entries
+        if not found:
+            return False
+        letters, n = letters_of(word), len(word)
+        return any(abs(n - size) <= k and (bits ^ letters).bit_count() <= 2 * k for size, bits in found)
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The nearest term within the word's edits and their number; the first by name on ties."""
         if word in self.terms:
             return word, 0
         k = self.edits(word)
-        if not k or not any(abs(len(word) - n) <= k for n in self.sizes) or not self.may_be_near(word):
+        if not k or len(word) not in self.sizes or not self.may_be_near(word, k):
             return None
+        whole, end = (1 << (len(word) + 1)) - 1, 1 << len(word)
+        places: dict[str, int] = {}
+        for i, char in enumerate(word, 1):
+            places[char] = places.get(char, 0) | 1 << i
         found: list[tuple[int, str]] = []
-        todo = [(self.root, list(range(len(word) + 1)))]
+        todo = [(self.root, tuple((1 << (d + 1)) - 1 for d in range(k + 1)))]
         while todo:
-            node, row = todo.pop()
+            node, state = todo.pop()
             for char, child in node.items():
                 if char == "":
-                    if row[-1] <= min(k, self.edits(child)):
-                        found.append((row[-1], child))
+                    for d in range(min(k, self.edits(child)) + 1):
+                        if state[d] & end:
+                            found.append((d, child))
+                            break
                     continue
-                new = [row[0] + 1]
-                for i, own in enumerate(word, 1):
-                    new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (own != char)))
-                if min(new) <= k:
-                    todo.append((child, new))
+                here = places.get(char, 0)
+                last = (state[0] << 1) & here
+                new = [last]
+                for d in range(1, k + 1):
+                    last = (((state[d] << 1) & here) | state[d - 1] | (state[d - 1] << 1) | (last << 1)) & whole
+                    new.append(last)
+                if last:
+                    todo.append((child, tuple(new)))
         return (min(found)[1], min(found)[0]) if found else None
 
 
@@ -114,7 +147,9 @@ class Scorer:
 
     def _ready(self) -> None:
         self.trie = Trie({t: w for t, w in self.terms.items() if t not in self.vague})
-        self.memo: dict[str, tuple[str, int] | None] = {}
+        self.heads = {s[: STEM_LETTERS[0]] for s in self.stems}
+        self.known: dict[str, tuple[str, int]] = {}
+        self.harmless: set[str] = set()
 
     def __getstate__(self):
         return self.terms, self.stems, self.clean, self.weights, self.vague
@@ -123,29 +158,42 @@ class Scorer:
         self.terms, self.stems, self.clean, self.weights, self.vague = state
         self._ready()
 
-    def hit(self, word: str) -> tuple[str, int] | None:
-        if word in self.memo:
-            return self.memo[word]
-        if len(self.memo) >= WORD_MEMO:
-            self.memo.clear()
-        found = None
-        stem = next((word[:n] for n in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1) if word[:n] in self.stems), None)
+    def _meet(self, word: str) -> tuple[str, int] | None:
         if word in self.terms:
-            found = word, 0
-        elif stem is not None and word not in self.clean:
-            found = stem, 0
-        elif word not in self.clean and len(word) >= LEAST_LETTERS:
-            plain = word if word.isalpha() else word.translate(LEET)
-            found = self.trie.near(plain)
-            if found and plain != word:
-                found = found[0], max(1, found[1])
-        self.memo[word] = found
+            return word, 0
+        if word[: STEM_LETTERS[0]] in self.heads:
+            for n in range(STEM_LETTERS[0], STEM_LETTERS[1] + 1):
+                if word[:n] in self.stems and word not in self.clean:
+                    return word[:n], 0
+        plain = word if word.isalpha() else word.translate(LEET)
+        found = self.trie.near(plain)
+        if found is None or word in self.clean:
+            return None
+        return found if plain == word else (found[0], max(1, found[1]))
+
+    def hits(self, words: set[str]) -> dict[str, tuple[str, int]]:
+        """Word -> (term, edits) for the words that meet the lexicon. Words are judged once while they are remembered."""
+        found = {}
+        for word in words - self.harmless:
+            hit = self.known.get(word) or self._meet(word)
+            if hit is None:
+                self.harmless.add(word)
+            else:
+                found[word] = self.known[word] = hit
+        if len(self.harmless) + len(self.known) > WORD_MEMO:
+            self.harmless.clear()
+            self.known.clear()
         return found
 
+    @staticmethod
+    def words(text: str | None) -> tuple[str, list[str]]:
+        low = (text or "").lower().replace("@", "a").replace("$", "s")
+        return low, WORDS.findall(low)
+
     def features(self, text: str | None) -> list[float]:
         """Hits by kind (exact, misspelt) and place (open, quoted), as whether and how many, and by their weights."""
-        low = (text or "").lower().translate(SIGNS)
-        hits = {w: h for w in set(WORDS.findall(low)) if (h := self.hit(w))}
+        low, words = self.words(text)
+        hits = self.hits(set(words))
         counts, most = [0, 0, 0, 0], 0.0
         if hits:
             places = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(low)]
@@ -197,8 +245,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, label_col: str,
     return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label").dropDuplicates()
 
 
+def longest_stems(rows: list) -> dict[str, float]:
+    """Weights of stems (stem, bad, weight) without those that a longer one stands for, as it has nearly all of their contexts."""
+    counts = {r["stem"]: r["bad"] for r in rows}
+    spoken = {s[:n] for s, bad in counts.items() for n in range(STEM_LETTERS[0], len(s)) if bad >= 0.9 * counts.get(s[:n], bad + bad)}
+    return {r["stem"]: r["weight"] for r in rows if r["stem"] not in spoken}
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     """docs (doc_id, text), labels (doc_id, toxic): rows to learn from."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most, "toxic")
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
     near = rows.select("label", words.alias("w")).where(F.size("w") > 0).select("label", "w", F.posexplode("w").alias("i", "word"))
@@ -214,14 +270,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
         counts.where(F.length("word") > first).select(F.explode(F.expr(f"transform(sequence({first}, least({last}, length(word) - 1)), n -> left(word, n))")).alias("stem"), "bad", "good")
         .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > F.col("good")).alias("words"))
         .where((F.col("bad") >= STEM_CONTEXTS) & (F.col("words") >= STEM_WORDS) & (F.col("bad") >= STEM_PRECISION * (F.col("bad") + F.col("good"))))
-        .select("stem", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight")).orderBy(F.desc("weight"), "stem").limit(MOST_TERMS)
+        .select("stem", "bad", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight")).orderBy(F.desc("weight"), "stem").limit(MOST_TERMS)
     )
     clean = counts.where((F.col("good") >= 2) & F.length("word").between(5, 40)).orderBy(F.desc("good"), "word").limit(MOST_CLEAN)
-    scorer = Scorer(terms, {r["stem"]: r["weight"] for r in stems.collect()}, {r["word"] for r in clean.select("word").collect()} - set(terms))
+    scorer = Scorer(terms, longest_stems(stems.collect()), {r["word"] for r in clean.select("word").collect()} - set(terms))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [h[0] for t in batch.column("text") for w in set(WORDS.findall((t.as_py() or "").lower().translate(SIGNS))) if (h := scorer.hit(w)) and h[1]]
+            near = [h[0] for t in batch.column("text") for h in scorer.hits(set(scorer.words(t.as_py())[1])).values() if h[1]]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["term"])
 
     vague = rows.where("label <> 1").select("text").mapInArrow(met, "term string").groupBy("term").count().where(F.col("count") >= LEAST_VAGUE)
@@ -240,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
 
 def score(docs: DataFrame, model: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,6 +40,11 @@ def table(spark, rows):
     return spark.createDataFrame([(i, x, "w") for i, x in rows], "doc_id long, text string, score string")
 
 
+def test_longest_stems():
+    rows = [{"stem": s, "bad": b, "weight": 1.0} for s, b in (("lost", 20), ("lostr", 20), ("lostra", 19), ("lostrax", 4), ("vequ", 30))]
+    assert set(t.longest_stems(rows)) == {"lostra", "lostrax", "vequ"}
+
+
 def test_learns_from_labels(spark):
     rng = np.random.default_rng(1)
     word = lambda: f"{rng.choice(['ab', 'cd', 'ef'])}{'xyzuvw'[rng.integers(6)]}{'klmn'[rng.integers(4)]}"
