@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalrank.session import cut
+
 
 def percentile(value: str, by: list[str] | None = None) -> Column:
     """Average-rank percentile in (0, 1] within the batch, or within groups `by`: (least rank + greatest rank) / 2n; ties share it."""
@@ -22,10 +24,11 @@ def percentiles(rows: DataFrame, value: str, into: str) -> DataFrame:
     before it, so no task sorts them all.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    spread = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id())
+    spread = cut(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))  # written, so that both uses see the same parts
     totals = spread.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    before = totals.alias("x").join(totals.alias("y"), F.col("y._part") < F.col("x._part"), "left").groupBy(F.col("x._part").alias("_part")).agg(F.coalesce(F.sum("y._size"), F.lit(0)).alias("_before"))
-    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # over one row for each partition
+    before = totals.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    total = F.broadcast(spread.agg(F.sum("_n").alias("_total")))
     inner = F.sum("_n").over(Window.partitionBy("_part").orderBy(value))
     ranked = spread.join(F.broadcast(before), "_part").select(value, "_n", (F.col("_before") + inner - F.col("_n")).alias("_less"))
     ranked = ranked.join(total, F.lit(True), "left").select(value, ((F.col("_less") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_total")).alias(into))

@@ -74,9 +74,11 @@ def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K,
 
         found = candidates.select("id", "vector").mapInPandas(run, "id long, similarity double")
     else:
-        blocks = -(-library.count() // BLOCK)
-        dealt = library.select(F.pmod(F.xxhash64("vector"), F.lit(blocks)).alias("block"), "vector")
-        asked = candidates.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        # Every block of candidates meets every block of the library; a group holds one of each.
+        blocks, asking = -(-library.count() // BLOCK), max(1, -(-candidates.count() // BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = library.select("vector", F.floor(F.rand(SEED) * blocks).cast("int").alias("block")).select("vector", "block", every(asking).alias("part"))
+        asked = candidates.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(asking)).cast("int").alias("part")).select("id", "vector", "part", every(blocks).alias("block"))
 
         def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
@@ -86,7 +88,7 @@ def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K,
             top = np.partition(sims, -m, axis=1)[:, -m:]
             return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "sim": top.ravel()})
 
-        parts = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(best, "id long, sim double")
+        parts = asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(best, "id long, sim double")
         found = parts.groupBy("id").agg(pooled(F.collect_list("sim"), k).alias("similarity"))
     return found.select("id", "similarity", affinity_of(F.col("similarity")).alias("affinity"))
 

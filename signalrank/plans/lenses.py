@@ -38,6 +38,18 @@ def attach_sources(papers: DataFrame, sources: DataFrame, venue: Column) -> Data
     return papers.join(found, "paper_id", "left")
 
 
+def detail(papers: DataFrame, sources: DataFrame, edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """papers with `authors` and `sightings`, an array of all (sighting_id, source, source_url) in order."""
+    seen = sources.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("sighting_id", "source", "source_url"))).alias("sightings"))
+    return attach_authors(papers, edges, authors).join(seen, "paper_id", "left")
+
+
+def sorted_feed(rows: DataFrame, by: str) -> DataFrame:
+    """Feed rows by "relevance", "newest" or "title" (without regard to case and accents), ties by id."""
+    keys = {"relevance": [F.desc_nulls_last("score")], "newest": [F.desc_nulls_last("published_at")], "title": [F.collate("title", "UNICODE_CI_AI")]}
+    return rows.orderBy(*keys[by], "id")
+
+
 def econ_quality() -> Column:
     """Evidence that a paper belongs in the brief, over (title, abstract, venue, jel_codes, sources, doi, url, blocked_source)."""
     sources = F.coalesce("sources", F.array().cast("array<string>"))

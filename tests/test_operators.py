@@ -128,7 +128,7 @@ def test_composite(spark):
     assert abs(got[1] - (0.15 + 0.22 + 0.05 * 0.5 + 0.35 + 0.05 + 0.03 * 0.5 + 0.05)) < 1e-9 and abs(got[2] - (0.35 * 0.3 + 0.05 * 0.5)) < 1e-9
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = lambda x: [float(a) for a in x]
     one = lambda a, b: spark.createDataFrame([(v(a), v(b))], "a array<double>, b array<double>").select(vectors.cosine(F.col("a"), F.col("b")).alias("x")).first()["x"]
@@ -138,6 +138,7 @@ def test_vectors(spark):
     rows = spark.createDataFrame([(k, v(x)) for k, x in enumerate(cand)], "id long, vector array<double>")
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     want = np.sort(unit(cand) @ unit(lib).T, axis=1)[:, -5:].mean(1)
+    monkeypatch.setattr(vectors, "BLOCK", 9)
     for most in (1000, 10):
         got = {r["id"]: r["similarity"] for r in vectors.library_affinity(rows, library_rows, most_broadcast=most).collect()}
         assert np.allclose([got[k] for k in range(30)], want)

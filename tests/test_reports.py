@@ -96,3 +96,14 @@ def test_vote_stream(spark, tmp_path):
     query.stop()
     none = spark.createDataFrame([], "code string, weight double")
     assert {r["code"]: r["weight"] for r in spark.table("votes").collect()} == {r["code"]: r["weight"] for r in folded_weights(spark.createDataFrame(rows, schema), none).collect()}
+
+
+def test_sorts_and_details(spark):
+    rows = spark.createDataFrame([(1, "beta", 0.1, "2024"), (2, "Éclair", 0.9, None), (3, "alpha", None, "2025")], "id int, title string, score double, published_at string")
+    order = lambda by: [r["id"] for r in lenses.sorted_feed(rows, by).collect()]
+    assert order("relevance") == [2, 1, 3] and order("newest") == [3, 1, 2] and order("title") == [3, 1, 2]
+    papers = spark.createDataFrame([(1,), (2,)], "paper_id long")
+    seen = spark.createDataFrame([(2, 1, "b", "u2"), (1, 1, "a", "u1")], "sighting_id long, paper_id long, source string, source_url string")
+    none = spark.createDataFrame([], "paper_id long, author_id long, position int"), spark.createDataFrame([], "author_id long, name string")
+    got = {r["paper_id"]: r for r in lenses.detail(papers, seen, *none).collect()}
+    assert [s["source"] for s in got[1]["sightings"]] == ["a", "b"] and got[2]["sightings"] is None and got[1]["authors"] == []
