@@ -294,7 +294,7 @@ BLOCK_HASHES, BLOCK_SETS = 300_000, 1000
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of its text)."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = cut(sketches(own))
@@ -312,8 +312,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     named = nodes.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("component_id"))
     chosen = cut(labels.join(named, "label").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("low").alias("component_id"))))
     hot, cold = _split_hot(drawn, chosen)
-    found = hot.unionByName(cold).unionByName(drawn.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = hot.unionByName(cold).unionByName(drawn.where("node is null").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 #: Sets with at least this share of all rows, and HOT_LEAST rows, are joined by broadcast; there are at most 1 / HOT_SHARE.
@@ -325,16 +325,16 @@ def _split_hot(drawn: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFram
     total = drawn.count()
     often = drawn.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= max(HOT_LEAST, int(HOT_SHARE * total))).select("node")
     often = F.broadcast(cut(chosen.join(often, "node", "left_semi")))
-    rows = drawn.where("node is not null").select("doc_id", "n", "node")
+    rows = drawn.where("node is not null").select("doc_id", "text_hash", "n", "node")
     return rows.join(often, "node").drop("node"), rows.join(often, "node", "left_anti").join(chosen, "node").drop("node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group, the one with the least doc_id; all columns kept. Rows that repeat that doc_id stay."""
-    gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"))
-    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
+    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"))
+    return report(table(spark, sf_dir, "documents")).drop("text_hash")

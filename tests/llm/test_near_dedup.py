@@ -90,6 +90,13 @@ def test_keep_one(spark):
     assert kept.columns == ["doc_id", "text", "node", "key"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    same = "a b c d e f"
+    rows = [(1, same), (None, same), (None, "quite another text"), (2, same), (2, "a third text by itself")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in n.keep_one(docs(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(1, same), (None, "quite another text"), (2, "a third text by itself")], key=repr)
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
