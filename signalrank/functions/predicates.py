@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalrank.functions.text import doi_in_text, normalize_doi, url_host
+from signalrank.functions.text import doi_in_text, normalize_doi, url_host, whole_phrase
 
 # What captions begin with, econ terms and journals, repositories, places, editorial notices.
 CAPTION = (
-    r"(?i)^\s*(the|this|an?)\s+(image|photo|picture|graphic|graph|chart|visual\b|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)"
+    r"(?i)^\s*(the|this|an?)\s+(image|photo|picture|graphic|graph|chart|visual(?![\p{L}\p{N}_])|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)"
 )
 ECON_TERMS = (
     r"(?i)\b(econom(ic|ics)|development|poverty|inequality|labor|labour|employment|wage|inflation|gdp|productivity|public finance|tax|fiscal|monetary|trade|"
@@ -48,7 +48,7 @@ def names_topic(text: Column, topics: list[str]) -> Column:
     """Some topic stands as a whole phrase in the text."""
     if not topics:
         return F.lit(False)
-    return yes(F.rlike(F.lower(text), F.lit(r"\b(?:" + "|".join(rf"\Q{t.lower()}\E" for t in topics) + r")\b")))
+    return yes(F.rlike(F.lower(text), F.lit(whole_phrase([t.lower() for t in topics]))))
 
 
 def is_econ_post(content: Column, handle: Column, paper_id: Column, instances: list[str], handles: list[str], core: list[str]) -> Column:

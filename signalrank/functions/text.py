@@ -35,6 +35,8 @@ NAME_SUFFIX = r"\b(jr\.?|sr\.?|ii|iii|iv|phd|ph\.d\.?)\b"
 DOI_FORMS = r"^(https?://(dx\.)?doi\.org/|doi\.org/|doi:)"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 JEL_CODE = r"\b([A-Z]\d{1,2})\b"
+# Fixed value: a character of a word in any script. What \b means differs by Java version.
+WORD = r"[\p{L}\p{N}_]"
 
 
 def _folding() -> tuple[str, str]:
@@ -56,6 +58,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def whole_phrase(phrases: list[str]) -> str:
+    """Pattern of one of `phrases` with no character of a word, in any script, before or after it."""
+    return rf"(?<!{WORD})(?:" + "|".join(rf"\Q{p}\E" for p in phrases) + rf")(?!{WORD})"
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates
 from signalrank.functions.predicates import names_india
+from signalrank.functions.text import whole_phrase
 
 # Weights of the composite, prestige of sources, journal tiers.
 WEIGHTS = {"jel": 0.15, "keyword": 0.22, "author": 0.05, "prestige": 0.35, "recency": 0.05, "social": 0.03}
@@ -55,14 +56,14 @@ def keyword_score(title: Column, abstract: Column, phrases: list[str], core: lis
     low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
     total = F.lit(0.0)
     for phrase in sorted({p.lower() for p in phrases}):
-        total = total + F.when(F.rlike(low, F.lit(rf"(?U)\b\Q{phrase}\E\b")), F.lit(CORE_CREDIT if phrase in core else SECONDARY_CREDIT)).otherwise(F.lit(0.0))
+        total = total + F.when(F.rlike(low, F.lit(whole_phrase([phrase]))), F.lit(CORE_CREDIT if phrase in core else SECONDARY_CREDIT)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), total)
 
 
 def matched_topics(text: Column, topics: list[str]) -> Column:
     """Sorted topics that stand as whole phrases in the text."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.when(F.rlike(low, F.lit(rf"\b\Q{t.lower()}\E\b")), F.lit(t)) for t in topics]
+    found = [F.when(F.rlike(low, F.lit(whole_phrase([t.lower()]))), F.lit(t)) for t in topics]
     return F.array_sort(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
 
 

@@ -270,3 +270,37 @@ def snippets(spark, sf_dir):
     t = text.squeeze(F.col("text"))
     rows = table(spark, sf_dir, "conversations").where((F.length(t) <= 160) | (F.substring(t, 160, 1) != " "))
     return rows.select("conv_id", "turn", text.snippet(F.col("text"), 160).alias("line"))
+
+
+#: The four queries above leave rows out, in their SQL too. Those below run over all rows: a phrase ends where no letter, digit or underscore of any script follows.
+_PHRASE = "(^|[^\\p{L}\\p{N}_])(%s)($|[^\\p{L}\\p{N}_])"
+_HIT_ALL = " + ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN {1.0 if p in CORE else 0.25} ELSE 0.0 END" for p in sorted(PHRASES))
+_TOPICS_ALL = ", ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN '{p}' END" for p in PHRASES)
+
+
+@query(f"WITH a AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, least(1.0, {_HIT_ALL})::DOUBLE AS score FROM a")
+def keyword_score_all(spark, sf_dir):
+    """R02 on all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", features.keyword_score(F.lit(""), F.col("text"), PHRASES, CORE).alias("score"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_filter([{_TOPICS_ALL}], lambda x: x IS NOT NULL)), '|') AS topics FROM a""")
+def matched_topics_all(spark, sf_dir):
+    """M07 on all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(features.matched_topics(F.col("text"), PHRASES), "|").alias("topics"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\\s*(the|this|an?)\\s+(image|photo|picture|graphic|graph|chart|visual($|[^\\p{{L}}\\p{{N}}_])|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)') THEN 'caption'
+ WHEN regexp_matches(lower(text), '{_PHRASE % "the"}') THEN 'topic' ELSE 'other' END AS verdict FROM conversations""")
+def post_gate_all(spark, sf_dir):
+    """P01, P03 on all conversation turns."""
+    verdict = F.when(predicates.is_caption(F.col("text")), "caption").when(predicates.names_topic(F.col("text"), ["the"]), "topic").otherwise("other")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", verdict.alias("verdict"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(t) > 160 THEN rtrim(substr(t, 1, 160), ' ') || '…' ELSE t END AS line FROM (
+ SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM conversations)""")
+def snippets_all(spark, sf_dir):
+    """F23 on all conversation turns."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(F.col("text"), 160).alias("line"))
