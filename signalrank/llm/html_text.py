@@ -5,6 +5,10 @@ taken out of classes). A container scores by the text of its own blocks, less wh
 container's path is the page's vote; Spark counts the votes of each host, and the host's winning path names the
 containers whose text every page of that host gives. A page without such a container gives its own best one.
 
+The best container is often a part of the whole: the body of an article beside its title, the longest of some sections.
+So each page climbs from it: to the enclosing article, else to parents whose other text is mostly not in links. Of a
+parent where the climb ends, headings, paragraphs and sections that are mostly not in links are kept too.
+
 Left out everywhere: scripts, styles, comments of the markup, forms, menus, headers outside the article, footers,
 sidebars, and elements whose class, id or role says notice, advert, reader comment, sharing, related or the like.
 Blocks are in page order, joined by a line break; white space in a block is one space; character references are decoded.
@@ -47,6 +51,10 @@ BAD_NAME = re.compile(
     r"related|recommended|newsletter|subscribe|signup|login|search|widget|skip\w*|toolbar|tags?|meta|byline-bar|copyright)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Classes of an article that name its subject, not its part of the page.
+SUBJECT = re.compile(r"(?:tags?|category)[_-].+", re.IGNORECASE)
+#: Containers that divide a text; a sibling of this kind is part of it.
+DIVISIONS = {"section", "blockquote", "figure", "dd"}
 PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.IGNORECASE)
 HAVING = re.compile(r"\b(?:has|have|with|without|no|is|not)[_-][\w-]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -73,7 +81,8 @@ class Block:
 
 
 def _step(tag: str, found: dict[str, str]) -> str:
-    names = sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in found.get("class", "").split()} - {""})
+    classes = [c for c in found.get("class", "").split() if tag != "article" or not SUBJECT.fullmatch(c)]
+    names = sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in classes} - {""})
     return tag + "".join(f".{c}" for c in names)
 
 
@@ -158,13 +167,16 @@ def blocks_of(html: str | None) -> list[Block]:
         top = stack[-1]
         named = HAVING.sub("", CAMEL.sub("-", " ".join(marks.get(k, "") for k in ("class", "id")))) if marks else ""
         within_article = any(n.tag in ("article", "main") for n in stack)
+        told = BAD_NAME.search(named) is not None or not within_article and PAGE_HEAD.search(named) is not None
+        if tag == "article":  # a whole name must say so: its classes and id may hold words of its subject
+            told = any(BAD_NAME.fullmatch(x) for x in named.split())
         bad = (
             tag in LEFT_OUT
             or (tag == "header" and not within_article)
             or "hidden" in marks
             or marks.get("aria-hidden", "").lower() == "true"
             or marks.get("role", "").lower() in BAD_ROLES
-            or (bool(named) and tag not in ("html", "body", "main") and (BAD_NAME.search(named) is not None or not within_article and PAGE_HEAD.search(named) is not None))
+            or (bool(named) and tag not in ("html", "body", "main") and told)
         )
         path = f"{top.path}/{_step(tag, marks)}" if tag in BLOCKS else top.path
         stack.append(_Node(tag, path, top.out or bad, tag in CONTAINERS, top.linked or tag == "a", top))
@@ -172,27 +184,72 @@ def blocks_of(html: str | None) -> list[Block]:
     return found
 
 
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
+def _score(block: Block) -> float:
+    plain = len(block.text) - block.linked
+    return plain * (1.0 if block.text.count(" ") >= 4 or block.heading else 0.2) - 0.5 * block.linked
+
+
 def best_path(blocks: list[Block]) -> str | None:
     """Path of the container whose own blocks score best. A block counts for its nearest container, half for the next and so on; links and single words count little."""
     scores: dict[str, float] = {}
     for block in blocks:
-        plain = len(block.text) - block.linked
-        words = block.text.count(" ") + 1
-        score = plain * (1.0 if words >= 5 or block.heading else 0.2) - 0.5 * block.linked
+        score = _score(block)
         for path in reversed(block.within):
-            last = path.rsplit("/", 1)[-1]
-            scores[path] = scores.get(path, 0.0) + score * (1.5 if last.split(".")[0] in ("article", "main") else 1.0)
+            scores[path] = scores.get(path, 0.0) + score * (1.5 if _tag(path) in ("article", "main") else 1.0)
             score *= 0.5
     return min(scores, key=lambda p: (-scores[p], p)) if scores else None
 
 
+def whole(blocks: list[Block], path: str) -> list[Block]:
+    """Blocks of the text that the containers of `path` are part of, in page order; none where the page has no such container."""
+    chain = next((b.within[: b.within.index(path) + 1] for b in blocks if path in b.within), ())
+    if not chain:
+        return []
+    # A path names all its containers, so the chain is the same for every block below it.
+    article = next((q for q in reversed(chain) if _tag(q) == "article"), None)
+    if article is not None:
+        return [b for b in blocks if article in b.within]
+    sizes: dict[str, tuple[int, float]] = {}
+    parts: dict[tuple[int, str], tuple[int, int]] = {}
+    # Each block by how far it shares the chain, and its part there: the parent's own text, or a division of it.
+    places: list[tuple[int, str | None]] = []
+    for b in blocks:
+        n = 0
+        while n < min(len(chain), len(b.within)) and chain[n] == b.within[n]:
+            n += 1
+        for q in chain[:n]:
+            size, score = sizes.get(q, (0, 0.0))
+            sizes[q] = size + len(b.text), score + _score(b)
+        below = b.within[n:]
+        part = None if n == 0 or any(_tag(q) not in DIVISIONS for q in below) else below[0] if below else chain[n - 1]
+        places.append((n, part))
+        if part is not None:
+            size, linked = parts.get((n, part), (0, 0))
+            parts[n, part] = size + len(b.text), linked + b.linked
+    at = len(chain) - 1
+    for k in range(len(chain) - 1, 0, -1):
+        if _tag(chain[k]) == "main" or _tag(chain[k - 1]) in ("body", ""):
+            break
+        size, score = (x - y for x, y in zip(sizes[chain[k - 1]], sizes[chain[k]]))
+        if size and score < 0.5 * size:
+            break
+        at = k - 1
+    low = max((k for k, q in enumerate(chain[: at + 1]) if _tag(q) == "main"), default=0)
+    fits = {key for key, (size, linked) in parts.items() if key[0] > low and linked < 0.5 * size}
+    return [b for b, place in zip(blocks, places) if place[0] > at or place in fits]
+
+
 def text_of(blocks: list[Block], path: str | None) -> str:
-    """Text of the containers of `path`; where the page has none, of its own best container."""
+    """Text that the containers of `path` are part of; where the page has none, the same of its own best container."""
     for chosen in (path, best_path(blocks)):
         if chosen is not None:
-            kept = [b.text for b in blocks if chosen in b.within]
+            kept = whole(blocks, chosen)
             if kept:
-                return "\n".join(kept)
+                return "\n".join(b.text for b in kept)
     return ""
 
 

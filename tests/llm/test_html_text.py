@@ -43,6 +43,37 @@ def test_hosts_vote(spark):
     assert {r["page_id"]: r["text"] for r in h.extract(pages(spark, rows), max_broadcast=0).collect()} == got
 
 
+LONG = "Many words of a long text stand here. " * 40
+PARTS = ["A title of four", "An intro that tells in short what this is about.", LONG.strip()]
+
+
+def test_title_and_intro_beside_a_nested_body(spark):
+    inner = "<h1>{}</h1><p>{}</p><div class=body><p>{}</p></div>".format(*PARTS)
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div class=wrap>{}</div>", "{}", "<article class='post-7 post tag-news category-search'>{}</article>", "<article id='share-prices'>{}</article>"):
+        page = f"<html><body>{outer.format(inner)}<div class=links><a href=/a>One link</a><a href=/b>Another link</a></div></body></html>"
+        assert alone(page) == "\n".join(PARTS), outer
+    rows = [(k, "http://h.com/a", f"<body><article class='post-{k} tag-{'xyz'[k]}'>{inner}</article><div class=teaser>Other text</div></body>") for k in range(3)]
+    assert {r["text"] for r in h.extract(pages(spark, rows)).collect()} == {"\n".join(PARTS)}
+
+
+def test_sections_of_one_text():
+    for kind in ("section", "section class=s{}", "blockquote", "div class=part{}"):
+        parts = "".join(f"<{kind.format('abc'[k])}><p>{x}</p></{kind.split()[0]}>" for k, x in enumerate(PARTS))
+        for outer in ("article", "main", "div"):
+            assert alone(f"<body><{outer}>{parts}</{outer}></body>") == "\n".join(PARTS), (kind, outer)
+    sections = "".join(f"<section class={'abc'[k]}><p>{x}</p></section>" for k, x in enumerate(PARTS))
+    assert alone(f"<body>{sections}</body>") == "\n".join(PARTS)
+    cells = "".join(f"<tr><td><p>{x}</p></td></tr>" for x in PARTS)
+    assert alone(f"<article><h1>Head of table</h1><table>{cells}</table></article>") == "\n".join(["Head of table", *PARTS])
+
+
+def test_links_and_notices_beside_the_text_stay_out():
+    links = "<div class=more><p><a href=/a>Five words in a link here</a></p><p><a href=/b>Five more words in a link</a></p></div>"
+    page = f"<body><div class=wrap><h1>{PARTS[0]}</h1><div class=body><p>{LONG}</p></div>{links}</div></body>"
+    assert alone(page) == PARTS[0] + "\n" + LONG.strip()
+    assert alone(f"<body><article class=promo><p>{LONG}</p></article><div><p>{PARTS[1]}</p></div></body>") == PARTS[1]
+
+
 def test_nulls_and_empty(spark):
     rows = [(1, None, PAGE), (2, "http://x.org/", None), (3, "http://x.org/", ""), (None, "http://x.org/", "<p>a b c d e f</p>"), (4, "http://x.org/", "<div>" * 3000 + "deep text of five words" + "</div>" * 3000), (4, None, PAGE)]
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in h.extract(pages(spark, rows)).collect()}
