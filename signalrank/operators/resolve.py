@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import text
 from signalrank.operators.components import groups
-from signalrank.operators.similarity import matches, similar_pairs
+from signalrank.operators.similarity import matches, represented, representative_pairs
 
 HIGH, LOW, SHARED = 0.85, 0.70, 2
 # Rank of paper types, most authoritative first.
@@ -36,13 +36,19 @@ def match_existing(new: DataFrame, stored: DataFrame) -> DataFrame:
     a = keyed(new).select("id", "title_key", F.col("doi").alias("doi_key"), "tokens", "families")
     b = keyed(stored).select(F.col("id").alias("existing_id"), "title_key", F.col("doi").alias("doi_key"), "tokens", F.col("families").alias("stored_families"))
     hit = lambda df, step: df.select("id", "existing_id", F.lit(step).alias("step"))
-    by_doi = hit(a.where("doi_key <> ''").join(b, "doi_key"), 1)
-    by_title = hit(a.join(b.drop("doi_key"), "title_key"), 2)
-    near = matches(a.select("id", "tokens"), b.select(F.col("existing_id").alias("id"), "tokens"), LOW).select(F.col("a").alias("id"), F.col("b").alias("existing_id"), "jaccard")
-    near = near.join(a.select("id", "families"), "id").join(b.select("existing_id", "stored_families"), "existing_id")
+    # The lowest id of a key decides, so many stored papers with one key are one row.
+    lowest = lambda *keys: b.groupBy(*keys).agg(F.min("existing_id").alias("existing_id"))
+    by_doi = hit(a.where("doi_key <> ''").join(lowest("doi_key"), "doi_key"), 1)
+    by_title = hit(a.join(lowest("title_key"), "title_key"), 2)
+    sets = a.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"), F.array_sort("families").alias("families"))
+    firsts = sets.groupBy("tokens", "families").agg(F.min("id").alias("first"))
+    known = lowest(F.array_sort("tokens").alias("tokens"), F.array_sort("stored_families").alias("stored_families"))
+    near = matches(firsts.select(F.col("first").alias("id"), "tokens"), known.select(F.col("existing_id").alias("id"), "tokens"), LOW)
+    near = near.select(F.col("a").alias("first"), F.col("b").alias("existing_id"), "jaccard").join(firsts, "first").join(known.select("existing_id", "stored_families"), "existing_id")
     shared = F.size(F.array_intersect("families", "stored_families"))
     step = F.when(F.col("jaccard") >= HIGH - 1e-12, 3).when(shared >= SHARED, 4)
-    fuzzy = near.select("id", "existing_id", step.alias("step")).where("step is not null")
+    best = near.select("tokens", "families", "existing_id", step.alias("step")).where("step is not null").groupBy("tokens", "families").agg(F.min(F.struct("step", "existing_id")).alias("x"))
+    fuzzy = sets.join(best, ["tokens", "families"]).select("id", "x.existing_id", "x.step")
     every = by_doi.unionByName(by_title).unionByName(fuzzy)
     return every.groupBy("id").agg(F.min(F.struct("step", "existing_id")).alias("x")).select("id", "x.existing_id", "x.step")
 
@@ -57,10 +63,16 @@ def same_work_edges(papers: DataFrame) -> DataFrame:
     # One paper stands for all with the same tokens and families; the others are tied to it by their title.
     firsts = rows.where(F.size("tokens") > 0).groupBy("tokens", "families").agg(F.min("id").alias("id"))
     copies = rows.alias("r").join(firsts.alias("f"), ["tokens", "families"]).where("r.id <> f.id").select(F.col("f.id").alias("a"), F.col("r.id").alias("b"))
-    near = similar_pairs(firsts.select("id", "tokens"), LOW)
-    near = near.join(firsts.select(F.col("id").alias("a"), F.col("families").alias("fa")), "a").join(firsts.select(F.col("id").alias("b"), F.col("families").alias("fb")), "b")
-    near = near.where((F.col("jaccard") >= HIGH - 1e-12) | (F.size(F.array_intersect("fa", "fb")) >= SHARED)).select("a", "b")
-    return star("doi_key").unionByName(star("title_key")).unionByName(copies).unionByName(near)
+    # Papers with equal tokens are the same work whatever their families, so they are tied to one of them, which stands for all in a similar pair.
+    sets = firsts.select("id", "tokens")
+    members = represented(sets)
+    equal = members.where("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"))
+    near = representative_pairs(sets, LOW)
+    families = firsts.select("id", "families").join(members, "id")
+    fa, fb = (families.select(F.col("representative").alias(s), F.col("families").alias(f"f{s}")).distinct() for s in "ab")
+    some = near.where(F.col("jaccard") < HIGH - 1e-12).join(fa, "a").join(fb, "b").where(F.size(F.array_intersect("fa", "fb")) >= SHARED).select("a", "b").distinct()
+    near = near.where(F.col("jaccard") >= HIGH - 1e-12).select("a", "b").unionByName(some)
+    return star("doi_key").unionByName(star("title_key")).unionByName(copies).unionByName(equal).unionByName(near)
 
 
 def same_work(papers: DataFrame) -> DataFrame:

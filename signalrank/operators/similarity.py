@@ -1,8 +1,8 @@
 """Set-similarity join by prefix filtering on rare tokens, and the candidate joins of the resolution cascade.
 
 Tokens are ordered by ascending document frequency. Two sets of similarity t share one of their first n - ceil(t n) + 1
-tokens, so only those are joined: frequent tokens never meet. Sets that are equal are joined once, by their key, and
-not with each other, so that many copies of one set make no square of pairs.
+tokens, so only those are joined: frequent tokens never meet. Of equal sets only the one with the least id is compared;
+`represented` ties the others to it, so that many copies of one set make no square of pairs unless all pairs are asked for.
 """
 
 from __future__ import annotations
@@ -29,26 +29,52 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     return sets.where(n > 0).select(F.explode(F.slice("tokens", 1, F.greatest(keep, F.lit(1)))).alias("token"), "id", "tokens")
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) with a < b of all pairs of sets (id, tokens) with at least that similarity; empty sets are in none."""
-    rows = prefixes(ordered(sets), least)
-    left, right = (rows.select("token", F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+def represented(sets: DataFrame) -> DataFrame:
+    """(id, representative) of sets (id, tokens) that are not empty: the least id of those with the same tokens."""
+    rows = sets.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.min("id").alias("representative")), "key").select("id", "representative")
+
+
+def representatives(sets: DataFrame) -> DataFrame:
+    """One of each group of equal sets (id, tokens): the one with the least id. Empty sets are left out."""
+    return sets.where(F.size("tokens") > 0).groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("id")).select("id", "tokens")
+
+
+def _near(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of prefix rows `left` (token, a, tokens_a) and `right` (token, b, tokens_b)."""
     sized = (F.size("tokens_a") >= F.size("tokens_b") * least - 1e-9) & (F.size("tokens_b") >= F.size("tokens_a") * least - 1e-9)
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     # A pair meets at its first common prefix token only, so no distinct is needed.
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & sized)
-    pairs = pairs.where(F.get(F.array_intersect("tokens_a", "tokens_b"), F.lit(0)) == F.col("token"))
+    pairs = left.join(right, "token").where(sized).where(F.get(F.array_intersect("tokens_a", "tokens_b"), F.lit(0)) == F.col("token"))
     found = pairs.select("a", "b", (common / (F.size("tokens_a") + F.size("tokens_b") - common)).alias("jaccard"))
     return found.where(F.col("jaccard") >= least - 1e-12)
 
 
+def representative_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) with a < b of all pairs of different sets with at least that similarity, each by its representative."""
+    rows = prefixes(ordered(representatives(sets)), least)
+    left, right = (rows.select("token", F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    return _near(left, right, least).where("a < b")
+
+
+def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) with a < b of all pairs of sets (id, tokens) with at least that similarity; empty sets are in none.
+
+    The rows grow with the square of a group of equal sets. `representative_pairs` and `represented` say the same without.
+    """
+    members = represented(sets)
+    own = members.groupBy("representative").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = representative_pairs(sets, least).unionByName(own.select(F.col("representative").alias("a"), F.col("representative").alias("b"), F.lit(1.0).alias("jaccard")))
+    left, right = (members.select(F.col("representative").alias(s), F.col("id").alias(f"id_{s}")) for s in "ab")
+    every = found.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b")))
+    return every.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")
+
+
 def matches(new: DataFrame, stored: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) for sets a of `new` and b of `stored`, both (id, tokens)."""
-    both = new.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "tokens").unionByName(stored.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "tokens"))
-    rows = prefixes(ordered(both), least)
+    """(a, b, jaccard) for sets a of `new` and b of `stored`, both (id, tokens). Equal sets of a side are compared once."""
+    sides = [representatives(side).select(F.struct(F.lit(k).alias("side"), "id").alias("id"), "tokens") for k, side in enumerate((new, stored))]
+    rows = prefixes(ordered(sides[0].unionByName(sides[1])), least)
     left = rows.where("id.side = 0").select("token", F.col("id.id").alias("a"), F.col("tokens").alias("tokens_a"))
     right = rows.where("id.side = 1").select("token", F.col("id.id").alias("b"), F.col("tokens").alias("tokens_b"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    pairs = left.join(right, "token").where(F.get(F.array_intersect("tokens_a", "tokens_b"), F.lit(0)) == F.col("token"))
-    found = pairs.select("a", "b", (common / (F.size("tokens_a") + F.size("tokens_b") - common)).alias("jaccard"))
-    return found.where(F.col("jaccard") >= least - 1e-12)
+    ours, theirs = (represented(side).select(F.col("representative").alias(s), F.col("id").alias(f"id_{s}")) for s, side in zip("ab", (new, stored)))
+    return _near(left, right, least).join(ours, "a").join(theirs, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard")

@@ -177,13 +177,21 @@ def set_similarity_pairs(spark, sf_dir):
     return similarity.similar_pairs(line_sets(spark, sf_dir), 0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""WITH s AS ({_SETS}), f AS (SELECT list_sort(k) AS key, min(id) AS first FROM s WHERE len(k) > 0 GROUP BY ALL),
+e AS (SELECT first AS id, unnest(key) AS t, len(key) AS n FROM f),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+SELECT 'pair' AS kind, a, b, round(c::DOUBLE / (na + nb - c), 6) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.7 - 1e-12
+UNION ALL SELECT 'copy', f.first, s.id, 1.0 FROM s JOIN f ON list_sort(s.k) = f.key WHERE s.id <> f.first""")
+def set_similarity_groups(spark, sf_dir):
+    """J08 in the size of its input: copies tied to the first (a) of equal lines (b), and similar pairs of such firsts. Says all that set_similarity_pairs says."""
+    sets = line_sets(spark, sf_dir)
+    copies = similarity.represented(sets).where("id <> representative").select(F.lit("copy").alias("kind"), F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return copies.unionByName(similarity.representative_pairs(sets, 0.7).select(F.lit("pair").alias("kind"), "a", "b", F.round("jaccard", 6).alias("jaccard")))
+
+
 def _work_edges(spark, sf_dir):
     """Edges of the same line set: equal sets are tied to the first of them, different ones by the join."""
-    sets = line_sets(spark, sf_dir).where(F.size("tokens") > 0).withColumn("key", F.array_join(F.array_sort("tokens"), " "))
-    firsts = sets.groupBy("key").agg(F.min("id").alias("first"))
-    copies = sets.join(firsts, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    reps = sets.join(firsts, (sets["key"] == firsts["key"]) & (sets["id"] == firsts["first"])).select("id", "tokens")
-    return copies.unionByName(similarity.similar_pairs(reps, 0.7).select("a", "b"))
+    return set_similarity_groups(spark, sf_dir).select("a", "b")
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalrank.functions import predicates, text
-from signalrank.operators import features
+from signalrank.operators import features, resolve, similarity
 from signalrank.plans import catalog
 from signalrank.session import table
+from tests.test_operators import PAPER, paper
 
 
 @pytest.mark.parametrize("name, source, keys", [("keyword_score_all", "documents", 1), ("matched_topics_all", "documents", 1), ("post_gate_all", "conversations", 2), ("snippets_all", "conversations", 2)])
@@ -28,3 +29,43 @@ def test_phrases_end_at_letters_of_any_script(spark):
 def test_snippet_cut_at_a_space(spark):
     rows = spark.createDataFrame([("ab cd",), ("abc",), ("é  ü ö",), (None,)], "text string")
     assert [r["x"] for r in rows.select(text.snippet(F.col("text"), 3).alias("x")).collect()] == ["ab…", "abc", "é ü…", ""]
+
+
+def most_rows(df):
+    """Greatest number of rows that a join of the finished plan gave."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan().toString(), 0
+    stack = [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert "Join" in plan
+    return most
+
+
+def test_equal_sets_make_no_square(spark):
+    n = 400
+    rows = spark.createDataFrame([(k, ["land", "reform", "growth"]) for k in range(n)] + [(n, ["land", "reform", "growth", "villages"]), (n + 1, ["growth", "reform", "land"]), (n + 2, [])], "id long, tokens array<string>")
+    near = similarity.representative_pairs(rows, 0.7)
+    assert [tuple(r) for r in near.collect()] == [(0, n, 0.75)] and most_rows(near) < 2 * n
+    assert {r["id"]: r["representative"] for r in similarity.represented(rows).collect()} == {**dict.fromkeys(range(n), 0), n: n, n + 1: 0}
+    pairs = similarity.similar_pairs(rows.where(f"id >= {n - 3}"), 0.7).collect()
+    ids = [n - 3, n - 2, n - 1, n, n + 1]
+    assert sorted((r["a"], r["b"], r["jaccard"]) for r in pairs) == [(a, b, 0.75 if n in (a, b) else 1.0) for a in ids for b in ids if a < b]
+
+
+def test_match_of_many_equal_titles_makes_no_square(spark):
+    n = 300
+    stored = spark.createDataFrame([paper(k, "Land Reform and Growth in Villages", ["Ann Lee", "Bo Chan"], "10.1/a") for k in range(n, 0, -1)], PAPER)
+    new = spark.createDataFrame([paper(1000 + k, "Land reform and growth in villages: evidence" if k % 2 else "Land reform and growth in villages", ["Ann Lee"]) for k in range(n)], PAPER)
+    found = resolve.match_existing(new, stored)
+    assert {r["id"]: (r["existing_id"], r["step"]) for r in found.collect()} == {1000 + k: (1, 3 if k % 2 else 2) for k in range(n)}
+    assert most_rows(found) <= 2 * n
+    same = resolve.same_work_edges(new.unionByName(spark.createDataFrame([paper(k, "Land reform and growth in villages", [f"Family{k}"]) for k in range(n)], PAPER)))
+    assert same.count() < 10 * n
