@@ -143,6 +143,33 @@ def merged_metadata(old: str = "old", new: str = "new") -> Column:
     )
 
 
+def merged_all(rows: DataFrame, key: str, order: str, rank: Column | None = None) -> DataFrame:
+    """`key` and the fields of merged_metadata, folded over all rows of each key by `order` (numbers, none twice in a key).
+
+    rows: (key, order, doi, abstract, paper_type, jel_codes, keywords, published_at). Each field is a grouped aggregate, so
+    no key's rows are gathered. `rank` orders the types; TYPE_RANK when it is not given.
+    """
+    if rank is None:
+        rank = F.coalesce(*[F.when(F.col("paper_type") == k, F.lit(v)) for k, v in TYPE_RANK.items()], F.lit(0))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    first = -F.col(order)
+    fields = rows.groupBy(key).agg(
+        F.min_by("doi", F.when(blank("doi").isNotNull(), F.col(order))).alias("doi"),
+        F.max_by("abstract", F.struct(F.length(F.coalesce("abstract", F.lit(""))), first)).alias("abstract"),
+        F.max_by("paper_type", F.struct(rank, blank("paper_type").isNotNull(), first)).alias("paper_type"),
+        F.min(blank("published_at")).alias("published_at"),
+    )
+    # A keyword stays as the first record that has it writes it, each time that this one record does; a code stays once.
+    each = lambda c: rows.select(key, F.col(order).alias("at"), F.posexplode(c).alias("pos", "word"))
+    words = each("keywords").groupBy(key, F.lower("word").alias("low"), "at").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("words"))
+    words = words.groupBy(key, "low").agg(F.min(F.struct("at", "words")).alias("x")).select(key, F.explode(F.transform("x.words", lambda w: F.struct(F.col("x.at").alias("at"), w["pos"].alias("pos"), w["word"].alias("word")))).alias("x"))
+    codes = each("jel_codes").groupBy(key, "word").agg(F.min(F.struct("at", "pos")).alias("m")).select(key, F.struct("m.at", "m.pos", "word").alias("x"))
+    listed = lambda df, name: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"]).alias(name))
+    found = fields.join(listed(codes, "jel_codes"), key, "left").join(listed(words, "keywords"), key, "left")
+    none = F.array().cast("array<string>")
+    return found.select(key, "doi", "abstract", "paper_type", F.coalesce("jel_codes", none).alias("jel_codes"), F.coalesce("keywords", none).alias("keywords"), "published_at")
+
+
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """First row of each key by `order`; null keys are one key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))

@@ -262,6 +262,19 @@ def merge_metadata(spark, sf_dir):
     return pairs.select(F.col("o.doc_id").alias("id"), F.greatest("o.source", "n.source").alias("paper_type"), F.array_join(words, ",").alias("keywords"), F.greatest("o.n_chars", "n.n_chars").alias("n_chars"))
 
 
+@query("""WITH d AS (SELECT text, min(doc_id) AS id, max(source) AS paper_type, max(n_chars) AS n_chars FROM documents GROUP BY text HAVING count(*) > 1),
+s AS (SELECT text, source, min(doc_id) AS first FROM documents GROUP BY text, source),
+k AS (SELECT text, string_agg(source, ',' ORDER BY first) AS keywords FROM s GROUP BY text)
+SELECT id, paper_type, keywords, n_chars FROM d JOIN k ON d.text IS NOT DISTINCT FROM k.text""")
+def merge_metadata_all(spark, sf_dir):
+    """U05 on all members of each group of equal documents: sources in the order of their first document, longest text, greatest rank."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.coalesce(F.sha2("text", 256), F.lit("")).alias("key"))
+    none, no_list = F.lit(None).cast("string"), F.array().cast("array<string>")
+    papers = docs.select("key", "doc_id", none.alias("doi"), none.alias("abstract"), F.col("source").alias("paper_type"), no_list.alias("jel_codes"), F.array("source").alias("keywords"), none.alias("published_at"))
+    copied = docs.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return copied.join(resolve.merged_all(papers, "key", "doc_id", F.col("paper_type")), "key").select("id", "paper_type", F.array_join("keywords", ",").alias("keywords"), "n_chars")
+
+
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\\s*(the|this|an?)\\s+(image|photo|picture|graphic|graph|chart|visual\\b|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)') THEN 'caption'
  WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(the)($|[^a-z0-9_])') THEN 'topic' ELSE 'other' END AS verdict FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
 def post_gate(spark, sf_dir):

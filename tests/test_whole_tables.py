@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -69,3 +70,29 @@ def test_match_of_many_equal_titles_makes_no_square(spark):
     assert most_rows(found) <= 2 * n
     same = resolve.same_work_edges(new.unionByName(spark.createDataFrame([paper(k, "Land reform and growth in villages", [f"Family{k}"]) for k in range(n)], PAPER)))
     assert same.count() < 10 * n
+
+
+def test_whole_groups_merge_as_pairs_do(spark):
+    rng = random.Random(5)
+    some = lambda *words: [rng.choice(words) for _ in range(rng.randrange(4))]
+    record = lambda: (
+        rng.choice([None, "", "10.1/a", "10.1/b"]), rng.choice(["", "ab", "cd", "efg", "hij"]), rng.choice(["journal_article", "working_paper", "other", "report"]),
+        some("O1", "R3", "J2"), some("Land", "land", "LAND", "Cities", "cities", "x"), rng.choice([None, "", "2024-01-01", "2023-09", "2023"]),
+    )
+    fields = "doi string, abstract string, paper_type string, jel_codes array<string>, keywords array<string>, published_at string"
+    groups = {g: [record() for _ in range(5)] for g in range(40)}
+    rows = [(g, k, *r) for g, found in groups.items() for k, r in enumerate(found)]
+    rng.shuffle(rows)
+    got = {r[0]: tuple(r)[1:] for r in resolve.merged_all(spark.createDataFrame(rows, f"key int, at int, {fields}"), "key", "at").collect()}
+    kind = "struct<" + fields.replace(" ", ":").replace(",:", ",") + ">"
+    folded = spark.createDataFrame([(g, *found) for g, found in groups.items()], "key int, old " + kind + "".join(f", r{k} {kind}" for k in range(1, 5)))
+    for k in range(1, 5):
+        folded = folded.withColumn("old", resolve.merged_metadata("old", f"r{k}"))
+    plain = lambda r: (r[0] or None, *r[1:])
+    assert {g: plain(r) for g, r in got.items()} == {r["key"]: plain(tuple(r["old"])) for r in folded.collect()}
+
+
+def test_middle_copies_count(spark, tmp_path):
+    rows = [(1, "t", "a", 1), (2, "t", "z", 1), (3, "t", "b", 1), (4, "u", "c", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["merge_metadata_all"](spark, str(tmp_path)).collect()] == [(1, "z", "a,z,b", 1)]
