@@ -5,15 +5,18 @@ sketches each set: the hash's top bits choose one of REGISTERS buckets, and each
 and MANTISSA bits of its least hash. Equal sets are one node. Bands of registers give buckets of nodes; small sets are
 also entered under their least quarter of hashes, which finds all their links exactly.
 
-Pairs are made without listing all pairs of a bucket: first every node meets its bucket's centre. Sketches estimate
-the similarity, corrected for register collisions; pairs far below the threshold go, and the rest is confirmed on the
-full sets. The links give components, and then only buckets that hold several components are open. Of their nodes,
-those that cannot reach the threshold are left out by an exact bound: of a set, only hashes that some other open set
-holds can be shared. What is left is joined into clusters by shared buckets, and each cluster's full sets are compared
-in blocks of bounded size. Links of similarity 0.75 are missed by all bands with a chance under 1e-5.
+Pairs are made without listing all pairs of a bucket: every node meets one centre, the node with the most company
+among all that share a bucket with it. Sketches estimate the similarity, corrected for register collisions; pairs far
+below the threshold go, and the rest is confirmed on the full sets. Linked nodes take their centre's name, and then
+only buckets that hold several names are open. Of their nodes, those that cannot reach the threshold are left out by
+an exact bound: of a set, only hashes that some other open set holds can be shared. What is left is joined into
+clusters by shared buckets, and each cluster's full sets are compared in blocks of bounded size: texts that share more
+than three quarters of their shingles with others, but not with any one of them, cost the square of their number here.
+Links of similarity 0.75 are missed by all bands with a chance under 1e-5. One components loop ends the work.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. doc_id may be null or repeated; equal
-texts are always in one group. An empty table gives an empty report. Other columns do no harm.
+texts are always in one group. Very long texts are read whole; a set takes eight bytes a shingle in the task that holds
+it. An empty table gives an empty report. Other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalrank.operators.components import components
-from signalrank.session import cut, small_batches, table
+from signalrank.session import cut, fits, scratch, sized, small_batches, table
 
 SHINGLE = 5
 #: Links need SIM_NUM * union <= SIM_DEN * intersection, that is a similarity of 0.75.
@@ -140,71 +143,93 @@ def _near(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n, node, registers, keys): one row per document; node names its set, null without shingles."""
+    """(doc_id, text_hash, n, node, tag, registers, keys): one row per document; node names its set, null without shingles, tag is its first half."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    made = "n long, node binary, tag long, registers binary, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, registers, keys = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_set(text)
-                n.append(len(hashes))
+            found = []
+            for text in batch.column("text"):
+                hashes = shingle_set(text.as_py())
                 if len(hashes):
-                    found = sketch(hashes)
-                    node.append(set_key(hashes))
-                    registers.append(found.tobytes())
-                    keys.append(band_keys(found, hashes).tolist())
+                    registers, node = sketch(hashes), set_key(hashes)
+                    found.append((len(hashes), node, int.from_bytes(node[:8], "big", signed=True), registers.tobytes(), band_keys(registers, hashes)))
                 else:
-                    node.append(None)
-                    registers.append(None)
-                    keys.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n", "node", "registers", "keys"],
-            )
+                    found.append((0, None, None, None, None))
+            n, node, tag, registers, keys = zip(*found) if found else [()] * 5
+            arrays = [pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(tag, pa.int64()), pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", *(c.split()[0] for c in made.split(", "))])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, node binary, registers binary, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id long, text_hash long, {made}")
+
+
+def nodes_of(drawn: DataFrame) -> DataFrame:
+    """(tag, doc_id, text_hash, n, node, registers, keys, lead): sets that share a bucket with another set. keys: those buckets; lead: less company counts more."""
+    some = drawn.where("node is not null")
+    entries = some.select("tag", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    cells = entries.join(sized(cut(shared)), "key").groupBy("tag").agg(F.collect_set(F.struct("key", "size")).alias("cells"))
+    first = some.groupBy("tag").agg(F.min(F.struct("doc_id", "text_hash", "n", "node", "registers")).alias("x"))
+    company = F.aggregate("cells", F.lit(0).cast("long"), lambda total, c: total + c["size"])
+    return cells.join(first, "tag").select("tag", "x.*", F.col("cells.key").alias("keys"), (-company).alias("lead"))
+
+
+def _starred(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), at most one for each node: b leads all nodes that share a bucket with a."""
+    cells = nodes.select("tag", "lead", F.explode("keys").alias("key"))
+    centres = cells.groupBy("key").agg(F.min(F.struct("lead", "tag")).alias("b"))
+    return cells.join(centres, "key").groupBy(F.col("tag").alias("a")).agg(F.min("b")["tag"].alias("b")).where("a <> b")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches do not rule a link out, with the rows that hold their texts."""
-    side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "registers", "doc_id", "text_hash")))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where((SIM_NUM * F.col("n_a") <= SIM_DEN * F.col("n_b")) & (SIM_NUM * F.col("n_b") <= SIM_DEN * F.col("n_a")))
+    side = lambda s: nodes.select(F.col("tag").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "registers", "doc_id", "text_hash")))
+    sized_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where((SIM_NUM * F.col("n_a") <= SIM_DEN * F.col("n_b")) & (SIM_NUM * F.col("n_b") <= SIM_DEN * F.col("n_a")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [_near(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("registers_a", "registers_b", "n_a", "n_b")))]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "doc_id_a", "text_hash_a", "doc_id_b", "text_hash_b"])
 
-    return sized.mapInArrow(run, "a binary, b binary, doc_id_a long, text_hash_a long, doc_id_b long, text_hash_b long")
+    return sized_pairs.mapInArrow(run, "a long, b long, doc_id_a long, text_hash_a long, doc_id_b long, text_hash_b long")
+
+
+def _texts(rows: DataFrame, small: bool, docs: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text_hash, ...) with the text of each. docs has doc_id, text and text_hash; rows that repeat both come again."""
+    found = docs.alias("d").join(F.broadcast(rows) if small else rows, F.col("d.doc_id").eqNullSafe(rows["doc_id"]) & (F.col("d.text_hash") == rows["text_hash"]))
+    return found.select(*(rows[c] for c in rows.columns if c not in ("doc_id", "text_hash")), "d.text")
 
 
-def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text): one text of each of `nodes` (node, doc_id, text_hash)."""
-    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.text_hash") == F.col("d.text_hash"))
-    return nodes.alias("m").join(docs.alias("d"), same).select("m.node", "d.text").dropDuplicates(["node"])
+#: Members of one centre are dealt to this many tasks, each of which gets the centre's text too.
+SALTS = 64
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked on their full sets."""
-    sides = [pairs.select(F.col(s).alias("node"), F.col(f"doc_id_{s}").alias("doc_id"), F.col(f"text_hash_{s}").alias("text_hash")) for s in "ab"]
-    texts = cut(_texts(sides[0].unionByName(sides[1]).distinct(), docs))
-    full = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b; a written table) that are linked on their full sets."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    members = salted.select("b", "salt", F.lit(1).alias("member"), F.col("a").alias("tag"), F.col("doc_id_a").alias("doc_id"), F.col("text_hash_a").alias("text_hash"))
+    centres = salted.select("b", "salt", F.lit(0).alias("member"), F.col("b").alias("tag"), F.col("doc_id_b").alias("doc_id"), F.col("text_hash_b").alias("text_hash"))
+    texts = _texts(members.unionByName(centres.distinct()), fits(pairs), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, centre, done = None, None, None
         for batch in batches:
-            keep = []
-            for text_a, text_b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if text_b != last:
-                    last, held = text_b, shingle_set(text_b)
-                keep.append(linked(shingle_set(text_a), held))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            found = []
+            for b, salt, member, tag, text in zip(*(batch.column(c) for c in ("b", "salt", "member", "tag", "text"))):
+                group = b.as_py(), salt.as_py()
+                if group != last:  # the centre comes first
+                    last, centre, done = group, shingle_set(text.as_py()), None
+                elif member.as_py() and tag.as_py() != done:
+                    done = tag.as_py()
+                    if linked(shingle_set(text.as_py()), centre):
+                        found.append((done, group[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return texts.repartition("b", "salt").sortWithinPartitions("b", "salt", "member", "tag").mapInArrow(run, "a long, b long")
 
 
-def _links_within(nodes: list[bytes], parts: list[bytes], blocks: list[int], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+def _links_within(nodes: list[int], parts: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between different parts, one for each two parts. Sets of the same block are compared only where all are of one block."""
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -228,110 +253,125 @@ def _links_within(nodes: list[bytes], parts: list[bytes], blocks: list[int], set
     near &= part[:, None] < part[None, :]
     if block.min() != block.max():
         near &= block[:, None] != block[None, :]
-    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    found: dict[tuple[int, int], tuple[int, int]] = {}
     for i, j in zip(*np.nonzero(near)):
         found.setdefault((part[i], part[j]), (nodes[i], nodes[j]))
     return list(found.values())
 
 
-def _left_over(entries: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between different components that share a bucket, at least one for each two components with a link."""
-    placed = cut(entries.join(labels.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")))
-    several = lambda rows: rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("b")).where("low <> high").select("key", "b")
-    open_rows = cut(placed.join(cut(several(placed)).select("key"), "key"))
-    members = open_rows.select("node").distinct().join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
+def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(tag, part, doc_id, text_hash, n, keys) of the nodes in buckets that hold different names, and those buckets: part is the name, two steps up the links."""
+    top = links.alias("x").join(links.select(F.col("a").alias("b"), F.col("b").alias("top")).alias("y"), "b", "left").select(F.col("a").alias("tag"), F.coalesce("top", "b").alias("part"))
+    if fits(links):
+        top = F.broadcast(top)
+    named = nodes.join(top, "tag", "left").select("tag", F.coalesce("part", "tag").alias("part"), "doc_id", "text_hash", "n", "keys")
+    placed = named.select("tag", "part", "doc_id", "text_hash", "n", F.explode("keys").alias("key"))
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return placed.join(sized(cut(several)), "key").groupBy("tag", "part", "doc_id", "text_hash", "n").agg(F.collect_set("key").alias("keys"))
+
+
+def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members that could reach the threshold with another of them, by the hashes that some other one holds too. texts: (tag, text)."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            tags = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+            return pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.concatenate([x[1] for x in held]))], ["tag", "hash"])
+
         for batch in batches:
-            for k, text in enumerate(batch.column("text")):
+            for tag, text in zip(batch.column("tag").to_pylist(), batch.column("text")):
                 found = shingle_set(text.as_py()).view(np.int64)
                 for start in range(0, len(found), 50_000):
-                    part = found[start : start + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("node")[k].as_py()] * len(part), pa.binary()), pa.array(part)], ["node", "hash"])
-
-    texts = cut(_texts(members, docs))
-    # A hash that no other set in an open bucket holds cannot be shared.
-    alone = texts.mapInArrow(hashes, "node binary, hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+                    held.append((tag, found[start : start + 50_000]))
+                    size += len(held[-1][1])
+                    if size >= 50_000:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    # A text that comes twice counts once.
+    found = texts.mapInArrow(hashes, "tag long, hash long").groupBy("hash").agg(F.min("tag").alias("tag"), F.max("tag").alias("high"))
+    alone = found.where("tag = high").groupBy("tag").agg(F.count(F.lit(1)).alias("alone"))
     usable = F.col("n") - F.coalesce("alone", F.lit(0))
     # With needed overlap (n + m) * SIM_NUM / (SIM_NUM + SIM_DEN), a partner has at most `most` hashes, and at least SIM_NUM / SIM_DEN * n.
     most = F.floor(usable * (SIM_NUM + SIM_DEN) / SIM_NUM + 1e-9) - F.col("n")
-    able = members.join(alone, "node", "left").select("node", "n", most.alias("most")).where(SIM_DEN * F.col("most") >= SIM_NUM * F.col("n"))
-    rows = cut(open_rows.join(able, "node"))
-    stars = rows.join(cut(several(rows)), "key").select(F.col("node").alias("a"), "b")
-    clusters = components(stars).select("node", F.col("label").alias("cluster"))
-    placed = cut(rows.select("node", "part", "n").distinct().join(clusters, "node"))
+    return members.join(alone, "tag", "left").where(SIM_DEN * most >= SIM_NUM * F.col("n")).select(*members.columns)
+
+
+def _left_over(nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different names that share a bucket, at least one for each two names with a link."""
+    members = cut(_open(nodes, links))
+    small = fits(members)
+    texts = _texts(members.select("tag", "doc_id", "text_hash"), small, docs)
+    if not small:
+        texts = cut(texts)
+    able = cut(_able(members, texts))
+    cells = able.select(F.explode("keys").alias("key"), "tag", "part")
+    centres = cells.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("tag").alias("b")).where("low <> high").select("key", "b")
+    clusters = components(cells.join(centres, "key").select(F.col("tag").alias("a"), "b")).select(F.col("node").alias("tag"), F.col("label").alias("cluster"))
+    placed = cut(able.drop("keys").join(sized(clusters), "tag"))
+    small = fits(placed)
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = placed.join(cut(sizes), "cluster").withColumn("block", block)
+    dealt = placed.join(F.broadcast(sizes) if small else sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
     # Every two blocks meet once; a cluster of one block is only compared with itself.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("lo"), F.greatest(k, "block").alias("hi")))
-    spread = dealt.join(texts, "node").select("cluster", F.explode(meets).alias("pair"), "block", "node", "part", "text")
-    spread = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+    spread = _texts(dealt, small, docs).select("cluster", F.explode(meets).alias("pair"), "block", "tag", "part", "text")
+    spread = spread.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "tag")
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
         def close() -> pa.RecordBatch:
             found = _links_within(*zip(*rows)) if len({r[1] for r in rows}) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for cluster, pair, block, node, part, text in zip(*(batch.column(c) for c in ("cluster", "pair", "block", "node", "part", "text"))):
+            for cluster, pair, block, tag, part, text in zip(*(batch.column(c) for c in ("cluster", "pair", "block", "tag", "part", "text"))):
                 own = (cluster.as_py(), *pair.as_py().values())
                 if own != group and rows:
                     yield close()
                     rows = []
                 group = own
-                rows.append((node.as_py(), part.as_py(), block.as_py(), shingle_set(text.as_py())))
+                if not rows or rows[-1][0] != tag.as_py():
+                    rows.append((tag.as_py(), part.as_py(), block.as_py(), shingle_set(text.as_py())))
         if rows:
             yield close()
 
-    return spread.mapInArrow(links, "a binary, b binary")
+    return spread.mapInArrow(links_of, "a long, b long")
 
 
 #: Left-over sets are compared in blocks of about this many hashes, and sets, at most.
-BLOCK_HASHES, BLOCK_SETS = 300_000, 1000
+BLOCK_HASHES, BLOCK_SETS = 300_000, 500
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of its text)."""
-    small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = cut(sketches(own))
-    own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    best = F.min(F.struct("doc_id", "text_hash", "n", "registers", "keys"))
-    nodes = cut(drawn.where("node is not null").groupBy("node").agg(best.alias("x"), F.min("doc_id").alias("low")).select("node", "x.*", "low"))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    # The least node of a bucket is its centre; nodes are hashes, so this is an arbitrary but settled choice.
-    centres = cut(entries.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "b"))
-    entries = cut(entries.join(centres, "key"))
-    first = entries.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    links = cut(_confirmed(cut(_estimated(first, nodes)), own))
-    more = cut(_left_over(entries.select("key", "node"), components(links), nodes, own))
-    labels = components(links.unionByName(more))
-    named = nodes.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("component_id"))
-    chosen = cut(labels.join(named, "label").select("node", "component_id").unionByName(nodes.join(labels, "node", "left_anti").select("node", F.col("low").alias("component_id"))))
-    hot, cold = _split_hot(drawn, chosen)
-    found = hot.unionByName(cold).unionByName(drawn.where("node is null").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id")))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
-
-
-#: Sets with at least this share of all rows, and HOT_LEAST rows, are joined by broadcast; there are at most 1 / HOT_SHARE.
-HOT_SHARE, HOT_LEAST = 0.001, 1000
-
-
-def _split_hot(drawn: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of `drawn` with their component: those of sets that many rows have, and the others."""
-    total = drawn.count()
-    often = drawn.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= max(HOT_LEAST, int(HOT_SHARE * total))).select("node")
-    often = F.broadcast(cut(chosen.join(often, "node", "left_semi")))
-    rows = drawn.where("node is not null").select("doc_id", "text_hash", "n", "node")
-    return rows.join(often, "node").drop("node"), rows.join(often, "node", "left_anti").join(chosen, "node").drop("node")
+    with scratch(small_batches(docs.sparkSession)) as kept:
+        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        drawn = cut(sketches(own))
+        own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+        nodes = cut(nodes_of(drawn))
+        links = cut(_confirmed(cut(_estimated(_starred(nodes), nodes)), own))
+        labels = components(links.unionByName(_left_over(nodes, links, own)))
+        named = labels.join(nodes.select(F.col("tag").alias("node"), F.col("node").alias("set")), "node").select("set", "label")
+        if fits(labels):
+            named = F.broadcast(named)
+        # A group is a component of links, or one set.
+        rows = drawn.select("doc_id", "text_hash", "n", "node").join(named, F.col("node") == F.col("set"), "left").drop("set")
+        rows = rows.withColumn("node", F.when(F.col("label").isNull(), F.col("node")))
+        groups = rows.where("node is not null or label is not null").groupBy("label", "node").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+        groups = sized(cut(groups.where("rows > 1").drop("rows"))).alias("g")
+        same = F.col("r.label").eqNullSafe(F.col("g.label")) & F.col("r.node").eqNullSafe(F.col("g.node"))
+        found = rows.alias("r").join(groups, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+        return kept(found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group, the one with the least doc_id; all columns kept. Rows that repeat that doc_id stay."""
-    gone = report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = sized(cut(report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
     return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from signalrank import session
 from signalrank.llm import near_dedup as n
 
 SCHEMA = "doc_id long, text string, node string, key string"
@@ -72,8 +73,13 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == brute(rows)
 
 
-def test_hot_sets_are_joined_by_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(n, "HOT_LEAST", 3)
+def test_nothing_is_broadcast_when_tables_are_large(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    rows = corpus(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in n.report(docs(spark, rows)).collect()} == brute(rows)
+
+
+def test_copies_of_one_set(spark):
     rows = [(i, "a b c d e f g") for i in range(9, 0, -1)] + [(20, "z")]
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in n.report(docs(spark, rows)).collect()}
     assert got == {i: (1, i == 1) for i in range(1, 10)} | {20: (20, True)}
