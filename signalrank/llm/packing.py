@@ -6,6 +6,8 @@ topped up with the head of the document if at least LEAST_PIECE ids go in, and e
 partitions is merged, SPAN partitions at a time, by laying the pieces end to end: one padded sequence a merge remains.
 
 Null and empty texts are the end id alone. doc_id may be null or repeated; every row is packed. Nothing is dropped.
+Very long texts, also of one character or of white space alone, are encoded whole. An empty table gives no piece. Only
+the id and the text are read, so other columns of any name do no harm.
 Windows hold at most OPEN * 2048 ids in a partition and SPAN times as many in a merge, whatever the size of the input.
 """
 
@@ -13,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +30,46 @@ from signalrank.session import cut, small_batches, table
 
 LENGTH, END_ID = 2048, 1
 OPEN, LEAST_PIECE, SPAN = 64, 8, 32
-PROBES = ["Hello world, it's 2024!", " \n\n a  b\téßЖ中\U0001f600 x's 12345 --==", "THE ÉCOLE'S naïve\r\ncoöperation"]
-_LOADED: dict[tuple, tuple] = {}
+#: Runs of white space of this length, on which the faster encoder's pattern may exhaust its stack, go to the tokenizer file's own encoder.
+LONG_BLANK = re.compile(r"\s{10000}")
+_LOADED: dict[tuple, Callable[[str], np.ndarray]] = {}
 
 
-def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-    """text -> ids as the tokenizer file gives them. Where ranks of the same vocabulary are given and agree on the probes, they are used: it is faster."""
-    key = (tokenizer_path, ranks_path)
+def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> Callable[[str], np.ndarray]:
+    """text -> ids as the tokenizer file gives them, loaded once a worker.
+
+    ranks_path, where given, holds the ranks of the same vocabulary; they give the same ids, faster. Texts that name an
+    added token or hold a very long run of white space, and any text on which the ranks fail, go to the file's encoder.
+    """
+    key = (tokenizer_path, ranks_path, pattern)
     if key not in _LOADED:
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(tokenizer_path)
-        by_file = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        added = [t["content"] for t in json.load(open(tokenizer_path, encoding="utf-8")).get("added_tokens", [])]
-        encode = by_file
-        if ranks_path:
-            import tiktoken
+        file = Tokenizer.from_file(tokenizer_path)
+        by_file = lambda text: np.array(file.encode(text, add_special_tokens=False).ids, np.uint32)
+        _LOADED[key] = by_file if ranks_path is None else _by_ranks(by_file, tokenizer_path, ranks_path, pattern)
+    return _LOADED[key]
+
+
+def _by_ranks(by_file: Callable[[str], np.ndarray], tokenizer_path: str, ranks_path: str, pattern: str | None) -> Callable[[str], np.ndarray]:
+    import tiktoken
+
+    with open(tokenizer_path, encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file).get("added_tokens", [])]
+    with open(ranks_path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        if LONG_BLANK.search(text) is None and not any(a in text for a in added):
+            try:
+                return np.array(fast.encode_ordinary(text), np.uint32)
+            except BaseException as error:  # a panic of the encoder is no Exception
+                if not isinstance(error, Exception) and type(error).__name__ != "PanicException":
+                    raise
+        return by_file(text)
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-            fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            if all(fast.encode_ordinary(p) == list(by_file(p)) for p in PROBES):
-                encode = lambda text: by_file(text) if any(a in text for a in added) else np.array(fast.encode_ordinary(text), np.uint32)
-        _LOADED[key] = (encode,)
-    return _LOADED[key][0]
+    return encode
 
 
 class Packer:
@@ -119,7 +139,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pa
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path, ranks_path, pattern)
+        encode = encoder(tokenizer_path, ranks_path, pattern)
         partition = TaskContext.get().partitionId()
         packer = Packer(partition << 32, length, most_open)
         for batch in batches:

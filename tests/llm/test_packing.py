@@ -49,13 +49,26 @@ def test_every_id_in_one_piece(spark):
 
 def test_ranks_give_the_tokenizers_ids():
     path, ranks, pattern = p.public_files()
-    fast, slow = p._encoder(path, ranks, pattern), p._encoder(path, None, None)
+    fast, slow = p.encoder(path, ranks, pattern), p.encoder(path)
     rng = random.Random(1)
     for _ in range(300):
         text = "".join(rng.choice(["a", "The ", "'s", " 'll", "é", "ß", "9", "  ", "\t", "\n", " ", "​", "日", "🙂", "<|endoftext|>", "_", "%%", "İ"]) for _ in range(40))
         assert list(fast(text)) == list(slow(text))
 
 
+def test_ids_of_whole_documents_are_the_tokenizers(spark):
+    path, ranks, pattern = p.public_files()
+    fast, slow = p.encoder(path, ranks, pattern), p.encoder(path)
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert list(fast(row["text"] or "")) == list(slow(row["text"] or ""))
+
+
+@pytest.mark.parametrize("blank,n", [(" ", 5_000_000), ("\t", 5_000_000), ("\n", 5_000_000), ("\u3000", 500_000)])
+def test_long_white_space(spark, blank, n):
+    rows = [(1, blank * n), (2, f"a{blank * 300_000}b")]
+    assert check(rows, p.pack(docs(spark, rows), *p.public_files()).collect()) < 1
+
+
 @pytest.mark.parametrize("most_open", [1, 4])
 def test_packer_is_bounded_and_best_fit(most_open):
     packer = p.Packer(0, 16, most_open, 2)
