@@ -45,6 +45,27 @@ def test_index_persists_and_grows(spark):
     assert index.rows().count() == 3
 
 
+def test_index_is_found_by_path_in_a_later_session(spark, tmp_path):
+    place = f"file://{tmp_path}/digests"
+    first = exact_dedup.DigestIndex(spark, "digests_of_a_test", buckets=3, path=place)
+    exact_dedup.report(docs(spark, [(1, "a"), (2, "b")]), first).collect()
+    spark.sql("DROP TABLE digests_of_a_test")  # the catalogue of a later session knows nothing; the files stay
+    later = spark.newSession()
+    index = exact_dedup.DigestIndex(later, "digests_of_a_test", buckets=5, path=place)
+    got = {r["doc_id"]: r for r in exact_dedup.report(docs(later, [(9, "a"), (8, "c")]), index).collect()}
+    assert index.buckets == 3 and got[9]["keep_id"] == 1 and not got[9]["kept"] and got[9]["group_size"] == 2 and got[8]["kept"]
+    assert {(r["keep_id"], r["group_size"]) for r in index.rows().collect()} == {(1, 2), (2, 1), (8, 1)}
+    plan = index.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_increments_give_the_whole_result(spark):
+    rows = [(i, f"t{i % 7}") for i in range(40)] + [(None, "t1"), (None, None), (3, "t3")]
+    whole, parts = (sorted(map(repr, exact_dedup.report(docs(spark, rows), increments=k).collect())) for k in (1, 3))
+    assert whole == parts
+    assert exact_dedup.report(docs(spark, []), increments=3).count() == 0
+
+
 def test_hot_groups_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HOT_LEAST", 3)
     rows = [(i, "same") for i in range(10)] + [(100 + i, f"t{i}") for i in range(5)]
