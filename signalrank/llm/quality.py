@@ -1,19 +1,22 @@
 """Quality by hierarchical empirical Bayes: a document classifier's evidence with host and path-level posteriors.
 
-The classifier is logistic over counts of a text's characters and words, fitted on a bounded sample of labelled rows.
-Labelled documents of each path (here: source and language) and host (source) are counted by grouped aggregation. A
-host's rate of good documents is drawn towards the global rate, a path's towards its host's, each by a prior strength
-estimated from how much the rates differ beyond chance, so sparse sites stay near the prior. The log-odds of the text
-and the site's excess over the global log-odds add up to the posterior.
-
-Null and empty texts have the features of no text. Null hosts and paths are groups of their own; sites without labels
-have the prior of the level above. Labels that repeat a doc_id count once, as good if one of them is. Without labels
-every document has an even chance and is kept. All rows are read whole, and all columns of a document are kept.
+The classifier is logistic over counts of a text's characters and words, fitted on a bounded sample of labelled rows. All
+labelled documents of each path (here: source and language) and host (source) are then counted by grouped aggregation:
+how many are good, and how many the classifier expects to be. A host's rate is drawn towards what its texts let expect, a
+path's towards that with the host's shift, each by a prior strength estimated from how much the rates differ from the
+expected ones beyond chance, so sparse sites stay near the prior. What the path's rate then differs from the expected
+one, in log-odds, is added to the evidence of the text. A labelled document's own label is left out of its sites' counts.
+
+Null and empty texts, of any length, have the features of their words, which may be none. Null hosts and paths are groups
+of their own; sites without labels have the prior of the level above. Labels that repeat a doc_id count once, as good if
+one of them is; rows that repeat a doc_id each carry its label. Without labels every document has an even chance and is
+kept; an empty table gives none. All texts are read whole. All columns of a document are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalrank.llm.toxicity import training_rows
-from signalrank.session import cut, small_batches, table
+from signalrank.session import cut, scratch, sized, small_batches, table
 
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
 TRAIN_ROWS = 20_000
-#: Site tables of up to this many rows are broadcast; larger ones meet the documents in a shuffle join.
-MAX_BROADCAST_SITES = 200_000
 #: Documents with a lower posterior of being good are rejected.
 THRESHOLD = 0.5
-#: A site's rate moves the log-odds by this much at most either way, so that a site alone never decides against a clear text.
-MOST_SHIFT = 1.5
 UPPER, DIGITS, MARKS = bytes(range(65, 91)), bytes(range(48, 58)), bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'-()\"?")
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 FEATURES = 14
@@ -77,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndar
         for frame in frames:
             yield pd.DataFrame({"x": [features(t) for t in frame["text"]], "y": (frame["label"] > 0).astype(float)})
 
-    found = rows.mapInPandas(run, "x array<double>, y double").limit(2 * most).collect()
+    found = rows.mapInPandas(run, "x array<double>, y double").collect()  # at most `most` rows
     x, y = np.array([r["x"] for r in found]).reshape(-1, FEATURES), np.array([r["y"] for r in found])
     return fit(x, y, np.ones(len(y))) if 0 < y.sum() < len(y) else None
 
@@ -94,56 +93,90 @@ def evidence(weights: np.ndarray | None, text: Column) -> Column:
     return run(text)
 
 
-def prior_strength(groups: DataFrame, mean: Column, least: float = 2.0, most: float = 1000.0) -> float:
-    """Documents that a prior counts for, by the method of moments over groups (n, k): the less the rates differ beyond chance, the more. mean: the prior's rate."""
-    square = F.sum(F.col("n") * (F.col("k") / F.col("n") - mean) * (F.col("k") / F.col("n") - mean))
-    row = groups.agg(square.alias("s"), F.sum(mean * (1 - mean)).alias("v"), F.sum(F.col("n") * mean * (1 - mean)).alias("nv")).first()
+def prior_strength(groups: DataFrame, least: float = 2.0, most: float = 1000.0) -> float:
+    """Documents that a prior counts for, by the method of moments over groups (n, k, mean): the less the rates differ from the mean expected of them beyond chance, the more."""
+    n, mean, rate = F.col("n"), F.col("mean"), F.col("k") / F.col("n")
+    row = groups.agg(F.sum(n * (rate - mean) * (rate - mean)).alias("s"), F.sum(mean * (1 - mean)).alias("v"), F.sum(n * mean * (1 - mean)).alias("nv")).first()
     if not row["v"] or row["nv"] <= row["v"]:
         return most
     between = max(0.0, (row["s"] - row["v"]) / (row["nv"] - row["v"]))  # share of the variance that is between sites
     return float(min(most, max(least, (1 - between) / between if between > 0 else most)))
 
 
-def sites(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[DataFrame, float]:
-    """(host, path, host_rate, path_rate) of all paths of `docs`, and the global rate."""
+def _logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def _shrunk(n: Column, k: Column, prior: Column, mass: float) -> Column:
+    return (k + mass * prior) / (n + mass)  # a mass is never 0
+
+
+def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, text_hash, host, path, log_odds, n, k, e) for every row: log_odds of its text; n, k, e: whether it is labelled, is good, and the classifier's chance for that."""
+    weights = train(docs.select("doc_id", "text"), labels, most)
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"))
-    places = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"))
-    paths = cut(places.join(one, "doc_id", "left").groupBy("host", "path").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")))
-    total = paths.agg(F.sum("n"), F.sum("k")).first()
-    rate = (total[1] + 1) / (total[0] + 2) if total[0] else 0.5
-    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
-    mass = prior_strength(hosts.where("n > 0"), F.lit(rate))
-    host_rates = hosts.select("host", ((F.col("k") + mass * rate) / (F.col("n") + mass)).alias("host_rate"))
-    joined = cut(paths.alias("p").join(host_rates.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "path", "n", "k", "host_rate"))
-    mass = prior_strength(joined.where("n > 0"), F.col("host_rate"))
-    return joined.select("host", "path", "host_rate", ((F.col("k") + mass * F.col("host_rate")) / (F.col("n") + mass)).alias("path_rate")), rate
-
-
-def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_broadcast: int = MAX_BROADCAST_SITES) -> DataFrame:
-    """Rows (row, log_odds, host, path, host_rate, path_rate, posterior): row is the whole document."""
-    small_batches(docs.sparkSession)
-    weights = train(docs.select("doc_id", "text"), labels)
-    found, rate = sites(docs, labels, host, path)
-    found = cut(found)
-    if found.count() <= max_broadcast:
-        found = F.broadcast(found)
-    rows = docs.select(F.struct("*").alias("row"), evidence(weights, F.col("text")).alias("log_odds"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    logit = lambda p: F.log(p / (1 - p))
-    at = F.col("r.host").eqNullSafe(F.col("s.host")) & F.col("r.path").eqNullSafe(F.col("s.path"))
-    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), logit(F.col("path_rate")) - float(np.log(rate / (1 - rate)))))
-    total = F.col("log_odds") + F.coalesce(shift, F.lit(0.0))
-    return rows.alias("r").join(found.alias("s"), at, "left").select("row", "log_odds", "r.host", "r.path", "host_rate", "path_rate", (1 / (1 + F.exp(-total))).alias("posterior"))
+    rows = docs.select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path"), evidence(weights, F.col("text")).alias("log_odds")
+    )
+    chance = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), 1 / (1 + F.exp(-F.col("log_odds")))))
+    labelled = F.col("good").isNotNull()
+    return rows.join(sized(cut(one)), "doc_id", "left").select(
+        *rows.columns, labelled.cast("int").alias("n"), F.coalesce("good", F.lit(0)).alias("k"), F.when(labelled, chance).otherwise(0.0).alias("e")
+    )
+
+
+def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = TRAIN_ROWS) -> DataFrame:
+    """Rows (doc_id, text_hash, host, path, log_odds, host_rate, path_rate, posterior). The rates are those of the row's sites without its own label; null without labels."""
+    with scratch(small_batches(docs.sparkSession)) as kept:
+        rows = cut(scored(docs, labels, host, path, most))
+        total = lambda p: [F.sum(c).alias(f"{p}_{c}") for c in "nke"]
+        paths = cut(rows.groupBy("host", "path").agg(*total("path")))
+        hosts = cut(paths.groupBy("host").agg(*(F.sum(f"path_{c}").alias(f"host_{c}") for c in "nke")))
+        host_mass = prior_strength(hosts.where("host_n > 0").select(F.col("host_n").alias("n"), F.col("host_k").alias("k"), F.try_divide("host_e", "host_n").alias("mean")))
+        same_host = F.col("p.host").eqNullSafe(F.col("h.host"))
+        places = paths.alias("p").join(sized(hosts).alias("h"), same_host).select("p.*", *(f"h.host_{c}" for c in "nke"))
+        places = cut(places)
+        expected = _logit(F.try_divide("path_e", "path_n")) + _shift("host", host_mass, F.lit(0), F.lit(0), F.lit(0.0))
+        path_mass = prior_strength(places.where("path_n > 0").select(F.col("path_n").alias("n"), F.col("path_k").alias("k"), (1 / (1 + F.exp(-expected))).alias("mean")))
+        at = F.col("r.host").eqNullSafe(F.col("s.host")) & F.col("r.path").eqNullSafe(F.col("s.path"))
+        found = rows.alias("r").join(sized(places).alias("s"), at).select("r.*", *(f"s.{p}_{c}" for p in ("host", "path") for c in "nke"))
+        own = [F.col(c) for c in "nke"]
+        host_shift = _shift("host", host_mass, *own)
+        path_shift = _shift("path", path_mass, *own, above=host_shift)
+        found = found.withColumns({"host_rate": _rate("host", host_mass, *own), "path_rate": _rate("path", path_mass, *own, above=host_shift)})
+        return kept(found.select(
+            "doc_id", "text_hash", "host", "path", "log_odds", "host_rate", "path_rate", (1 / (1 + F.exp(-(F.col("log_odds") + path_shift)))).alias("posterior")
+        ))
+
+
+def _rate(level: str, mass: float, n: Column, k: Column, e: Column, above: Column | None = None) -> Column:
+    """A site's rate of good documents without one labelled row (n, k, e), drawn towards the expected rate; null where no other row is labelled."""
+    rest = F.col(f"{level}_n") - n
+    mean = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.try_divide(F.col(f"{level}_e") - e, rest)))
+    prior = mean if above is None else 1 / (1 + F.exp(-(_logit(mean) + above)))
+    return F.when(rest > 0, _shrunk(rest, F.col(f"{level}_k") - k, prior, mass))
+
+
+def _shift(level: str, mass: float, n: Column, k: Column, e: Column, above: Column | None = None) -> Column:
+    """Log-odds by which a site's rate differs from what its texts let expect; that of the level above where no other row is labelled."""
+    mean = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.try_divide(F.col(f"{level}_e") - e, F.col(f"{level}_n") - n)))
+    return F.coalesce(_logit(_rate(level, mass, n, k, e, above)) - _logit(mean), F.lit(0.0) if above is None else above)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those that the posterior rejects; all columns kept."""
-    return judged(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang")).where(F.col("posterior") >= THRESHOLD).select("row.*")
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    key = ["doc_id", "text_hash", "host", "path"]
+    gone = sized(cut(judged(docs, labels, host, path).where(F.col("posterior") < THRESHOLD).select(*key).distinct())).alias("g")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("r")
+    same = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key])
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, host, path, text_score, host_rate, path_rate, score (posterior of being good) and predicted for every document."""
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
     return found.select(
-        "row.doc_id", "host", "path", (1 / (1 + F.exp(-F.col("log_odds")))).alias("text_score"), "host_rate", "path_rate",
+        "doc_id", "host", "path", (1 / (1 + F.exp(-F.col("log_odds")))).alias("text_score"), "host_rate", "path_rate",
         F.col("posterior").alias("score"), (F.col("posterior") >= THRESHOLD).cast("int").alias("predicted"),
     )
