@@ -10,32 +10,32 @@ So each page climbs from it: to the enclosing article, else to parents whose oth
 parent where the climb ends, headings, paragraphs and sections that are mostly not in links are kept too.
 
 Left out everywhere: scripts, styles, comments of the markup, forms, menus, headers outside the article, footers,
-sidebars, and elements whose class, id or role says notice, advert, reader comment, sharing, related or the like.
+sidebars, and elements whose class, id or role says one of these, notice, advert, reader comment, sharing or related.
 Blocks are in page order, joined by a line break; white space in a block is one space; character references are decoded.
 
 Null and empty html give the empty text. A null url is a host of its own; a url may repeat. Markup may be unclosed,
-cut off or badly nested. No text is cut at any length.
+cut off, badly or very deeply nested; a tag whose quote is never closed ends at its bracket. No text is cut at any
+length. An empty table gives an empty result. Only id, url and html are read, so other columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import cut, small_batches, table
+from signalrank.session import cut, sized, small_batches, table
 
-#: Winning paths of up to this many hosts are broadcast; those of more meet the pages in a shuffle join.
-MAX_BROADCAST_HOSTS = 100_000
 #: Votes that a host's path needs to be used on its other pages.
 LEAST_VOTES = 2
 
 # Tag names of HTML, and words by which pages name their parts.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "canvas", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -46,9 +46,9 @@ CONTAINERS = {"article", "body", "center", "div", "main", "section", "td", "bloc
 LEFT_OUT = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "fieldset", "head", "label", "option", "audio", "video"}
 OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|sidebar\w*|side|rail|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|popup|modal|overlay|nav\w*|menu\w*|sidebar\w*|rail|"
     r"breadcrumbs?|pagination|pager|footer|foot|masthead|topbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|"
-    r"related|recommended|newsletter|subscribe|signup|login|search|widget|skip\w*|toolbar|tags?|meta|byline-bar|copyright)(?:$|[\s_-])",
+    r"related|recommended|newsletter|subscribe)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 #: Classes of an article that name its subject, not its part of the page.
@@ -59,25 +59,66 @@ PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.IGNORECASE
 HAVING = re.compile(r"\b(?:has|have|with|without|no|is|not)[_-][\w-]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "container", "linked", "parent")
+    """An open element: the number of its path, and of the nearest container's; what it inherits from those above."""
 
-    def __init__(self, tag, path, out, container, linked, parent):
-        self.tag, self.path, self.out, self.container, self.linked, self.parent = tag, path, out, container, linked, parent
+    __slots__ = ("tag", "path", "place", "out", "linked", "within_article")
+
+    def __init__(self, tag, path, place, out, linked, within_article):
+        self.tag, self.path, self.place, self.out, self.linked, self.within_article = tag, path, place, out, linked, within_article
 
 
 class Block:
-    """One block of text: its white-space-free words joined, the containers it stands in (outermost first), its characters in links."""
+    """One block of text, the number of the container that it stands in, its characters in links."""
+
+    __slots__ = ("text", "place", "linked", "heading")
+
+    def __init__(self, text, place, linked, heading):
+        self.text, self.place, self.linked, self.heading = text, place, linked, heading
+
+
+class Page:
+    """The blocks that nothing leaves out, in page order, and the paths of the page. Each path is held once, as a step below another, so depth costs no square."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.above, self.steps, self.tags = [-1], [-1], [""], [""]
+        self._numbers: dict[tuple[int, str], int] = {}
+
+    def child(self, parent: int, step: str) -> int:
+        """Number of the path that leads one step below `parent`; above: the nearest container over it."""
+        number = self._numbers.get((parent, step))
+        if number is None:
+            number = self._numbers[parent, step] = len(self.steps)
+            self.parent.append(parent)
+            self.above.append(parent if self.is_container(parent) else self.above[parent])
+            self.steps.append(step)
+            self.tags.append(step.split(".")[0])
+        return number
+
+    def is_container(self, number: int) -> bool:
+        return number == 0 or self.tags[number] in CONTAINERS
 
-    __slots__ = ("text", "within", "linked", "heading")
+    def name(self, number: int) -> str:
+        """The steps of a path, outermost first, parted by a space, which no class can hold."""
+        found = []
+        while number > 0:
+            found.append(self.steps[number])
+            number = self.parent[number]
+        return " ".join(reversed(found))
 
-    def __init__(self, text, within, linked, heading):
-        self.text, self.within, self.linked, self.heading = text, within, linked, heading
+    def find(self, name: str) -> int | None:
+        number = 0
+        for step in name.split():
+            number = self._numbers.get((number, step))
+            if number is None:
+                return None
+        return number
 
 
 def _step(tag: str, found: dict[str, str]) -> str:
@@ -86,13 +127,12 @@ def _step(tag: str, found: dict[str, str]) -> str:
     return tag + "".join(f".{c}" for c in names)
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    """Blocks of a page that nothing leaves out, in page order."""
+def blocks_of(html: str | None) -> Page:
+    page = Page()
     if not html:
-        return []
-    root = _Node("", "", False, True, False, None)  # fragments have no body
-    stack = [root]
-    found: list[Block] = []
+        return page
+    stack = [_Node("", 0, 0, False, False, False)]  # fragments have no body
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, at, end = 0, 0, len(html)
     heading = False
@@ -102,15 +142,14 @@ def blocks_of(html: str | None) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                within, node = [], stack[-1]
-                while node is not None:
-                    if node.container:
-                        within.append(node.path)
-                    node = node.parent
-                found.append(Block(text, tuple(reversed(within)), min(linked, len(text)), heading))
+                page.blocks.append(Block(text, stack[-1].place, min(linked, len(text)), heading))
             parts.clear()
         linked, heading = 0, False
 
+    def shut(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     def say(text: str) -> None:
         nonlocal linked
         top = stack[-1]
@@ -136,11 +175,15 @@ def blocks_of(html: str | None) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
                 continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if tag in BLOCKS:
                 flush()
-            if depth and not (tag not in BLOCKS and any(stack[k].tag in BLOCKS for k in range(depth + 1, len(stack)))):
-                del stack[depth:]
+            if opened[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        shut(k)
+                        break
+                    if tag not in BLOCKS and stack[k].tag in BLOCKS:  # an inline end closes nothing outside its block
+                        break
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.IGNORECASE).search(html, at)
@@ -155,7 +198,7 @@ def blocks_of(html: str | None) -> list[Block]:
             flush()
             for k in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph or heading; list items and cells close their like
                 if stack[k].tag == "p" or stack[k].tag in OWN_CLOSE.get(tag, ()):
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in CONTAINERS or stack[k].tag in ("ul", "ol", "table", "dl"):
                     break
@@ -166,26 +209,22 @@ def blocks_of(html: str | None) -> list[Block]:
         marks = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
         top = stack[-1]
         named = HAVING.sub("", CAMEL.sub("-", " ".join(marks.get(k, "") for k in ("class", "id")))) if marks else ""
-        within_article = any(n.tag in ("article", "main") for n in stack)
-        told = BAD_NAME.search(named) is not None or not within_article and PAGE_HEAD.search(named) is not None
+        told = BAD_NAME.search(named) is not None or not top.within_article and PAGE_HEAD.search(named) is not None
         if tag == "article":  # a whole name must say so: its classes and id may hold words of its subject
             told = any(BAD_NAME.fullmatch(x) for x in named.split())
         bad = (
             tag in LEFT_OUT
-            or (tag == "header" and not within_article)
+            or (tag == "header" and not top.within_article)
             or "hidden" in marks
             or marks.get("aria-hidden", "").lower() == "true"
             or marks.get("role", "").lower() in BAD_ROLES
             or (bool(named) and tag not in ("html", "body", "main") and told)
         )
-        path = f"{top.path}/{_step(tag, marks)}" if tag in BLOCKS else top.path
-        stack.append(_Node(tag, path, top.out or bad, tag in CONTAINERS, top.linked or tag == "a", top))
+        path = page.child(top.path, _step(tag, marks)) if tag in BLOCKS else top.path
+        stack.append(_Node(tag, path, path if tag in CONTAINERS else top.place, top.out or bad, top.linked or tag == "a", top.within_article or tag in ("article", "main")))
+        opened[tag] += 1
     flush()
-    return found
-
-
-def _tag(path: str) -> str:
-    return path.rsplit("/", 1)[-1].split(".")[0]
+    return page
 
 
 def _score(block: Block) -> float:
@@ -193,61 +232,82 @@ def _score(block: Block) -> float:
     return plain * (1.0 if block.text.count(" ") >= 4 or block.heading else 0.2) - 0.5 * block.linked
 
 
-def best_path(blocks: list[Block]) -> str | None:
+#: A block counts for this many containers around it; each counts half as much as the one inside it.
+NEAR = 64
+
+
+def best_path(page: Page) -> str | None:
     """Path of the container whose own blocks score best. A block counts for its nearest container, half for the next and so on; links and single words count little."""
-    scores: dict[str, float] = {}
-    for block in blocks:
-        score = _score(block)
-        for path in reversed(block.within):
-            scores[path] = scores.get(path, 0.0) + score * (1.5 if _tag(path) in ("article", "main") else 1.0)
+    scores: dict[int, float] = {}
+    for block in page.blocks:
+        score, place = _score(block), block.place
+        for _ in range(NEAR):
+            scores[place] = scores.get(place, 0.0) + score * (1.5 if page.tags[place] in ("article", "main") else 1.0)
             score *= 0.5
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
+            place = page.above[place]
+            if place < 0:
+                break
+    if not scores:
+        return None
+    most = max(scores.values())
+    return min(page.name(place) for place, score in scores.items() if score == most)
 
 
-def whole(blocks: list[Block], path: str) -> list[Block]:
+def whole(page: Page, path: str) -> list[Block]:
     """Blocks of the text that the containers of `path` are part of, in page order; none where the page has no such container."""
-    chain = next((b.within[: b.within.index(path) + 1] for b in blocks if path in b.within), ())
-    if not chain:
+    at = page.find(path)
+    if at is None:
+        return []
+    chain = []
+    while at >= 0:
+        chain.append(at)
+        at = page.above[at]
+    chain.reverse()
+    # For each container how far it shares the chain, and its part there: the parent's own text, or a division of it.
+    places: dict[int, tuple[int, int | None]] = {q: (k + 1, q) for k, q in enumerate(chain)}
+
+    def place_of(number: int) -> tuple[int, int | None]:
+        todo = []
+        while number not in places:
+            todo.append(number)
+            number = page.above[number]
+        for q in reversed(todo):
+            n, part = places[page.above[q]]
+            part = None if part is None or page.tags[q] not in DIVISIONS else q if part == chain[n - 1] else part
+            places[q] = n, part
+        return places[todo[0] if todo else number]
+
+    found = [(b, *place_of(b.place)) for b in page.blocks]
+    if not any(n == len(chain) for _, n, _ in found):
         return []
-    # A path names all its containers, so the chain is the same for every block below it.
-    article = next((q for q in reversed(chain) if _tag(q) == "article"), None)
+    article = next((k for k in range(len(chain) - 1, -1, -1) if page.tags[chain[k]] == "article"), None)
     if article is not None:
-        return [b for b in blocks if article in b.within]
-    sizes: dict[str, tuple[int, float]] = {}
-    parts: dict[tuple[int, str], tuple[int, int]] = {}
-    # Each block by how far it shares the chain, and its part there: the parent's own text, or a division of it.
-    places: list[tuple[int, str | None]] = []
-    for b in blocks:
-        n = 0
-        while n < min(len(chain), len(b.within)) and chain[n] == b.within[n]:
-            n += 1
-        for q in chain[:n]:
-            size, score = sizes.get(q, (0, 0.0))
-            sizes[q] = size + len(b.text), score + _score(b)
-        below = b.within[n:]
-        part = None if n == 0 or any(_tag(q) not in DIVISIONS for q in below) else below[0] if below else chain[n - 1]
-        places.append((n, part))
+        return [b for b, n, _ in found if n > article]
+    own = [(0, 0.0)] * (len(chain) + 1)  # text and score of the blocks that leave the chain below each of its containers
+    parts: dict[tuple[int, int], tuple[int, int]] = {}
+    for b, n, part in found:
+        own[n] = own[n][0] + len(b.text), own[n][1] + _score(b)
         if part is not None:
             size, linked = parts.get((n, part), (0, 0))
             parts[n, part] = size + len(b.text), linked + b.linked
     at = len(chain) - 1
     for k in range(len(chain) - 1, 0, -1):
-        if _tag(chain[k]) == "main" or _tag(chain[k - 1]) in ("body", ""):
+        if page.tags[chain[k]] == "main" or page.tags[chain[k - 1]] in ("body", ""):
             break
-        size, score = (x - y for x, y in zip(sizes[chain[k - 1]], sizes[chain[k]]))
+        size, score = own[k]
         if size and score < 0.5 * size:
             break
         at = k - 1
-    low = max((k for k, q in enumerate(chain[: at + 1]) if _tag(q) == "main"), default=0)
-    fits = {key for key, (size, linked) in parts.items() if key[0] > low and linked < 0.5 * size}
-    return [b for b, place in zip(blocks, places) if place[0] > at or place in fits]
+    low = max((k for k, q in enumerate(chain[: at + 1]) if page.tags[q] == "main"), default=0)
+    fits_in = {key for key, (size, linked) in parts.items() if key[0] > low and linked < 0.5 * size}
+    return [b for b, n, part in found if n > at or (n, part) in fits_in]
 
 
-def text_of(blocks: list[Block], path: str | None) -> str:
+def text_of(page: Page, path: str | None) -> str:
     """Text that the containers of `path` are part of; where the page has none, the same of its own best container."""
-    for chosen in (path, best_path(blocks)):
+    for chosen in (path, best_path(page)):
         if chosen is not None:
-            kept = whole(blocks, chosen)
+            kept = whole(page, chosen)
             if kept:
                 return "\n".join(b.text for b in kept)
     return ""
@@ -275,13 +335,12 @@ def winners(voted: DataFrame, least: int = LEAST_VOTES) -> DataFrame:
     return best.where(F.col("best.n") <= -least).select("host", F.col("best.path").alias("path"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    paths = cut(winners(votes(rows)))
-    if paths.count() <= max_broadcast:
-        paths = F.broadcast(paths)
+    # Beyond max_broadcast bytes the winning paths meet the pages in a shuffle join.
+    paths = sized(cut(winners(votes(rows))), max_broadcast)
     joined = rows.join(paths, "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,27 @@ def test_links_and_notices_beside_the_text_stay_out():
     assert alone(f"<body><article class=promo><p>{LONG}</p></article><div><p>{PARTS[1]}</p></div></body>") == PARTS[1]
 
 
+def test_parts_of_an_article_that_are_no_boilerplate_stay():
+    parts = ["Filed under things", "By someone on a day", "Nothing was found for it", "x + y", "An end of five words here"]
+    page = "<article><p class='tags'>{}</p><p class='meta'>{}</p><div class='search-results'>{}</div><math><mi>x</mi> + <mi>y</mi></math><p class=copyright>{}</p></article>"
+    assert alone(page.format(*parts[:3], parts[4])) == "\n".join(parts)
+
+
+def test_unclosed_quote():
+    assert alone("<article><p>One two three four five.</p><a href=\"x>six seven</a><p>eight</p></article>") == "One two three four five.\nsix seven\neight"
+
+
+def test_depth_costs_no_square():
+    import time
+
+    began = time.perf_counter()
+    for n in (20_000, 100_000):
+        deep = "<div class=x>" * n + "deep text of five words" + "</i></div>" * n
+        assert alone(deep) == "deep text of five words"
+    assert time.perf_counter() - began < 30
+    assert alone("<div>words " * 5000) == "\n".join(["words"] * 5000)
+
+
 def test_nulls_and_empty(spark):
     rows = [(1, None, PAGE), (2, "http://x.org/", None), (3, "http://x.org/", ""), (None, "http://x.org/", "<p>a b c d e f</p>"), (4, "http://x.org/", "<div>" * 3000 + "deep text of five words" + "</div>" * 3000), (4, None, PAGE)]
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in h.extract(pages(spark, rows)).collect()}
