@@ -4,12 +4,13 @@ The lexicon holds words, and stems that begin several such words, whose contexts
 in toxic training documents; contexts rather than documents are counted, so that many copies of one document count
 once. A text's distinct words are run
 through the trie with a Levenshtein automaton (one edit from five letters on, two from nine), so misspelt terms are
-found too; words that clean training documents use are no misspellings, and terms that clean documents come near to by
-other words are only met exactly. Each hit has a window of words: quotation marks
+found too; words that clean training documents use more than toxic ones are no misspellings, and terms whose misspelt
+hits are often in clean documents are only met exactly. Each hit has a window of words: quotation marks
 or reporting words in it make it a quoted hit. A logistic model over the counts of hits gives the score.
 
 Null and empty texts, and texts without a hit, get the score of no hits. Without toxic training rows the lexicon is
-empty and all scores are equal. Labels that repeat a doc_id count as toxic if one of them is. Texts are read whole.
+empty and all scores are equal. Labels that repeat a doc_id count as toxic if one of them is. Texts of any length are
+read whole. doc_id may be null or repeated; an empty table gives no rows. Other columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from signalrank.session import cut, small_batches, table
 
-#: Labelled rows to learn from at most, chosen by hash; terms of the lexicon, and clean words known to it, at most.
-TRAIN_ROWS, MOST_TERMS, MOST_CLEAN = 20_000, 2_000, 200_000
+#: Labelled rows to learn from at most, chosen by hash. They bound the lexicon and all that is collected with it.
+TRAIN_ROWS = 20_000
 LEAST_CONTEXTS, LEAST_PRECISION, LEAST_LETTERS = 4, 0.8, 3
 #: Letters of a stem, contexts and different words that it needs, and the least share of them in toxic documents.
 STEM_LETTERS, STEM_CONTEXTS, STEM_WORDS, STEM_PRECISION = (4, 7), 12, 4, 0.97
-#: A term that clean training documents come near to in this many places is only met exactly.
-LEAST_VAGUE = 2
+#: A term is only met exactly if less than this share of its misspelt hits is in toxic documents, where VAGUE_PRIOR such hits are taken for granted.
+LEAST_CLEAR, VAGUE_PRIOR = 0.8, 8
 #: Words on either side of a hit that are looked at.
 WINDOW = 5
 THRESHOLD = 0.7
@@ -239,10 +240,11 @@ PRIOR = np.array([-4.0, 4.0, 1.5, 3.5, 1.5, 0.0, 0.0, 0.3])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `most` labelled ids, chosen by hash; the chosen labels are bounded by that number and broadcast."""
+    """(text, label) of at most `most` labelled ids, chosen by hash; the chosen labels are bounded by that number and broadcast. Of an id's rows one is taken, by hash."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label").dropDuplicates()
+    found = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    return found.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("text", "label")
 
 
 def longest_stems(rows: list) -> dict[str, float]:
@@ -262,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
     counts = cut(contexts.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") != 1).alias("good")))
     listed = (
         counts.where((F.col("bad") >= LEAST_CONTEXTS) & (F.col("bad") >= LEAST_PRECISION * (F.col("bad") + F.col("good"))) & F.length("word").between(LEAST_LETTERS, 40))
-        .select("word", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight")).orderBy(F.desc("weight"), "word").limit(MOST_TERMS)
+        .select("word", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight"))
     )
     terms = {r["word"]: r["weight"] for r in listed.collect()}
     first, last = STEM_LETTERS
@@ -270,17 +272,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
         counts.where(F.length("word") > first).select(F.explode(F.expr(f"transform(sequence({first}, least({last}, length(word) - 1)), n -> left(word, n))")).alias("stem"), "bad", "good")
         .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > F.col("good")).alias("words"))
         .where((F.col("bad") >= STEM_CONTEXTS) & (F.col("words") >= STEM_WORDS) & (F.col("bad") >= STEM_PRECISION * (F.col("bad") + F.col("good"))))
-        .select("stem", "bad", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight")).orderBy(F.desc("weight"), "stem").limit(MOST_TERMS)
+        .select("stem", "bad", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)).alias("weight"))
     )
-    clean = counts.where((F.col("good") >= 2) & F.length("word").between(5, 40)).orderBy(F.desc("good"), "word").limit(MOST_CLEAN)
-    scorer = Scorer(terms, longest_stems(stems.collect()), {r["word"] for r in clean.select("word").collect()} - set(terms))
+    first_scorer = Scorer(terms, longest_stems(stems.collect()), set())
+
+    def harmful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column("word").to_pylist() if w not in terms and first_scorer.hits({w})], pa.string())], ["word"])
+
+    # Words of clean documents matter only where they would be taken for a term.
+    clean = counts.where((F.col("good") >= 2) & (F.col("good") > F.col("bad")) & F.length("word").between(5, 40)).select("word").mapInArrow(harmful, "word string")
+    scorer = Scorer(terms, first_scorer.stems, {r["word"] for r in clean.collect()})
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [h[0] for t in batch.column("text") for h in scorer.hits(set(scorer.words(t.as_py())[1])).values() if h[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["term"])
+            near = [(h[0], label) for t, label in zip(batch.column("text"), batch.column("label").to_pylist()) for h in scorer.hits(set(scorer.words(t.as_py())[1])).values() if h[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in near], pa.string()), pa.array([int(x[1] == 1) for x in near], pa.int32())], ["term", "toxic"])
 
-    vague = rows.where("label <> 1").select("text").mapInArrow(met, "term string").groupBy("term").count().where(F.col("count") >= LEAST_VAGUE)
+    near = rows.select("text", "label").mapInArrow(met, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    vague = near.where(F.col("bad") + VAGUE_PRIOR < LEAST_CLEAR * (F.col("n") + VAGUE_PRIOR)).select("term")
     scorer = Scorer(scorer.terms, scorer.stems, scorer.clean, None, frozenset(r["term"] for r in vague.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Scorer:
             x = [scorer.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "y"])
 
-    grouped = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().orderBy(F.desc("count")).limit(most).collect()
+    grouped = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").collect()
     x, y, n = np.array([r["x"] for r in grouped]).reshape(-1, Scorer.FEATURES), np.array([float(r["y"] == 1) for r in grouped]), np.array([r["count"] for r in grouped], int)
     scorer.weights = fit_logistic(np.repeat(x, n, 0), np.repeat(y, n), PRIOR) if len(x) else PRIOR
     return scorer

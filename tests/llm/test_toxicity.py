@@ -65,6 +65,68 @@ def test_learns_from_labels(spark):
     assert t.score(table(spark, []), model).count() == 0
 
 
+def test_scores_against_brute_force(spark):
+    """Every document of a table by the learned lexicon with plain edit distances instead of trie, automaton and memories."""
+    import math
+    import re
+
+    from signalrank.session import table as read
+
+    sf = "/root/testdata/sf0.01"
+    every = read(spark, sf, "documents")
+    model = t.train(every, read(spark, sf, "labels").where(~t.held_out()))
+    assert model.terms
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    fuzzy = [w for w in model.terms if w not in model.vague and t.Trie.edits(w)]
+
+    def meet(word):
+        if word in model.terms:
+            return word, 0
+        stem = next((word[:n] for n in range(4, 8) if word[:n] in model.stems), None)
+        if word in model.clean:
+            return None
+        if stem is not None:
+            return stem, 0
+        plain = word if word.isalpha() else word.translate(t.LEET)
+        if plain in model.terms and plain not in model.vague:
+            return plain, 1
+        near = [(d, w) for w in fuzzy if abs(len(w) - len(plain)) <= 2 for d in [distance(plain, w)] if d <= min(t.Trie.edits(plain), t.Trie.edits(w))]
+        return (min(near)[1], max(min(near)[0], 1)) if near else None
+
+    memory = {}
+
+    def score(text):
+        low = (text or "").lower().replace("@", "a").replace("$", "s")
+        words = list(re.finditer(r"[^\W_]+", low))
+        counts, most = {}, 0.0
+        for i, m in enumerate(words):
+            hit = memory[m.group()] = memory[m.group()] if m.group() in memory else meet(m.group())
+            if hit is None:
+                continue
+            first, last = max(0, i - t.WINDOW), min(len(words) - 1, i + t.WINDOW)
+            quotes = all(any(q in part for q in t.QUOTES) for part in (low[words[first].start() : m.start()], low[m.end() : words[last].end()]))
+            quoted = quotes or any(w.group() in t.REPORTING and w.group() != m.group() for w in words[first : last + 1])
+            counts[hit[1] > 0, quoted] = counts.get((hit[1] > 0, quoted), 0) + 1
+            if not quoted:
+                most = max(most, model.terms.get(hit[0], model.stems.get(hit[0], 0.0)) / (1 + hit[1]))
+        n = lambda *k: math.log1p(counts.get(k, 0))
+        x = [1.0, float((False, False) in counts), n(False, False), float((True, False) in counts), n(True, False), n(False, True), n(True, True), most]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+
+    rows = every.select("doc_id", "text").limit(400).collect()
+    got = {r["doc_id"]: r["score"] for r in t.score(every, model).collect()}
+    for r in rows:
+        assert abs(got[r["doc_id"]] - score(r["text"])) < 1e-9, r["doc_id"]
+
+
 def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = t.train(table(spark, [(1, "a b c")]), none)
