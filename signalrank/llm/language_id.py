@@ -8,7 +8,8 @@ corrected share decides, ties go to the first name.
 
 A text that is null or has no letter is `und` with score 0. A text of letters that no language knows gets the most
 frequent learned language with score 0. Without any labelled document every text is `und`. Texts of any length are read
-whole, in slices. doc_id may be null or repeated.
+whole, in slices. doc_id may be null or repeated; an empty table gives no rows. Other columns, whatever their names, do
+no harm.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from signalrank.session import small_batches, table
 
-#: Documents of each language to learn from, in expectation (they are chosen by hash), and trigrams kept in all.
-TRAIN_DOCS, MOST_GRAMS = 3000, 400_000
+#: Documents of each language to learn from, in expectation: they are chosen by hash, and bound the trigrams that are collected.
+TRAIN_DOCS = 3000
 LEAST_COUNT, SPREAD = 3, 4.0
-SLOT_BITS, HASHES = 21, 3
+#: The filter has 2**k slots, at least twice as many as it has entries for each language, within these bounds on k.
+LEAST_BITS, MOST_BITS, HASHES = 16, 22, 3
 SLICE = 400_000
 _LETTERS: list[np.ndarray] = []
 
@@ -66,17 +68,17 @@ class Filter:
     def __init__(self, languages: list[str], grams: np.ndarray, masks: np.ndarray):
         """masks: (gram, word) language bits."""
         self.languages = languages
-        self.slots = np.zeros((1 << SLOT_BITS, max(1, masks.shape[1])), np.uint64)
+        self.bits = min(MOST_BITS, max(LEAST_BITS, int(2 * HASHES * len(grams)).bit_length()))
+        self.slots = np.zeros((1 << self.bits, max(1, masks.shape[1])), np.uint64)
         for at in self._places(grams):
             for w in range(masks.shape[1]):
                 np.bitwise_or.at(self.slots[:, w], at, masks[:, w])
         full = np.array([((self.slots[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
         self.false = full**HASHES
 
-    @staticmethod
-    def _places(grams: np.ndarray) -> list[np.ndarray]:
+    def _places(self, grams: np.ndarray) -> list[np.ndarray]:
         again = _hash(grams + np.uint64(0x2545F4914F6CDD1D))
-        return [((x >> np.uint64(s)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for x, s in ((grams, 0), (grams, 42), (again, 21))][:HASHES]
+        return [((x >> np.uint64(s)) & np.uint64((1 << self.bits) - 1)).astype(np.int64) for x, s in ((grams, 0), (grams, 42), (again, 21))][:HASHES]
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """How many of `grams` each language contains, false positives included."""
@@ -106,7 +108,7 @@ class Filter:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Filter:
     """docs: rows to learn from; those without a language are left out. Languages stand in order of their documents, most first."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
@@ -142,7 +144,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, lang_col: str = "lang",
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.col("n") / F.lit(float(t))) for k, t in totals.items()], F.lit(0.0))
     kept = (
         counts.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct(rate.alias("p"), "lang")).alias("each"), F.max(rate).alias("top"))
-        .where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS)
+        .where(F.col("n") >= LEAST_COUNT)
         .select("gram", F.expr(f"transform(filter(each, x -> x.p * {SPREAD} >= top), x -> x.lang)").alias("langs"))
     )
     found = kept.collect()

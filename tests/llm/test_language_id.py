@@ -40,6 +40,57 @@ def test_filter_returns_all_languages_of_a_gram():
     assert abs(model.counts(other)[0] / len(other) - model.false[0]) < 0.003
 
 
+def test_against_brute_force(spark, sf):
+    """The rule with plain sets instead of the filter, in plain Python. Texts whose two best languages are nearly even may differ by the filter's false positives."""
+    from collections import Counter
+
+    from signalrank.session import table
+
+    docs_of = table(spark, sf, "documents")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in l.op2_language_id(spark, sf).collect()}
+    rows = docs_of.withColumn("held", l.held_out()).collect()
+
+    def grams(text):
+        found = []
+        chars = [c.lower()[0] if c.isalpha() else "_" for c in f" {text} "]
+        for k in range(1, len(chars) - 1):
+            if chars[k] != "_":
+                found.append("".join(chars[k - 1 : k + 2]))
+        return found
+
+    counts = {}
+    for r in rows:
+        if r["lang"] is not None and not r["held"]:
+            counts.setdefault(r["lang"], Counter()).update(grams(r["text"] or ""))
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    every = Counter()
+    for c in counts.values():
+        every.update(c)
+    held = {x: set() for x in counts}
+    for gram, n in every.items():
+        if n >= l.LEAST_COUNT:
+            rates = {x: c[gram] / totals[x] for x, c in counts.items() if c[gram]}
+            for x, p in rates.items():
+                if p * l.SPREAD >= max(rates.values()):
+                    held[x].add(gram)
+    for r in rows:
+        own = grams(r["text"] or "")
+        if not own:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        share = {x: sum(g in held[x] for g in own) / len(own) for x in held}
+        best = sorted(share, key=lambda x: (-share[x], x))
+        if share[best[0]] > share[best[1]] + 0.02:
+            assert got[r["doc_id"]][0] == best[0]
+            assert abs(got[r["doc_id"]][1] - share[best[0]] / sum(share.values())) < 0.02
+
+
+def test_null_ids_are_drawn_by_text(spark):
+    same = [(None, (EN if i % 2 else DE) + f" wort{i}", "en" if i % 2 else "de") for i in range(400)]
+    model = l.train(docs(spark, same), train_docs=20)
+    assert sorted(model.languages) == ["de", "en"] and model.judge(EN)[0] == "en" and model.judge(DE)[0] == "de"
+
+
 def test_held_out_accuracy(spark, sf):
     from signalrank.session import table
 
