@@ -29,8 +29,8 @@ SERIES = [
     r"\bimf\b",
     r"\bwber\b",
 ]
-#: Passes over the series patterns. One removal can make another pattern appear; two levels of nesting are settled by three passes.
-SERIES_PASSES = 3
+#: Passes over the series patterns that all titles get. One removal can make another pattern appear; what still has one then goes on until none is left.
+SERIES_PASSES = 2
 NAME_SUFFIX = r"\b(jr\.?|sr\.?|ii|iii|iv|phd|ph\.d\.?)\b"
 DOI_FORMS = r"^(https?://(dx\.)?doi\.org/|doi\.org/|doi:)"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]
@@ -39,18 +39,28 @@ JEL_CODE = r"\b([A-Z]\d{1,2})\b"
 WORD = r"[\p{L}\p{N}_]"
 
 
-def _folding() -> tuple[str, str]:
-    """Accented Latin letters that decompose to one ASCII letter, and those letters: a table made by rule."""
-    accented, plain = [], []
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+#: No character from here on decomposes to ASCII.
+LAST_FOLDED = 0x1F300
+
+
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters that Unicode decomposes to one ASCII character, those characters, and what decomposes to several: tables made by rule."""
+    accented, plain, several = [], [], {}
+    for char in map(chr, range(0x80, LAST_FOLDED)):
+        if not unicodedata.decomposition(char) or char in LETTER_PAIRS or char in LETTER_SINGLES:
+            continue
+        base = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         if len(base) == 1:
-            accented.append(chr(code))
+            accented.append(char)
             plain.append(base)
-    return "".join(accented), "".join(plain)
+        elif base:
+            several[char] = base
+    return "".join(accented), "".join(plain), several
 
 
-ACCENTED, PLAIN = _folding()
+ACCENTED, PLAIN, SEVERAL = _folding()
+_SEVERAL = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in SEVERAL) + "]"
+_NO_ASCII_NOR_SEVERAL = "[^\\x00-\\x7F" + _SEVERAL[1:]
 
 
 def squeeze(text: Column) -> Column:
@@ -68,20 +78,32 @@ def blank_to_null(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """ASCII form of Latin text; letters without one are left out. Exact for Latin letters below U+0250 and combining marks."""
+    """ASCII form of a text by Unicode's decompositions; characters without one are left out."""
     for letter, pair in LETTER_PAIRS.items():
         text = F.replace(text, F.lit(letter), F.lit(pair))
     singles = "".join(LETTER_SINGLES)
     text = F.translate(text, singles + ACCENTED, "".join(LETTER_SINGLES.values()) + PLAIN)
+    # Ligatures and the like are rare, so only texts that still hold something else than ASCII are looked at letter by letter.
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(F.regexp_replace(text, _NO_ASCII_NOR_SEVERAL, ""), ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(known, c), c))), "")
+    text = F.when(F.rlike(text, F.lit(_SEVERAL)), spelled).otherwise(text)
     return F.regexp_replace(text, r"[^\x00-\x7F]", "")
 
 
 def normalize_title(title: Column) -> Column:
     """Lower-case ASCII title without series names and punctuation; null gives the empty string."""
     text = F.lower(strip_accents(F.coalesce(title, F.lit(""))))
-    for _ in range(SERIES_PASSES):
+
+    def once(text: Column) -> Column:
         for pattern in SERIES:
             text = F.regexp_replace(text, pattern, "")
+        return text
+
+    for _ in range(SERIES_PASSES):
+        text = once(text)
+    # Each further pass takes away a name of three letters at least.
+    rest = F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(text) / 3).cast("int")), text, lambda t, _: once(t))
+    text = F.when(F.rlike(text, F.lit("|".join(SERIES))), rest).otherwise(text)
     return squeeze(F.regexp_replace(text, r"[^a-z0-9\s]", " "))
 
 

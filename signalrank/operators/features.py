@@ -141,19 +141,39 @@ def composite(papers: DataFrame, features: list[DataFrame], phrases: list[str],
     return rows.withColumns({c: v for c, v in values.items() if c not in ("keyword", "recency")} | {"relevance": F.least(F.lit(1.0), total + amplified)})
 
 
-# Base scores of funding tiers and what moves them.
-TIERS = {"1": 0.88, "2": 0.62, "3": 0.42}
+def relevance_batch(papers: DataFrame, features: list[DataFrame], phrases: list[str], core: list[str], as_of: Column, days: int = 7, most: int = 10_000) -> DataFrame:
+    """(paper_id, relevance) of the papers first seen in the last `days` days, the newest `most` of them. papers also have first_seen."""
+    recent = papers.where(F.col("first_seen") >= F.date_sub(as_of.cast("date"), days)).orderBy(F.desc("first_seen"), "paper_id").limit(most)
+    return composite(recent, features, phrases, core, as_of).select("paper_id", "relevance")
+
+
+# Base scores of funding tiers, who may apply as a student, and terms that move a score.
+TIERS = {"core": 0.88, "relevant": 0.62, "peripheral": 0.42}
 UNTIERED, GATE = 0.50, 0.50
+STUDENT = ["phd_student", "both"]
+PROFILE_TERMS = [
+    "develop", "developing countr", "low-income", "low income", "lmic", "poverty", "global south", "urban", "cities", "slum", "india", "south asia",
+    "agricultur", "smallholder", "rural", "land use", "tenure", "labor market", "labour market", "employment", "jobs", "informal", "microfinance",
+    "micro-enterprise", "enterprise", "firms", "randomi", "impact evaluation", "field experiment", "structural transformation", "economic growth",
+    "human capital", "migration", "housing", "governance", "public economic", "political economy", "social protection", "cash transfer",
+    "financial inclusion", "gender", "sanitation", "energy access", "fieldwork",
+]
+OFFTOPIC_TERMS = [
+    "instrumentation", "cyberinfrastructure", "infrastructure improvement", "equipment", "telescope", "spectromet", "materials science", "chemistry",
+    "physics", "astronom", "quantum", "semiconductor", "genom", "biomedical", "clinical", "cancer", "nursing", "occupational safety", "fishing",
+    "fishery", "marine", "vaccine", "molecular", "workforce development", "manufacturing", "mentored", "career development award", "k-12",
+    "stem education", "defense", "aerospace", "seismic",
+]
 
 
-def funding_score(text: Column, tier: Column, eligible: Column, good: list[str], bad: list[str], student: list[str]) -> Column:
-    """Score of a call: its tier's base, a little for each good term, a lot off for bad ones and for foreign-only calls; between 0 and 1."""
+def funding_score(text: Column, tier: Column, eligibility: Column, eligible: Column, good: list[str] = PROFILE_TERMS, bad: list[str] = OFFTOPIC_TERMS) -> Column:
+    """Score of a call by its text (name, scope, organization): its tier's base, a little for each good term and for students, a lot off for bad terms and where India is not eligible; between 0 and 1."""
     low = F.lower(F.coalesce(text, F.lit("")))
     count = lambda terms: F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)))
     base = F.coalesce(*[F.when(tier.cast("string") == k, F.lit(v)) for k, v in TIERS.items()], F.lit(UNTIERED))
     score = (
         base + F.least(F.lit(0.12), F.lit(0.03) * count(good)) - F.lit(0.35) * F.least(count(bad), F.lit(2))
-        + F.when(count(student) > 0, 0.03).otherwise(0.0) - F.when(F.coalesce(eligible, F.lit(True)), 0.0).otherwise(0.12)
+        + F.when(eligibility.isin(STUDENT), 0.03).otherwise(0.0) - F.when(F.coalesce(eligible, F.lit(True)), 0.0).otherwise(0.12)
     )
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(score, 3)))
 

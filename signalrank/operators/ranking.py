@@ -36,7 +36,7 @@ def percentiles(rows: DataFrame, value: str, into: str) -> DataFrame:
 
 
 def combined(channels: list[str], by: list[str] | None = None) -> Column:
-    """Mean of the channels' percentiles. Without channels there is nothing to combine."""
+    """Mean of the channels' percentiles, for groups or for a table of bounded size; `personalized` is for tables of any size. Without channels there is nothing to combine."""
     if not channels:
         raise ValueError("no channel to combine")
     return sum((percentile(c, by) for c in channels[1:]), percentile(channels[0], by)) / F.lit(float(len(channels)))
@@ -55,8 +55,11 @@ def library_norm(score: Column, low: float = 3.0, high: float = 7.0) -> Column:
 def personalized(rows: DataFrame, channels: list[str]) -> DataFrame:
     """rows (pos, channels) by the mean percentile of the channels that are present, best first, ties by pos; `final` holds it."""
     used = present(rows, channels) or channels[:1]
-    filled = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in used})
-    return filled.withColumn("final", combined(used)).orderBy(F.desc("final"), "pos")
+    found = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in used})
+    for c in used:
+        found = percentiles(found, c, f"_p_{c}")
+    mean = sum((F.col(f"_p_{c}") for c in used), F.lit(0.0)) / F.lit(float(len(used)))
+    return found.withColumn("final", mean).drop(*(f"_p_{c}" for c in used)).orderBy(F.desc("final"), "pos")
 
 
 def latest_per(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -85,9 +88,11 @@ def source_quota(posts: DataFrame, limit: int, key_chars: int = 80) -> DataFrame
 
 def balanced(rows: DataFrame, first: Column, order: list, each: int = 6, most: int = 10) -> DataFrame:
     """Up to `each` rows of the first track, then up to `each` of the other, then the best of the rest, `most` in all. order: columns ending in an id."""
-    track = F.when(F.coalesce(first, F.lit(False)), 0).otherwise(1)
+    placed = rows.withColumn("_track", F.when(F.coalesce(first, F.lit(False)), 0).otherwise(1))
+    # The best `most` of either track hold all that can be chosen; only those are ranked.
+    tracks = [placed.where(F.col("_track") == k).orderBy(*order).limit(most) for k in (0, 1)]
     rank = F.row_number().over(Window.partitionBy("_track").orderBy(*order))
-    placed = rows.withColumn("_track", track).withColumn("_rank", rank)
+    placed = tracks[0].unionByName(tracks[1]).withColumn("_rank", rank)
     bucket = F.when(F.col("_rank") <= each, F.col("_track")).otherwise(F.lit(2))
     return placed.withColumn("_bucket", bucket).orderBy("_bucket", *order).limit(most).drop("_track", "_rank", "_bucket")
 

@@ -9,7 +9,7 @@ word, this finds every pair at the thresholds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalrank.functions import text
@@ -171,9 +171,9 @@ def merged_all(rows: DataFrame, key: str, order: str, rank: Column | None = None
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of each key by `order`; null keys are one key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """First row of each key by `order`, without a sort; null keys are one key."""
+    found = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(F.col(order))).alias("row"))
+    return found.select("row.*")
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

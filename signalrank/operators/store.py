@@ -64,7 +64,7 @@ AUTHOR_RULES = {"affiliation": longest_of, "is_tracked": either_of, "auto_discov
 
 def collapse_duplicates(rows: DataFrame, edges: DataFrame, key: str, id_col: str) -> tuple[DataFrame, DataFrame]:
     """One row per key, the one with the least id and the longest affiliation, and edges repointed to it, once each."""
-    best = rows.groupBy(key).agg(F.min(id_col).alias("keep"), F.max_by("affiliation", F.length(F.coalesce("affiliation", F.lit("")))).alias("longest"))
+    best = rows.groupBy(key).agg(F.min(id_col).alias("keep"), F.max_by("affiliation", F.struct(F.length(F.coalesce("affiliation", F.lit(""))), -F.col(id_col))).alias("longest"))
     same = (F.col(f"r.{key}") == F.col(f"b.{key}")) & (F.col(f"r.{id_col}") == F.col("b.keep"))
     kept = rows.alias("r").join(best.alias("b"), same).select(*[F.col(f"r.{c}") if c != "affiliation" else F.col("b.longest").alias(c) for c in rows.columns])
     names = rows.select(F.col(id_col), F.col(key)).join(best.select(key, "keep"), key).select(id_col, "keep")

@@ -77,7 +77,9 @@ def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K,
         # Every block of candidates meets every block of the library; a group holds one of each.
         blocks, asking = -(-library.count() // BLOCK), max(1, -(-candidates.count() // BLOCK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = library.select("vector", F.floor(F.rand(SEED) * blocks).cast("int").alias("block")).select("vector", "block", every(asking).alias("part"))
+        # By a hash, so that a stage that runs again deals the same; of the id where there is one, as equal vectors share a block otherwise.
+        key = F.xxhash64("id") if "id" in library.columns else F.xxhash64("vector")
+        dealt = library.select("vector", F.pmod(key, F.lit(blocks)).cast("int").alias("block")).select("vector", "block", every(asking).alias("part"))
         asked = candidates.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(asking)).cast("int").alias("part")).select("id", "vector", "part", every(blocks).alias("block"))
 
         def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates
 from signalrank.operators import features, library, ranking, store, vectors
+from signalrank.plans import lenses
 from signalrank.session import table
+from signalrank.sources import social
+from signalrank.sources.records import venue_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,27 +80,55 @@ def next_occurrence(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(dates.next_fifteenth(F.lit(6), day), "yyyy-MM-dd").alias("next_call"))
 
 
-@query("""SELECT l_orderkey, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.6 ELSE 0.3 END)::DOUBLE AS prestige, arg_min(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_linestatus)) AS primary_source FROM lineitem GROUP BY l_orderkey""")
+def sightings(spark, sf_dir):
+    """Line items as sightings (sighting_id, paper_id, source, source_url, raw_metadata) of orders."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_quantity").alias("sighting_id"), F.col("l_orderkey").alias("paper_id"),
+        F.when(F.col("l_returnflag") == "A", "nber").when(F.col("l_returnflag") == "R", "worldbank").otherwise("openalex").alias("source"),
+        F.when(F.col("l_tax") > 0.06, "https://zenodo.org/record").alias("source_url"),
+        F.when(F.col("l_quantity") >= 49, '{"journal": "American Economic Review"}').when(F.col("l_quantity") >= 47, '{"host_venue": {"display_name": "World Development"}}').alias("raw_metadata"),
+    )
+
+
+_SIGHTINGS = """s AS (SELECT l_orderkey AS paper_id, (l_linenumber, l_partkey, l_suppkey, l_linestatus, l_returnflag, l_quantity) AS k,
+ CASE l_returnflag WHEN 'A' THEN 'nber' WHEN 'R' THEN 'worldbank' ELSE 'openalex' END AS source, CASE l_returnflag WHEN 'A' THEN 100 WHEN 'R' THEN 86 ELSE 40 END AS priority,
+ CASE WHEN l_quantity >= 49 THEN 'American Economic Review' WHEN l_quantity >= 47 THEN 'World Development' END AS venue,
+ greatest(least(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.6 ELSE 0.3 END, CASE WHEN l_tax > 0.06 THEN 0.1 ELSE 1.0 END), CASE WHEN l_quantity >= 49 THEN 1.0 WHEN l_quantity >= 47 THEN 0.8 ELSE 0.0 END)::DOUBLE AS prestige FROM lineitem),
+g AS (SELECT paper_id, max(prestige) AS prestige, arg_min(source, k) AS source, arg_min(venue, k) FILTER (WHERE venue IS NOT NULL) AS venue, arg_max(source, priority) AS top FROM s GROUP BY paper_id),
+l AS (SELECT paper_id, string_agg(source, ',' ORDER BY priority DESC) AS sources FROM (SELECT DISTINCT paper_id, source, priority FROM s) GROUP BY paper_id)"""
+
+
+def attached(spark, sf_dir):
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"))
+    return lenses.attach_sources(papers, sightings(spark, sf_dir), venue_of(F.col("raw_metadata")))
+
+
+@query(f"""WITH {_SIGHTINGS} SELECT paper_id, prestige FROM g""")
 def prestige_max(spark, sf_dir):
-    """Best of all sightings and the first one's source."""
-    value = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.6).otherwise(0.3)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(value).alias("prestige"), F.min_by("l_linestatus", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")).alias("primary_source"))
+    """Best of all sightings of a paper, by source, link and journal."""
+    return features.prestige_scores(sightings(spark, sf_dir))
+
+
+@query(f"""WITH {_SIGHTINGS} SELECT o_orderkey AS paper_id, source, venue, coalesce(sources, '') AS sources FROM orders LEFT JOIN g ON g.paper_id = o_orderkey LEFT JOIN l ON l.paper_id = o_orderkey""")
+def primary_source(spark, sf_dir):
+    """First sighting's source, all sources by priority, first venue."""
+    return attached(spark, sf_dir).select("paper_id", "source", "venue", F.coalesce(F.array_join("sources", ","), F.lit("")).alias("sources"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS s FROM lineitem GROUP BY l_orderkey)
-SELECT s AS source, count(*)::BIGINT AS n, min(l_orderkey) AS first_seen FROM p GROUP BY s""")
+@query(f"""WITH {_SIGHTINGS} SELECT top AS source, count(*)::BIGINT AS n FROM orders LEFT JOIN g ON g.paper_id = o_orderkey GROUP BY top""")
 def source_mix(spark, sf_dir):
     """A08."""
-    primary = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("source"))
-    return primary.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_seen"))
+    return lenses.source_mix(attached(spark, sf_dir))
 
 
-@query(f"""WITH {_EDGES} SELECT paper_id, string_agg(s_name, '|' ORDER BY position, s_name) AS names, count(*)::BIGINT AS n FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id""")
+@query(f"""WITH {_EDGES}, a AS (SELECT paper_id, string_agg(s_name, '|' ORDER BY position, author_id) AS names, count(*) AS n FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id)
+SELECT o_orderkey AS paper_id, coalesce(names, '') AS names, coalesce(n, 0)::BIGINT AS n FROM orders LEFT JOIN a ON a.paper_id = o_orderkey""")
 def author_list_by_position(spark, sf_dir):
-    """Each author once, at the first position."""
-    named = edges(spark, sf_dir).join(features.small(authors(spark, sf_dir).select("author_id", "name")), "author_id")
-    listed = F.array_sort(F.collect_list(F.struct("position", "name")))
-    return named.groupBy("paper_id").agg(F.array_join(F.transform(listed, lambda x: x["name"]), "|").alias("names"), F.count(F.lit(1)).alias("n"))
+    """Each author once, at the first position; papers without any have none."""
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"))
+    found = lenses.attach_authors(papers, edges(spark, sf_dir), authors(spark, sf_dir))
+    return found.select("paper_id", F.array_join("authors", "|").alias("names"), F.size("authors").cast("long").alias("n"))
 
 
 @query(f"""WITH {_TIERS} SELECT e.paper_id, count(DISTINCT e.author_id)::BIGINT AS near_authors FROM e JOIN near USING (author_id) GROUP BY e.paper_id""")
@@ -115,50 +146,70 @@ def author_proximity(spark, sf_dir):
     return features.author_scores(edges(spark, sf_dir), authors(spark, sf_dir))
 
 
-@query(f"""WITH {_EDGES} SELECT paper_id, max(CASE WHEN n_name = 'INDIA' OR r_name = 'ASIA' THEN 1.0 ELSE 0.0 END)::DOUBLE AS home FROM e JOIN supplier ON s_suppkey = author_id
-JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY paper_id""")
+def papers(spark, sf_dir):
+    """Orders as papers (paper_id, title, abstract, published_at, first_seen)."""
+    home = F.when((F.col("o_orderstatus") == "P") & F.endswith("o_orderpriority", F.lit("LOW")), "Wages in India").otherwise("")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderpriority").alias("title"), home.alias("abstract"), day.alias("published_at"), F.col("o_orderdate").cast("date").alias("first_seen"))
+
+
+def located(spark, sf_dir):
+    """Suppliers as authors (author_id, country, affiliation)."""
+    rows = table(spark, sf_dir, "supplier").join(features.small(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    country = F.when(F.col("n_name") == "NATION_19", " in ").otherwise(F.col("n_name"))
+    return rows.select(F.col("s_suppkey").alias("author_id"), country.alias("country"), F.when(F.col("s_acctbal") > 9500, "School of Economics, Delhi").otherwise(F.col("s_name")).alias("affiliation"))
+
+
+_HOME = f"""{_EDGES}, h AS (SELECT DISTINCT paper_id FROM e JOIN supplier ON s_suppkey = author_id JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_19' OR s_acctbal > 9500),
+i AS (SELECT o_orderkey AS paper_id, CASE WHEN h.paper_id IS NOT NULL OR (o_orderstatus = 'P' AND o_orderpriority LIKE '%LOW') THEN 1.0 ELSE 0.0 END::DOUBLE AS india FROM orders LEFT JOIN h ON h.paper_id = o_orderkey)"""
+
+
+@query(f"WITH {_HOME} SELECT paper_id, india FROM i")
 def country_gate(spark, sf_dir):
-    """A paper passes when one of its authors' countries does."""
-    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    home = authors(spark, sf_dir).join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("author_id", ((F.col("n_name") == "INDIA") | (F.col("r_name") == "ASIA")).alias("home"))
-    return edges(spark, sf_dir).join(features.small(home), "author_id").groupBy("paper_id").agg(F.max(F.when(F.col("home"), 1.0).otherwise(0.0)).alias("home"))
-
-
-def order_features(spark, sf_dir):
-    """(paper_id, author, prestige, recency, social): orders with the features of papers."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderdate", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(
-        F.max(F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.6).otherwise(0.3)).alias("prestige"), F.count(F.lit(1)).alias("posts")
-    )
-    recency = dates.recency(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(AS_OF).cast("date"))
-    rows = orders.join(author_proximity(spark, sf_dir), "paper_id", "left").join(lines, "paper_id", "left")
-    return rows.select(
-        "paper_id", F.coalesce("author", F.lit(0.0)).alias("author"), F.coalesce("prestige", F.lit(0.3)).alias("prestige"), recency.alias("recency"),
-        F.when(F.col("posts") >= 3, 1.0).when(F.col("posts") >= 1, 0.5).otherwise(0.0).alias("social"),
-    )
+    """A paper passes by its text, or by an author's country or affiliation."""
+    return features.india_scores(papers(spark, sf_dir), edges(spark, sf_dir), located(spark, sf_dir))
 
 
-_FEATURES = f"""{_TIERS}, l AS (SELECT l_orderkey AS paper_id, max(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.6 ELSE 0.3 END)::DOUBLE AS prestige, count(*) AS posts FROM lineitem GROUP BY 1),
-f AS (SELECT o_orderkey AS paper_id, coalesce(author, 0.0) AS author, coalesce(prestige, 0.3)::DOUBLE AS prestige,
- CASE WHEN posts >= 3 THEN 1.0 WHEN posts >= 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS social,
- (SELECT CASE WHEN d < 0 THEN 0.5::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE WHEN d >= 90 THEN 0.0::DOUBLE ELSE 1.0 - (d - 7) / 83.0::DOUBLE END FROM (SELECT date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS d)) AS recency
- FROM orders LEFT JOIN t ON t.paper_id = o_orderkey LEFT JOIN l ON l.paper_id = o_orderkey)"""
-_SCORE = "round(0.05 * author + 0.35 * prestige + 0.05 * recency + 0.03 * social, 6)"
+PAPER_PHRASES, PAPER_CORE = ["urgent", "high", "not specified"], ["urgent"]
 
 
-def _score():
-    w = features.WEIGHTS
-    return F.round(w["author"] * F.col("author") + w["prestige"] * F.col("prestige") + w["recency"] * F.col("recency") + w["social"] * F.col("social"), 6)
+def scored_parts(spark, sf_dir):
+    """Tables of the features jel, author, prestige, social and india of orders."""
+    codes = table(spark, sf_dir, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("paper_id"), F.concat("l_returnflag", "l_linestatus").alias("code"))
+    weights = spark.sql("SELECT * FROM VALUES ('A', 0.9D), ('AF', 0.4D), ('N', 0.6D) AS w(prefix, weight)")
+    posts = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"))
+    home = features.india_scores(papers(spark, sf_dir), edges(spark, sf_dir), located(spark, sf_dir))
+    return [features.code_scores(codes, weights), author_proximity(spark, sf_dir), features.prestige_scores(sightings(spark, sf_dir)), features.social_scores(posts), home]
+
+
+_TIER_PART = _TIERS.removeprefix(f"{_EDGES}, ")
+_FEATURES = f"""{_HOME}, {_TIER_PART}, {_SIGHTINGS},
+c AS (SELECT l_orderkey AS paper_id, max(CASE l_returnflag || l_linestatus WHEN 'AF' THEN 0.4 WHEN 'AO' THEN 0.9 WHEN 'NF' THEN 0.6 WHEN 'NO' THEN 0.6 ELSE 0.1 END)::DOUBLE AS jel FROM lineitem WHERE l_linenumber > 2 GROUP BY 1),
+o AS (SELECT user_id AS paper_id, CASE WHEN count(*) >= 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS social FROM events GROUP BY 1),
+w AS (SELECT o_orderkey AS paper_id, least(1.0, CASE WHEN o_orderpriority LIKE '%URGENT' THEN 1.0 WHEN o_orderpriority LIKE '%HIGH' OR o_orderpriority LIKE '%NOT SPECIFIED' THEN 0.25 ELSE 0.0 END)::DOUBLE AS kw, o_orderdate::DATE AS day,
+ date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') AS d FROM orders),
+f AS (SELECT w.paper_id, day, kw, coalesce(jel, kw) AS jel, coalesce(t.author, 0.0) AS author, coalesce(g.prestige, 0.3)::DOUBLE AS prestige, coalesce(social, 0.0) AS social, india,
+ CASE WHEN d < 0 THEN 0.5::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE WHEN d >= 90 THEN 0.0::DOUBLE ELSE 1.0 - (d - 7) / 83.0::DOUBLE END AS recency
+ FROM w LEFT JOIN c USING (paper_id) LEFT JOIN t USING (paper_id) LEFT JOIN g USING (paper_id) LEFT JOIN o USING (paper_id) LEFT JOIN i USING (paper_id))"""
+_SCORE = "round(least(1.0, 0.15 * jel + 0.22 * kw + 0.05 * author + 0.35 * prestige + 0.05 * recency + 0.03 * social + CASE WHEN india > 0 THEN 0.05 * greatest(jel, kw) ELSE 0.0 END), 6)"
 
 
 @query(f"WITH {_FEATURES} SELECT paper_id, {_SCORE} AS relevance FROM f")
 def composite_score(spark, sf_dir):
-    """All features of all papers in one pass of grouped joins."""
-    return order_features(spark, sf_dir).select("paper_id", _score().alias("relevance"))
+    """All features of all papers in one pass of grouped joins, and their weighted sum."""
+    found = features.composite(papers(spark, sf_dir), scored_parts(spark, sf_dir), PAPER_PHRASES, PAPER_CORE, F.lit(AS_OF).cast("date"))
+    return found.select("paper_id", F.round("relevance", 6).alias("relevance"))
+
 
+@query(f"WITH {_FEATURES} SELECT paper_id, {_SCORE} AS relevance FROM f WHERE day >= DATE '{AS_OF}' - 60 ORDER BY day DESC, paper_id LIMIT 10000")
+def relevance_batch(spark, sf_dir):
+    """The papers first seen in the last sixty days, scored."""
+    found = features.relevance_batch(papers(spark, sf_dir), scored_parts(spark, sf_dir), PAPER_PHRASES, PAPER_CORE, F.lit(AS_OF).cast("date"), days=60)
+    return found.select("paper_id", F.round("relevance", 6).alias("relevance"))
 
-@query(f"""WITH {_FEATURES}, s AS (SELECT paper_id, {_SCORE} AS score FROM f)
-SELECT paper_id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS percentile FROM s""")
+
+@query(f"""WITH {_FEATURES}, sc AS (SELECT paper_id, {_SCORE} AS score FROM f)
+SELECT paper_id, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS percentile FROM sc""")
 def avg_rank_percentile(spark, sf_dir):
     """W01, through counts of distinct values: no task sorts all rows."""
     rows = composite_score(spark, sf_dir)
@@ -173,7 +224,7 @@ def combine_channels(spark, sf_dir):
     return rows.select("p_brand", "p_partkey", F.round(ranking.combined(["p_retailprice", "p_size"], ["p_brand"]), 6).alias("final"))
 
 
-@query(f"""WITH {_FEATURES}, s AS (SELECT paper_id, {_SCORE} AS score FROM f) SELECT paper_id, score FROM s WHERE score >= 0.2 ORDER BY score DESC, paper_id LIMIT 100""")
+@query(f"""WITH {_FEATURES}, sc AS (SELECT paper_id, {_SCORE} AS score FROM f) SELECT paper_id, score FROM sc WHERE score >= 0.2 ORDER BY score DESC, paper_id LIMIT 100""")
 def top_papers(spark, sf_dir):
     """The hundred best above a threshold."""
     rows = composite_score(spark, sf_dir).withColumnRenamed("relevance", "score")
@@ -208,29 +259,34 @@ def upsert_merge(spark, sf_dir):
     return store.upsert(new, rows.where("c_custkey % 3 <> 0"), ["c_custkey"], {"c_name": store.longest_of}).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
-_GOOD, _BAD, _STUDENT = ["steel", "brass"], ["copper", "tin"], ["small"]
+_GOOD, _BAD = ["steel", "brass", "econom"], ["copper", "tin", "promo"]
 
 
 def _count_sql(terms):
     return "(" + " + ".join(f"contains(t, '{x}')::INT" for x in terms) + ")"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, lower(p_type) AS t, p_size % 4 AS tier, p_size % 5 <> 0 AS eligible FROM part)
+@query(f"""WITH p AS (SELECT p_partkey, lower(p_type || ' ' || p_name) AS t, p_size % 4 AS tier, p_size % 5 AS who, p_size % 7 AS home FROM part)
 SELECT p_partkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round_even(CASE tier WHEN 1 THEN 0.88 WHEN 2 THEN 0.62 WHEN 3 THEN 0.42 ELSE 0.50 END::DOUBLE + least(0.12::DOUBLE, 0.03::DOUBLE * {_count_sql(_GOOD)})
- - 0.35::DOUBLE * least({_count_sql(_BAD)}, 2) + CASE WHEN {_count_sql(_STUDENT)} > 0 THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN eligible THEN 0 ELSE 0.12::DOUBLE END, 3))) AS score FROM p""")
+ - 0.35::DOUBLE * least({_count_sql(_BAD)}, 2) + CASE WHEN who IN (1, 2) THEN 0.03::DOUBLE ELSE 0 END - CASE WHEN home = 0 THEN 0.12::DOUBLE ELSE 0 END, 3))) AS score FROM p""")
 def funding_score(spark, sf_dir):
-    """R13."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", (F.col("p_size") % 4).alias("tier"), (F.col("p_size") % 5 != 0).alias("eligible"))
-    return parts.select("p_partkey", features.funding_score(F.col("p_type"), F.col("tier"), F.col("eligible"), _GOOD, _BAD, _STUDENT).alias("score"))
+    """Tiers by name, eligibility by what a call says of it, unknown India eligibility as fitting."""
+    by = lambda k, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_size") % k).cast("int") + 1)
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("text"), by(4, None, "core", "relevant", "peripheral").alias("tier"),
+        by(5, None, "phd_student", "both", "faculty", None).alias("eligibility"), F.when(F.col("p_size") % 7 == 0, False).when(F.col("p_size") % 7 == 1, True).alias("home"),
+    )
+    return rows.select("p_partkey", features.funding_score(F.col("text"), F.col("tier"), F.col("eligibility"), F.col("home"), _GOOD, _BAD).alias("score"))
 
 
 @query("""WITH p AS (SELECT c_custkey, min(o_orderkey) AS paper_id FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
 SELECT event_id, paper_id FROM events LEFT JOIN p ON c_custkey = user_id""")
 def post_doc_link(spark, sf_dir):
-    """Posts to the first paper of their key, without fan-out."""
-    firsts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias("paper_id"))
-    known = firsts.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi")
-    return table(spark, sf_dir, "events").select("event_id", "user_id").join(known, "user_id", "left").select("event_id", "paper_id")
+    """Posts to the first paper of their DOI, without fan-out."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    papers = table(spark, sf_dir, "orders").join(known, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("paper_id"), F.concat(F.lit("doi:10.1234/C"), F.col("o_custkey")).alias("doi"))
+    posts = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://doi.org/10.1234/c"), F.col("user_id")).alias("doi"))
+    return social.linked(posts, papers).select("event_id", "paper_id")
 
 
 @query("""WITH l AS (SELECT embedding AS v FROM embeddings WHERE vec_id % 10 = 0), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 10 <> 0),
@@ -273,10 +329,14 @@ def recent_papers(spark, sf_dir):
     return orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).orderBy(F.desc("day"), "o_orderkey").limit(50)
 
 
-@query("""WITH d AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS keep, arg_max(c_name, (length(c_name), -c_custkey)) AS longest FROM customer GROUP BY ALL HAVING count(*) > 1)
-SELECT c_nationkey, c_mktsegment, n::BIGINT AS n, keep, longest FROM d""")
+@query("""WITH c AS (SELECT *, c_nationkey || '|' || c_mktsegment AS key, CASE WHEN c_custkey % 3 = 0 THEN c_name || ', Ltd' ELSE c_name END AS affiliation FROM customer),
+d AS (SELECT key, min(c_custkey) AS keep, arg_max(affiliation, (length(affiliation), -c_custkey)) AS longest FROM c GROUP BY key),
+m AS (SELECT keep, count(*) AS links, min(o_orderdate) AS position FROM (SELECT DISTINCT o_orderkey, keep, o_orderdate FROM orders JOIN c ON c_custkey = o_custkey JOIN d USING (key)) GROUP BY keep)
+SELECT d.key, d.keep, longest, coalesce(links, 0)::BIGINT AS links FROM d LEFT JOIN m ON m.keep = d.keep""")
 def duplicate_survivors(spark, sf_dir):
-    """Repeated keys with the least id and the longest name."""
-    best = F.max_by("c_name", F.struct(F.length("c_name"), -F.col("c_custkey")))
-    found = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("keep"), best.alias("longest"))
-    return found.where("n > 1")
+    """Of repeated keys the row with the least id and the longest text, with all links of the others."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("|", "c_nationkey", "c_mktsegment").alias("key"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(", Ltd"))).otherwise(F.col("c_name")).alias("affiliation"))
+    links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("c_custkey"), F.lit(0).alias("position"))
+    kept, moved = store.collapse_duplicates(rows, links, "key", "c_custkey")
+    counts = moved.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("links"))
+    return kept.join(counts, "c_custkey", "left").select("key", F.col("c_custkey").alias("keep"), F.col("affiliation").alias("longest"), F.coalesce("links", F.lit(0)).alias("links"))

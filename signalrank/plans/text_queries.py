@@ -115,26 +115,23 @@ def word_freq_tfidf(spark, sf_dir):
 
 
 PHRASES, CORE = ["the", "that with", "und", "para", "dans", "from"], ["und", "para"]
-_HIT = " + ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])({p})($|[^a-z0-9_])') THEN {1.0 if p in CORE else 0.25} ELSE 0.0 END" for p in sorted(PHRASES))
+#: A phrase ends where no letter, digit or underscore of any script follows.
+_PHRASE = "(^|[^\\p{L}\\p{N}_])(%s)($|[^\\p{L}\\p{N}_])"
+_HIT = " + ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN {1.0 if p in CORE else 0.25} ELSE 0.0 END" for p in sorted(PHRASES))
+_TOPICS = ", ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN '{p}' END" for p in PHRASES)
 
 
-@query(f"""WITH a AS (SELECT doc_id, lower(text) AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT doc_id, least(1.0, {_HIT})::DOUBLE AS score FROM a""")
+@query(f"WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, least(1.0, {_HIT})::DOUBLE AS score FROM a")
 def keyword_score(spark, sf_dir):
-    """R02 on ASCII texts, where word ends agree between engines."""
-    docs = table(spark, sf_dir, "documents").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    return docs.select("doc_id", features.keyword_score(F.lit(""), F.col("text"), PHRASES, CORE).alias("score"))
-
-
-_TOPICS = ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])({p})($|[^a-z0-9_])') THEN '{p}' END" for p in PHRASES)
+    """R02."""
+    return table(spark, sf_dir, "documents").select("doc_id", features.keyword_score(F.lit(""), F.col("text"), PHRASES, CORE).alias("score"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, lower(text) AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
+@query(f"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_filter([{_TOPICS}], lambda x: x IS NOT NULL)), '|') AS topics FROM a""")
 def matched_topics(spark, sf_dir):
     """M07."""
-    docs = table(spark, sf_dir, "documents").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    return docs.select("doc_id", F.array_join(features.matched_topics(F.col("text"), PHRASES), "|").alias("topics"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(features.matched_topics(F.col("text"), PHRASES), "|").alias("topics"))
 
 
 @query("""SELECT p_partkey, CASE WHEN starts_with(p_type, 'PROMO B') THEN 0.9 WHEN starts_with(p_type, 'PROMO') THEN 0.7 WHEN starts_with(p_type, 'S') THEN 0.4 WHEN starts_with(p_type, 'E') THEN 0.5 ELSE 0.1 END::DOUBLE AS weight FROM part""")
@@ -150,7 +147,7 @@ SELECT doc_id, lang FROM r WHERE k = 1""")
 def keep_first_dedup(spark, sf_dir):
     """U03 by exact text; the key is the text's digest, so whole texts are not shuffled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("key"))
-    return docs.groupBy("key").agg(F.min(F.struct("doc_id", "lang")).alias("r")).select("r.*")
+    return resolve.keep_first(docs, "key", "doc_id").select("doc_id", "lang")
 
 
 @query("SELECT max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang FROM documents GROUP BY text")
@@ -275,53 +272,21 @@ def merge_metadata_all(spark, sf_dir):
     return copied.join(resolve.merged_all(papers, "key", "doc_id", F.col("paper_type")), "key").select("id", "paper_type", F.array_join("keywords", ",").alias("keywords"), "n_chars")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\\s*(the|this|an?)\\s+(image|photo|picture|graphic|graph|chart|visual\\b|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)') THEN 'caption'
- WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(the)($|[^a-z0-9_])') THEN 'topic' ELSE 'other' END AS verdict FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
-def post_gate(spark, sf_dir):
-    """P01, P03 on conversation turns."""
-    rows = table(spark, sf_dir, "conversations").where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    verdict = F.when(predicates.is_caption(F.col("text")), "caption").when(predicates.names_topic(F.col("text"), ["the"]), "topic").otherwise("other")
-    return rows.select("conv_id", "turn", verdict.alias("verdict"))
-
-
-@query("""SELECT conv_id, turn, substr(t, 1, 160) || CASE WHEN length(t) > 160 THEN '…' ELSE '' END AS line FROM (
- SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) WHERE length(t) <= 160 OR substr(t, 160, 1) <> ' '""")
-def snippets(spark, sf_dir):
-    """F23."""
-    t = text.squeeze(F.col("text"))
-    rows = table(spark, sf_dir, "conversations").where((F.length(t) <= 160) | (F.substring(t, 160, 1) != " "))
-    return rows.select("conv_id", "turn", text.snippet(F.col("text"), 160).alias("line"))
-
-
-#: The four queries above leave rows out, in their SQL too. Those below run over all rows: a phrase ends where no letter, digit or underscore of any script follows.
-_PHRASE = "(^|[^\\p{L}\\p{N}_])(%s)($|[^\\p{L}\\p{N}_])"
-_HIT_ALL = " + ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN {1.0 if p in CORE else 0.25} ELSE 0.0 END" for p in sorted(PHRASES))
-_TOPICS_ALL = ", ".join(f"CASE WHEN regexp_matches(t, '{_PHRASE % p}') THEN '{p}' END" for p in PHRASES)
-
-
-@query(f"WITH a AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, least(1.0, {_HIT_ALL})::DOUBLE AS score FROM a")
-def keyword_score_all(spark, sf_dir):
-    """R02 on all documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", features.keyword_score(F.lit(""), F.col("text"), PHRASES, CORE).alias("score"))
-
-
-@query(f"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_filter([{_TOPICS_ALL}], lambda x: x IS NOT NULL)), '|') AS topics FROM a""")
-def matched_topics_all(spark, sf_dir):
-    """M07 on all documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(features.matched_topics(F.col("text"), PHRASES), "|").alias("topics"))
-
-
 @query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\\s*(the|this|an?)\\s+(image|photo|picture|graphic|graph|chart|visual($|[^\\p{{L}}\\p{{N}}_])|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)') THEN 'caption'
  WHEN regexp_matches(lower(text), '{_PHRASE % "the"}') THEN 'topic' ELSE 'other' END AS verdict FROM conversations""")
-def post_gate_all(spark, sf_dir):
-    """P01, P03 on all conversation turns."""
+def post_gate(spark, sf_dir):
+    """P01, P03 on conversation turns."""
     verdict = F.when(predicates.is_caption(F.col("text")), "caption").when(predicates.names_topic(F.col("text"), ["the"]), "topic").otherwise("other")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", verdict.alias("verdict"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(t) > 160 THEN rtrim(substr(t, 1, 160), ' ') || '…' ELSE t END AS line FROM (
  SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM conversations)""")
-def snippets_all(spark, sf_dir):
-    """F23 on all conversation turns."""
+def snippets(spark, sf_dir):
+    """F23."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(F.col("text"), 160).alias("line"))
+
+
+#: Former names of the whole-table forms.
+for _name in ("keyword_score", "matched_topics", "post_gate", "snippets"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalrank.functions import dates, text
+from signalrank.operators import features
 from signalrank.sources.records import parsed
 from signalrank.sources.schemas import GRANTS
 
@@ -21,7 +22,26 @@ def grant_calls(rows: DataFrame, terms: str = GRANT_TERMS) -> DataFrame:
         F.lit("grant").alias("type"), text.squeeze(text.decode_twice(F.col("title"))).alias("name"), F.trim("agency").alias("organization"), due.alias("deadline_date"),
         F.concat(F.lit("https://www.grants.gov/search-results-detail/"), F.col("id")).alias("url"), F.array_join("cfdaList", ", ").alias("programs"),
     )
-    return found.where(F.rlike("name", F.lit(terms)) & F.col("deadline_date").isNotNull()).dropDuplicates(["name"])
+    fits = found.where(F.rlike("name", F.lit(terms)) & F.col("deadline_date").isNotNull())
+    return fits.groupBy("name").agg(F.min(F.struct("deadline_date", "url", *(c for c in found.columns if c not in ("name", "deadline_date", "url")))).alias("x")).select("name", "x.*").select(*found.columns)
+
+
+def scored_calls(rows: DataFrame, gate: float = features.GATE) -> DataFrame:
+    """Calls (name, organization, description, tier, eligibility, india_eligible) with their `relevance`; those without a tier need the gate."""
+    text_of = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")), F.coalesce("organization", F.lit("")))
+    found = rows.withColumn("relevance", features.funding_score(text_of, F.col("tier"), F.col("eligibility"), F.col("india_eligible")))
+    return found.where(F.col("tier").isNotNull() | (F.col("relevance") >= gate))
+
+
+def funding_calls(hits: DataFrame, registry: DataFrame, today: Column) -> DataFrame:
+    """Grant hits and the dates of a registry (name, organization, url, description, tier, eligibility, india_eligible, explicit, month, second_month, recurrence), scored; of one name and date the registry's stays."""
+    columns = ["name", "organization", "url", "description", "tier", "eligibility", "india_eligible", "deadline_date"]
+    none = F.lit(None).cast("string")
+    found = hits.select("name", "organization", "url", F.lit("").alias("description"), none.alias("tier"), none.alias("eligibility"), none.cast("boolean").alias("india_eligible"), "deadline_date")
+    known = curated_calls(registry, today).select(*columns)
+    same = F.lower(F.trim("k.name")) == F.lower(F.trim("h.name"))
+    rest = found.alias("h").join(known.alias("k"), same & F.col("k.deadline_date").eqNullSafe(F.col("h.deadline_date")), "left_anti")
+    return scored_calls(known.unionByName(rest.select(*columns)))
 
 
 def curated_calls(registry: DataFrame, today: Column) -> DataFrame:

@@ -17,7 +17,13 @@ def no_texts() -> Column:
 
 def read_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Elements `tag` of the XML files under `path`, namespaces dropped; elements that are no XML go."""
-    return spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").option("ignoreNamespace", "true").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").option("ignoreNamespace", "true").schema(schema).load(path)
+    return rows.select("*", file_order().alias("seq"))
+
+
+def file_order() -> Column:
+    """Place of a row in the files it is read from: file, part of the file, row. Only the last comes from the partition, where it follows the part."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
 
 
 def _clean_list(items: Column) -> Column:
@@ -25,14 +31,14 @@ def _clean_list(items: Column) -> Column:
 
 
 def arxiv_papers(entries: DataFrame) -> DataFrame:
-    """Papers of Atom entries. Versions are no part of the id; of repeated ids the first row stays. Extra columns: arxiv_id, pdf_url, primary_category, comment."""
+    """Papers of Atom entries. Versions are no part of the id; of repeated ids the first in the files stays, or by id and title where `seq` is not given. Extra columns: arxiv_id, pdf_url, primary_category, comment."""
     paper_id = text.arxiv_id(F.trim("id"))
     base = text.strip_version(paper_id)
     last = lambda fits: F.element_at(F.filter("link", fits), -1)["_href"]
     page = last(lambda x: (x["_rel"] == "alternate") & F.coalesce(x["_type"] != "application/pdf", F.lit(True)))
     pdf = last(lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf"))
     some_link = F.size(F.coalesce("link", F.array().cast("array<struct<_href:string,_rel:string,_type:string,_title:string>>"))) > 0
-    rows = entries.withColumn("seq", F.monotonically_increasing_id()).select(
+    rows = (entries if "seq" in entries.columns else entries.withColumn("seq", F.struct("id", "title"))).select(
         text.squeeze(F.col("title")).alias("title"), _clean_list(F.transform("author", lambda a: a["name"])).alias("authors"), F.nullif(text.squeeze(F.col("summary")), F.lit("")).alias("abstract"),
         text.blank_to_null(F.col("doi")).alias("doi"), F.when(some_link, F.try_element_at(F.transform(F.array(page), lambda x: x), F.lit(1))).alias("page"),
         F.date_format(dates.parse_iso(F.col("published")), "yyyy-MM-dd").alias("published_at"), F.lit("working_paper").alias("paper_type"), no_texts().alias("jel_codes"),

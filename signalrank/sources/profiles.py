@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from signalrank.operators.incremental import votes_of_export
 from signalrank.operators.library import pivot_items
+from signalrank.sources.feeds import file_order
 from signalrank.sources.schemas import FEEDBACK
 
 
@@ -46,7 +47,7 @@ def weights_json(weights: DataFrame, default: float) -> str:
 def votes(spark: SparkSession, path: str) -> DataFrame:
     """(paper_id, interesting, at, seq) of an append-only JSON lines log; malformed lines go. seq follows the log."""
     rows = spark.read.schema(FEEDBACK).option("mode", "DROPMALFORMED").json(path)
-    return rows.where("paper_id is not null and interesting is not null").withColumn("seq", F.monotonically_increasing_id())
+    return rows.where("paper_id is not null and interesting is not null").select("*", file_order().alias("seq"))
 
 
 def imported(exports: DataFrame, log: DataFrame) -> DataFrame:

@@ -108,3 +108,25 @@ def test_predicates(spark):
     assert yes(predicates.names_india(F.lit("in Indiana"))) and not yes(predicates.names_india(F.lit("in France"))) and yes(predicates.is_editorial(F.lit(" Front Matter "))) and not yes(predicates.is_editorial(F.lit("Matter")))
     clean = lambda name, due, curated: yes(predicates.is_clean_deadline(F.lit(name), F.lit(due).cast("date"), F.lit(curated)))
     assert clean("Grant", "2026-01-01", False) and clean("Grant", None, True) and not clean("Grant", None, False) and not clean("The image of", "2026-01-01", True)
+
+
+def test_folding_agrees_with_unicode(spark):
+    """Every character that decomposes, alone and in a text, against the exact form."""
+    import unicodedata
+
+    chars = [chr(k) for k in range(0x80, 0x1F300) if unicodedata.decomposition(chr(k)) and not 0xD800 <= k < 0xE000]
+    rows = [(c,) for c in chars] + [("Nguyễn Thị Ế",), ("ﬁscal policy",), ("Ａｂｃ … ½ ™ № straße Øre",), ("plain",), (None,), ("",), ("日本語 text",)]
+    found = spark.createDataFrame(rows, "t string").select("t", text.strip_accents(F.col("t")).alias("a"), text.strip_accents_exact(F.col("t")).alias("b")).collect()
+    assert [r for r in found if r["a"] != r["b"]] == []
+    assert one(spark, text.normalize_title(F.lit("Nguyễn Thị Ế: ﬁscal policy"))) == "nguyen thi e fiscal policy"
+    assert one(spark, text.normalize_name(F.lit("Nguyễn Thị Ế"))) == "nguyen thi e"
+
+
+def test_series_go_until_none_is_left(spark):
+    nested = "a title"
+    for k in range(6):
+        nested = f"working {nested} paper" if k == 0 else f"working working paper paper {nested}"
+    deep = "w" * 0 + "working " * 5 + "paper " * 5 + "on trade"
+    assert one(spark, text.normalize_title(F.lit(deep))) == "on trade"
+    assert "working paper" not in one(spark, text.normalize_title(F.lit(nested)))
+    assert one(spark, text.normalize_title(F.lit("nnbernbernber w paper"))) == "nnbernbernber w paper"

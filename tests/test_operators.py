@@ -116,8 +116,10 @@ def test_features(spark):
     people = lambda tracked: spark.createDataFrame([(1, tracked, False), (2, False, False), (3, False, True), (4, False, False)], "author_id int, is_tracked boolean, auto_discovered boolean")
     assert {r["paper_id"]: r["author"] for r in features.author_scores(edges, people(True)).collect()} == {1: 1.0, 2: 1.0, 3: 0.5, 4: 0.3, 5: 0.0}
     assert {r["author"] for r in features.author_scores(edges, people(False)).collect()} == {0.0}
-    fund = lambda t, tier, ok=True: one(features.funding_score(F.lit(t), F.lit(tier).cast("string"), F.lit(ok), ["urban", "housing"], ["biomedical"], ["phd"]))
-    assert fund("urban housing", "1") == 0.94 and fund("x", "1") > fund("x", "2") > fund("x", "3") and fund("x", None) == 0.5 and fund("biomedical", "3") == 0.07 and fund("phd", "2", False) == 0.53
+    fund = lambda t, tier, ok=True: one(features.funding_score(F.lit(t), F.lit(tier).cast("string"), F.lit("phd_student" if "phd" in t else None).cast("string"), F.lit(ok), ["urban", "housing"], ["biomedical"]))
+    assert fund("urban housing", "core") == 0.94 and fund("x", "core") > fund("x", "relevant") > fund("x", "peripheral") and fund("x", None) == 0.5 and fund("biomedical", "peripheral") == 0.07 and fund("phd", "relevant", False) == 0.53
+    assert one(features.funding_score(F.lit("Instrumentation"), F.lit(None).cast("string"), F.lit("both"), F.lit(None).cast("boolean"))) == 0.18
+    assert one(features.funding_score(F.lit("Poverty and urban housing in India"), F.lit("core"), F.lit("faculty"), F.lit(True))) == 1.0
 
 
 def test_composite(spark):
