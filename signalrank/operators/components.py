@@ -19,17 +19,17 @@ def components(edges: DataFrame, most_broadcast: int | None = None) -> DataFrame
     spark = edges.sparkSession
     with scratch(spark) as kept:
         either = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-        both = cut(edges.where("a <> b").select(either).select("e.a", "e.b").distinct())
-        labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+        both = cut(edges.where("a <> b").select(either).select("e.a", "e.b").distinct(), narrow=True)
+        labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), narrow=True)
         for _ in range(MAX_ROUNDS):
             small = sized(labels, most_broadcast)
             near = both.join(small.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
             lower = near.join(small, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
             parents = small.select(F.col("node").alias("label"), F.col("label").alias("above"))
-            jumped = cut(lower.join(parents, "label").select("node", "old", F.least("label", "above").alias("label")))
+            jumped = cut(lower.join(parents, "label").select("node", "old", F.least("label", "above").alias("label")), narrow=True)
             labels = jumped.select("node", "label")
             if jumped.where("old <> label").isEmpty():
-                return kept(labels)
+                return kept(labels, narrow=True)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import predicates, text
 from signalrank.operators import features, resolve, similarity
-from signalrank.operators.components import groups
 from signalrank.session import table
 
 QUERIES: dict = {}
@@ -186,43 +185,6 @@ def set_similarity_groups(spark, sf_dir):
     return copies.unionByName(similarity.representative_pairs(sets, 0.7).select(F.lit("pair").alias("kind"), "a", "b", F.round("jaccard", 6).alias("jaccard")))
 
 
-def _work_edges(spark, sf_dir):
-    """Edges of the same line set: equal sets are tied to the first of them, different ones by the join."""
-    return set_similarity_groups(spark, sf_dir).select("a", "b")
-
-
-@query(f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
-r(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.id WHERE r.low < g.b)
-SELECT id AS doc_id, min(low) AS cluster FROM r GROUP BY id""")
-def same_work_components(spark, sf_dir):
-    """Connected components of similar first lines."""
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
-    return groups(nodes, _work_edges(spark, sf_dir)).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
-
-
-@query(f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
-r(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.id WHERE r.low < g.b),
-m AS (SELECT id, min(low) AS cluster FROM r GROUP BY id),
-d AS (SELECT doc_id, source, n_chars, cluster FROM documents JOIN m ON id = doc_id)
-SELECT cluster, arg_max(doc_id, (n_chars, -doc_id)) AS best_id, max(n_chars) AS n_chars, count(*)::BIGINT AS members, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM d GROUP BY cluster""")
-def collapse_duplicates(spark, sf_dir):
-    """One row per cluster, the longest member as its record."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    rows = docs.join(same_work_components(spark, sf_dir), "doc_id")
-    best = F.max_by("doc_id", F.struct(F.col("n_chars"), -F.col("doc_id")))
-    return rows.groupBy("cluster").agg(
-        best.alias("best_id"), F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")
-    )
-
-
-@query(f"""WITH b AS (SELECT DISTINCT {LINE} AS k FROM benchmark)
-SELECT doc_id, lang FROM documents WHERE {LINE} NOT IN (SELECT k FROM b)""")
-def seen_suppression(spark, sf_dir):
-    """Documents whose first line no benchmark item has."""
-    seen = table(spark, sf_dir, "benchmark").select(first_line().alias("line")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", first_line().alias("line")).join(seen, "line", "left_anti").select("doc_id", "lang")
-
-
 @query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE lang = 'en')
 SELECT doc_id, source, n_chars FROM d WHERE k <= 3""")
 def per_source_top(spark, sf_dir):
@@ -248,17 +210,6 @@ def feed_filter(spark, sf_dir):
     return rows.where(predicates.feed_filter(["src0", "src1", "src2"], 500.0, [], "and", False, False, False)).select("doc_id", "source", "n_chars")
 
 
-@query("""WITH d AS (SELECT text, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY text HAVING count(*) > 1),
-x AS (SELECT o.doc_id AS id, o.source AS os, n.source AS ns, o.n_chars AS oc, n.n_chars AS nc FROM d JOIN documents o ON o.doc_id = d.a JOIN documents n ON n.doc_id = d.b)
-SELECT id, CASE WHEN ns > os THEN ns ELSE os END AS paper_type, CASE WHEN os = ns THEN os ELSE os || ',' || ns END AS keywords, greatest(oc, nc) AS n_chars FROM x""")
-def merge_metadata(spark, sf_dir):
-    """U05 on the first and last of equal documents: ordered union, longer text, greater rank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("key"))
-    pairs = docs.groupBy("key").agg(F.min(F.struct("doc_id", "source", "n_chars")).alias("o"), F.max(F.struct("doc_id", "source", "n_chars")).alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    words = F.array_distinct(F.array("o.source", "n.source"))
-    return pairs.select(F.col("o.doc_id").alias("id"), F.greatest("o.source", "n.source").alias("paper_type"), F.array_join(words, ",").alias("keywords"), F.greatest("o.n_chars", "n.n_chars").alias("n_chars"))
-
-
 @query("""WITH d AS (SELECT text, min(doc_id) AS id, max(source) AS paper_type, max(n_chars) AS n_chars FROM documents GROUP BY text HAVING count(*) > 1),
 s AS (SELECT text, source, min(doc_id) AS first FROM documents GROUP BY text, source),
 k AS (SELECT text, string_agg(source, ',' ORDER BY first) AS keywords FROM s GROUP BY text)

@@ -54,8 +54,17 @@ class _Scopes(threading.local):
 _scopes = _Scopes()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written as a table to the shared checkpoint folder and read again, so that later steps neither run it again nor depend on executors."""
+#: Tables of narrow rows are written in at most this many files for each core.
+FILES_PER_CORE = 2
+
+
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """`df` written as a table to the shared checkpoint folder and read again, so that later steps neither run it again nor depend on executors.
+
+    narrow: its rows are ids, counts or the like, so that a file for each partition would be a small one.
+    """
+    if narrow:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     if _scopes.paths:
         _scopes.paths[-1].append(path)
@@ -69,15 +78,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Removes the tables that `cut` writes inside, when it ends. It yields a `cut` whose table stays, for the result."""
     paths: list[str] = []
     _scopes.paths.append(paths)
 
-    def kept(df: DataFrame) -> DataFrame:
+    def kept(df: DataFrame, narrow: bool = False) -> DataFrame:
         held = _scopes.paths.pop()
         try:
-            return cut(df)
+            return cut(df, narrow)
         finally:
             _scopes.paths.append(held)
 
