@@ -21,7 +21,7 @@ from signalrank.session import cut, fits, scratch, sized, small_batches, table
 
 WINDOW = 10
 #: Terms of a window whose posting lists are stored and intersected.
-ANCHORS = 3
+ANCHORS = 2
 #: Windows whose words take up to this many bytes are broadcast; beyond it postings meet the windows in a shuffle join.
 MAX_BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,21 +101,22 @@ def sized_index(index: DataFrame, most: int) -> DataFrame:
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcast: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(stored, found): the index, and (doc_id, text_hash, hits) of documents with occurrences; hits: array of (start, length, items), start from 1."""
     most = MAX_BROADCAST_BYTES if max_broadcast is None else max_broadcast
-    windows = cut(windows_of(items, window=window))
-    terms = cut(windows.select(F.explode("win").alias("term")).distinct())
+    windows = cut(windows_of(items, window=window), narrow=True)
+    terms = cut(windows.select(F.explode("win").alias("term")).distinct(), narrow=True)
     small = fits(terms, most)
-    index = cut(anchors(windows, term_counts(docs, terms, small, text_col)))
-    rare = cut(index.select(F.explode("anchors.term").alias("term")).distinct())
+    index = cut(anchors(windows, term_counts(docs, terms, small, text_col)), narrow=True)
+    rare = cut(index.select(F.explode("anchors.term").alias("term")).distinct(), narrow=True)
     stored = cut(postings(docs, rare, fits(rare, most), id_col, text_col))
-    asked = cut(candidates(stored, index, max_broadcast=most).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("win", "items", "start")).alias("asked")))
+    asked = cut(candidates(stored, index, max_broadcast=most).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("win", "items", "start")).alias("asked")), narrow=True)
     places = asked.select(F.col("doc_id").alias("asked_id"), F.col("text_hash").alias("asked_hash"))
     places = F.broadcast(places) if fits(places, most) else places
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     texts = own.join(places, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_hash") == F.col("asked_hash")), "left_semi")
     both = texts.alias("d").join(asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash")))
-    rows = both.select("d.doc_id", "d.text_hash", words_of(F.col("d.text")).alias("words"), "asked")
-    true = F.filter("asked", lambda x: F.slice("words", x["start"], F.size(x["win"])) == x["win"])
-    hits = F.transform(true, lambda x: F.struct(x["start"].alias("start"), F.size(x["win"]).alias("length"), x["items"].alias("items")))
+    # Inside the lambda a text's words are made once, not for every window that is asked for.
+    true = F.get(F.transform(F.array(words_of(F.col("d.text"))), lambda words: F.filter("asked", lambda x: F.slice(words, x["start"], F.size(x["win"])) == x["win"])), F.lit(0))
+    rows = both.select("d.doc_id", "d.text_hash", true.alias("true"))
+    hits = F.transform("true", lambda x: F.struct(x["start"].alias("start"), F.size(x["win"]).alias("length"), x["items"].alias("items")))
     return stored, rows.select("doc_id", "text_hash", hits.alias("hits")).where(F.size("hits") > 0).dropDuplicates(["doc_id", "text_hash"])
 
 
@@ -137,13 +138,13 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_broadcas
             lambda acc: acc["n"],
         )
         ids = F.array_sort(F.array_distinct(F.flatten("hits.items")))
-        hit = sized(cut(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), covered.alias("hit"), F.size(ids).alias("n_ids"), F.sha2(F.concat_ws(",", ids), 256).alias("sha"))))
+        hit = sized(cut(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), covered.alias("hit"), F.size(ids).alias("n_ids"), F.sha2(F.concat_ws(",", ids), 256).alias("sha")), narrow=True))
         at = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
         every = stored.where("term = ''").join(hit, at, "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         return kept(every.select(
             "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_ids", F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"), "text_hash",
-        ))
+        ), narrow=True)
 
 
 def proximity(docs: DataFrame, queries: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +173,7 @@ def proximity(docs: DataFrame, queries: DataFrame, span: int, id_col: str = "doc
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without those of which more than the share `most` of the words is hit; all columns kept."""
     bad = report(docs, items, id_col=id_col, text_col=text_col).where(F.col("contaminated") & (F.col("n_hit") > most * F.col("n_words")))
-    bad = sized(cut(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()))
+    bad = sized(cut(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), narrow=True))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
     return rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti").select("row.*")
 

@@ -83,13 +83,13 @@ def entered(batches: list[DataFrame], index: DigestIndex, id_col: str = "doc_id"
     """(digest, doc_id, copies, keep_id, group_size) of all rows of `batches`, which go into the index one after another."""
     own = []
     for batch in batches:
-        own.append(cut(groups(batch, id_col, text_col)))
+        own.append(cut(groups(batch, id_col, text_col), narrow=True))
         index.append(own[-1].groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies")))
     own = reduce(DataFrame.unionByName, own)
     total = own.agg(F.sum("copies")).first()[0] or 0
     often = own.groupBy("digest").agg(F.sum("copies").alias("n")).where(F.col("n") >= max(HOT_LEAST, int(total * HOT_SHARE))).select("digest")
     kept = index.rows()
-    hot = F.broadcast(cut(kept.join(F.broadcast(often), "digest")))  # both at most 1 / HOT_SHARE rows, by the rows of these batches
+    hot = F.broadcast(cut(kept.join(F.broadcast(often), "digest"), narrow=True))  # both at most 1 / HOT_SHARE rows, by the rows of these batches
     return own.join(hot, "digest").unionByName(own.join(hot.select("digest"), "digest", "left_anti").join(kept.hint("merge"), "digest"))
 
 
@@ -108,7 +108,7 @@ def report(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
             "doc_id", "keep_id", "group_size", same.alias("same"),
             F.lower(F.hex("digest")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
         )
-        return keep(every.select("doc_id", "keep_id", "group_size", (F.col("same") & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
+        return keep(every.select("doc_id", "keep_id", "group_size", (F.col("same") & (F.col("copy") == 1)).alias("kept"), "text_sha256"), narrow=True)
 
 
 def parts_of(docs: DataFrame, id_col: str, increments: int) -> list[DataFrame]:
@@ -127,11 +127,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in
     """`docs` without the rows that `report` drops, all columns kept."""
     spark = small_batches(docs.sparkSession)
     with scratch(spark) as keep:
-        found = cut(entered([docs], index or DigestIndex(spark), id_col, text_col))
+        found = cut(entered([docs], index or DigestIndex(spark), id_col, text_col), narrow=True)
         same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         named = [F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")]
-        gone = sized(keep(found.where(~same).select(*named)))
-        twice = keep(found.where(same & (F.col("copies") > 1)).select(*named))
+        gone = sized(keep(found.where(~same).select(*named), narrow=True))
+        twice = keep(found.where(same & (F.col("copies") > 1)).select(*named), narrow=True)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), digest(text_col).alias("own_digest"))
     at = F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_digest") == F.col("found_digest"))
     left = rows.join(gone, at, "left_anti")

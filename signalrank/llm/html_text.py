@@ -340,7 +340,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     # Beyond max_broadcast bytes the winning paths meet the pages in a shuffle join.
-    paths = sized(cut(winners(votes(rows))), max_broadcast)
+    paths = sized(cut(winners(votes(rows)), narrow=True), max_broadcast)
     joined = rows.join(paths, "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

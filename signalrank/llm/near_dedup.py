@@ -169,7 +169,7 @@ def nodes_of(drawn: DataFrame) -> DataFrame:
     some = drawn.where("node is not null")
     entries = some.select("tag", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
-    cells = entries.join(sized(cut(shared)), "key").groupBy("tag").agg(F.collect_set(F.struct("key", "size")).alias("cells"))
+    cells = entries.join(sized(cut(shared, narrow=True)), "key").groupBy("tag").agg(F.collect_set(F.struct("key", "size")).alias("cells"))
     first = some.groupBy("tag").agg(F.min(F.struct("doc_id", "text_hash", "n", "node", "registers")).alias("x"))
     company = F.aggregate("cells", F.lit(0).cast("long"), lambda total, c: total + c["size"])
     return cells.join(first, "tag").select("tag", "x.*", F.col("cells.key").alias("keys"), (-company).alias("lead"))
@@ -267,7 +267,7 @@ def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
     named = nodes.join(top, "tag", "left").select("tag", F.coalesce("part", "tag").alias("part"), "doc_id", "text_hash", "n", "keys")
     placed = named.select("tag", "part", "doc_id", "text_hash", "n", F.explode("keys").alias("key"))
     several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    return placed.join(sized(cut(several)), "key").groupBy("tag", "part", "doc_id", "text_hash", "n").agg(F.collect_set("key").alias("keys"))
+    return placed.join(sized(cut(several, narrow=True)), "key").groupBy("tag", "part", "doc_id", "text_hash", "n").agg(F.collect_set("key").alias("keys"))
 
 
 def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -303,16 +303,16 @@ def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _left_over(nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between nodes of different names that share a bucket, at least one for each two names with a link."""
-    members = cut(_open(nodes, links))
+    members = cut(_open(nodes, links), narrow=True)
     small = fits(members)
     texts = _texts(members.select("tag", "doc_id", "text_hash"), small, docs)
     if not small:
         texts = cut(texts)
-    able = cut(_able(members, texts))
+    able = cut(_able(members, texts), narrow=True)
     cells = able.select(F.explode("keys").alias("key"), "tag", "part")
     centres = cells.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("tag").alias("b")).where("low <> high").select("key", "b")
     clusters = components(cells.join(centres, "key").select(F.col("tag").alias("a"), "b")).select(F.col("node").alias("tag"), F.col("label").alias("cluster"))
-    placed = cut(able.drop("keys").join(sized(clusters), "tag"))
+    placed = cut(able.drop("keys").join(sized(clusters), "tag"), narrow=True)
     small = fits(placed)
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = placed.join(F.broadcast(sizes) if small else sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
@@ -354,7 +354,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         drawn = cut(sketches(own))
         own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
         nodes = cut(nodes_of(drawn))
-        links = cut(_confirmed(cut(_estimated(_starred(nodes), nodes)), own))
+        links = cut(_confirmed(cut(_estimated(_starred(nodes), nodes), narrow=True), own), narrow=True)
         labels = components(links.unionByName(_left_over(nodes, links, own)))
         named = labels.join(nodes.select(F.col("tag").alias("node"), F.col("node").alias("set")), "node").select("set", "label")
         if fits(labels):
@@ -363,15 +363,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         rows = drawn.select("doc_id", "text_hash", "n", "node").join(named, F.col("node") == F.col("set"), "left").drop("set")
         rows = rows.withColumn("node", F.when(F.col("label").isNull(), F.col("node")))
         groups = rows.where("node is not null or label is not null").groupBy("label", "node").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-        groups = sized(cut(groups.where("rows > 1").drop("rows"))).alias("g")
+        groups = sized(cut(groups.where("rows > 1").drop("rows"), narrow=True)).alias("g")
         same = F.col("r.label").eqNullSafe(F.col("g.label")) & F.col("r.node").eqNullSafe(F.col("g.node"))
         found = rows.alias("r").join(groups, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
-        return kept(found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash"))
+        return kept(found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash"), narrow=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group, the one with the least doc_id; all columns kept. Rows that repeat that doc_id stay."""
-    gone = sized(cut(report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()))
+    gone = sized(cut(report(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), narrow=True))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_hash"))
     return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 

@@ -120,7 +120,7 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most:
     )
     chance = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), 1 / (1 + F.exp(-F.col("log_odds")))))
     labelled = F.col("good").isNotNull()
-    return rows.join(sized(cut(one)), "doc_id", "left").select(
+    return rows.join(sized(cut(one, narrow=True)), "doc_id", "left").select(
         *rows.columns, labelled.cast("int").alias("n"), F.coalesce("good", F.lit(0)).alias("k"), F.when(labelled, chance).otherwise(0.0).alias("e")
     )
 
@@ -130,12 +130,12 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most:
     with scratch(small_batches(docs.sparkSession)) as kept:
         rows = cut(scored(docs, labels, host, path, most))
         total = lambda p: [F.sum(c).alias(f"{p}_{c}") for c in "nke"]
-        paths = cut(rows.groupBy("host", "path").agg(*total("path")))
-        hosts = cut(paths.groupBy("host").agg(*(F.sum(f"path_{c}").alias(f"host_{c}") for c in "nke")))
+        paths = cut(rows.groupBy("host", "path").agg(*total("path")), narrow=True)
+        hosts = cut(paths.groupBy("host").agg(*(F.sum(f"path_{c}").alias(f"host_{c}") for c in "nke")), narrow=True)
         host_mass = prior_strength(hosts.where("host_n > 0").select(F.col("host_n").alias("n"), F.col("host_k").alias("k"), F.try_divide("host_e", "host_n").alias("mean")))
         same_host = F.col("p.host").eqNullSafe(F.col("h.host"))
         places = paths.alias("p").join(sized(hosts).alias("h"), same_host).select("p.*", *(f"h.host_{c}" for c in "nke"))
-        places = cut(places)
+        places = cut(places, narrow=True)
         expected = _logit(F.try_divide("path_e", "path_n")) + _shift("host", host_mass, F.lit(0), F.lit(0), F.lit(0.0))
         path_mass = prior_strength(places.where("path_n > 0").select(F.col("path_n").alias("n"), F.col("path_k").alias("k"), (1 / (1 + F.exp(-expected))).alias("mean")))
         at = F.col("r.host").eqNullSafe(F.col("s.host")) & F.col("r.path").eqNullSafe(F.col("s.path"))
@@ -146,7 +146,7 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most:
         found = found.withColumns({"host_rate": _rate("host", host_mass, *own), "path_rate": _rate("path", path_mass, *own, above=host_shift)})
         return kept(found.select(
             "doc_id", "text_hash", "host", "path", "log_odds", "host_rate", "path_rate", (1 / (1 + F.exp(-(F.col("log_odds") + path_shift)))).alias("posterior")
-        ))
+        ), narrow=True)
 
 
 def _rate(level: str, mass: float, n: Column, k: Column, e: Column, above: Column | None = None) -> Column:
@@ -167,7 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those that the posterior rejects; all columns kept."""
     host, path = F.col("source"), F.concat_ws("/", "source", "lang")
     key = ["doc_id", "text_hash", "host", "path"]
-    gone = sized(cut(judged(docs, labels, host, path).where(F.col("posterior") < THRESHOLD).select(*key).distinct())).alias("g")
+    gone = sized(cut(judged(docs, labels, host, path).where(F.col("posterior") < THRESHOLD).select(*key).distinct(), narrow=True)).alias("g")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("r")
     same = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key])
     return rows.join(gone, same, "left_anti").select("row.*")
