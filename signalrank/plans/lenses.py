@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates, predicates, text
 from signalrank.operators import features, incremental, ranking, resolve
+from signalrank.session import cut
 
 # Limits of the reports and priorities of sources.
 POOL, MOST_PAPERS, MOST_POSTS, ABSTRACT_CHARS, MOST_AUTHORS = 600, 250, 60, 320, 8
@@ -133,12 +134,21 @@ def source_mix(rated: DataFrame) -> DataFrame:
 
 
 def newsletter_papers(papers: DataFrame, as_of: Column, limit: int = 8) -> DataFrame:
-    """Papers of the newsletter (…, library): econ papers of the last day or week by the mean percentile of relevance, library and trust."""
+    """Papers of the newsletter (…, library): econ papers of the last day or week by the mean percentile of relevance, library and trust, of each work its best record."""
     recent = ranking.widened(papers, "first_seen", as_of, 20).where(predicates.is_econ_paper(F.col("doi"), F.col("jel_codes"), F.concat_ws(" ", "title", "abstract")))
     recent = recent.orderBy(F.desc("relevance"), "paper_id").limit(max(10 * limit, 150))
     trust = F.when(F.element_at("sources", 1).isin(TRUSTED), 0.15).otherwise(0.0)
     rows = recent.withColumns({"trust": trust, "library": F.coalesce("library", F.lit(0.0))})
-    return rows.withColumn("final", ranking.combined(["relevance", "library", "trust"])).orderBy(F.desc("final"), "paper_id").limit(limit)
+    return once_a_work(rows.withColumn("final", ranking.combined(["relevance", "library", "trust"])), "final").orderBy("_place").limit(limit).drop("_place")
+
+
+def once_a_work(rows: DataFrame, by: str) -> DataFrame:
+    """Of rows (paper_id, title, abstract, doi, published_at, sources, jel_codes; authors, if there) of bounded number one for each work: its best record, at the place `_place` of its first by `by`, best first."""
+    placed = cut(rows.withColumn("_pos", F.row_number().over(_by(F.desc(by), F.col("paper_id")))), narrow=True)
+    authors = F.col("authors") if "authors" in rows.columns else F.array().cast("array<string>")
+    view = placed.select(F.col("paper_id").alias("id"), F.col("_pos").alias("pos"), "title", authors.alias("authors"), "doi", "abstract", "published_at", F.element_at("sources", 1).alias("source"), F.col("jel_codes").alias("jel"))
+    works = resolve.collapse(view, features.source_score(F.col("source"), F.lit("")))
+    return placed.drop("_pos").join(works.select(F.col("id").alias("paper_id"), F.col("pos").alias("_place")), "paper_id")
 
 
 def newsletter_deadlines(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

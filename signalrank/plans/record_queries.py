@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates, text
 from signalrank.operators import library
-from signalrank.plans.graph_queries import _EDGES, authors, edges
+from signalrank.plans import lenses
+from signalrank.plans.graph_queries import _EDGES, _SIGHTINGS, authors, edges, sightings
 from signalrank.session import table
 
 QUERIES: dict = {}
@@ -74,32 +75,29 @@ def iso_dates(spark, sf_dir):
     return literal(spark, STAMPS, "id, raw").select("id", F.coalesce(F.date_format(dates.parse_iso(F.col("raw")), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("stamp"))
 
 
-@query(f"""WITH {_EDGES}, a AS (SELECT paper_id, string_agg(s_name, '|' ORDER BY position, s_name) AS authors FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id),
-s AS (SELECT l_orderkey AS paper_id, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS sources, count(*)::BIGINT AS sightings FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS paper_id, o_orderpriority, coalesce(authors, '') AS authors, coalesce(sources, '') AS sources, coalesce(sightings, 0)::BIGINT AS sightings FROM orders LEFT JOIN a ON a.paper_id = o_orderkey LEFT JOIN s ON s.paper_id = o_orderkey WHERE o_orderstatus = 'O'""")
+@query(f"""WITH {_EDGES}, {_SIGHTINGS}, a AS (SELECT paper_id, string_agg(s_name, '|' ORDER BY position, author_id) AS authors FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id),
+c AS (SELECT paper_id, count(*) AS n FROM s GROUP BY paper_id)
+SELECT o_orderkey AS paper_id, o_orderpriority, coalesce(authors, '') AS authors, coalesce(g.source, '') AS first_source, coalesce(n, 0)::BIGINT AS sightings FROM orders LEFT JOIN a ON a.paper_id = o_orderkey LEFT JOIN g ON g.paper_id = o_orderkey LEFT JOIN c ON c.paper_id = o_orderkey""")
 def paper_details(spark, sf_dir):
     """Papers with all their authors and sightings; papers without any stay."""
-    named = edges(spark, sf_dir).join(authors(spark, sf_dir).select("author_id", "name"), "author_id")
-    listed = named.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]), "|").alias("authors"))
-    seen = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ",").alias("sources"), F.count(F.lit(1)).alias("sightings"))
-    papers = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("paper_id"), "o_orderpriority")
-    rows = papers.join(listed, "paper_id", "left").join(seen, "paper_id", "left")
-    return rows.select("paper_id", "o_orderpriority", F.coalesce("authors", F.lit("")).alias("authors"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("sightings", F.lit(0)).cast("long").alias("sightings"))
+    papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderpriority")
+    rows = lenses.detail(papers, sightings(spark, sf_dir), edges(spark, sf_dir), authors(spark, sf_dir))
+    first = F.coalesce(F.get("sightings", 0)["source"], F.lit(""))
+    return rows.select("paper_id", "o_orderpriority", F.array_join("authors", "|").alias("authors"), first.alias("first_source"), F.coalesce(F.size("sightings"), F.lit(0)).cast("long").alias("sightings"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS due, row_number() OVER (ORDER BY (o_orderkey % 5 = 0)::INT, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END NULLS LAST, o_totalprice DESC, o_orderkey)::BIGINT AS place
-FROM orders WHERE o_orderkey % 5 = 0 AND o_totalprice > 250000 OR o_orderkey % 5 <> 0 AND o_orderdate BETWEEN TIMESTAMP '1998-07-01' AND TIMESTAMP '1998-07-31' ORDER BY place LIMIT 200""")
+@query("""SELECT o_orderpriority || ' ' || o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS due,
+ CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE date_diff('day', DATE '1998-07-01', o_orderdate::DATE) END::BIGINT AS days_left,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'rolling' WHEN date_diff('day', DATE '1998-07-01', o_orderdate::DATE) <= 3 THEN 'final' WHEN date_diff('day', DATE '1998-07-01', o_orderdate::DATE) <= 14 THEN 'urgent' ELSE 'soon' END AS urgency
+FROM orders WHERE o_orderkey % 5 = 0 AND o_totalprice > 250000 OR o_orderkey % 5 <> 0 AND o_orderdate::DATE BETWEEN DATE '1998-07-01' AND DATE '1998-07-31'""")
 def upcoming_deadlines(spark, sf_dir):
-    """A dated window and rolling calls, dated first, rolling ones by relevance."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", (F.col("o_orderkey") % 5 == 0).alias("rolling"))
-    at = lambda d: F.lit(d).cast("timestamp_ntz")
-    rows = orders.where((F.col("rolling") & (F.col("o_totalprice") > 250000)) | (~F.col("rolling") & F.col("o_orderdate").between(at("1998-07-01"), at("1998-07-31"))))
-    due = F.when(~F.col("rolling"), F.col("o_orderdate"))
-    top = rows.withColumn("due", due).orderBy("rolling", F.asc_nulls_last("due"), F.desc("o_totalprice"), "o_orderkey").limit(200)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("rolling", F.asc_nulls_last("due"), F.desc("o_totalprice"), "o_orderkey"))  # over 200 rows
-    return top.select("o_orderkey", F.coalesce(F.date_format("due", "yyyy-MM-dd"), F.lit("")).alias("due"), place.cast("long").alias("place"))
+    """Clean calls of the coming thirty days, and curated rolling ones."""
+    rolling = F.col("o_orderkey") % 5 == 0
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("name"), F.when(~rolling, F.col("o_orderdate").cast("date")).alias("deadline_date"), (F.col("o_totalprice") > 250000).alias("curated"), F.col("o_totalprice").alias("relevance"),
+    )
+    found = lenses.deadlines(rows, F.lit("1998-07-01").cast("date"), 30)
+    return found.select("name", F.coalesce(F.date_format("deadline_date", "yyyy-MM-dd"), F.lit("")).alias("due"), F.coalesce("days_left", F.lit(-1)).cast("long").alias("days_left"), "urgency")
 
 
 STOP = ["the", "and"]

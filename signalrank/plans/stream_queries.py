@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalrank.operators import incremental, ranking, store
+from signalrank.functions import dates
+from signalrank.operators import features, incremental, ranking, store
 from signalrank.session import table
 
 QUERIES: dict = {}
@@ -91,8 +92,9 @@ def json_path(spark, sf_dir):
 @query("""SELECT user_id AS paper_id, CASE WHEN count(*) >= 3 THEN 1.0 ELSE 0.5 END::DOUBLE AS social, round(ln(1 + count(*)), 4) AS engagement FROM events WHERE event_type = 'click' GROUP BY user_id""")
 def social_attention(spark, sf_dir):
     """A05, D20."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("paper_id")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("paper_id", F.when(F.col("n") >= 3, 1.0).otherwise(0.5).alias("social"), F.round(F.log1p("n"), 4).alias("engagement"))
+    posts = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("paper_id"))
+    counts = posts.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    return features.social_scores(posts).join(counts, "paper_id").select("paper_id", "social", dates.engagement(F.col("n")).alias("engagement"))
 
 
 @query("""WITH e AS (SELECT event_id, ts::DATE AS due, CASE WHEN event_id % 2 = 0 THEN [30, 14] ELSE [] END AS seen FROM events WHERE event_type = 'signup'),

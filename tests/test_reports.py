@@ -44,7 +44,7 @@ def test_deadlines_and_alerts(spark):
 
 def test_brief_and_newsletter(spark):
     schema = "paper_id long, title string, abstract string, first_seen date, published_at string, paper_type string, venue string, jel_codes array<string>, sources array<string>, doi string, url string, blocked_source boolean, relevance double, library double"
-    row = lambda i, kind="working_paper", jel=("O1",), src=("nber",), doi=None, day=D(2026, 1, 10), title="Wages and towns": (i, title, "x", day, "2026-01-01", kind, None, list(jel), list(src), doi, None, False, i / 20, 0.0)
+    row = lambda i, kind="working_paper", jel=("O1",), src=("nber",), doi=None, day=D(2026, 1, 10), title=None: (i, title or f"Wages of town{i} near river{i}", "x", day, "2026-01-01", kind, None, list(jel), list(src), doi, None, False, i / 20, 0.0)
     rows = spark.createDataFrame([row(i, "journal_article" if i < 3 else "working_paper") for i in range(14)] + [row(20, doi="10.5281/z"), row(21, jel=(), src=("openalex",), title="Fish"), row(22, day=D(2025, 1, 1))], schema)
     got = lenses.brief(rows, as_of())
     ids = [r["paper_id"] for r in got.collect()]
@@ -56,6 +56,8 @@ def test_brief_and_newsletter(spark):
     papers = lenses.newsletter_papers(rows, as_of(), 4)
     assert [r["paper_id"] for r in papers.collect()][0] == 13 or papers.count() == 4
     assert lenses.render_html(papers, "News").count("<li>") == 4
+    twice = spark.createDataFrame([row(1, title="Wages and towns"), row(2, title="Wages and Towns.", kind="journal_article"), row(3, title="Fish of the north sea")], schema)
+    assert [r["paper_id"] for r in lenses.newsletter_papers(twice, as_of(), 4).collect()] == [3, 2]
 
 
 def test_attachments(spark):
