@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from signalrank.functions import dates
 from signalrank.functions.predicates import names_india
 from signalrank.functions.text import whole_phrase
+from signalrank.session import sized
 
 # Weights of the composite, prestige of sources, journal tiers.
 WEIGHTS = {"jel": 0.15, "keyword": 0.22, "author": 0.05, "prestige": 0.35, "recency": 0.05, "social": 0.03}
@@ -33,13 +34,9 @@ TOP_FIELD = [
     "world bank economic review", "economic development and cultural change", "journal of economic geography", "regional science and urban economics",
     "journal of economic growth", "explorations in economic history", "economic and political weekly", "indian economic review",
 ]
-#: Weight tables up to this many rows are broadcast.
-MAX_BROADCAST = 100_000
-
-
-def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """`df` with a broadcast hint if it is known to have at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it is measured to take at most `most` bytes."""
+    return sized(df, most)
 
 
 def code_scores(codes: DataFrame, weights: DataFrame, default: float = 0.1) -> DataFrame:

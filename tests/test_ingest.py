@@ -1,0 +1,58 @@
+from pyspark.sql import functions as F
+
+from signalrank.operators import ingest
+
+BATCH = "id long, title string, authors array<string>, doi string, abstract string, url string, published_at string, paper_type string, jel_codes array<string>, keywords array<string>, affiliations array<string>, source string, source_id string, source_url string, raw_metadata string"
+STORE = (
+    "id long, title string, doi string, abstract string, url string, published_at string, paper_type string, jel_codes array<string>, keywords array<string>",
+    "source string, source_id string, paper_id long, source_url string, raw_metadata string", "author_id long, name string, name_normalized string, affiliation string", "paper_id long, author_id long, position int",
+)
+
+
+def held(spark):
+    papers = [(1000, "Wages and towns", None, "Short.", "u1", "2024-05", "working_paper", ["J1"], ["pay"]), (1001, "Fish of the sea", "10.1/fish", None, None, None, None, [], [])]
+    tables = [papers, [("nber", "w1", 1000, None, None)], [(5, "Ann Lee", "ann lee", "ISI")], [(1000, 5, 0)]]
+    return ingest.Store(*(spark.createDataFrame(rows, schema) for rows, schema in zip(tables, STORE)))
+
+
+def record(i, title, doi=None, abstract=None, kind=None, names=("Ann Lee",), places=(), source="crossref", day=None, codes=(), words=()):
+    return (i, title, list(names), doi, abstract, f"v{i}", day, kind, list(codes), list(words), list(places), source, f"s{i}", None, None)
+
+
+def test_ingest(spark):
+    rows = [
+        record(1, "Wages and Towns!", abstract="A longer abstract.", kind="journal_article", places=["Indian Statistical Institute"], codes=["J1", "O1"], words=["PAY", "land"], day="2024-04-01"),
+        record(2, "Another name of fish", doi="https://doi.org/10.1/FISH".replace("https://doi.org/", ""), names=["Bo Chan"]),
+        record(3, "Rents in the city of rivers", names=["Bo Chan", "ANN LEE"]),
+        record(4, "Rents in the city of rivers", names=["Cy Dunn"], doi="10.1/rents"),
+        record(5, "Something else entirely here", names=[]),
+    ]
+    batch = spark.createDataFrame(rows, BATCH)
+    store, went = ingest.ingest(batch, held(spark))
+    placed = {r["id"]: (r["paper_id"], r["is_new"]) for r in went.collect()}
+    assert placed[1] == (1000, False) and placed[3] == (3, True) and placed[4] == (3, False) and placed[5] == (5, True)
+    papers = {r["id"]: r for r in store.papers.collect()}
+    assert set(papers) >= {1000, 1001, 3, 5}
+    merged = papers[1000]
+    assert (merged["title"], merged["abstract"], merged["paper_type"], merged["published_at"]) == ("Wages and towns", "A longer abstract.", "journal_article", "2024-04-01")
+    assert merged["jel_codes"] == ["J1", "O1"] and merged["keywords"] == ["pay", "land"] and papers[3]["doi"] == "10.1/rents" and papers[3]["url"] == "v3"
+    people = {r["name_normalized"]: r for r in store.authors.collect()}
+    assert people["ann lee"]["author_id"] == 5 and people["ann lee"]["affiliation"] == "Indian Statistical Institute" and {"bo chan", "cy dunn"} <= set(people)
+    links = {(r["paper_id"], r["position"]) for r in store.links.join(store.authors.where("name_normalized = 'ann lee'"), "author_id").collect()}
+    assert links == {(1000, 0), (3, 1)}
+    assert store.sources.count() == 6
+
+
+def test_a_second_run_adds_nothing(spark):
+    batch = spark.createDataFrame([record(1, "Rents in the city of rivers"), record(2, "Wages and towns")], BATCH)
+    once, _ = ingest.ingest(batch, held(spark))
+    twice, went = ingest.ingest(batch.withColumn("id", F.col("id") + 10), once)
+    assert not any(r["is_new"] for r in went.collect())
+    for a, b in zip(once, twice):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], BATCH)
+    store, went = ingest.ingest(none, held(spark))
+    assert went.count() == 0 and store.papers.count() == 2 and store.links.count() == 1
