@@ -1,6 +1,11 @@
 """Corpus preparation in five stages: each takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs.
 
 All stages but the last return the columns of documents. run() applies them to the table documents.
+
+Null and empty texts are judged by the classifier as texts of no words; those that it keeps are one text for exact dedup
+and linked with nothing after it. doc_id may be null or repeated: exact dedup leaves one of the rows that repeat id and
+text. Texts of any length are read whole. An empty table passes through all stages and gives no piece. Tables with other
+columns than documents' keep them up to the last stage.
 """
 
 from __future__ import annotations
