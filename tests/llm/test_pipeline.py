@@ -57,3 +57,21 @@ def test_decontamination(spark, stages):
 
 def test_packing_takes_all(stages):
     assert check([(r["doc_id"], r["text"]) for r in stages[3][2]], stages[4][2]) < 0.01
+
+
+def test_stages_take_nulls_repeats_long_texts_and_nothing(spark):
+    schema = table(spark, SF, "documents").schema
+    plain = "A plain sentence with several different words, and then another one that says a little more about it all."
+    rows = [(None, plain, "en", "src0", 1), (None, None, None, None, None), (1, plain, "en", "src1", 1), (1, plain, "en", "src1", 1), (2, "", "en", "src1", 0), (3, plain + " Indeed so.", "de", None, 1)]
+    rows.append((4, " ".join(f"word{k} and more of it," for k in range(60_000)), "en", "src2", 1))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in c.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert bool(got) == bool(given), name
+            if name != "packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame([tuple(r) for r in got], schema)
+        if given:
+            assert sum(r["length"] for r in got if r["doc_id"] == 4) > 100_000
