@@ -1,11 +1,12 @@
-"""Queries over documents as papers: one work of several records, ingest into a store. SQL writes the same rules out."""
+"""Queries over documents as papers: one work of several records, ingest into a store, feed, newsletter and brief. SQL writes the same rules out."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from signalrank.operators import ingest, resolve
-from signalrank.plans.text_queries import NORMAL, first_line
+from signalrank.plans import lenses
+from signalrank.plans.text_queries import LINE, NORMAL, first_line
 from signalrank.session import table
 
 QUERIES: dict = {}
@@ -127,3 +128,65 @@ def ingest_batch(spark, sf_dir):
     held = ingest.Store(stored.select(*PAPER), stored.select("source", "source_id", F.col("id").alias("paper_id"), "source_url", "raw_metadata"), people, links)
     return ingest.ingest(every.where("not old").drop("old"), held)[1]
 
+
+
+_PERCENT = "((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE) / count(*) OVER ())"
+_CAPTION = "regexp_matches(line, '(?i)^\\s*(the|this|an?)\\s+(image|photo|picture|graphic|graph|chart|visual($|[^\\p{L}\\p{N}_])|visualization|infographic|screenshot|tweet|post|figure|map|table|data visualization|accompanying)')"
+
+
+def _collapsed(pool: str, prestige: str) -> str:
+    """SQL after tables n, k, e, p, j: works of `pool` (id, pos, ...) as (id, pos, also_in), each with its best record at the place of its first."""
+    return f"""g AS (SELECT a, b FROM j WHERE a IN (SELECT id FROM {pool}) AND b IN (SELECT id FROM {pool}) UNION ALL SELECT b, a FROM j WHERE a IN (SELECT id FROM {pool}) AND b IN (SELECT id FROM {pool})),
+r(id, low) AS (SELECT id, id FROM {pool} UNION SELECT g.b, r.low FROM r JOIN g ON g.a = r.id WHERE r.low < g.b), m AS (SELECT id, min(low) AS cluster FROM r GROUP BY id),
+x AS (SELECT y.*, cluster, {prestige} AS prestige FROM {pool} y JOIN m ON m.id = y.id),
+b AS (SELECT cluster, arg_max(id, (prestige, -pos)) AS best, min(pos) AS place FROM x GROUP BY cluster),
+o AS (SELECT b.cluster, string_agg(DISTINCT source, ',' ORDER BY source) AS also_in FROM b JOIN x ON x.cluster = b.cluster AND x.id <> b.best GROUP BY b.cluster)"""
+
+
+@query(f"""WITH RECURSIVE {_WORK}, l AS (SELECT doc_id AS id, {LINE} AS line, source, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS relevance, (doc_id % 10) / 10.0::DOUBLE AS library FROM documents),
+t AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, id) AS nr FROM l ORDER BY relevance DESC, id LIMIT 600),
+f AS (SELECT *, ({_PERCENT.format(c='relevance')} + {_PERCENT.format(c='library')}) / 2.0::DOUBLE AS final FROM t),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY final DESC, nr) AS pos FROM f) WHERE NOT {_CAPTION}),
+{_collapsed('q', "CASE source WHEN 'nber' THEN 1.0 ELSE 0.3 END")}
+SELECT b.best AS id, b.place::BIGINT AS pos, round(x.relevance, 4) AS score, coalesce(also_in, '') AS also_in, 'https://doi.org/10.7/' || b.best AS url FROM b JOIN x ON x.id = b.best LEFT JOIN o ON o.cluster = b.cluster ORDER BY place LIMIT 250""")
+def feed_snapshot(spark, sf_dir):
+    """The best of a pool by mean percentile of two channels, each work once, in order."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("paper_id"), first_line().alias("title"), F.array("lang", F.concat("lang", F.lit("x"))).alias("authors"), none.alias("abstract"), F.concat(F.lit("10.7/"), "doc_id").alias("doi"), none.alias("url"), "source",
+        none.alias("venue"), none.alias("published_at"), F.array().cast("array<string>").alias("jel"), (F.col("doc_id") * 7919 % 1000 / 1000).alias("relevance"), (F.col("doc_id") % 10 / 10).alias("library"),
+    )
+    found = lenses.feed(rows, None, ["the"], ["relevance", "library"])
+    return found.select("id", "pos", "score", F.array_join("also_in", ",").alias("also_in"), "url")
+
+
+@query(f"""WITH RECURSIVE {_WORK}, l AS (SELECT doc_id AS id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS relevance, (doc_id % 10) / 10.0::DOUBLE AS library, CASE WHEN doc_id % 3 = 0 THEN 'nber' ELSE 'crossref' END AS source FROM documents WHERE doc_id % 2 = 0),
+t AS (SELECT *, CASE WHEN source = 'nber' THEN 0.15 ELSE 0.0 END::DOUBLE AS trust FROM l ORDER BY relevance DESC, id LIMIT 150),
+f AS (SELECT *, ({_PERCENT.format(c='relevance')} + {_PERCENT.format(c='library')} + {_PERCENT.format(c='trust')}) / 3.0::DOUBLE AS final FROM t),
+q AS (SELECT *, row_number() OVER (ORDER BY final DESC, id) AS pos FROM f), {_collapsed('q', "CASE source WHEN 'nber' THEN 1.0 ELSE 0.8 END")}
+SELECT best AS paper_id, x.source FROM b JOIN x ON x.id = b.best ORDER BY place LIMIT 8""")
+def newsletter_feed(spark, sf_dir):
+    """Papers of the newsletter, blocked registrants out, each work once."""
+    none = F.lit(None).cast("string")
+    day = F.lit("2024-01-02").cast("date")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("paper_id"), first_line().alias("title"), none.alias("abstract"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.7/"), "doc_id")).otherwise("10.5281/zenodo").alias("doi"), none.alias("published_at"), none.alias("url"),
+        F.array(F.when(F.col("doc_id") % 3 == 0, "nber").otherwise("crossref")).alias("sources"), F.array(F.lit("O1")).alias("jel_codes"), F.array("lang", F.concat("lang", F.lit("x"))).alias("authors"), day.alias("first_seen"),
+        (F.col("doc_id") * 7919 % 1000 / 1000).alias("relevance"), (F.col("doc_id") % 10 / 10).alias("library"),
+    )
+    return lenses.newsletter_papers(rows, day).select("paper_id", F.element_at("sources", 1).alias("source"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS id, p_retailprice / 3000 AS relevance, p_size % 2 = 0 AS article, 2 * (p_size % 3 = 0)::INT + CASE p_size % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 1 END - CASE WHEN p_size % 7 = 0 THEN 5 ELSE 0 END AS quality FROM part),
+t AS (SELECT * FROM (SELECT * FROM l ORDER BY relevance DESC, id LIMIT 200) WHERE quality >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY quality DESC, relevance DESC, id) AS n FROM t)
+SELECT id AS paper_id, quality FROM k ORDER BY CASE WHEN n > 6 THEN 2 WHEN article THEN 0 ELSE 1 END, quality DESC, relevance DESC, id LIMIT 10""")
+def daily_brief(spark, sf_dir):
+    """Papers with enough evidence, the best of each track, ten in all."""
+    none, day = F.lit(None).cast("string"), F.lit("2024-01-02").cast("date")
+    pick = lambda *lists: F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in lists]), (F.col("p_size") % len(lists)).cast("int") + 1)
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), none.alias("abstract"), day.alias("first_seen"), none.alias("published_at"), F.when(F.col("p_size") % 2 == 0, "journal_article").otherwise("working_paper").alias("paper_type"),
+        none.alias("venue"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("O1"))).otherwise(F.array().cast("array<string>")).alias("jel_codes"), pick(["nber"], ["crossref"], ["openalex"], ["openalex", "crossref"]).alias("sources"),
+        F.when(F.col("p_size") % 7 == 0, "10.5281/z").alias("doi"), none.alias("url"), F.lit(False).alias("blocked_source"), (F.col("p_retailprice") / 3000).alias("relevance"),
+    )
+    return lenses.brief(rows, day).select("paper_id", "quality")
