@@ -64,6 +64,11 @@ def matched_topics(text: Column, topics: list[str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
 
 
+def interest_terms(title: Column, abstract: Column, phrases: list[str], most: int = 12) -> Column:
+    """Sorted interest phrases that stand whole in title or abstract, the first `most`: a limit of what is shown, not of what scores."""
+    return F.slice(matched_topics(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))), sorted(set(phrases))), 1, most)
+
+
 def journal_score(meta: Column) -> Column:
     """Tier of the journal that stored metadata (JSON text) names: the first venue that names a listed journal decides, the top tier before the other."""
     paths = ["journal", "venue", "journal_name", "container_title", "host_venue", "primary_location"]

@@ -72,6 +72,17 @@ def collapse_duplicates(rows: DataFrame, edges: DataFrame, key: str, id_col: str
     return kept, moved
 
 
+def removed(before: DataFrame, after: DataFrame) -> int:
+    """How many rows a cleaning took away."""
+    return before.count() - after.count()
+
+
+def write_scores(papers: DataFrame, scores: DataFrame, into: str = "relevance_score") -> DataFrame:
+    """papers (id, ...) with the scores (paper_id, relevance) of those that were scored again; the others keep theirs."""
+    new = scores.select(F.col("paper_id").alias("_id"), F.col("relevance").alias("_new"))
+    return papers.join(new, F.col("id") == F.col("_id"), "left").withColumn(into, F.coalesce("_new", into)).drop("_id", "_new")
+
+
 def mark_notified(deadlines: DataFrame, alerts: DataFrame) -> DataFrame:
     """deadlines (deadline_id, notified_days) with each alert's threshold (deadline_id, threshold) added, sorted and once."""
     added = alerts.groupBy("deadline_id").agg(F.collect_set("threshold").alias("_added"))

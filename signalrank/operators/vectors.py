@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Neighbours pooled, floor and width of the similarity band, its cap and scale; steepness of the centroid rule; examples of a class.
@@ -128,11 +128,35 @@ class Ranker:
         found = self.model.transform(fits).select("id", vector_to_array("probability")[1].alias("score"))
         return candidates.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the ranker under `path`, for `load`."""
         if self.kind == "centroid":
-            self.model.write.mode("overwrite").parquet(path)
+            self.model.write.mode("overwrite").parquet(f"{path}/model")
         else:
-            self.model.write().overwrite().save(path)
+            self.model.write().overwrite().save(f"{path}/model")
+        spark.range(1).select(F.lit(self.kind).alias("kind"), F.lit(self.dim).alias("dim")).coalesce(1).write.mode("overwrite").parquet(f"{path}/kind")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Ranker":
+        row = spark.read.parquet(f"{path}/kind").first()
+        model = spark.read.parquet(f"{path}/model") if row["kind"] == "centroid" else LogisticRegressionModel.load(f"{path}/model")
+        return Ranker(row["kind"], model, row["dim"])
+
+
+def examples(votes: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) vectors (id, vector) of the papers with a last vote (paper_id, interesting); papers without a vector are in neither."""
+    voted = vectors.join(votes.select(F.col("paper_id").alias("id"), "interesting"), "id")
+    return voted.where("interesting").select("id", "vector"), voted.where("not interesting").select("id", "vector")
+
+
+def ranked_by_votes(votes: DataFrame, vectors: DataFrame, candidates: DataFrame, path: str | None = None) -> DataFrame:
+    """(id, score) of candidates (id, vector) by a ranker trained on the votes, which is written to `path`; all 0 where the votes are too few."""
+    model = train_ranker(*examples(votes, vectors), candidates=candidates)
+    if model is None:
+        return candidates.select("id", F.lit(0.0).alias("score"))
+    if path is not None:
+        model.save(candidates.sparkSession, path)
+    return model.score(candidates)
 
 
 def train_ranker(good: DataFrame, bad: DataFrame, candidates: DataFrame | None = None, kind: str = "logistic", least: int = LEAST_EXAMPLES) -> Ranker | None:

@@ -49,6 +49,12 @@ def bluesky_posts(rows: DataFrame) -> DataFrame:
     return found.where("content <> ''").dropDuplicates(["source_id"])
 
 
+def tracked_posts(feeds: DataFrame, authors: DataFrame) -> DataFrame:
+    """Posts of landed author feeds (handle, value) whose handle a tracked author (is_tracked, bluesky_handle) has; each post once."""
+    wanted = authors.where("is_tracked").select(F.trim("bluesky_handle").alias("handle")).where("handle <> ''").distinct()
+    return bluesky_posts(feeds.withColumn("handle", F.trim("handle")).join(wanted, "handle", "left_semi").select("value"))
+
+
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     """Posts of both, those of `second` only where `first` lacks their id."""
     return first.select(*POST_COLUMNS).unionByName(second.select(*POST_COLUMNS).join(first.select("source_id"), "source_id", "left_anti"))
