@@ -311,8 +311,11 @@ def _left_over(nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame
     able = cut(_able(members, texts), narrow=True)
     cells = able.select(F.explode("keys").alias("key"), "tag", "part")
     centres = cells.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("tag").alias("b")).where("low <> high").select("key", "b")
-    clusters = components(cells.join(centres, "key").select(F.col("tag").alias("a"), "b")).select(F.col("node").alias("tag"), F.col("label").alias("cluster"))
-    placed = cut(able.drop("keys").join(sized(clusters), "tag"), narrow=True)
+    # A node stands for all its centres under the least of them, so the graph has the centres' pairs, not those of all nodes.
+    met = cut(cells.join(centres, "key").groupBy("tag").agg(F.collect_set("b").alias("bs")).select("tag", F.array_min("bs").alias("a"), "bs"), narrow=True)
+    clusters = components(met.select("a", F.explode("bs").alias("b")).where("a <> b").distinct())
+    named = met.drop("bs").join(sized(clusters), F.col("a") == F.col("node"), "left").select("tag", F.coalesce("label", "a").alias("cluster"))
+    placed = cut(able.drop("keys").join(F.broadcast(named) if fits(met) else named, "tag"), narrow=True)
     small = fits(placed)
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = placed.join(F.broadcast(sizes) if small else sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
