@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from signalrank.functions import text
 from signalrank.operators.components import groups
 from signalrank.operators.similarity import matches, represented, representative_pairs
+from signalrank.session import cut, scratch
 
 HIGH, LOW, SHARED = 0.85, 0.70, 2
 # Rank of paper types, most authoritative first.
@@ -32,30 +33,31 @@ def keyed(papers: DataFrame) -> DataFrame:
 
 
 def match_existing(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, existing_id, step) for the papers of `new` that are in `stored`."""
-    a = keyed(new).select("id", "title_key", F.col("doi").alias("doi_key"), "tokens", "families")
-    b = keyed(stored).select(F.col("id").alias("existing_id"), "title_key", F.col("doi").alias("doi_key"), "tokens", F.col("families").alias("stored_families"))
-    hit = lambda df, step: df.select("id", "existing_id", F.lit(step).alias("step"))
-    # The lowest id of a key decides, so many stored papers with one key are one row.
-    lowest = lambda *keys: b.groupBy(*keys).agg(F.min("existing_id").alias("existing_id"))
-    by_doi = hit(a.where("doi_key <> ''").join(lowest("doi_key"), "doi_key"), 1)
-    by_title = hit(a.join(lowest("title_key"), "title_key"), 2)
-    sets = a.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"), F.array_sort("families").alias("families"))
-    firsts = sets.groupBy("tokens", "families").agg(F.min("id").alias("first"))
-    known = lowest(F.array_sort("tokens").alias("tokens"), F.array_sort("stored_families").alias("stored_families"))
-    near = matches(firsts.select(F.col("first").alias("id"), "tokens"), known.select(F.col("existing_id").alias("id"), "tokens"), LOW)
-    near = near.select(F.col("a").alias("first"), F.col("b").alias("existing_id"), "jaccard").join(firsts, "first").join(known.select("existing_id", "stored_families"), "existing_id")
-    shared = F.size(F.array_intersect("families", "stored_families"))
-    step = F.when(F.col("jaccard") >= HIGH - 1e-12, 3).when(shared >= SHARED, 4)
-    best = near.select("tokens", "families", "existing_id", step.alias("step")).where("step is not null").groupBy("tokens", "families").agg(F.min(F.struct("step", "existing_id")).alias("x"))
-    fuzzy = sets.join(best, ["tokens", "families"]).select("id", "x.existing_id", "x.step")
-    every = by_doi.unionByName(by_title).unionByName(fuzzy)
-    return every.groupBy("id").agg(F.min(F.struct("step", "existing_id")).alias("x")).select("id", "x.existing_id", "x.step")
+    """(id, existing_id, step) for the papers of `new` that are in `stored`. Keys and tokens of both are made once, in written tables."""
+    with scratch(new.sparkSession) as kept:
+        a = cut(keyed(new).select("id", "title_key", F.col("doi").alias("doi_key"), "tokens", "families"))
+        b = cut(keyed(stored).select(F.col("id").alias("existing_id"), "title_key", F.col("doi").alias("doi_key"), "tokens", F.col("families").alias("stored_families")))
+        hit = lambda df, step: df.select("id", "existing_id", F.lit(step).alias("step"))
+        # The lowest id of a key decides, so many stored papers with one key are one row.
+        lowest = lambda *keys: b.groupBy(*keys).agg(F.min("existing_id").alias("existing_id"))
+        by_doi = hit(a.where("doi_key <> ''").join(lowest("doi_key"), "doi_key"), 1)
+        by_title = hit(a.join(lowest("title_key"), "title_key"), 2)
+        sets = a.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"), F.array_sort("families").alias("families"))
+        firsts = sets.groupBy("tokens", "families").agg(F.min("id").alias("first"))
+        known = lowest(F.array_sort("tokens").alias("tokens"), F.array_sort("stored_families").alias("stored_families"))
+        near = matches(firsts.select(F.col("first").alias("id"), "tokens"), known.select(F.col("existing_id").alias("id"), "tokens"), LOW)
+        near = near.select(F.col("a").alias("first"), F.col("b").alias("existing_id"), "jaccard").join(firsts, "first").join(known.select("existing_id", "stored_families"), "existing_id")
+        shared = F.size(F.array_intersect("families", "stored_families"))
+        step = F.when(F.col("jaccard") >= HIGH - 1e-12, 3).when(shared >= SHARED, 4)
+        best = near.select("tokens", "families", "existing_id", step.alias("step")).where("step is not null").groupBy("tokens", "families").agg(F.min(F.struct("step", "existing_id")).alias("x"))
+        fuzzy = sets.join(best, ["tokens", "families"]).select("id", "x.existing_id", "x.step")
+        every = by_doi.unionByName(by_title).unionByName(fuzzy)
+        return kept(every.groupBy("id").agg(F.min(F.struct("step", "existing_id")).alias("x")).select("id", "x.existing_id", "x.step"), narrow=True)
 
 
 def same_work_edges(papers: DataFrame) -> DataFrame:
     """(a, b) of papers that are the same work by one of the criteria. Equal keys are joined to their first paper, not to each other."""
-    rows = keyed(papers).select("id", "title_key", "doi_key", "tokens", "families")
+    rows = cut(keyed(papers).select("id", "title_key", "doi_key", "tokens", "families"))  # made once for all criteria
     star = lambda key: (
         rows.where(F.col(key).isNotNull()).select("id", key).join(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("first")), key)
         .where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
@@ -77,8 +79,9 @@ def same_work_edges(papers: DataFrame) -> DataFrame:
 
 def same_work(papers: DataFrame) -> DataFrame:
     """(id, cluster): cluster is the least id of the papers that are, directly or by others, the same work."""
-    found = groups(papers.select(F.col("id").alias("node")).distinct(), same_work_edges(papers))
-    return found.select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    with scratch(papers.sparkSession) as kept:
+        found = groups(papers.select(F.col("id").alias("node")).distinct(), same_work_edges(papers))
+        return kept(found.select(F.col("node").alias("id"), F.col("label").alias("cluster")), narrow=True)
 
 
 def completeness(row: str = "") -> Column:
