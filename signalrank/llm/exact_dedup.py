@@ -15,12 +15,14 @@ other columns of any name do no harm.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import checkpoint_dir, cut, scratch, sized, small_batches, table
+from signalrank.session import checkpoint_dir, cut, remove, scratch, sized, small_batches, table
 
 #: Digests with at least this share of the rows handed over, and HOT_LEAST rows, are joined by broadcast; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
@@ -57,6 +59,11 @@ class DigestIndex:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_buckets")
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
+    def drop(self) -> None:
+        """Removes the index, its files included."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
     def firsts(self) -> DataFrame:
         """(digest, keep_id): one row for each digest."""
         return self.spark.table(self.name).where("first").select("digest", "keep_id")
@@ -93,16 +100,27 @@ def entered(batches: list[DataFrame], index: DigestIndex, id_col: str = "doc_id"
     return own.join(hot, "digest").unionByName(own.join(hot.select("digest"), "digest", "left_anti").join(kept.hint("merge"), "digest"))
 
 
+@contextmanager
+def _opened(spark: SparkSession, index: DigestIndex | None) -> Iterator[DigestIndex]:
+    """`index`, which stays, or a new one, which goes when the result is written."""
+    held = index or DigestIndex(spark)
+    try:
+        yield held
+    finally:
+        if index is None:
+            held.drop()
+
+
 def report(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", increments: int = 1) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index that already holds a text, its earlier keep_id stays, all new rows of that text but that document itself
-    are dropped, and group_size counts all copies ever seen. Without one, a new index is made. `increments` hands the
+    are dropped, and group_size counts all copies ever seen. Without one, a new index is made, and removed after it. `increments` hands the
     table over in as many parts by falling doc_id, nulls last.
     """
     spark = small_batches(docs.sparkSession)
-    with scratch(spark) as keep:
-        found = entered(parts_of(docs, id_col, increments), index or DigestIndex(spark), id_col, text_col)
+    with scratch(spark) as keep, _opened(spark, index) as held:
+        found = entered(parts_of(docs, id_col, increments), held, id_col, text_col)
         same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         every = found.select(
             "doc_id", "keep_id", "group_size", same.alias("same"),
@@ -126,8 +144,8 @@ def parts_of(docs: DataFrame, id_col: str, increments: int) -> list[DataFrame]:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """`docs` without the rows that `report` drops, all columns kept."""
     spark = small_batches(docs.sparkSession)
-    with scratch(spark) as keep:
-        found = cut(entered([docs], index or DigestIndex(spark), id_col, text_col), narrow=True)
+    with scratch(spark) as keep, _opened(spark, index) as held:
+        found = cut(entered([docs], held, id_col, text_col), narrow=True)
         same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         named = [F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")]
         gone = sized(keep(found.where(~same).select(*named), narrow=True))
