@@ -11,4 +11,4 @@ def test_matches_duckdb(spark, sf, name):
 
 def test_one_query_for_each_operator():
     names = sorted(catalog.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
