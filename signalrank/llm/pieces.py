@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ from signalrank.session import small_batches, table
 SPACE = "▁"
 #: A text's parts: spaces and what follows up to the next space.
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Parts of up to this many characters are kept with their ids, in at most so many entries a worker; and as many verdicts on two pieces.
+#: Parts of up to this many characters are kept with their ids: so many new ones a worker, and those that were new before; and as many verdicts on two pieces.
 PART_CHARS, PARTS, PAIRS = 32, 1 << 19, 1 << 19
+#: Characters that the automaton reads at once.
+WINDOW = 64
 NEVER = float("-inf")
 
 
@@ -86,90 +90,103 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """text -> ids. As a dict it holds the ids of short parts seen before."""
+    """text -> ids. As a dict it holds the ids of short parts seen before, as bytes, by the part without its first space."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pieces = {i: p for i, p in vocabulary.pieces.items() if vocabulary.whole(p)}
         by_text = {p: i for i, p in self.pieces.items()}
         self.known = {p for p in by_text if len(p) == 1}
-        self.size = {i: len(p) for i, p in self.pieces.items()}
-        self.longest = max(self.size.values())
-        self.shorter = {i: next((by_text[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in by_text), None) for i, p in self.pieces.items()}
+        self.total = max(self.pieces) + 1
+        self.size = [len(self.pieces.get(i, "")) for i in range(self.total)]
+        self.longest = max(self.size)
+        self.shorter: list[int | None] = [None] * self.total
+        for i, p in self.pieces.items():
+            self.shorter[i] = next((by_text[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in by_text), None)
         self.automaton = ahocorasick.Automaton()
         for p, i in by_text.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.ids = max(self.pieces) + 1
-
-    def together(self, left: int, right: int) -> bool:
-        key = left * self.ids + right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.vocabulary.merge(self.pieces[left], self.pieces[right])
+        self.pairs: dict[int, int] = {}
+        self.older: dict[str, bytes] = {}
+
+    def follow(self, key: int) -> int:
+        """Of `token` and its shorter prefixes, with key = last * total + token, the longest that goes with `last`; -1 if none does."""
+        last, token = divmod(key, self.total)
+        while token is not None and not self.vocabulary.merge(self.pieces[last], self.pieces[token]):
+            token = self.shorter[token]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[key] = -1 if token is None else token
         return found
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a text of known characters."""
-        pairs, total = self.pairs, self.ids
+        match, size, shorter, pairs, follow, total, n = self.automaton.iter_long, self.size, self.shorter, self.pairs, self.follow, self.total, len(text)
         ids: list[int] = []
-        last = -1
-        for _, token in self.automaton.iter_long(text):  # as long as longest pieces go together, none is tried twice
-            if last >= 0 and not (pairs[key] if (key := last * total + token) in pairs else self.together(last, token)):
-                return self.search(text, ids, token)
-            ids.append(token)
-            last = token
+        failed = None  # a bit for each place, made when the first one fails
+        at, last = 0, -1
+        while at < n:
+            base = at
+            sure = n if at + WINDOW >= n else at + WINDOW - self.longest  # a piece found after that may be cut short
+            for end, longest in match(text[at : at + WINDOW]):  # longest pieces, one after the other, as long as they go together
+                if at > sure:
+                    break
+                token: int | None = longest
+                while True:
+                    if token is not None and last >= 0:
+                        key = last * total + token
+                        token = pairs[key] if key in pairs else follow(key)
+                    if token is None or token < 0:
+                        if failed is None:
+                            failed = bytearray((n >> 3) + 1)
+                        failed[at >> 3] |= 1 << (at & 7)
+                        token = ids.pop()
+                        at -= size[token]
+                        last = ids[-1] if ids else -1
+                    else:
+                        here = at + size[token]
+                        if failed is None or not failed[here >> 3] >> (here & 7) & 1:
+                            break
+                    token = shorter[token]
+                ids.append(token)
+                at, last = here, token
+                if at != base + end + 1:
+                    break
         return ids
 
-    def search(self, text: str, ids: list[int], token: int | None) -> list[int]:
-        """Goes on from `ids`, after which the longest piece `token` does not fit."""
-        match, size, shorter, together, longest, n = self.automaton.iter_long, self.size, self.shorter, self.together, self.longest, len(text)
-        at = sum(map(size.__getitem__, ids))
-        failed = bytearray((n >> 3) + 1)
-        while True:
-            while (token := shorter[token]) is None:
-                failed[at >> 3] |= 1 << (at & 7)
-                token = ids.pop()
-                at -= size[token]
-            end = at + size[token]
-            while not failed[end >> 3] >> (end & 7) & 1 and (not ids or together(ids[-1], token)):
-                ids.append(token)
-                if end == n:
-                    return ids
-                at = end
-                token = next(match(text[at : at + longest]))[1]
-                end = at + size[token]
-
-    def part(self, text: str) -> list[int]:
-        if self.known.issuperset(text):
-            return self.backtrack(text)
+    def spelled(self, text: str) -> list[int]:
+        """Ids of a text some of whose characters may be unknown: these are written as bytes."""
         ids: list[int] = []
         start, bytes_of = 0, self.vocabulary.byte_ids
         for k, c in enumerate(text):
             if c not in self.known:
-                if start < k:
-                    ids += self.backtrack(text[start:k])
+                ids += self.backtrack(text[start:k])
                 ids += [bytes_of[b] for b in c.encode("utf-8", "surrogatepass")]
                 start = k + 1
-        return ids + self.backtrack(text[start:]) if start < len(text) else ids
+        return ids + self.backtrack(text[start:])
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        found = tuple(self.part(text))
-        if len(text) <= PART_CHARS:
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.pop(part, None)
+        if found is None:
+            text = SPACE + part
+            found = array("i", self.backtrack(text) if self.known.issuperset(text) else self.spelled(text)).tobytes()
+        if len(part) <= PART_CHARS:
             if len(self) >= PARTS:
+                self.older = dict(self)
                 self.clear()
-            self[text] = found
+            self[part] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids without an end id."""
         if not text:
             return np.empty(0, np.int32)
-        parts = PART.findall(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int32)
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            parts = [part[1:] for part in PART.findall(SPACE + text.replace(" ", SPACE))]
+        else:
+            parts = text.split(" ")
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), np.int32)
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -183,18 +200,19 @@ class Decoder:
     """ids -> text: pieces and bytes in order, the space before the text taken off, each byte of no character as U+FFFD."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()} | dict.fromkeys(vocabulary.unknown, " ⁇ ".encode())
-        self.bytes |= {i: bytes([b]) for b, i in vocabulary.byte_ids.items()}
+        known = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()} | dict.fromkeys(vocabulary.silent, b"") | dict.fromkeys(vocabulary.unknown, " ⁇ ".encode())
+        known |= {i: bytes([b]) for b, i in vocabulary.byte_ids.items()}
+        self.bytes = [known[i] for i in range(len(known))]
         self.silent, self.pieces = vocabulary.silent, vocabulary.pieces
 
     def decode(self, ids: list[int]) -> str:
-        silent, bytes_of = self.silent, self.bytes
+        silent, bytes_of = self.silent, self.bytes.__getitem__
         while ids and ids[-1] in silent:
             ids = ids[:-1]
         if not silent.isdisjoint(ids):  # the bytes on both sides of a silent id are no character together
-            runs = [b"".join(map(bytes_of.__getitem__, run)) for quiet, run in groupby(ids, silent.__contains__) if not quiet]
+            runs = [b"".join(map(bytes_of, run)) for quiet, run in groupby(ids, silent.__contains__) if not quiet]
         else:
-            runs = [b"".join(map(bytes_of.__getitem__, ids))]
+            runs = [b"".join(map(bytes_of, ids))]
         first = next((i for i in ids if i not in silent), None)
         if first is not None and self.pieces.get(first, "").startswith(SPACE):
             runs[0] = runs[0][1:]
@@ -235,7 +253,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         decoder = _loaded(Decoder, model_path)
         for batch in batches:
             ids = batch.column("ids")
-            texts = pa.array([None if x is None else decoder.decode(x) for x in ids.to_pylist()], pa.string())
+            values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = [decoder.decode(values[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
+            texts = pc.if_else(ids.is_valid(), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, texts], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
