@@ -10,7 +10,7 @@ So each page climbs from it: to the enclosing article, else to parents whose oth
 parent where the climb ends, headings, paragraphs and sections that are mostly not in links are kept too.
 
 Left out everywhere: scripts, styles, comments of the markup, forms, menus, headers outside the article, footers,
-sidebars, and elements whose class, id or role says one of these, notice, advert, reader comment, sharing or related.
+sidebars, and elements whose class, id or role as a whole names one of these, notice, advert, reader comment, sharing or related.
 Blocks are in page order, joined by a line break; white space in a block is one space; character references are decoded.
 
 Null and empty html give the empty text. A null url is a host of its own; a url may repeat. Markup may be unclosed,
@@ -35,7 +35,7 @@ from signalrank.session import cut, sized, small_batches, table
 LEAST_VOTES = 2
 
 # Tag names of HTML, and words by which pages name their parts.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "canvas", "title", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "canvas", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -43,24 +43,34 @@ BLOCKS = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTAINERS = {"article", "body", "center", "div", "main", "section", "td", "blockquote", "dd", "figure"}
-LEFT_OUT = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "fieldset", "head", "label", "option", "audio", "video"}
+LEFT_OUT = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "fieldset", "head", "option"}
 OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|popup|modal|overlay|nav\w*|menu\w*|sidebar\w*|rail|"
-    r"breadcrumbs?|pagination|pager|footer|foot|masthead|topbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|"
-    r"related|recommended|newsletter|subscribe)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: A name is a part's when one of these words is in it and all its other words only say where it is or what shape it has.
+PARTS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "promotions", "promoted", "banner", "banners",
+    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "popups", "modal", "overlay", "nav", "navs", "navbar", "navigation", "menu", "menus", "menubar", "sidebar", "sidebars", "rail",
+    "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "footers", "foot", "masthead", "topbar", "comment", "comments", "commentlist", "disqus", "replies", "respond", "share", "sharing", "social",
+    "related", "recommended", "newsletter", "newsletters", "subscribe",
+}
+HEADS = {"header", "head"}
+SHAPES = {
+    "site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "side", "sticky", "fixed", "floating", "mobile", "desktop", "inner", "outer", "wrap", "wrapper", "container", "box",
+    "block", "blocks", "bar", "area", "zone", "region", "section", "sections", "column", "col", "row", "grid", "panel", "widget", "widgets", "module", "component", "slot", "unit", "list", "lists", "item", "items", "link", "links",
+    "button", "buttons", "btn", "icon", "icons", "tools", "toolbar", "form", "field", "thread", "post", "posts", "article", "articles", "story", "stories", "entry", "entries", "content", "contents", "title", "body", "text",
+    "signup", "sign", "up", "media", "toggle", "drawer", "dropdown", "dialog", "message", "the", "for", "of", "and", "by", "id", "js", "ui", "wp", "el", "x", "s", "m", "l", "xs", "sm", "md", "lg", "xl",
+} | HEADS
 #: Classes of an article that name its subject, not its part of the page.
 SUBJECT = re.compile(r"(?:tags?|category)[_-].+", re.IGNORECASE)
 #: Containers that divide a text; a sibling of this kind is part of it.
 DIVISIONS = {"section", "blockquote", "figure", "dd"}
-PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.IGNORECASE)
 HAVING = re.compile(r"\b(?:has|have|with|without|no|is|not)[_-][\w-]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: A name and, where it has one, its value: values are read over, so no word in them passes for a name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+READ = {"class", "id", "role", "hidden", "aria-hidden"}
+WORDS = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -121,6 +131,20 @@ class Page:
         return number
 
 
+def _names(name: str, parts: set[str]) -> bool:
+    """Whether a class or id names one of the parts, as a whole: `related-posts` does, `related-work` does not."""
+    words = [w.lower() for w in WORDS.findall(CAMEL.sub("-", name))]
+    return any(w in parts for w in words) and all(w in parts or w in SHAPES for w in words)
+
+
+def _marks(attributes: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if (name := name.lower()) in READ:
+            found.setdefault(name, "".join(values))
+    return found
+
+
 def _step(tag: str, found: dict[str, str]) -> str:
     classes = [c for c in found.get("class", "").split() if tag != "article" or not SUBJECT.fullmatch(c)]
     names = sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in classes} - {""})
@@ -206,19 +230,20 @@ def blocks_of(html: str | None) -> Page:
                 heading = True
         if tag in VOID or m.group(3).rstrip().endswith("/"):
             continue
-        marks = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        marks = _marks(m.group(3)) if m.group(3) else {}
         top = stack[-1]
-        named = HAVING.sub("", CAMEL.sub("-", " ".join(marks.get(k, "") for k in ("class", "id")))) if marks else ""
-        told = BAD_NAME.search(named) is not None or not top.within_article and PAGE_HEAD.search(named) is not None
-        if tag == "article":  # a whole name must say so: its classes and id may hold words of its subject
-            told = any(BAD_NAME.fullmatch(x) for x in named.split())
+        names = HAVING.sub("", " ".join(marks.get(k, "") for k in ("class", "id"))).split() if marks else []
+        if tag == "article":  # its classes and id may hold words of its subject
+            told = any(x.lower() in PARTS for x in names)
+        else:
+            told = any(_names(x, PARTS) or not top.within_article and _names(x, HEADS) for x in names)
         bad = (
             tag in LEFT_OUT
             or (tag == "header" and not top.within_article)
             or "hidden" in marks
             or marks.get("aria-hidden", "").lower() == "true"
             or marks.get("role", "").lower() in BAD_ROLES
-            or (bool(named) and tag not in ("html", "body", "main") and told)
+            or (told and tag not in ("html", "body", "main"))
         )
         path = page.child(top.path, _step(tag, marks)) if tag in BLOCKS else top.path
         stack.append(_Node(tag, path, path if tag in CONTAINERS else top.place, top.out or bad, top.linked or tag == "a", top.within_article or tag in ("article", "main")))

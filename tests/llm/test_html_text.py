@@ -1,3 +1,5 @@
+import pytest
+
 from signalrank.llm import html_text as h
 
 ARTICLE = "<article><h1>Head &amp; more</h1><p>First   paragraph\nof the text &lt;b&gt;.<p>Second <a href='/x'>one</a>, with words enough to count.</article>"
@@ -115,3 +117,35 @@ def test_whole_articles(spark, sf):
         inner = re.search(r"(?s)<article>(.*?)(?:</article>|$)", r["html"])[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div style='overflow:hidden'>{}</div>", "<div style=\"visibility: visible; overflow: hidden\">{}</div>", "<div data-hidden=no>{}</div>", "<div data-role='form'>{}</div>", "<div data-id=menu-1>{}</div>",
+        "<div title='role=\"form\" class=nav'>{}</div>", "<div title='the hidden cost'>{}</div>", "<div data-class=sidebar aria-label='hidden'>{}</div>", "<div class=main class=nav>{}</div>", "<div CLASS='Text' = hidden-x>{}</div>",
+    ],
+)
+def test_words_in_values_are_no_attributes(wrap):
+    inner = f"<h1>{PARTS[0]}</h1><p>{PARTS[1]}</p><p>{LONG}</p>"
+    assert alone(f"<html><body>{wrap.format(inner)}</body></html>") == "\n".join(PARTS)
+    assert alone(f"<main style='overflow-x: hidden'>{inner}</main>") == "\n".join(PARTS)
+
+
+def test_words_in_values_of_small_elements():
+    page = "<article><p title='the hidden cost'>One two three four five.</p><p data-id='menu-1'>Six seven.</p><p data-role=form>Eight <a title='hidden' href=/x>nine</a> ten.</p><p hidden>Gone</p><p HIDDEN=''>Gone</p><p class=nav>Gone</p><p role='search'>Gone</p><p aria-hidden=true>Gone</p></article>"
+    assert alone(page) == "One two three four five.\nSix seven.\nEight nine ten."
+
+
+def test_names_that_only_hold_such_a_word_stay():
+    kept = ["related-work", "comments-on-theory", "social-history", "share-price", "notice-board", "navigation-history", "ad-hoc", "menuitem", "head-of-state", "footnotes", "cookie-recipe", "modalVerbs", "no-sidebar"]
+    page = "<article>" + "".join(f"<div class='{n}'><p>Words about {n} in five.</p></div><p id={n}>More of {n} here too.</p>" for n in kept) + "</article>"
+    assert alone(page) == "\n".join(x for n in kept for x in (f"Words about {n} in five.", f"More of {n} here too."))
+    gone = ["related", "relatedPosts", "related-articles-2", "comments", "comment-list", "site-footer", "social-links", "share-buttons", "nav-menu", "mainNav", "cookie_notice", "ad", "ad-slot-top", "sidebar-right", "newsletter-signup", "post-12 promo", "breadcrumbs"]
+    page = "<body><article><p>One two three four five.</p></article>" + "".join(f"<div class='{n}'><p>Words about this in five or more.</p></div>" for n in gone) + "</body>"
+    assert alone(page) == "One two three four five."
+
+
+def test_labels_and_pictures_of_an_article_stay():
+    page = "<article><p>One two three four five.</p><label>A label</label><video>No such film.</video><svg><title>Gone</title><text>Axis of years</text></svg></article>"
+    assert alone(page) == "One two three four five.\nA labelNo such film.Axis of years"
