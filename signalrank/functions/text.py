@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +30,8 @@ SERIES = [
     r"\bimf\b",
     r"\bwber\b",
 ]
+#: A text without any of these words holds no series name.
+SERIES_WORDS = ["paper", "report", "nber", "cepr", "imf", "wber"]
 #: Passes over the series patterns that all titles get. One removal can make another pattern appear; what still has one then goes on until none is left.
 SERIES_PASSES = 2
 NAME_SUFFIX = r"\b(jr\.?|sr\.?|ii|iii|iv|phd|ph\.d\.?)\b"
@@ -61,6 +64,26 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 ACCENTED, PLAIN, SEVERAL = _folding()
 _SEVERAL = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in SEVERAL) + "]"
 _NO_ASCII_NOR_SEVERAL = "[^\\x00-\\x7F" + _SEVERAL[1:]
+NOT_ASCII = "[^\\x00-\\x7F]"
+
+
+def _ranges(chars: str) -> str:
+    """Body of a character class that holds `chars`, by ranges."""
+    codes, body = sorted(map(ord, chars)), ""
+    held = set(codes)
+    for first in (c for c in codes if c - 1 not in held):
+        last = next(c for c in range(first, codes[-1] + 1) if c + 1 not in held)
+        body += f"\\x{{{first:X}}}-\\x{{{last:X}}}"
+    return body
+
+
+#: Latin letters that become ASCII without a look at each, by LETTER_PAIRS or character by character.
+_NOT_LATIN = "[^\\x00-\\x7F" + _ranges("".join(c for c in [*ACCENTED, *LETTER_PAIRS, *LETTER_SINGLES] if c < "\u0250")) + "]"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with `value` made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def squeeze(text: Column) -> Column:
@@ -78,33 +101,43 @@ def blank_to_null(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """ASCII form of a text by Unicode's decompositions; characters without one are left out."""
+    """ASCII form of a text by Unicode's decompositions; characters without one are left out.
+
+    ASCII texts pass as they are, and texts of Latin letters meet one table; only others are searched for ligatures and the like.
+    """
+    latin = text
     for letter, pair in LETTER_PAIRS.items():
-        text = F.replace(text, F.lit(letter), F.lit(pair))
-    singles = "".join(LETTER_SINGLES)
-    text = F.translate(text, singles + ACCENTED, "".join(LETTER_SINGLES.values()) + PLAIN)
-    # Ligatures and the like are rare, so only texts that still hold something else than ASCII are looked at letter by letter.
+        latin = F.replace(latin, F.lit(letter), F.lit(pair))
+    latin = F.translate(latin, "".join(LETTER_SINGLES) + ACCENTED, "".join(LETTER_SINGLES.values()) + PLAIN)
+    return F.when(~F.rlike(text, F.lit(NOT_ASCII)), text).when(~F.rlike(text, F.lit(_NOT_LATIN)), latin).otherwise(let(latin, _spelled))
+
+
+def _spelled(text: Column) -> Column:
+    """A text with characters that stand for several ASCII ones spelled out, the rest outside ASCII left out."""
     known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.array_join(F.transform(F.split(F.regexp_replace(text, _NO_ASCII_NOR_SEVERAL, ""), ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(known, c), c))), "")
-    text = F.when(F.rlike(text, F.lit(_SEVERAL)), spelled).otherwise(text)
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
+    each = F.transform(F.split(F.regexp_replace(text, _NO_ASCII_NOR_SEVERAL, ""), ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(known, c), c)))
+    return F.regexp_replace(F.when(F.rlike(text, F.lit(_SEVERAL)), F.array_join(each, "")).otherwise(text), NOT_ASCII, "")
 
 
 def normalize_title(title: Column) -> Column:
     """Lower-case ASCII title without series names and punctuation; null gives the empty string."""
-    text = F.lower(strip_accents(F.coalesce(title, F.lit(""))))
 
     def once(text: Column) -> Column:
         for pattern in SERIES:
             text = F.regexp_replace(text, pattern, "")
         return text
 
-    for _ in range(SERIES_PASSES):
-        text = once(text)
-    # Each further pass takes away a name of three letters at least.
-    rest = F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(text) / 3).cast("int")), text, lambda t, _: once(t))
-    text = F.when(F.rlike(text, F.lit("|".join(SERIES))), rest).otherwise(text)
-    return squeeze(F.regexp_replace(text, r"[^a-z0-9\s]", " "))
+    def cleared(text: Column) -> Column:
+        passed = text
+        for _ in range(SERIES_PASSES):
+            passed = once(passed)
+        # Each further pass takes away a name of three letters at least.
+        rest = lambda t: F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(t) / 3).cast("int")), t, lambda x, _: once(x))
+        return let(passed, lambda t: F.when(F.rlike(t, F.lit("|".join(SERIES))), rest(t)).otherwise(t))
+
+    may_name = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(word)) for word in SERIES_WORDS])
+    text = let(F.lower(strip_accents(F.coalesce(title, F.lit("")))), lambda t: F.when(may_name(t), cleared(t)).otherwise(t))
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
 def normalize_name(name: Column) -> Column:
@@ -132,8 +165,13 @@ def canonical_id(title: Column, names: Column) -> Column:
 
 
 def title_tokens(title: Column) -> Column:
-    """Distinct tokens of a normalised title."""
-    return F.array_distinct(F.filter(F.split(normalize_title(title), " "), lambda x: x != ""))
+    """Distinct tokens of a title, normalised here."""
+    return tokens_of(normalize_title(title))
+
+
+def tokens_of(normalized: Column) -> Column:
+    """Distinct tokens of a title that is normalised already."""
+    return F.array_distinct(F.filter(F.split(normalized, " "), lambda x: x != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

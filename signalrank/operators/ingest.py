@@ -44,8 +44,18 @@ def placed(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return old.unionByName(works.select("id", F.col("cluster").alias("paper_id"), (F.col("id") == F.col("cluster")).alias("is_new")))
 
 
-def ingest(batch: DataFrame, held: Store) -> tuple[Store, DataFrame]:
-    """The store with `batch` in it, and where each record went (id, paper_id, is_new).
+class Changes(NamedTuple):
+    """What a batch does to a store: papers and authors as they are after it, the sources and links that it adds, and where each record went (id, paper_id, is_new)."""
+
+    papers: DataFrame
+    authors: DataFrame
+    sources: DataFrame
+    links: DataFrame
+    went: DataFrame
+
+
+def changes(batch: DataFrame, held: Store) -> Changes:
+    """What `batch` does to the store.
 
     batch: (id, title, authors, doi, abstract, url, published_at, paper_type, jel_codes, keywords, affiliations, source,
     source_id, source_url, raw_metadata). Its ids are numbers from 0 on that no stored paper has, in the order of arrival.
@@ -59,13 +69,20 @@ def ingest(batch: DataFrame, held: Store) -> tuple[Store, DataFrame]:
     changed = base.join(merged.withColumnRenamed("paper_id", "id"), "id").select(*held.papers.columns)
     papers = held.papers.join(base.select("id"), "id", "left_anti").select(*held.papers.columns).unionByName(changed)
     seen = rows.select("source", "source_id", "paper_id", "source_url", "raw_metadata", F.col("id").alias("_at"))
-    sources = store.insert_ignore(seen, held.sources.withColumn("_at", F.lit(None).cast("long")), ["source", "source_id"], "_at").drop("_at")
+    sources = store.new_rows(seen, held.sources, ["source", "source_id"], "_at").drop("_at")
     each = rows.select("paper_id", "id", "affiliations", F.posexplode("authors").alias("position", "name"))
     each = each.select("paper_id", "id", "position", "name", text.normalize_name(F.col("name")).alias("name_normalized"), F.nullif(F.get("affiliations", F.col("position")), F.lit("")).alias("affiliation"))
+    each = cut(each)
     longest = F.max_by("affiliation", F.struct(F.length(F.coalesce("affiliation", F.lit(""))), -F.col("id"), -F.col("position")))
     people = each.groupBy("name_normalized").agg(F.min_by("name", F.struct("id", "position")).alias("name"), longest.alias("affiliation")).withColumn("author_id", F.xxhash64("name_normalized"))
     rules = store.AUTHOR_RULES | {"name": store.first_of, "author_id": store.first_of}
-    authors = store.upsert(people.select(*held.authors.columns), held.authors, ["name_normalized"], rules).select(*held.authors.columns)
-    pairs = each.join(authors.select("name_normalized", "author_id"), "name_normalized").select("paper_id", "author_id", "position")
-    links = store.insert_ignore(pairs, held.links, ["paper_id", "author_id"], "position")
-    return Store(papers, sources, authors, links), went
+    authors = cut(store.upsert(people.select(*held.authors.columns), held.authors, ["name_normalized"], rules).select(*held.authors.columns))
+    pairs = each.join(authors.select("name_normalized", "author_id"), "name_normalized").select("paper_id", "author_id", "position", F.struct("id", "position").alias("_at"))
+    links = store.new_rows(pairs, held.links, ["paper_id", "author_id"], "_at").drop("_at")
+    return Changes(papers, authors, sources, links, went)
+
+
+def ingest(batch: DataFrame, held: Store) -> tuple[Store, DataFrame]:
+    """The store with `batch` in it, and where each record went. See `changes`."""
+    found = changes(batch, held)
+    return Store(found.papers, held.sources.unionByName(found.sources), found.authors, held.links.unionByName(found.links)), found.went

@@ -24,12 +24,8 @@ TYPE_RANK = {"journal_article": 2, "working_paper": 1}
 
 def keyed(papers: DataFrame) -> DataFrame:
     """papers with their normalised title, DOI, title tokens and family names."""
-    return papers.withColumns(
-        {
-            "title_key": F.nullif(text.normalize_title(F.col("title")), F.lit("")), "doi_key": text.normalize_doi(F.col("doi")),
-            "tokens": text.title_tokens(F.col("title")), "families": F.array_distinct(text.last_names(F.col("authors"))),
-        }
-    )
+    rows = papers.withColumns({"title_key": text.normalize_title(F.col("title")), "doi_key": text.normalize_doi(F.col("doi")), "families": F.array_distinct(text.last_names(F.col("authors")))})
+    return rows.withColumns({"tokens": text.tokens_of(F.col("title_key")), "title_key": F.nullif("title_key", F.lit(""))})
 
 
 def match_existing(new: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalrank.plans import form_queries, graph_queries, payload_queries, record_queries, stream_queries, text_queries, work_queries
+from signalrank.plans import form_queries, graph_queries, job_queries, payload_queries, record_queries, stream_queries, text_queries, work_queries
 from signalrank.plans.text_queries import first_line
 from signalrank.session import table
 
@@ -36,8 +36,8 @@ SELECT doc_id, title, score FROM s ORDER BY score DESC, doc_id LIMIT 20
 
 
 def queries():
-    return {"ranked_feed": ranked_feed} | text_queries.QUERIES | graph_queries.QUERIES | record_queries.QUERIES | stream_queries.QUERIES | work_queries.QUERIES | form_queries.QUERIES | payload_queries.QUERIES
+    return {"ranked_feed": ranked_feed} | text_queries.QUERIES | graph_queries.QUERIES | record_queries.QUERIES | stream_queries.QUERIES | work_queries.QUERIES | form_queries.QUERIES | payload_queries.QUERIES | job_queries.QUERIES
 
 
 def oracle_sql():
-    return {"ranked_feed": RANKED_FEED_SQL} | text_queries.SQL | graph_queries.SQL | record_queries.SQL | stream_queries.SQL | work_queries.SQL | form_queries.SQL | payload_queries.SQL
+    return {"ranked_feed": RANKED_FEED_SQL} | text_queries.SQL | graph_queries.SQL | record_queries.SQL | stream_queries.SQL | work_queries.SQL | form_queries.SQL | payload_queries.SQL | job_queries.SQL

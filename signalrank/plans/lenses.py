@@ -20,7 +20,7 @@ TRUSTED = ["nber", "semantic_scholar", "repec_nep", "worldbank", "imf", "iza", "
 
 def attach_authors(papers: DataFrame, edges: DataFrame, authors: DataFrame) -> DataFrame:
     """papers with `authors`, each normalised name once, by its first position; papers without any have an empty list."""
-    named = edges.join(authors.select("author_id", "name"), "author_id").withColumn("key", text.normalize_name(F.col("name")))
+    named = edges.join(authors.select("author_id", "name", text.normalize_name(F.col("name")).alias("key")), "author_id")
     firsts = named.groupBy("paper_id", "key").agg(F.min(F.struct("position", "author_id", "name")).alias("a"))
     listed = firsts.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["name"]).alias("authors"))
     return papers.join(listed, "paper_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))

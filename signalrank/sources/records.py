@@ -17,18 +17,18 @@ def no_texts() -> Column:
     return F.array().cast("array<string>")
 
 
-def parsed(rows: DataFrame, schema: str) -> DataFrame:
-    """Fields of the JSON objects in `value`; fields that do not fit are null."""
-    return rows.select("value", F.from_json("value", schema).alias("x")).where("x is not null").select("value", "x.*")
+def parsed(rows: DataFrame, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of the JSON objects in `value`, and the columns to carry, which say where a row is from; fields that do not fit are null."""
+    return rows.select(*carry, "value", F.from_json("value", schema).alias("x")).where("x is not null").select(*carry, "value", "x.*")
 
 
 def _names(items: Column) -> Column:
     return F.filter(F.transform(F.coalesce(items, no_texts()), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
 
 
-def openalex_works(rows: DataFrame) -> DataFrame:
+def openalex_works(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Papers with an extra column author_details (name, openalex_id, orcid, affiliation, country). Fields of levels 0 and 1 and the source's name are keywords."""
-    work = parsed(rows, OPENALEX_WORK)
+    work = parsed(rows, OPENALEX_WORK, carry)
     doi = text.bare_doi(F.col("doi"))
     source_url = F.coalesce(text.blank_to_null(F.col("primary_location.landing_page_url")), text.blank_to_null(F.col("id")))
     url = F.coalesce(F.concat(F.lit("https://doi.org/"), doi), source_url)
@@ -44,7 +44,7 @@ def openalex_works(rows: DataFrame) -> DataFrame:
     fields = F.transform(F.filter(F.coalesce("concepts", F.array().cast("array<struct<display_name:string,level:int>>")), lambda c: c["level"] <= 1), lambda c: c["display_name"])
     kind = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in WORK_TYPES.items()], F.lit("working_paper"))
     found = work.select(
-        F.trim(F.coalesce("title", "display_name")).alias("title"), F.transform(details, lambda d: d["name"]).alias("authors"), F.nullif(text.from_inverted(F.col("abstract_inverted_index")), F.lit("")).alias("abstract"),
+        *carry, F.trim(F.coalesce("title", "display_name")).alias("title"), F.transform(details, lambda d: d["name"]).alias("authors"), F.nullif(text.from_inverted(F.col("abstract_inverted_index")), F.lit("")).alias("abstract"),
         doi.alias("doi"), url.alias("url"), F.nullif("publication_date", F.lit("")).alias("published_at"), kind.alias("paper_type"), no_texts().alias("jel_codes"),
         F.concat(_names(fields), _names(F.array(F.col("primary_location.source.display_name")))).alias("keywords"), F.lit("openalex").alias("source"), text.last_segment(F.col("id")).alias("source_id"), source_url.alias("source_url"),
         details.alias("author_details"),
@@ -66,9 +66,15 @@ def work_gate(from_date: str, fields: list[str], kinds: list[str], venues: list[
     return fits
 
 
-def crossref_works(rows: DataFrame, as_of: Column) -> DataFrame:
+def message_items(rows: DataFrame) -> DataFrame:
+    """Works of journal pages, whose answers hold them as message.items: rows with one work in `value` and `item`, its place; other columns stay."""
+    items = F.from_json("value", "message struct<items:array<string>>")["message"]["items"]
+    return rows.select(*[c for c in rows.columns if c != "value"], F.posexplode(items).alias("item", "value"))
+
+
+def crossref_works(rows: DataFrame, as_of: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Journal articles; those without title or DOI, and editorial matter, go. The date is the earlier of online and created, never after tomorrow."""
-    work = parsed(rows, CROSSREF_WORK)
+    work = parsed(rows, CROSSREF_WORK, carry)
     day = lambda c: dates.from_parts(F.col(f"`{c}`.`date-parts`"))
     published = dates.published_on(day("published-online"), day("created"), [day("issued"), day("published-print")], as_of)
     title = F.trim(F.get("title", F.lit(0)))
@@ -76,7 +82,7 @@ def crossref_works(rows: DataFrame, as_of: Column) -> DataFrame:
     doi = text.blank_to_null(F.col("DOI"))
     url = F.coalesce(text.blank_to_null(F.col("URL")), F.concat(F.lit("https://doi.org/"), doi))
     found = work.select(
-        title.alias("title"), _names(names).alias("authors"), F.nullif(text.strip_markup(F.col("abstract")), F.lit("")).alias("abstract"), doi.alias("doi"), url.alias("url"),
+        *carry, title.alias("title"), _names(names).alias("authors"), F.nullif(text.strip_markup(F.col("abstract")), F.lit("")).alias("abstract"), doi.alias("doi"), url.alias("url"),
         F.date_format(published, "yyyy-MM-dd").alias("published_at"), F.lit("journal_article").alias("paper_type"), no_texts().alias("jel_codes"), no_texts().alias("keywords"), F.lit("crossref").alias("source"),
         doi.alias("source_id"), url.alias("source_url"),
     )
@@ -98,13 +104,13 @@ def worldbank_documents(rows: DataFrame) -> DataFrame:
     return found.where("title <> '' and source_id is not null")
 
 
-def recommended_papers(rows: DataFrame) -> DataFrame:
+def recommended_papers(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Papers of recommendation responses; those without id or title go. One with an arXiv id and no DOI is a working paper."""
-    each = parsed(rows, RECOMMENDATIONS).select(F.explode("recommendedPapers").alias("r")).select("r.*")
+    each = parsed(rows, RECOMMENDATIONS, carry).select(*carry, F.explode("recommendedPapers").alias("r")).select(*carry, "r.*")
     ids = lambda k: text.blank_to_null(F.try_element_at("externalIds", F.lit(k)))
     url = text.blank_to_null(F.col("url"))
     found = each.select(
-        F.trim("title").alias("title"), _names(F.transform("authors", lambda a: a["name"])).alias("authors"), text.blank_to_null(F.col("abstract")).alias("abstract"), ids("DOI").alias("doi"), url.alias("url"),
+        *carry, F.trim("title").alias("title"), _names(F.transform("authors", lambda a: a["name"])).alias("authors"), text.blank_to_null(F.col("abstract")).alias("abstract"), ids("DOI").alias("doi"), url.alias("url"),
         F.date_format(dates.year_start(F.col("year")), "yyyy-MM-dd").alias("published_at"), F.when(ids("DOI").isNull() & ids("ArXiv").isNotNull(), "working_paper").otherwise("journal_article").alias("paper_type"),
         no_texts().alias("jel_codes"), no_texts().alias("keywords"), F.lit("semantic_scholar").alias("source"), text.blank_to_null(F.col("paperId")).alias("source_id"), url.alias("source_url"),
     )
