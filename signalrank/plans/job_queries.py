@@ -88,18 +88,18 @@ def journal_collect(spark, sf_dir):
 
 #: Sources whose documents are in the store already; the others arrive.
 STORED = [f"src{k}" for k in range(10)]
-_INGEST = f"""n AS (SELECT doc_id AS id, CASE WHEN coalesce(source IN ({", ".join(f"'{s}'" for s in STORED)}), false) THEN -1 ELSE doc_id END AS at, md5(coalesce(text, '')) AS title,
+_INGEST = f"""n AS (SELECT doc_id AS id, CASE WHEN coalesce(source IN ({", ".join(f"'{s}'" for s in STORED)}), false) THEN -1 ELSE doc_id END AS rk, md5(coalesce(text, '')) AS title,
   CASE WHEN doc_id % 3 = 0 THEN '10.5/' || doc_id % 90 END AS doi, coalesce(source, 'none') || repeat('z', (doc_id % 5)::INT) AS abstract, 'u' || doc_id AS url, CASE WHEN doc_id % 5 <> 0 THEN '2024-0' || (1 + doc_id % 9) END AS published_at,
   CASE doc_id % 4 WHEN 0 THEN 'journal_article' WHEN 1 THEN 'working_paper' WHEN 2 THEN 'report' END AS paper_type, ['L' || coalesce(lang, 'none'), 'J' || doc_id % 3] AS codes,
   [CASE WHEN doc_id % 2 = 0 THEN 'Land' ELSE 'land' END, 'k' || doc_id % 4] AS words, coalesce(source, 'none') AS source, (doc_id % 300)::VARCHAR AS source_id,
   ['Ann ' || coalesce(source, 'none'), 'Bo ' || coalesce(lang, 'none')] AS names, ['Inst' || repeat('x', (doc_id % 4)::INT), ''] AS places FROM documents),
-f AS (SELECT b.id, coalesce(d.s, t.s) AS paper FROM n b LEFT JOIN (SELECT doi, min(id) AS s FROM n WHERE at < 0 AND doi IS NOT NULL GROUP BY doi) d ON d.doi = b.doi LEFT JOIN (SELECT title, min(id) AS s FROM n WHERE at < 0 GROUP BY title) t ON t.title = b.title WHERE b.at >= 0),
+f AS (SELECT b.id, coalesce(d.s, t.s) AS paper FROM n b LEFT JOIN (SELECT doi, min(id) AS s FROM n WHERE rk < 0 AND doi IS NOT NULL GROUP BY doi) d ON d.doi = b.doi LEFT JOIN (SELECT title, min(id) AS s FROM n WHERE rk < 0 GROUP BY title) t ON t.title = b.title WHERE b.rk >= 0),
 w AS (SELECT n.* FROM n JOIN f ON f.id = n.id WHERE paper IS NULL),
 z AS (SELECT id AS a, min(id) OVER (PARTITION BY title) AS b FROM w UNION SELECT id, min(id) OVER (PARTITION BY doi) FROM w WHERE doi IS NOT NULL),
 e AS (SELECT a, b FROM z UNION SELECT b, a FROM z), r(id, low) AS (SELECT id, id FROM w UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b),
-o AS (SELECT id, id AS paper FROM n WHERE at < 0 UNION ALL SELECT id, paper FROM f WHERE paper IS NOT NULL UNION ALL SELECT id, min(low) FROM r GROUP BY id),
+o AS (SELECT id, id AS paper FROM n WHERE rk < 0 UNION ALL SELECT id, paper FROM f WHERE paper IS NOT NULL UNION ALL SELECT id, min(low) FROM r GROUP BY id),
 h AS (SELECT o.paper, n.* FROM n JOIN o ON o.id = n.id)"""
-_EACH = "(SELECT paper, at, id, unnest({c}) AS x, generate_subscripts({c}, 1) AS pos FROM h)"
+_EACH = "(SELECT paper, rk, id, unnest({c}) AS x, generate_subscripts({c}, 1) AS pos FROM h)"
 
 
 def _ingested(spark, sf_dir) -> ingest.Changes:
@@ -123,32 +123,32 @@ def _ingested(spark, sf_dir) -> ingest.Changes:
     return store
 
 
-@query(f"""WITH RECURSIVE {_INGEST}, c AS (SELECT paper, x, min((at, pos)) AS o FROM {_EACH.format(c="codes")} GROUP BY paper, x),
-k AS (SELECT paper, arg_min(x, (at, pos)) AS x, min((at, pos)) AS o FROM {_EACH.format(c="words")} GROUP BY paper, lower(x))
-SELECT h.paper AS id, arg_min(title, (at, id)) AS title, arg_min(doi, at) FILTER (doi IS NOT NULL) AS doi, arg_max(abstract, (length(abstract), -at)) AS abstract, arg_min(url, (at, id)) AS url, min(published_at) AS published_at,
- arg_max(paper_type, (CASE paper_type WHEN 'journal_article' THEN 2 WHEN 'working_paper' THEN 1 ELSE 0 END, paper_type IS NOT NULL, -at)) AS paper_type,
+@query(f"""WITH RECURSIVE {_INGEST}, c AS (SELECT paper, x, min((rk, pos)) AS o FROM {_EACH.format(c="codes")} GROUP BY paper, x),
+k AS (SELECT paper, arg_min(x, (rk, pos)) AS x, min((rk, pos)) AS o FROM {_EACH.format(c="words")} GROUP BY paper, lower(x))
+SELECT h.paper AS id, arg_min(title, (rk, id)) AS title, arg_min(doi, rk) FILTER (doi IS NOT NULL) AS doi, arg_max(abstract, (length(abstract), -rk)) AS abstract, arg_min(url, (rk, id)) AS url, min(published_at) AS published_at,
+ arg_max(paper_type, (CASE paper_type WHEN 'journal_article' THEN 2 WHEN 'working_paper' THEN 1 ELSE 0 END, paper_type IS NOT NULL, -rk)) AS paper_type,
  (SELECT string_agg(x, ',' ORDER BY o) FROM c WHERE c.paper = h.paper) AS codes, (SELECT string_agg(x, ',' ORDER BY o) FROM k WHERE k.paper = h.paper) AS keywords FROM h GROUP BY h.paper""")
 def ingest_papers(spark, sf_dir):
     """Papers of a store after a batch that shares DOIs and titles with it and within itself."""
     return _ingested(spark, sf_dir).papers.select("id", "title", "doi", "abstract", "url", "published_at", "paper_type", F.array_join("jel_codes", ",").alias("codes"), F.array_join("keywords", ",").alias("keywords"))
 
 
-@query(f"""WITH RECURSIVE {_INGEST} SELECT source, source_id, arg_min(paper, (at, id)) AS paper_id FROM h GROUP BY source, source_id""")
+@query(f"""WITH RECURSIVE {_INGEST} SELECT source, source_id, arg_min(paper, (rk, id)) AS paper_id FROM h GROUP BY source, source_id""")
 def ingest_sources(spark, sf_dir):
     """Sightings, each of a source's ids once, with the paper that its first record went to."""
     return _ingested(spark, sf_dir).sources.select("source", "source_id", "paper_id")
 
 
-@query(f"""WITH RECURSIVE {_INGEST}, a AS (SELECT at, id, unnest(names) AS name, unnest(places) AS place FROM h), l AS (SELECT lower(name) AS name_normalized, min(at) < 0 AS old, arg_min(name, (at, id)) AS name,
- arg_max(nullif(place, ''), (length(place), -id)) FILTER (at >= 0 AND place <> '') AS place FROM a GROUP BY lower(name))
+@query(f"""WITH RECURSIVE {_INGEST}, a AS (SELECT rk, id, unnest(names) AS name, unnest(places) AS place FROM h), l AS (SELECT lower(name) AS name_normalized, min(rk) < 0 AS old, arg_min(name, (rk, id)) AS name,
+ arg_max(nullif(place, ''), (length(place), -id)) FILTER (rk >= 0 AND place <> '') AS place FROM a GROUP BY lower(name))
 SELECT name_normalized, name, CASE WHEN old AND length(coalesce(place, '')) <= 3 THEN 'Ins' ELSE place END AS affiliation FROM l""")
 def ingest_authors(spark, sf_dir):
     """Authors of a store after a batch: the stored name stays, the longer affiliation wins."""
     return _ingested(spark, sf_dir).authors.select("name_normalized", "name", "affiliation")
 
 
-@query(f"""WITH RECURSIVE {_INGEST}, a AS (SELECT paper, at, id, unnest(names) AS name, unnest([0, 1]) AS position FROM h)
-SELECT paper AS paper_id, lower(name) AS name_normalized, arg_min(position, (at, id, position))::INT AS position FROM a GROUP BY paper, lower(name)""")
+@query(f"""WITH RECURSIVE {_INGEST}, a AS (SELECT paper, rk, id, unnest(names) AS name, unnest([0, 1]) AS position FROM h)
+SELECT paper AS paper_id, lower(name) AS name_normalized, arg_min(position, (rk, id, position))::INT AS position FROM a GROUP BY paper, lower(name)""")
 def ingest_links(spark, sf_dir):
     """Links of papers and authors after a batch, each pair once, at the place where it was first."""
     found = _ingested(spark, sf_dir)
