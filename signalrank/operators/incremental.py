@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalrank.functions.dates import alert_threshold
@@ -25,6 +25,17 @@ def fresh(cache: DataFrame, as_of: Column, hours: int = 12) -> DataFrame:
     return cache.where(F.col("stored_at") > as_of - F.expr(f"INTERVAL {hours} HOURS"))
 
 
+def answered(log: DataFrame, hours: int = 12) -> DataFrame:
+    """(key, ts, answer) for each question of a log (key, ts, value): the last answer that was stored up to then and has not expired; null where there is none.
+
+    Rows with a value are answers, rows without are questions.
+    """
+    before = Window.partitionBy("key").orderBy("ts", F.col("value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("value").isNotNull(), F.struct("ts", "value")), ignorenulls=True).over(before)
+    rows = log.select("key", "ts", "value", last.alias("last")).where("value is null")
+    return rows.select("key", "ts", F.when(F.col("last.ts") > F.col("ts") - F.expr(f"INTERVAL {hours} HOURS"), F.col("last.value")).alias("answer"))
+
+
 def memoized(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, open): keys with a cached answer, an empty one included, and keys without."""
     return asked.join(cache, "key"), asked.join(cache, "key", "left_anti")

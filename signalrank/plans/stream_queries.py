@@ -114,3 +114,12 @@ def snapshot_stats(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(
         F.count(F.lit(1)).alias("papers"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+
+
+@query("""SELECT user_id::VARCHAR AS key, ts, CASE WHEN last.ts > ts - INTERVAL 12 HOURS THEN last.value END AS answer FROM (
+ SELECT user_id, ts, event_type, last_value(CASE WHEN event_type = 'purchase' THEN {'ts': ts, 'value': event_id::VARCHAR} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'purchase', event_id ROWS UNBOUNDED PRECEDING) AS last FROM events
+) WHERE event_type <> 'purchase'""")
+def cache_log(spark, sf_dir):
+    """Questions of a log and the answers that a cache of twelve hours has for them; purchases stand for answers."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).alias("value"))
+    return incremental.answered(log)
