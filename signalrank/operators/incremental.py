@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalrank.functions.dates import alert_threshold
+from signalrank.session import cut
 
 UP, DOWN, NUDGE, LEAST_CHANGE = 0.1, 0.05, 0.05, 0.001
 
@@ -41,6 +44,29 @@ def memoized(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked.join(cache, "key"), asked.join(cache, "key", "left_anti")
 
 
+#: What the memo of an external answer says of a key. A failed one is asked again, an empty answer is an answer.
+ANSWERED, EMPTY, FAILED = "answered", "empty", "failed"
+
+
+def asked_once(rows: DataFrame, memo: DataFrame, ask: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """rows (key, ...) with `answer`, and the memo (key, state, answer) after that.
+
+    Keys that the memo has an answer for, an empty one included, are not asked again; keys that it lacks and those that
+    failed are, once each, by ask: (key, ...) to (key, reply), a null reply or no row being a failure. Empty and failed
+    answers are null in the rows. Without `ask` nothing is asked and nothing fails.
+    """
+    settled = memo.where(F.col("state") != FAILED)
+    opened = rows.join(settled.select("key"), "key", "left_anti").where("key is not null")
+    if ask is None:
+        return rows.join(memo.select("key", "answer"), "key", "left"), memo
+    opened = cut(opened.groupBy("key").agg(F.any_value(F.struct(*rows.columns)).alias("row")).select("row.*"))
+    replies = ask(opened).groupBy("key").agg(F.max("reply").alias("reply"))
+    state = F.when(F.col("reply").isNull(), FAILED).when(F.trim("reply") == "", EMPTY).otherwise(ANSWERED)
+    fresh = cut(opened.select("key").join(replies, "key", "left").select("key", state.alias("state"), F.when(state == ANSWERED, F.trim("reply")).alias("answer")))
+    after = memo.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+    return rows.join(after.select("key", "answer"), "key", "left"), after
+
+
 def vote_fold(start: Column, votes: Column) -> Column:
     """A weight after an ordered array of boolean votes: each moves it towards 1 by UP, or towards 0 by DOWN, rounded to 6 digits."""
     return F.aggregate(votes, start, lambda w, up: F.rint(F.when(up, w + F.lit(UP) * (F.lit(1.0) - w)).otherwise(w - F.lit(DOWN) * w) * 1e6) / 1e6)

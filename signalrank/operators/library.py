@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalrank.functions import text
 from signalrank.functions.text import library_last_name, library_name, library_tokens
 from signalrank.operators.features import small
+from signalrank.operators.versions import Tables
+from signalrank.session import cut, scratch
 
 LEAST_TF, MOST_DF, MOST_TERMS, MOST_AUTHORS = 3, 0.25, 4000, 40
 LAST_NAME_FACTOR, TOP_TERMS, TERM_DIVISOR = 0.7, 12, 4.0
@@ -67,8 +72,63 @@ def lexical_affinity(author: Column, content: Column, scale: float = 10.0) -> Co
     return F.least(F.lit(0.7), F.coalesce(author, F.lit(0.0)) * 0.4 + F.coalesce(content, F.lit(0.0)) * 0.3) * scale
 
 
+def item_hash() -> Column:
+    """Content hash of an item (title, abstract): null and the empty text differ, and no text can pass for a border between the two."""
+    part = lambda c: F.concat(F.coalesce(F.char_length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.sha2(F.concat(part("title"), part("abstract")), 256)
+
+
+#: Items under a leaf of the digest tree, about; a node above has FAN_OUT children, one more hexadecimal digit each.
+LEAF_ITEMS, FAN_OUT = 4096, 16
+
+
 def corpus_hash(items: DataFrame) -> DataFrame:
-    """(hash): one content hash of a library, whatever the order of its rows: the hash of its items' sorted hashes counted by leading byte."""
-    each = items.select(F.sha2(F.concat_ws("\x1f", "title", "abstract"), 256).alias("h"))
-    parts = each.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.bit_xor(F.conv(F.substring("h", 3, 15), 16, 10).cast("long")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return parts.groupBy().agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "x", "n"))), lambda s: F.concat_ws(":", s["part"], s["x"], s["n"])), "\n"), 256).alias("hash"))
+    """(hash): one content hash of a library (title, abstract), the same for every order of its rows and no other for any other multiset of items.
+
+    Equal items are counted. Their hashes are dealt into ranges by leading digits, so many that a range holds some
+    thousands; a range's digest is over its sorted hashes and counts, a node's over its children's digests, up to the root.
+    """
+    with scratch(items.sparkSession) as kept:
+        counted = cut(items.groupBy(item_hash().alias("h")).agg(F.count(F.lit(1)).alias("n")), narrow=True)
+        total, digits = counted.count(), 0
+        while total > LEAF_ITEMS * FAN_OUT**digits:
+            digits += 1
+        folded = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "n"))), lambda s: F.concat_ws(":", s["h"], s["n"])), "\n"), 256)
+        nodes = counted.groupBy(F.substring("h", 1, digits).alias("range")).agg(folded(counted).alias("digest"), F.sum("n").alias("n"))
+        while digits > 0:
+            digits -= 1
+            each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "digest", "n"))), lambda s: F.concat_ws(":", s["range"], s["digest"], s["n"])), "\n")
+            nodes = nodes.groupBy(F.substring("range", 1, digits).alias("range")).agg(F.sha2(each, 256).alias("digest"), F.sum("n").alias("n"))
+        root = nodes.groupBy().agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("hash"))  # one node, or none
+        return kept(root, narrow=True)
+
+
+class VectorCache:
+    """Vectors of items by model and content: a library that was seen as a whole is read as one table, of others only new texts are embedded.
+
+    The tables' folder is shared; a model's vectors are never mixed with another's. Items with the same title and
+    abstract share a vector. An item whose text could not be embedded has none and is asked again the next time.
+    """
+
+    VECTOR, ITEM, WHOLE = "item string, vector array<double>", "model string, item string, vector array<double>", "model string, hash string"
+
+    def __init__(self, tables: Tables):
+        self.tables = tables
+
+    def _name(self, model: str, digest: str) -> str:
+        return f"library-{hashlib.sha256(model.encode()).hexdigest()[:16]}-{digest}"
+
+    def vectors(self, items: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(item, vector) of the distinct items (title, abstract); item is their `item_hash`. embed: (item, title, abstract) to (item, vector), null or no row where it failed."""
+        digest = corpus_hash(items).first()["hash"]
+        name, held = self._name(model, digest), self.tables.manifest()
+        if name in held["tables"]:
+            return self.tables.read(name, self.VECTOR, held)
+        with scratch(items.sparkSession) as kept:
+            asked = cut(items.select(item_hash().alias("item"), "title", "abstract").groupBy("item").agg(F.first("title").alias("title"), F.first("abstract").alias("abstract")))
+            known = self.tables.read("items", self.ITEM, held).where(F.col("model") == model).select("item", "vector").join(asked.select("item"), "item", "left_semi")
+            fresh = cut(embed(asked.join(known.select("item"), "item", "left_anti")).select("item", F.col("vector").cast("array<double>")).where("vector is not null"))
+            every = kept(known.unionByName(fresh))
+            whole = {name: every} if every.count() == asked.count() else {}  # a library with gaps is put together anew, so that they are asked for
+            self.tables.publish(replace=whole, append={"items": fresh.select(F.lit(model).alias("model"), "item", "vector")})
+            return every

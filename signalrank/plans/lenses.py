@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,29 @@ def feed(papers: DataFrame, seen: DataFrame | None, topics: list[str], channels:
     )
 
 
+# Fixed value: rows of the feed that a reason is asked for.
+REASONED = 25
+
+
+def with_reasons(rows: DataFrame, memo: DataFrame, ask: Callable[[DataFrame], DataFrame] | None = None, top: int = REASONED) -> tuple[DataFrame, DataFrame]:
+    """Feed rows with `why_it_matters`, and the memo (key, state, answer) after that.
+
+    The first `top` by pos are looked up in the memo, by DOI, else id, else title; those that it has no answer for, or
+    that failed before, are asked for by `ask`: (key, id, title, abstract, doi, topics) to (key, reply). All others have null.
+    """
+    keyed = rows.withColumn("key", F.when(F.col("pos") <= _last_asked(rows, top), text.cache_key(F.col("doi"), F.col("id"), F.col("title"))))
+    asked = keyed.where("key is not null").select("key", "id", "title", "abstract", "doi", "topics")
+    answers, after = incremental.asked_once(asked, memo, ask)
+    found = answers.groupBy("key").agg(F.max("answer").alias("why_it_matters"))
+    return keyed.join(found, "key", "left").drop("key"), after
+
+
+def _last_asked(rows: DataFrame, top: int) -> Column:
+    """Place of the last of the first `top` rows; a feed has a bounded size."""
+    last = rows.select("pos").orderBy("pos").limit(top).agg(F.max("pos")).first()[0]
+    return F.lit(-1 if last is None else last)
+
+
 def _by(*order):
     from pyspark.sql import Window
 

@@ -123,3 +123,16 @@ def cache_log(spark, sf_dir):
     """Questions of a log and the answers that a cache of twelve hours has for them; purchases stand for answers."""
     log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).alias("value"))
     return incremental.answered(log)
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'answered' WHEN 1 THEN 'empty' WHEN 2 THEN 'failed' END AS old, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'reply ' || doc_id END AS reply FROM documents),
+s AS (SELECT doc_id, CASE WHEN old IN ('answered', 'empty') THEN old WHEN reply IS NULL THEN 'failed' WHEN trim(reply) = '' THEN 'empty' ELSE 'answered' END AS state, CASE WHEN old = 'answered' THEN 'held ' || doc_id WHEN old = 'empty' THEN NULL ELSE nullif(trim(reply), '') END AS answer FROM d)
+SELECT 'id:' || doc_id AS key, state, answer FROM s""")
+def answer_memo(spark, sf_dir):
+    """A memo of external answers with three states; only what it lacks, and what failed, is asked again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("id:"), "doc_id").alias("key"))
+    k = F.col("doc_id")
+    state = F.when(k % 5 == 0, "answered").when(k % 5 == 1, "empty").when(k % 5 == 2, "failed")
+    memo = docs.select("key", state.alias("state"), F.when(k % 5 == 0, F.concat(F.lit("held "), k)).alias("answer")).where("state is not null")
+    reply = F.when(k % 4 == 1, " ").when(k % 4 > 1, F.concat(F.lit("reply "), k))
+    return incremental.asked_once(docs, memo, lambda rows: rows.select("key", reply.alias("reply")))[1].select("key", "state", "answer")
