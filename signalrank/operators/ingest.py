@@ -9,6 +9,7 @@ a batch lets all of them meet, so a chain of similar records becomes one paper w
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -35,10 +36,10 @@ def named(papers: DataFrame, authors: DataFrame, links: DataFrame) -> DataFrame:
     return papers.join(each, F.col("id") == F.col("paper_id"), "left").select("id", "title", "doi", names.alias("authors"))
 
 
-def placed(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, paper_id, is_new) for each record of `batch` (id, title, doi, authors): the stored paper that it is, or the first record of its own work."""
+def placed(batch: DataFrame, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, paper_id, is_new) for each record of `batch` (id, title, doi, authors): the stored paper that `match` (id, existing_id) finds it to be, or the first record of its own work."""
     asked = batch.select("id", "title", "doi", "authors")
-    found = cut(resolve.match_existing(asked, stored))
+    found = cut(match(asked))
     works = resolve.same_work(asked.join(found, "id", "left_anti"))
     old = found.select("id", F.col("existing_id").alias("paper_id"), F.lit(False).alias("is_new"))
     return old.unionByName(works.select("id", F.col("cluster").alias("paper_id"), (F.col("id") == F.col("cluster")).alias("is_new")))
@@ -54,13 +55,13 @@ class Changes(NamedTuple):
     went: DataFrame
 
 
-def changes(batch: DataFrame, held: Store) -> Changes:
-    """What `batch` does to the store.
+def changes(batch: DataFrame, held: Store, match: Callable[[DataFrame], DataFrame] | None = None) -> Changes:
+    """What `batch` does to the store. match, where given, finds its stored papers, as `TitleIndex.match` does; else all stored papers are gone through.
 
     batch: (id, title, authors, doi, abstract, url, published_at, paper_type, jel_codes, keywords, affiliations, source,
     source_id, source_url, raw_metadata). Its ids are numbers from 0 on that no stored paper has, in the order of arrival.
     """
-    went = cut(placed(batch, named(held.papers, held.authors, held.links)))
+    went = cut(placed(batch, match or (lambda asked: resolve.match_existing(asked, named(held.papers, held.authors, held.links)))))
     rows = cut(batch.join(went, "id"))
     touched = held.papers.join(went.select(F.col("paper_id").alias("id")).distinct(), "id", "left_semi")
     history = touched.select(F.col("id").alias("paper_id"), F.lit(-1).cast("long").alias("at"), *METADATA).unionByName(rows.select("paper_id", F.col("id").cast("long").alias("at"), *METADATA))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signalrank.operators import ingest, resolve, store
+from signalrank.operators.match_index import BY, TitleIndex
 from signalrank.operators.versions import Tables
 from signalrank.session import cut, scratch
 
@@ -54,12 +55,13 @@ def batch_of(good: DataFrame, sensor: str, first_id: int) -> DataFrame:
     return good.select((F.col("seq") + first_id).alias("id"), *plain, *lists.values(), F.lit(sensor).alias("source"), F.col("value").alias("raw_metadata"))
 
 
-def run(tables: Tables, landed: DataFrame, sensor: str, watch: str, started: str, finished: str, marks: DataFrame | None = None, done: tuple[str, int] | None = None, failed: int = 0) -> dict:
+def run(tables: Tables, landed: DataFrame, sensor: str, watch: str, started: str, finished: str, marks: DataFrame | None = None, done: tuple[str, int] | None = None, failed: int = 0, index: TitleIndex | None = None) -> dict:
     """Ingests landed items (seq, value), seq being numbers from 0 on, none twice, and returns sensor, watch, status, found, new and errors.
 
     A failure of an item puts it into `quarantine`; a failure of the run changes nothing but the log, which gets its
     message. marks, where given, replaces the stored marks in the same version. done (stream, batch) makes the run one
-    that counts once. failed counts requests that brought nothing: with any, the status is partial_success.
+    that counts once. failed counts requests that brought nothing: with any, the status is partial_success. index, a
+    TitleIndex over the same tables, finds the stored papers and gets the entries of those that the run adds or changes.
     """
     spark = landed.sparkSession
     if done is not None and tables.is_done(*done):
@@ -72,14 +74,17 @@ def run(tables: Tables, landed: DataFrame, sensor: str, watch: str, started: str
             held = tables.manifest()
             stored = ingest.Store(*(tables.read(n, SCHEMAS[n], held) for n in ingest.Store._fields))
             first_id = (stored.papers.agg(F.max("id")).first()[0] or 0) + 1
-            changes = ingest.changes(batch_of(rows.where("reason is null"), sensor, first_id), stored)
+            changes = ingest.changes(batch_of(rows.where("reason is null"), sensor, first_id), stored, index and index.match)
             went = cut(changes.went.observe(placed, F.count_if("is_new").alias("new")), narrow=True)
             found, errors, new = seen.get["found"], seen.get["errors"], placed.get["new"]
             bad = rows.where("reason is not null").select(F.lit(sensor).alias("sensor"), F.lit(started).cast("timestamp").alias("run_at"), "seq", "reason", "value")
             status = "partial_success" if failed else "success"
             appended = {"sources": changes.sources, "links": changes.links, "quarantine": bad, "runs": log(status, found, new)}
             replaced = {"papers": changes.papers, "authors": changes.authors} | ({"marks": marks} if marks is not None else {})
-            tables.publish(replaced, appended, done)
+            if index is not None:
+                touched = changes.papers.join(went.select(F.col("paper_id").alias("id")).distinct(), "id", "left_semi")
+                appended["entries"] = index.entries(ingest.named(touched, changes.authors, stored.links.unionByName(changes.links)))
+            tables.publish(replaced, appended, done, by=BY)
             return {"sensor": sensor, "watch": watch, "status": status, "found": found, "new": new, "errors": errors + failed}
     except Exception as error:
         message = str(error).split("\n")[0][:1000]

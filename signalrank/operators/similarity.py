@@ -40,13 +40,13 @@ def representatives(sets: DataFrame) -> DataFrame:
     return sets.where(F.size("tokens") > 0).groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("id")).select("id", "tokens")
 
 
-def _near(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard) of prefix rows `left` (token, a, tokens_a) and `right` (token, b, tokens_b)."""
+def near(left: DataFrame, right: DataFrame, least: float, *carry: str) -> DataFrame:
+    """(a, b, jaccard), and the columns to carry, of prefix rows `left` (token, a, tokens_a) and `right` (token, b, tokens_b) whose tokens have one order."""
     sized = (F.size("tokens_a") >= F.size("tokens_b") * least - 1e-9) & (F.size("tokens_b") >= F.size("tokens_a") * least - 1e-9)
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     # A pair meets at its first common prefix token only, so no distinct is needed.
     pairs = left.join(right, "token").where(sized).where(F.get(F.array_intersect("tokens_a", "tokens_b"), F.lit(0)) == F.col("token"))
-    found = pairs.select("a", "b", (common / (F.size("tokens_a") + F.size("tokens_b") - common)).alias("jaccard"))
+    found = pairs.select("a", "b", *carry, (common / (F.size("tokens_a") + F.size("tokens_b") - common)).alias("jaccard"))
     return found.where(F.col("jaccard") >= least - 1e-12)
 
 
@@ -54,7 +54,7 @@ def representative_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b, jaccard) with a < b of all pairs of different sets with at least that similarity, each by its representative."""
     rows = prefixes(ordered(representatives(sets)), least)
     left, right = (rows.select("token", F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    return _near(left, right, least).where("a < b")
+    return near(left, right, least).where("a < b")
 
 
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
@@ -77,4 +77,4 @@ def matches(new: DataFrame, stored: DataFrame, least: float) -> DataFrame:
     left = rows.where("id.side = 0").select("token", F.col("id.id").alias("a"), F.col("tokens").alias("tokens_a"))
     right = rows.where("id.side = 1").select("token", F.col("id.id").alias("b"), F.col("tokens").alias("tokens_b"))
     ours, theirs = (represented(side).select(F.col("representative").alias(s), F.col("id").alias(f"id_{s}")) for s, side in zip("ab", (new, stored)))
-    return _near(left, right, least).join(ours, "a").join(theirs, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard")
+    return near(left, right, least).join(ours, "a").join(theirs, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "jaccard")
