@@ -36,6 +36,9 @@ SERIES_WORDS = ["paper", "report", "nber", "cepr", "imf", "wber"]
 SERIES_PASSES = 2
 NAME_SUFFIX = r"\b(jr\.?|sr\.?|ii|iii|iv|phd|ph\.d\.?)\b"
 DOI_FORMS = r"^(https?://(dx\.)?doi\.org/|doi\.org/|doi:)"
+# Forms of DOIs in free text.
+DOI_MARKED = r"(?i)(?:https?://(?:dx\.)?doi\.org/|doi:\s*)(10\.\d{4,9}/[^\s\"'<>]+)"
+DOI_BARE = r"(?<![/\p{L}\p{N}_])(10\.\d{4,9}/[^\s\"'<>]{4,})"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 JEL_CODE = r"\b([A-Z]\d{1,2})\b"
 # Fixed value: a character of a word in any script. What \b means differs by Java version.
@@ -195,9 +198,9 @@ def bare_doi(doi: Column) -> Column:
 
 
 def doi_in_text(text: Column) -> Column:
-    """First DOI in free text: a URL or doi: form before a bare one; closing punctuation is no part of it. Null when there is none."""
-    marked = F.regexp_extract(text, r"(?i)(?:doi\.org/|doi:\s*)(10\.\d{4,9}/[^\s\"'<>]+)", 1)
-    bare = F.regexp_extract(text, r"(?<![\w/.])(10\.\d{4,9}/[^\s\"'<>]+)", 1)
+    """First DOI in free text: a URL or doi: form before a bare one, which ends in four characters at least; closing punctuation is no part of it. Null when there is none."""
+    marked = F.regexp_extract(text, DOI_MARKED, 1)
+    bare = F.regexp_extract(text, DOI_BARE, 1)
     return F.nullif(F.regexp_replace(F.coalesce(F.nullif(marked, F.lit("")), bare), r"[.,;)]+$", ""), F.lit(""))
 
 

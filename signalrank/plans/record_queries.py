@@ -1,4 +1,4 @@
-"""Queries over literal records, for forms that the shared tables do not hold, and over details, calls and library profiles."""
+"""Queries over forms that are made of the rows of the tables, and over details, calls and library profiles."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from signalrank.operators import library
 from signalrank.plans import lenses
 from signalrank.plans.graph_queries import _EDGES, _SIGHTINGS, authors, edges, sightings
 from signalrank.session import table
+from signalrank.sources.records import openalex_works
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,55 +25,62 @@ def query(sql: str | None):
     return add
 
 
-def literal(spark, values: str, columns: str):
-    return spark.sql(f"SELECT * FROM VALUES {values} AS v({columns})")
+#: Forms of DOIs by row, in words that both engines read.
+_DOI = """CASE o_orderkey % 8 WHEN 0 THEN 'https://doi.org/10.' WHEN 1 THEN 'http://dx.doi.org/10.' WHEN 2 THEN 'doi:10.' WHEN 3 THEN '  10.' WHEN 4 THEN 'DOI.org/10.' WHEN 5 THEN 'doi:doi:10.' WHEN 6 THEN 'HTTPS://DX.DOI.ORG/10.' END
+ || (o_custkey + 1000) || '/' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '.A' END"""
 
 
-DOIS = "(1, 'https://doi.org/10.1257/AER.1'), (2, 'http://dx.doi.org/10.3386/w1'), (3, 'doi:10.1/x'), (4, ' 10.1/Y '), (5, ''), (6, 'doi.org/10.2/z'), (7, 'doi:doi:10.3/q')"
-
-
-@query(f"""SELECT id, coalesce(regexp_replace(lower(trim(raw)), '^(https?://(dx\\.)?doi\\.org/|doi\\.org/|doi:)', ''), '') AS doi FROM (VALUES {DOIS}) v(id, raw)""")
+@query(f"""SELECT o_orderkey AS id, coalesce(regexp_replace(lower(trim({_DOI})), '^(https?://(dx\\.)?doi\\.org/|doi\\.org/|doi:)', ''), '') AS doi FROM orders""")
 def doi_normalize(spark, sf_dir):
     """F10."""
-    return literal(spark, DOIS, "id, raw").select("id", F.coalesce(text.normalize_doi(F.col("raw")), F.lit("")).alias("doi"))
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_DOI).alias("raw"))
+    return raw.select("id", F.coalesce(text.normalize_doi(F.col("raw")), F.lit("")).alias("doi"))
 
 
-POSTS = "(1, 'See https://doi.org/10.1257/aer.2020.1).'), (2, 'doi: 10.3386/w123, new'), (3, 'none 10.1/x'), (4, 'bare 10.1111/abc.d end'), (5, 'x')"
+_POST = """CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority || ' at https://doi.org/10.' WHEN 1 THEN 'doi: 10.' WHEN 2 THEN 'none 10' WHEN 3 THEN 'bare 10.' WHEN 4 THEN 'two 10.9999/first and doi:10.' ELSE '(10.' END
+ || (o_custkey + 1000) || CASE WHEN o_orderkey % 7 = 0 THEN '/ab' ELSE '/abc.' || o_orderkey END || CASE o_orderkey % 5 WHEN 0 THEN ').' WHEN 1 THEN ', new' WHEN 2 THEN ' end' WHEN 3 THEN '>x' ELSE '' END"""
 
 
-@query(f"""WITH v AS (SELECT * FROM (VALUES {POSTS}) v(id, raw)), m AS (SELECT id, regexp_extract(raw, '(?i)(?:doi\\.org/|doi:\\s*)(10\\.\\d{{4,9}}/[^\\s"<>]+)', 1) AS a, regexp_extract(raw, '(?:^|\\s)(10\\.\\d{{4,9}}/[^\\s"<>]+)', 1) AS b FROM v)
+@query(f"""WITH v AS (SELECT o_orderkey AS id, {_POST} AS raw FROM orders), m AS (SELECT id, regexp_extract(raw, '(?i)(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)(10\\.\\d{{4,9}}/[^\\s"''<>]+)', 1) AS a, regexp_extract(raw, '(?:^|[^/\\p{{L}}\\p{{N}}_])(10\\.\\d{{4,9}}/[^\\s"''<>]{{4,}})', 1) AS b FROM v)
 SELECT id, regexp_replace(CASE WHEN a <> '' THEN a ELSE b END, '[.,;)]+$', '') AS doi FROM m""")
 def doi_extract(spark, sf_dir):
     """F12."""
-    return literal(spark, POSTS, "id, raw").select("id", F.coalesce(text.doi_in_text(F.col("raw")), F.lit("")).alias("doi"))
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_POST).alias("raw"))
+    return raw.select("id", F.coalesce(text.doi_in_text(F.col("raw")), F.lit("")).alias("doi"))
 
 
-ABSTRACTS = "(1, 'Text. JEL: O12, R31'), (2, 'JEL codes: J1; J31. Other A1'), (3, 'no codes'), (4, 'JEL Classification: Q5')"
+_ABSTRACT = """p_name || CASE p_partkey % 5 WHEN 0 THEN '. JEL: O' WHEN 1 THEN '. JEL codes: J' WHEN 2 THEN ', O1, R' WHEN 3 THEN '; JEL Classification: Q' ELSE '. jel code : A' END
+ || (p_partkey % 100) || CASE p_partkey % 4 WHEN 0 THEN ', R31' WHEN 1 THEN '; J31. Other A1' WHEN 2 THEN '' ELSE ' and more' END"""
 
 
-@query(f"""SELECT id, array_to_string(regexp_extract_all(regexp_extract(raw, '(?i)JEL(?:\\s+(?:codes?|classification))?\\s*:\\s*((?:[A-Z]\\d{{1,2}}[\\s,;]*)+)', 1), '[A-Z]\\d{{1,2}}'), ',') AS codes FROM (VALUES {ABSTRACTS}) v(id, raw)""")
+@query(f"""SELECT p_partkey AS id, array_to_string(regexp_extract_all(regexp_extract({_ABSTRACT}, '(?i)JEL(?:\\s+(?:codes?|classification))?\\s*:\\s*((?:[A-Z]\\d{{1,2}}[\\s,;]*)+)', 1), '[A-Z]\\d{{1,2}}'), ',') AS codes FROM part""")
 def jel_extract(spark, sf_dir):
     """F31."""
-    return literal(spark, ABSTRACTS, "id, raw").select("id", F.array_join(text.jel_codes(F.col("raw")), ",").alias("codes"))
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_ABSTRACT).alias("raw"))
+    return raw.select("id", F.array_join(text.jel_codes(F.col("raw")), ",").alias("codes"))
 
 
-LISTS = "(1, 'Ann Lee, Bo Chan and Cy Dunn'), (2, 'Ann Lee; Bo Chan & Ann Lee'), (3, 'X'), (4, '')"
+_LIST = """c_name || CASE c_custkey % 6 WHEN 0 THEN ', ' WHEN 1 THEN ' and ' WHEN 2 THEN '; ' WHEN 3 THEN ' & ' WHEN 4 THEN ' AND ' ELSE ',' END || CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 7 = 1 THEN 'X' ELSE 'Bo Chan' END || CASE WHEN c_custkey % 4 = 0 THEN ', Cy Dunn and Bo Chan' ELSE '' END"""
 
 
-@query(f"""WITH s AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(raw, '(?i)\\s+and\\s+|\\s*&\\s*|;', ',', 'g'), ','), lambda x: trim(x)), lambda x: length(x) BETWEEN 2 AND 80) AS l FROM (VALUES {LISTS}) v(id, raw))
+@query(f"""WITH s AS (SELECT c_custkey AS id, list_filter(list_transform(string_split(regexp_replace({_LIST}, '(?i)\\s+and\\s+|\\s*&\\s*|;', ',', 'g'), ','), lambda x: trim(x)), lambda x: length(x) BETWEEN 2 AND 80) AS l FROM customer)
 SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS names FROM s""")
 def author_split(spark, sf_dir):
     """F30."""
-    return literal(spark, LISTS, "id, raw").select("id", F.array_join(text.split_authors(F.col("raw")), "|").alias("names"))
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_LIST).alias("raw"))
+    return raw.select("id", F.array_join(text.split_authors(F.col("raw")), "|").alias("names"))
 
 
-STAMPS = "(1, '2024-03-15T10:20:30Z'), (2, '2024-03-15T10:20:30'), (3, '2024-03-15'), (4, '2024-03'), (5, '2024'), (6, 'junk'), (7, '2024-13-01')"
+_STAMP = """CASE o_orderkey % 8 WHEN 0 THEN d || 'T10:20:' || (10 + o_orderkey % 50) || 'Z' WHEN 1 THEN d || 'T0' || o_orderkey % 10 || ':00:59' WHEN 2 THEN d WHEN 3 THEN substr(d, 1, 7) WHEN 4 THEN substr(d, 1, 4)
+ WHEN 5 THEN o_orderpriority WHEN 6 THEN substr(d, 1, 5) || '13-01' ELSE ' ' || d || ' ' END"""
 
 
-@query(f"""SELECT id, coalesce(strftime(coalesce(try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(raw, '%Y-%m-%dT%H:%M:%S'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y-%m'), try_strptime(raw, '%Y')), '%Y-%m-%d %H:%M:%S'), '') AS stamp FROM (VALUES {STAMPS}) v(id, raw)""")
+@query(f"""WITH v AS (SELECT o_orderkey AS id, trim({_STAMP}) AS raw FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders))
+SELECT id, coalesce(strftime(coalesce(try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(raw, '%Y-%m-%dT%H:%M:%S'), try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y-%m'), try_strptime(raw, '%Y')), '%Y-%m-%d %H:%M:%S'), '') AS stamp FROM v""")
 def iso_dates(spark, sf_dir):
     """D01."""
-    return literal(spark, STAMPS, "id, raw").select("id", F.coalesce(F.date_format(dates.parse_iso(F.col("raw")), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("stamp"))
+    rows = table(spark, sf_dir, "orders").withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.coalesce(F.date_format(dates.parse_iso(F.expr(_STAMP)), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("stamp"))
 
 
 @query(f"""WITH {_EDGES}, {_SIGHTINGS}, a AS (SELECT paper_id, string_agg(s_name, '|' ORDER BY position, author_id) AS authors FROM e JOIN supplier ON s_suppkey = author_id GROUP BY paper_id),
@@ -128,14 +136,15 @@ def library_affinity(spark, sf_dir):
     return found.select(F.col("paper_id").alias("doc_id"), F.round("content", 6).alias("content"))
 
 
-WORKS = """('{"id": "https://openalex.org/W1", "title": "Alpha", "doi": "https://doi.org/10.1/A", "publication_date": "2024-01-02", "authorships": [{"author": {"display_name": "Ann"}}, {"author": {"display_name": "Bo"}}]}'), ('{"id": "https://openalex.org/W2", "title": "", "doi": null}'), ('{"id": "https://openalex.org/W3", "title": "Gamma", "publication_date": "2023-05-06"}')"""
-
-
-@query(f"""SELECT string_split(j->>'$.id', '/')[-1] AS source_id, j->>'$.title' AS title, coalesce(regexp_replace(j->>'$.doi', '^https?://(dx\\.)?doi\\.org/', ''), '') AS doi, j->>'$.publication_date' AS published_at,
- coalesce(array_to_string(json_extract_string(j, '$.authorships[*].author.display_name'), '|'), '') AS authors FROM (SELECT v::JSON AS j FROM (VALUES {WORKS}) w(v)) WHERE j->>'$.title' <> ''""")
+@query("""SELECT 'W' || doc_id AS source_id, 'Work ' || doc_id || ' of ' || coalesce(source, 'none') AS title, CASE WHEN doc_id % 3 = 0 THEN '10.1/A' || doc_id ELSE '' END AS doi, CASE WHEN doc_id % 7 <> 0 THEN '2024-0' || (1 + doc_id % 9) || '-15' END AS published_at,
+ array_to_string(list_filter([lang, CASE WHEN doc_id % 5 <> 0 THEN 'Bo ' || doc_id END], lambda x: x IS NOT NULL), '|') AS authors FROM documents WHERE doc_id % 11 <> 0""")
 def parse_works(spark, sf_dir):
-    """JSON works to papers."""
-    from signalrank.sources.records import openalex_works
-
-    found = openalex_works(spark.sql(f"SELECT * FROM VALUES {WORKS} AS w(value)"))
+    """JSON works to papers; works without a title go, and authors without a name."""
+    k, named = F.col("doc_id"), lambda name: F.struct(F.struct(name.alias("display_name")).alias("author"))
+    works = table(spark, sf_dir, "documents").select(F.to_json(F.struct(
+        F.concat(F.lit("https://openalex.org/W"), k).alias("id"), F.when(k % 11 != 0, F.concat(F.lit("Work "), k, F.lit(" of "), F.coalesce("source", F.lit("none")))).otherwise("").alias("title"),
+        F.when(k % 3 == 0, F.concat(F.lit("https://doi.org/10.1/A"), k)).alias("doi"), F.when(k % 7 != 0, F.concat(F.lit("2024-0"), 1 + k % 9, F.lit("-15"))).alias("publication_date"),
+        F.array(named(F.col("lang")), named(F.when(k % 5 != 0, F.concat(F.lit("Bo "), k)))).alias("authorships"),
+    )).alias("value"))
+    found = openalex_works(works)
     return found.select("source_id", "title", F.coalesce("doi", F.lit("")).alias("doi"), "published_at", F.array_join("authors", "|").alias("authors"))

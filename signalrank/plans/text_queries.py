@@ -236,8 +236,3 @@ def post_gate(spark, sf_dir):
 def snippets(spark, sf_dir):
     """F23."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.snippet(F.col("text"), 160).alias("line"))
-
-
-#: Former names of the whole-table forms.
-for _name in ("keyword_score", "matched_topics", "post_gate", "snippets"):
-    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]

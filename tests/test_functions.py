@@ -39,6 +39,8 @@ def test_identifiers(spark):
     assert one(spark, text.normalize_doi(F.lit(""))) is None
     assert one(spark, text.doi_in_text(F.lit("see https://doi.org/10.1257/aer.2020.1). And 10.1111/x"))) == "10.1257/aer.2020.1"
     assert one(spark, text.doi_in_text(F.lit("no such 10.1/x thing"))) is None
+    for raw, doi in {"at doi.org/10.1257/aer.1": None, "(10.1257/abcd.e)": "10.1257/abcd.e", "10.1257/abc is short": None, "doi:10.1257/a": "10.1257/a", "x10.1257/abcd": None, "é10.1257/abcd": None, "v.10.1257/abcd": "10.1257/abcd"}.items():
+        assert one(spark, text.doi_in_text(F.lit(raw))) == doi, raw
     assert one(spark, text.nber_doi(F.lit("https://www.nber.org/papers/W123 new"))) == "10.3386/w123"
     assert one(spark, text.arxiv_id(F.lit("http://arxiv.org/abs/2401.01234v2"))) == "2401.01234v2" and one(spark, text.strip_version(F.lit("2401.01234v2"))) == "2401.01234"
     assert one(spark, text.repec_handle(F.lit("https://x.org/r?u=RePEc%3Aabc%3Adef"))) == "RePEc:abc:def"
