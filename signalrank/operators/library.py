@@ -23,25 +23,84 @@ def pivot_items(values: DataFrame, fields: list[str]) -> DataFrame:
     return values.groupBy("item_id").pivot("field", fields).agg(F.max("value"))
 
 
-def term_weights(items: DataFrame, stop: list[str], least_tf: int = LEAST_TF, most_df: float = MOST_DF, most_terms: int = MOST_TERMS) -> DataFrame:
-    """(term, weight) of items (item_id, title, abstract): title terms count twice; frequent and rare terms go; weights are tf-idf, greatest 1."""
+def term_counts(items: DataFrame, stop: list[str]) -> DataFrame:
+    """(term, tf, df) of items (item_id, title, abstract); title terms count twice."""
     words = lambda c, n: items.select("item_id", F.explode(library_tokens(F.col(c), stop)).alias("term"), F.lit(n).alias("n"))
-    counts = words("title", 2).unionByName(words("abstract", 1)).groupBy("term").agg(F.sum("n").alias("tf"), F.countDistinct("item_id").alias("df"))
-    total = F.broadcast(items.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total")))
-    weighted = counts.join(total, F.lit(True), "left").where((F.col("tf") >= least_tf) & (F.col("df") / F.col("total") <= most_df))
+    return words("title", 2).unionByName(words("abstract", 1)).groupBy("term").agg(F.sum("n").alias("tf"), F.countDistinct("item_id").alias("df"))
+
+
+def weights_of(counts: DataFrame, total: DataFrame, least_tf: int = LEAST_TF, most_df: float = MOST_DF, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(term, weight) of counts (term, tf, df) among `total` items, one row (total): frequent and rare terms go; weights are tf-idf, greatest 1."""
+    weighted = counts.join(F.broadcast(total), F.lit(True), "left").where((F.col("tf") >= least_tf) & (F.col("df") / F.col("total") <= most_df))
     raw = F.col("tf") * (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1)
     top = weighted.select("term", raw.alias("raw")).orderBy(F.desc("raw"), "term").limit(most_terms)
     return top.join(F.broadcast(top.agg(F.max("raw").alias("most"))), F.lit(True), "left").select("term", (F.col("raw") / F.col("most")).alias("weight"))
 
 
+def term_weights(items: DataFrame, stop: list[str], least_tf: int = LEAST_TF, most_df: float = MOST_DF, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(term, weight) of items (item_id, title, abstract); see `term_counts` and `weights_of`."""
+    total = items.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
+    return weights_of(term_counts(items, stop), total, least_tf, most_df, most_terms)
+
+
+def _over_greatest(counts: DataFrame) -> DataFrame:
+    return counts.join(F.broadcast(counts.agg(F.max("n").alias("most"))), F.lit(True), "left").select("name", (F.col("n") / F.col("most")).alias("weight"))
+
+
+def _name_counts(creators: DataFrame, name: Column) -> DataFrame:
+    return creators.select(name.alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def author_weights(creators: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, weight) by full and by family name of creators (item_id, name): counts over the greatest count."""
+    return tuple(_over_greatest(_name_counts(creators, form(F.col("name")))) for form in (library_name, library_last_name))
+
+
+class Profile:
+    """A library's profile kept up to date: each batch of items adds its own counts, and weights come from their sums.
+
+    Counts of terms and names of a batch are rows of the table `profile`; an item that was taken out, or the old form of
+    one that changed, is subtracted. An item is in one batch only. The profile is then what a pass over all items gives.
+    """
+
+    COUNT = "kind string, key string, a long, b long"
+
+    def __init__(self, tables: Tables, stop: list[str]):
+        self.tables, self.stop = tables, stop
+
+    def _counted(self, items: DataFrame, creators: DataFrame, sign: int) -> DataFrame:
+        signed = lambda c: (F.col(c) * sign).cast("long")
+        terms = term_counts(items, self.stop).select(F.lit("term").alias("kind"), F.col("term").alias("key"), signed("tf").alias("a"), signed("df").alias("b"))
+        names = [_name_counts(creators, form(F.col("name"))).select(F.lit(kind).alias("kind"), F.col("name").alias("key"), signed("n").alias("a"), F.lit(0).cast("long").alias("b")) for kind, form in (("full", library_name), ("last", library_last_name))]
+        size = items.agg(F.count(F.lit(1)).alias("n")).select(F.lit("items").alias("kind"), F.lit("").alias("key"), signed("n").alias("a"), F.lit(0).cast("long").alias("b"))
+        return terms.unionByName(names[0]).unionByName(names[1]).unionByName(size)
+
+    def add(self, items: DataFrame, creators: DataFrame, done: tuple[str, int] | None = None) -> bool:
+        """Counts a batch of items (item_id, title, abstract) and creators (item_id, name). False when batch `done` of a stream is in already."""
+        return self.tables.publish(append={"profile": self._counted(items, creators, 1)}, done=done)
+
+    def replace(self, old_items: DataFrame, old_creators: DataFrame, items: DataFrame, creators: DataFrame) -> None:
+        """Takes the old form of some items out and puts the new one in; either may be empty."""
+        self.tables.publish(append={"profile": self._counted(old_items, old_creators, -1).unionByName(self._counted(items, creators, 1))})
+
+    def _sums(self) -> DataFrame:
+        held = self.tables.read("profile", self.COUNT)
+        return held.groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 0")
+
+    def compact(self) -> None:
+        """Makes the counts of all batches one table of sums."""
+        self.tables.publish(replace={"profile": self._sums()})
 
-    def weights(name: Column) -> DataFrame:
-        counts = creators.select(name.alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-        return counts.join(F.broadcast(counts.agg(F.max("n").alias("most"))), F.lit(True), "left").select("name", (F.col("n") / F.col("most")).alias("weight"))
+    def terms(self, **limits) -> DataFrame:
+        """(term, weight), as `term_weights` gives them."""
+        sums = self._sums()
+        total = sums.where("kind = 'items'").agg(F.greatest(F.coalesce(F.max("a"), F.lit(0)), F.lit(1)).alias("total"))
+        return weights_of(sums.where("kind = 'term'").select(F.col("key").alias("term"), F.col("a").alias("tf"), F.col("b").alias("df")), total, **limits)
 
-    return weights(library_name(F.col("name"))), weights(library_last_name(F.col("name")))
+    def authors(self) -> tuple[DataFrame, DataFrame]:
+        """(name, weight) by full and by family name, as `author_weights` gives them."""
+        sums = self._sums()
+        return tuple(_over_greatest(sums.where(F.col("kind") == kind).select(F.col("key").alias("name"), F.col("a").alias("n"))) for kind in ("full", "last"))
 
 
 def top_authors(full: DataFrame, most: int = MOST_AUTHORS) -> DataFrame:
