@@ -52,8 +52,9 @@ def names_topic(text: Column, topics: list[str]) -> Column:
 
 
 def is_econ_post(content: Column, handle: Column, paper_id: Column, instances: list[str], handles: list[str], core: list[str]) -> Column:
-    """No caption, and linked to a paper, or with a DOI, a known handle or a core topic."""
-    return ~is_caption(content) & (paper_id.isNotNull() | doi_in_text(content).isNotNull() | is_known_handle(handle, instances, handles) | names_topic(content, core))
+    """No caption, and linked to a paper, or with what looks like a DOI, a known handle or a core topic."""
+    has_doi = F.contains(F.lower(content), F.lit("doi.org/")) | F.rlike(content, F.lit(r"10\.\d{4,}/"))
+    return ~is_caption(content) & (paper_id.isNotNull() | yes(has_doi) | is_known_handle(handle, instances, handles) | names_topic(content, core))
 
 
 def passes_gate(content: Column, handle: Column, allowed: list[str], tags: list[str], keyword_score: Column) -> Column:
