@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalrank.session import cut
+
 # Neighbours pooled, floor and width of the similarity band, its cap and scale; steepness of the centroid rule; examples of a class.
 TOP_K, FLOOR, WIDTH, CAP, SCALE = 5, 0.45, 0.35, 0.7, 10.0
 STEEPNESS, LEAST_EXAMPLES, MOST_NEGATIVES, SEED = 8.0, 3, 200, 13
 #: Library vectors compared at a time in a task; a library beyond MOST_BROADCAST vectors is dealt out in blocks instead of broadcast.
 MOST_BROADCAST, BLOCK = 20_000, 4096
+#: Lists of an inverted index at most, vectors of a list that its centre is fitted on at most, about, and lists that a candidate meets.
+MOST_LISTS, SAMPLE_A_LIST, PROBES = 4096, 64, 8
 TINY = 1e-12
 
 
@@ -53,6 +58,70 @@ def _unit_rows(vectors) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
 
 
+def _best_of(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """(id, sim): the k best cosines of each row of one block of candidates with those of one block of a library."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        sims = _unit_rows(left["vector"]) @ _unit_rows(right["vector"]).T
+        m = min(k, sims.shape[1])
+        top = np.partition(sims, -m, axis=1)[:, -m:]
+        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "sim": top.ravel()})
+
+    return best
+
+
+class InvertedLists:
+    """A library in lists under trained centres, of which a candidate meets only those nearest to it.
+
+    The centres are fitted on a hash-chosen sample of at most SAMPLE_A_LIST vectors a list; all vectors are dealt into
+    lists. Long lists are split into blocks, so no list is gathered in one task. Similarities are those of the vectors met,
+    so the mean of the k best is never above the exact one; more probes make it equal more often, all lists always.
+    """
+
+    def __init__(self, library: DataFrame, lists: int | None = None, seed: int = SEED):
+        """library: (vector), and id where there is one; vectors of one length, none null."""
+        rows = library.select(F.xxhash64("id" if "id" in library.columns else "vector").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+        rows = cut(rows.where(F.size("vector") > 0))
+        wanted = lists or min(MOST_LISTS, max(1, round(rows.count() ** 0.5)))
+        sample = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(wanted * SAMPLE_A_LIST).select(array_to_vector(unit(F.col("vector"))).alias("features"))
+        model = KMeans(k=wanted, seed=seed, maxIter=10).fit(sample) if wanted > 1 else None
+        self.centres = _unit_rows(model.clusterCenters()) if model else np.ones((1, 1))
+        self.rows = cut(self._near(rows.select(F.col("key").alias("id"), "vector"), 1))
+        counts = self.rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+        self.sizes = cut(counts.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), narrow=True)  # one row a list
+
+    def _near(self, rows: DataFrame, probes: int) -> DataFrame:
+        """rows (id, vector) once for each of their `probes` nearest lists."""
+        held, wide = rows.sparkSession.sparkContext.broadcast(self.centres), min(probes, len(self.centres))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(held.value) == 1:
+                    yield frame.assign(list=0)
+                    continue
+                sims = _unit_rows(frame["vector"]) @ held.value.T if len(frame) else np.zeros((0, len(held.value)))
+                near = np.argpartition(-sims, wide - 1, axis=1)[:, :wide]
+                yield frame.loc[frame.index.repeat(wide)].assign(list=near.ravel().astype("int32"))
+
+        return rows.mapInPandas(run, "id long, vector array<double>, list int")
+
+    def affinity(self, candidates: DataFrame, probes: int = PROBES, k: int = TOP_K) -> DataFrame:
+        """(id, similarity, affinity) of candidates (id, vector), as `library_affinity` gives them but for what the lists not probed hold."""
+        asked = cut(self._near(candidates.select("id", F.col("vector").cast("array<double>").alias("vector")), probes))
+        part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-candidates.count() // BLOCK)))).cast("int").alias("part")
+        blocks = F.broadcast(self.sizes)
+        asked = asked.join(blocks, "list").select("id", "vector", "list", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        wanted = asked.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("part").alias("p")).distinct()
+        dealt = self.rows.join(blocks, "list").select("vector", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        dealt = dealt.join(wanted, (F.col("list") == F.col("l")) & (F.col("block") == F.col("b"))).select("vector", F.col("l").alias("list"), F.col("b").alias("block"), F.col("p").alias("part"))
+        keys = ["list", "block", "part"]
+        met = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_best_of(k), "id long, sim double")
+        found = met.groupBy("id").agg(pooled(F.collect_list("sim"), k).alias("similarity"))
+        return found.select("id", "similarity", affinity_of(F.col("similarity")).alias("affinity"))
+
+
 def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(id, similarity, affinity) of candidates (id, vector) to a library (vector): mean of the k greatest cosines.
 
@@ -82,15 +151,7 @@ def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K,
         dealt = library.select("vector", F.pmod(key, F.lit(blocks)).cast("int").alias("block")).select("vector", "block", every(asking).alias("part"))
         asked = candidates.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(asking)).cast("int").alias("part")).select("id", "vector", "part", every(blocks).alias("block"))
 
-        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-            sims = _unit_rows(left["vector"]) @ _unit_rows(right["vector"]).T
-            m = min(k, sims.shape[1])
-            top = np.partition(sims, -m, axis=1)[:, -m:]
-            return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "sim": top.ravel()})
-
-        parts = asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(best, "id long, sim double")
+        parts = asked.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInPandas(_best_of(k), "id long, sim double")
         found = parts.groupBy("id").agg(pooled(F.collect_list("sim"), k).alias("similarity"))
     return found.select("id", "similarity", affinity_of(F.col("similarity")).alias("affinity"))
 
