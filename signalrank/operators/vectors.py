@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalrank.session import cut
+from signalrank.session import checkpoint_dir, cut, remove
 
 # Neighbours pooled, floor and width of the similarity band, its cap and scale; steepness of the centroid rule; examples of a class.
 TOP_K, FLOOR, WIDTH, CAP, SCALE = 5, 0.45, 0.35, 0.7, 10.0
@@ -235,4 +236,14 @@ def train_ranker(good: DataFrame, bad: DataFrame, candidates: DataFrame | None =
     total = sum(x[0] for x in sizes.values())
     weight = F.when(F.col("label") == 1, total / (2.0 * sizes[1][0])).otherwise(total / (2.0 * sizes[0][0]))
     data = rows.select(array_to_vector(unit(F.col("vector"))).alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
-    return Ranker("logistic", LogisticRegression(weightCol="weight", regParam=1.0 / total, maxIter=200).fit(data), dim)
+    return Ranker("logistic", _bare(LogisticRegression(weightCol="weight", regParam=1.0 / total, maxIter=200).fit(data)), dim)
+
+
+def _bare(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model without its training summary, which holds the session and can't be sent to tasks once the session has observed a query."""
+    spark = SparkSession.active()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    found = LogisticRegressionModel.load(path)
+    remove(spark, path)
+    return found
