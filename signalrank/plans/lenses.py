@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates, predicates, text
 from signalrank.operators import features, incremental, ranking, resolve
+from signalrank.operators.versions import Tables
 from signalrank.session import cut
 
 # Limits of the reports and priorities of sources.
@@ -222,3 +223,24 @@ def render_alerts(rows: DataFrame) -> str:
             last = r["threshold"]
         lines.append(f"- {r['name']}: {r['deadline_date']} ({r['days']} days left, {r['action']})")
     return "\n".join([*lines, ""])
+
+
+#: Reports that are written together, and the type of file that each is.
+REPORTS = {"feed": "json", "brief": "md", "newsletter": "html", "alerts": "md"}
+
+
+def publish_reports(tables: Tables, reports: dict[str, str | DataFrame], done: tuple[str, int] | None = None) -> bool:
+    """Writes reports, by the names of REPORTS, each a text or one row (value), as one new version that readers see whole.
+
+    Reports that are not given stay as they are. done names the run, as in `Tables.publish`; one that comes again writes nothing.
+    """
+    if unknown := set(reports) - set(REPORTS):
+        raise ValueError(f"no such report: {', '.join(sorted(unknown))}")
+    one = lambda x: x.select("value").coalesce(1) if isinstance(x, DataFrame) else tables.spark.range(1).select(F.lit(x).alias("value")).coalesce(1)
+    return tables.publish(replace={name: one(x) for name, x in reports.items()}, done=done)
+
+
+def report(tables: Tables, name: str, manifest: dict | None = None) -> str | None:
+    """The text of a report as a version has it; null where it was never written."""
+    row = tables.read(name, "value string", manifest).first()
+    return row["value"] if row else None

@@ -64,7 +64,7 @@ def test_library_is_what_its_export_says(spark, path):
     assert corpus[3] == "Work 1 on land and towns An abstract of it." and len(corpus) == 32
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_profile_of_batches_is_that_of_all_items(spark, tmp_path, seed):
     rng, words = random.Random(seed), "land wages town river growth trade school health the".split()
     sentence = lambda: rng.choice([None, "", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))])

@@ -33,7 +33,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_finds_what_going_through_the_store_finds(spark, tmp_path, seed):
     rng = random.Random(seed)
     frame = lambda ids: spark.createDataFrame(papers(rng, ids), PAPER)

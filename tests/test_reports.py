@@ -1,8 +1,10 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from signalrank.operators.versions import Tables
 from signalrank.plans import lenses
 from signalrank.streaming import posts as stream
 
@@ -109,3 +111,22 @@ def test_sorts_and_details(spark):
     none = spark.createDataFrame([], "paper_id long, author_id long, position int"), spark.createDataFrame([], "author_id long, name string")
     got = {r["paper_id"]: r for r in lenses.detail(papers, seen, *none).collect()}
     assert [s["source"] for s in got[1]["sightings"]] == ["a", "b"] and got[2]["sightings"] is None and got[1]["authors"] == []
+
+
+def test_reports_change_together(spark, tmp_path, monkeypatch):
+    tables = Tables(spark, f"file://{tmp_path}/reports")
+    feed = spark.createDataFrame([('{"papers":[]}',)], "value string")
+    assert lenses.report(tables, "brief") is None
+    assert lenses.publish_reports(tables, {"feed": feed, "brief": "# Brief\n\n1. Ünï\n", "alerts": "# Deadlines\n"}, done=("reports", 1))
+    held = tables.manifest()
+    assert not lenses.publish_reports(tables, {"brief": "again"}, done=("reports", 1))
+    with monkeypatch.context() as m:
+        m.setattr(Tables, "_point", lambda *_: 1 / 0)  # dies after writing, before readers are told
+        with pytest.raises(ZeroDivisionError):
+            lenses.publish_reports(tables, {"brief": "half", "alerts": "half"}, done=("reports", 2))
+    assert lenses.report(tables, "brief") == "# Brief\n\n1. Ünï\n" and lenses.report(tables, "feed") == '{"papers":[]}'
+    assert lenses.publish_reports(tables, {"brief": "new"}, done=("reports", 2))
+    assert (lenses.report(tables, "brief"), lenses.report(tables, "alerts")) == ("new", "# Deadlines\n")
+    assert lenses.report(tables, "brief", held) == "# Brief\n\n1. Ünï\n"  # a reader that began before
+    with pytest.raises(ValueError):
+        lenses.publish_reports(tables, {"letter": "x"})
