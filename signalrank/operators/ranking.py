@@ -18,10 +18,16 @@ def percentile(value: str, by: list[str] | None = None) -> Column:
 
 
 def percentiles(rows: DataFrame, value: str, into: str) -> DataFrame:
-    """As percentile over the whole table, but through counts of distinct values: only those are put in one order, the rows never are.
+    """As percentile over the whole table, but through counts of distinct values: only those are put in one order, the rows never are."""
+    rows = cut(rows)  # used twice: for the counts, and to be joined with them
+    return rows.join(value_percentiles(rows, value, into), value, "left")
 
-    The distinct values are range-partitioned and each partition's total is added to the running count of the partitions
-    before it, so no task sorts them all.
+
+def value_percentiles(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """(value, percentile) of the distinct values of a written table.
+
+    They are range-partitioned and each partition's total is added to the running count of the partitions before it, so
+    no task sorts them all.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     spread = cut(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))  # written, so that both uses see the same parts
@@ -31,8 +37,7 @@ def percentiles(rows: DataFrame, value: str, into: str) -> DataFrame:
     total = F.broadcast(spread.agg(F.sum("_n").alias("_total")))
     inner = F.sum("_n").over(Window.partitionBy("_part").orderBy(value))
     ranked = spread.join(F.broadcast(before), "_part").select(value, "_n", (F.col("_before") + inner - F.col("_n")).alias("_less"))
-    ranked = ranked.join(total, F.lit(True), "left").select(value, ((F.col("_less") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_total")).alias(into))
-    return rows.join(ranked, value, "left")
+    return ranked.join(total, F.lit(True), "left").select(value, ((F.col("_less") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_total")).alias(into))
 
 
 def combined(channels: list[str], by: list[str] | None = None) -> Column:
@@ -55,9 +60,10 @@ def library_norm(score: Column, low: float = 3.0, high: float = 7.0) -> Column:
 def personalized(rows: DataFrame, channels: list[str]) -> DataFrame:
     """rows (pos, channels) by the mean percentile of the channels that are present, best first, ties by pos; `final` holds it."""
     used = present(rows, channels) or channels[:1]
-    found = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in used})
+    base = cut(rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in used}))
+    found = base
     for c in used:
-        found = percentiles(found, c, f"_p_{c}")
+        found = found.join(value_percentiles(base, c, f"_p_{c}"), c, "left")
     mean = sum((F.col(f"_p_{c}") for c in used), F.lit(0.0)) / F.lit(float(len(used)))
     return found.withColumn("final", mean).drop(*(f"_p_{c}" for c in used)).orderBy(F.desc("final"), "pos")
 
