@@ -9,9 +9,10 @@ Pairs are made without listing all pairs of a bucket: every node meets one centr
 among all that share a bucket with it. Sketches estimate the similarity, corrected for register collisions; pairs far
 below the threshold go, and the rest is confirmed on the full sets. Linked nodes take their centre's name, and then
 only buckets that hold several names are open. Of their nodes, those that cannot reach the threshold are left out by
-an exact bound: of a set, only hashes that some other open set holds can be shared. What is left is joined into
-clusters by shared buckets, and each cluster's full sets are compared in blocks of bounded size: texts that share more
-than three quarters of their shingles with others, but not with any one of them, cost the square of their number here.
+an exact bound: of a set, only hashes that some other open set holds can be shared. Of what is left, linked sets share
+one of their rarest quarter of hashes. Those that share one which at most RARE sets have there are compared pair by pair;
+those that share a more frequent one are joined into clusters, and a cluster's full sets are compared in blocks of
+bounded size: families of texts that are all alike, but below the threshold, cost the square of their number here.
 Links of similarity 0.75 are missed by all bands with a chance under 1e-5. One components loop ends the work.
 
 Null and empty texts have no shingles, are linked with nothing and are kept. doc_id may be null or repeated; equal
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalrank.operators.components import components
@@ -260,20 +261,20 @@ def _links_within(nodes: list[int], parts: list[int], blocks: list[int], sets: l
 
 
 def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(tag, part, doc_id, text_hash, n, keys) of the nodes in buckets that hold different names, and those buckets: part is the name, two steps up the links."""
+    """(tag, part, doc_id, text_hash, n) of the nodes in buckets that hold different names: part is the name, two steps up the links."""
     top = links.alias("x").join(links.select(F.col("a").alias("b"), F.col("b").alias("top")).alias("y"), "b", "left").select(F.col("a").alias("tag"), F.coalesce("top", "b").alias("part"))
     if fits(links):
         top = F.broadcast(top)
     named = nodes.join(top, "tag", "left").select("tag", F.coalesce("part", "tag").alias("part"), "doc_id", "text_hash", "n", "keys")
     placed = named.select("tag", "part", "doc_id", "text_hash", "n", F.explode("keys").alias("key"))
     several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    return placed.join(sized(cut(several, narrow=True)), "key").groupBy("tag", "part", "doc_id", "text_hash", "n").agg(F.collect_set("key").alias("keys"))
+    return placed.join(sized(cut(several, narrow=True)), "key").select("tag", "part", "doc_id", "text_hash", "n").distinct()
 
 
-def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members that could reach the threshold with another of them, by the hashes that some other one holds too. texts: (tag, text)."""
+def _hashes(texts: DataFrame) -> DataFrame:
+    """(tag, hash): the sets of texts (tag, text)."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -292,8 +293,13 @@ def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    return texts.mapInArrow(run, "tag long, hash long")
+
+
+def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members that could reach the threshold with another of them, by the hashes that some other one holds too. texts: (tag, text)."""
     # A text that comes twice counts once.
-    found = texts.mapInArrow(hashes, "tag long, hash long").groupBy("hash").agg(F.min("tag").alias("tag"), F.max("tag").alias("high"))
+    found = _hashes(texts).groupBy("hash").agg(F.min("tag").alias("tag"), F.max("tag").alias("high"))
     alone = found.where("tag = high").groupBy("tag").agg(F.count(F.lit(1)).alias("alone"))
     usable = F.col("n") - F.coalesce("alone", F.lit(0))
     # With needed overlap (n + m) * SIM_NUM / (SIM_NUM + SIM_DEN), a partner has at most `most` hashes, and at least SIM_NUM / SIM_DEN * n.
@@ -301,21 +307,55 @@ def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(alone, "tag", "left").where(SIM_DEN * most >= SIM_NUM * F.col("n")).select(*members.columns)
 
 
+def _rarest(able: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hash, tag): each set's hashes, rarest first, as far as two linked sets must share one, but for those that no other set holds. texts: (tag, text)."""
+    own = texts.join(able.select("tag"), "tag", "left_semi").dropDuplicates(["tag"])
+    rows = cut(_hashes(own), narrow=True)
+    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("often"), F.min("tag").alias("tag"))
+    alone = often.where("often = 1").groupBy("tag").agg(F.count(F.lit(1)).alias("alone"))
+    # A partner holds SIM_NUM / SIM_DEN of the set, so not only the hashes behind the first `ahead`.
+    ahead = F.col("n") - F.floor((SIM_NUM * F.col("n") + (SIM_DEN - 1)) / SIM_DEN) + 1
+    ahead = able.join(alone, "tag", "left").select("tag", (ahead - F.coalesce("alone", F.lit(0))).alias("ahead")).where("ahead > 0")
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("often", "hash"))
+    shared = rows.join(often.where("often > 1").select("hash", "often"), "hash").join(ahead, "tag")
+    return shared.withColumn("place", place).where("place <= ahead").select("hash", "tag")
+
+
+#: Sets that share a hash with at most this many others, among their rarest ones, are compared with each of them.
+RARE = 64
+
+
 def _left_over(nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of different names that share a bucket, at least one for each two names with a link."""
+    """Links (a, b) between nodes of different names, at least one for each two names with a link."""
     members = cut(_open(nodes, links), narrow=True)
     small = fits(members)
     texts = _texts(members.select("tag", "doc_id", "text_hash"), small, docs)
     if not small:
         texts = cut(texts)
     able = cut(_able(members, texts), narrow=True)
-    cells = able.select(F.explode("keys").alias("key"), "tag", "part")
-    centres = cells.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("tag").alias("b")).where("low <> high").select("key", "b")
+    cells = cut(_rarest(able, texts).join(able, "tag"), narrow=True)
+    held = cells.groupBy("hash").agg(F.count(F.lit(1)).alias("sets"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("tag").alias("b")).where("low <> high")
+    held = cut(held.select("hash", "sets", "b"), narrow=True)
+    return _confirmed(cut(_rare_pairs(cells, held.where(F.col("sets") <= RARE)), narrow=True), docs).unionByName(_in_clusters(able, cells, held.where(F.col("sets") > RARE), docs))
+
+
+def _rare_pairs(cells: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of different names under the hashes `held`, of sizes that can be linked, as `_confirmed` takes them."""
+    rows = cells.join(held.select("hash"), "hash")
+    side = lambda s: rows.select("hash", *(F.col(c).alias(f"{c}_{s}") for c in ("tag", "part", "n", "doc_id", "text_hash")))
+    fit = (F.col("tag_a") > F.col("tag_b")) & (F.col("part_a") != F.col("part_b"))
+    fit = fit & (SIM_NUM * F.col("n_a") <= SIM_DEN * F.col("n_b")) & (SIM_NUM * F.col("n_b") <= SIM_DEN * F.col("n_a"))
+    found = side("a").join(side("b"), "hash").where(fit)
+    return found.select(F.col("tag_a").alias("a"), F.col("tag_b").alias("b"), "doc_id_a", "text_hash_a", "doc_id_b", "text_hash_b").distinct()
+
+
+def _in_clusters(able: DataFrame, cells: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the sets that hashes `held` (hash, b) join into clusters."""
     # A node stands for all its centres under the least of them, so the graph has the centres' pairs, not those of all nodes.
-    met = cut(cells.join(centres, "key").groupBy("tag").agg(F.collect_set("b").alias("bs")).select("tag", F.array_min("bs").alias("a"), "bs"), narrow=True)
+    met = cut(cells.join(held.select("hash", "b"), "hash").groupBy("tag").agg(F.collect_set("b").alias("bs")).select("tag", F.array_min("bs").alias("a"), "bs"), narrow=True)
     clusters = components(met.select("a", F.explode("bs").alias("b")).where("a <> b").distinct())
     named = met.drop("bs").join(sized(clusters), F.col("a") == F.col("node"), "left").select("tag", F.coalesce("label", "a").alias("cluster"))
-    placed = cut(able.drop("keys").join(F.broadcast(named) if fits(met) else named, "tag"), narrow=True)
+    placed = cut(able.join(F.broadcast(named) if fits(met) else named, "tag"), narrow=True)
     small = fits(placed)
     sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = placed.join(F.broadcast(sizes) if small else sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))

@@ -73,6 +73,31 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_families_and_rare_pairs_together(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK_SETS", 7)
+    monkeypatch.setattr(n, "RARE", 3)
+    for seed in (1, 4):
+        rows = corpus(seed)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in n.report(docs(spark, rows)).collect()}
+        assert got == brute(rows)
+
+
+def test_a_chain_of_sets_is_no_cluster(spark, monkeypatch):
+    """Sets that share with their neighbours only meet those, however long the chain is."""
+    joined = []
+    real = n.components
+
+    def seen(edges, *rest):
+        joined.append(edges.count())
+        return real(edges, *rest)
+
+    monkeypatch.setattr(n, "components", seen)
+    rows = [(i, " ".join(f"w{k}" for k in range(2 * i, 2 * i + 12))) for i in range(200)]  # 6 of 10 shingles in common
+    got = {r["doc_id"]: r["component_id"] for r in n.report(docs(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert joined == [0, 0]
+
+
 def test_nothing_is_broadcast_when_tables_are_large(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
     rows = corpus(3)
