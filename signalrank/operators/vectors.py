@@ -20,6 +20,8 @@ TOP_K, FLOOR, WIDTH, CAP, SCALE = 5, 0.45, 0.35, 0.7, 10.0
 STEEPNESS, LEAST_EXAMPLES, MOST_NEGATIVES, SEED = 8.0, 3, 200, 13
 #: Library vectors compared at a time in a task; a library beyond MOST_BROADCAST vectors is dealt out in blocks instead of broadcast.
 MOST_BROADCAST, BLOCK = 20_000, 4096
+#: Bytes of the similarities that a task holds at a time where the library is broadcast; sorting them takes as much again.
+SIM_BYTES = 16 << 20
 #: Lists of an inverted index at most, vectors of a list that its centre is fitted on at most, about, and lists that a candidate meets.
 MOST_LISTS, SAMPLE_A_LIST, PROBES = 4096, 64, 8
 TINY = 1e-12
@@ -59,6 +61,14 @@ def _unit_rows(vectors) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + TINY)
 
 
+def _best_means(vectors, library: np.ndarray, k: int) -> np.ndarray:
+    """Mean of the k greatest cosines of each vector with the library's unit rows."""
+    sims = _unit_rows(vectors) @ library.T
+    m = min(k, sims.shape[1])
+    sims.partition(sims.shape[1] - m, axis=1)
+    return np.sort(sims[:, -m:], axis=1).mean(1)
+
+
 def _best_of(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """(id, sim): the k best cosines of each row of one block of candidates with those of one block of a library."""
 
@@ -67,7 +77,8 @@ def _best_of(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         sims = _unit_rows(left["vector"]) @ _unit_rows(right["vector"]).T
         m = min(k, sims.shape[1])
-        top = np.partition(sims, -m, axis=1)[:, -m:]
+        sims.partition(sims.shape[1] - m, axis=1)  # in place: a copy would be as large again
+        top = sims[:, -m:]
         return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "sim": top.ravel()})
 
     return best
@@ -137,10 +148,11 @@ def library_affinity(candidates: DataFrame, library: DataFrame, k: int = TOP_K,
         held = spark.sparkContext.broadcast(_unit_rows([r[0] for r in library.select("vector").collect()]))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            step = max(1, SIM_BYTES // (8 * len(held.value)))
             for frame in frames:
-                sims = _unit_rows(frame["vector"]) @ held.value.T
-                m = min(k, sims.shape[1])
-                yield pd.DataFrame({"id": frame["id"], "similarity": np.sort(np.partition(sims, -m, axis=1)[:, -m:], axis=1).mean(1)})
+                for start in range(0, len(frame), step):
+                    some = frame.iloc[start : start + step]
+                    yield pd.DataFrame({"id": some["id"], "similarity": _best_means(some["vector"], held.value, k)})
 
         found = candidates.select("id", "vector").mapInPandas(run, "id long, similarity double")
     else:
