@@ -313,7 +313,7 @@ def _rarest(able: DataFrame, texts: DataFrame) -> DataFrame:
     rows = cut(_hashes(own), narrow=True)
     often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("often"), F.min("tag").alias("tag"))
     alone = often.where("often = 1").groupBy("tag").agg(F.count(F.lit(1)).alias("alone"))
-    # A partner holds SIM_NUM / SIM_DEN of the set, so not only the hashes behind the first `ahead`.
+    # A partner holds SIM_NUM / SIM_DEN of the set, so at least one of the first `ahead` hashes in any order that all sets share.
     ahead = F.col("n") - F.floor((SIM_NUM * F.col("n") + (SIM_DEN - 1)) / SIM_DEN) + 1
     ahead = able.join(alone, "tag", "left").select("tag", (ahead - F.coalesce("alone", F.lit(0))).alias("ahead")).where("ahead > 0")
     place = F.row_number().over(Window.partitionBy("tag").orderBy("often", "hash"))
