@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from signalrank.functions import dates
 from signalrank.functions.predicates import names_india
-from signalrank.functions.text import whole_phrase
-from signalrank.session import sized
+from signalrank.functions.text import let, whole_phrase
+from signalrank.session import cut, scratch, sized
 
 # Weights of the composite, prestige of sources, journal tiers.
 WEIGHTS = {"jel": 0.15, "keyword": 0.22, "author": 0.05, "prestige": 0.35, "recency": 0.05, "social": 0.03}
@@ -40,12 +40,15 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def code_scores(codes: DataFrame, weights: DataFrame, default: float = 0.1) -> DataFrame:
-    """(paper_id, jel): the best of a paper's codes (paper_id, code), each with the weight of its longest known prefix. weights: (prefix, weight)."""
-    trimmed = codes.select("paper_id", F.trim("code").alias("code")).where("code <> ''").distinct()
+    """(paper_id, jel): the best of a paper's codes (paper_id, code), each with the weight of its longest known prefix. weights: (prefix, weight).
+
+    The weights of distinct codes are a written table, so that the papers' codes meet it without a shuffle where it is small.
+    """
+    trimmed = codes.select("paper_id", F.trim("code").alias("code")).where("code <> ''")
     each = trimmed.select("code").distinct().select("code", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substr("code", F.lit(1), n))).alias("prefix"))
-    known = each.join(small(weights), "prefix").groupBy("code").agg(F.max_by("weight", F.length("prefix")).alias("weight"))
+    known = cut(each.join(small(weights), "prefix").groupBy("code").agg(F.max_by("weight", F.length("prefix")).alias("weight")), narrow=True)
     best = F.max(F.coalesce("weight", F.lit(default)))
-    return trimmed.join(known, "code", "left").groupBy("paper_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), best)).alias("jel"))
+    return trimmed.join(small(known), "code", "left").groupBy("paper_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), best)).alias("jel"))
 
 
 def keyword_score(title: Column, abstract: Column, phrases: list[str], core: list[str]) -> Column:
@@ -53,7 +56,8 @@ def keyword_score(title: Column, abstract: Column, phrases: list[str], core: lis
     low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
     total = F.lit(0.0)
     for phrase in sorted({p.lower() for p in phrases}):
-        total = total + F.when(F.rlike(low, F.lit(whole_phrase([phrase]))), F.lit(CORE_CREDIT if phrase in core else SECONDARY_CREDIT)).otherwise(F.lit(0.0))
+        there = F.contains(low, F.lit(phrase)) & F.rlike(low, F.lit(whole_phrase([phrase])))
+        total = total + F.when(there, F.lit(CORE_CREDIT if phrase in core else SECONDARY_CREDIT)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), total)
 
 
@@ -74,10 +78,12 @@ def journal_score(meta: Column) -> Column:
     paths = ["journal", "venue", "journal_name", "container_title", "host_venue", "primary_location"]
     plain = [F.get_json_object(meta, f"$.{p}") for p in paths]
     nested = [F.coalesce(F.nullif(F.get_json_object(meta, f"$.{p}.display_name"), F.lit("")), F.get_json_object(meta, f"$.{p}.name")) for p in paths]
-    names = F.transform(F.array_compact(F.array(*[F.when(F.startswith(p, F.lit("{")), n).when(~F.startswith(p, F.lit("[")), p) for p, n in zip(plain, nested)])), F.lower)
+    named = lambda p, n: F.when(F.startswith(p, F.lit("{")), n).when(~F.startswith(p, F.lit("[")), p)
+    found = let(F.array(*plain), lambda ps: F.array(*[named(F.get(ps, F.lit(k)), n) for k, n in enumerate(nested)]))
+    names = F.transform(F.array_compact(found), F.lower)
     names_one = lambda v, listed: F.exists(F.array(*map(F.lit, listed)), lambda j: F.contains(v, j))
     tiers = F.transform(names, lambda v: F.when(names_one(v, TOP_FIVE), F.lit(1.0)).when(names_one(v, TOP_FIELD), F.lit(0.8)))
-    return F.coalesce(F.get(F.array_compact(tiers), 0), F.lit(0.0))
+    return F.when(meta.isNull(), 0.0).otherwise(F.coalesce(F.get(F.array_compact(tiers), 0), F.lit(0.0)))
 
 
 def source_score(source: Column, url: Column) -> Column:
@@ -98,18 +104,18 @@ def prestige_scores(sources: DataFrame) -> DataFrame:
 def author_scores(edges: DataFrame, authors: DataFrame) -> DataFrame:
     """(paper_id, author): 1 with a tracked author, .5 with a co-author of one, .3 with a discovered one, else 0; all 0 when nobody is tracked.
 
-    edges (paper_id, author_id), authors (author_id, is_tracked, auto_discovered). Starts from the tracked authors' papers, so the join
-    never goes through the papers of everyone. The tier of discovered authors keeps looking for a co-author first.
+    edges (paper_id, author_id), which may repeat, authors (author_id, is_tracked, auto_discovered). Starts from the tracked authors' papers, so the join
+    never goes through the papers of everyone. The tier of discovered authors keeps looking for a co-author first. Tiers are
+    given to authors, in a written table that all edges meet once.
     """
-    known = edges.join(authors, "author_id")
     tracked = authors.where("is_tracked").select("author_id")
-    tracked_papers = edges.join(tracked, "author_id", "left_semi").select("paper_id").distinct()
-    near = edges.join(tracked_papers, "paper_id", "left_semi").select("author_id").distinct().withColumn("near", F.lit(True))
-    tiers = known.join(near, "author_id", "left").groupBy("paper_id").agg(
-        F.max(F.when(F.col("is_tracked"), 1.0).when(F.col("near"), 0.5).when(F.col("auto_discovered"), 0.3).otherwise(0.0)).alias("author")
-    )
-    some = tracked.limit(1).withColumn("some", F.lit(True)).select("some")
-    return tiers.join(F.broadcast(some), F.lit(True), "left").select("paper_id", F.when(F.col("some"), F.col("author")).otherwise(F.lit(0.0)).alias("author"))
+    with scratch(edges.sparkSession) as kept:
+        tracked_papers = cut(edges.join(tracked, "author_id", "left_semi").select("paper_id").distinct(), narrow=True)
+        near = edges.join(small(tracked_papers), "paper_id", "left_semi").select("author_id").distinct().withColumn("near", F.lit(True))
+        some = tracked.limit(1).withColumn("some", F.lit(True)).select("some")
+        tier = F.when(F.col("some").isNull(), 0.0).when(F.col("is_tracked"), 1.0).when(F.col("near"), 0.5).when(F.col("auto_discovered"), 0.3).otherwise(0.0)
+        tiers = kept(authors.join(near, "author_id", "left").join(F.broadcast(some), F.lit(True), "left").select("author_id", tier.alias("tier")), narrow=True)
+    return edges.join(small(tiers), "author_id").groupBy("paper_id").agg(F.max("tier").alias("author"))
 
 
 def social_scores(posts: DataFrame) -> DataFrame:
@@ -121,21 +127,21 @@ def india_scores(papers: DataFrame, edges: DataFrame, authors: DataFrame) -> Dat
     """(paper_id, india): 1 when the text, an author's country or an affiliation says so, else 0."""
     home = (F.upper(F.trim(F.coalesce("country", F.lit("")))) == "IN") | names_india(F.col("affiliation"))
     by_author = edges.join(authors.where(home).select("author_id"), "author_id", "left_semi").select("paper_id").distinct().withColumn("home", F.lit(True))
-    text = names_india(F.concat_ws(" ", "title", "abstract"))
-    return papers.join(by_author, "paper_id", "left").select("paper_id", F.when(text | F.col("home"), 1.0).otherwise(0.0).alias("india"))
+    texts = papers.select("paper_id", names_india(F.concat_ws(" ", "title", "abstract")).alias("text"))
+    return texts.join(by_author, "paper_id", "left").select("paper_id", F.when(F.col("text") | F.col("home"), 1.0).otherwise(0.0).alias("india"))
 
 
 def composite(papers: DataFrame, features: list[DataFrame], phrases: list[str], core: list[str], as_of: Column) -> DataFrame:
     """papers (paper_id, title, abstract, published_at, ...) with all features and their weighted sum `relevance`.
 
     features: (paper_id, value) tables named jel, author, prestige, social and india. Codes that are missing are stood in for by keywords.
+    What texts and dates say is found before the joins, so that they need not go through them.
     """
-    rows = papers
-    for feature in features:
-        rows = rows.join(feature, "paper_id", "left")
-    rows = rows.withColumns(
+    rows = papers.withColumns(
         {"keyword": keyword_score(F.col("title"), F.col("abstract"), phrases, core), "recency": dates.recency(F.col("published_at"), as_of)}
     )
+    for feature in features:
+        rows = rows.join(feature, "paper_id", "left")
     codes = F.coalesce("jel", "keyword")
     values = {"jel": codes, "prestige": F.coalesce("prestige", F.lit(PRESTIGE_DEFAULT))} | {c: F.coalesce(c, F.lit(0.0)) for c in ("keyword", "author", "recency", "social")}
     total = sum((F.lit(WEIGHTS[c]) * v for c, v in values.items()), F.lit(0.0))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from signalrank.operators import vectors
+from signalrank.operators import features, vectors
 from signalrank.plans import catalog, text_queries
 from signalrank.sources import records
 from tests.oracle import compare
@@ -22,6 +22,21 @@ def test_posts_are_parsed_before_they_are_merged(spark, sf):
     assert "from_json(" not in plan
 
 
+def test_a_score_is_made_once(spark, sf):
+    plan = catalog.queries()["top_papers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == 5 + 3  # texts with a T, and others
+    assert plan.count("RLIKE(") == 3 + 2  # a keyword each, and the country in a paper's text and in an affiliation
+    assert plan.count("get_json_object(") == 6 + 18  # each path, and, where it holds an object, two names below it, one of which stands twice
+
+
+def test_tiers_of_edges_that_repeat(spark):
+    edges = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (3, 3), (4, 9), (5, None)], "paper_id int, author_id int")
+    people = spark.createDataFrame([(1, True, False), (2, None, True), (3, None, True), (4, False, False)], "author_id int, is_tracked boolean, auto_discovered boolean")
+    found = features.author_scores(edges, people)
+    assert {r["paper_id"]: r["author"] for r in found.collect()} == {1: 1.0, 2: 0.5, 3: 0.3} and found.count() == 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # edges meet the tiers of authors once
+
+
 def test_terms_of_ids_that_repeat(spark, tmp_path):
     rows = [(1, "one two two six", "en"), (1, "two one", "en"), (2, "two six", "en"), (None, "six six", "en"), (3, "one", "de"), (3, "one", None), (4, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
