@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signalrank.functions import dates, text
 from signalrank.operators import library
 from signalrank.plans import lenses
-from signalrank.plans.graph_queries import _EDGES, _SIGHTINGS, authors, edges, sightings
+from signalrank.plans.graph_queries import _EDGES, _SIGHTINGS, authors, pairs, sightings
 from signalrank.session import table
 from signalrank.sources.records import openalex_works
 
@@ -89,7 +89,7 @@ SELECT o_orderkey AS paper_id, o_orderpriority, coalesce(authors, '') AS authors
 def paper_details(spark, sf_dir):
     """Papers with all their authors and sightings; papers without any stay."""
     papers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderpriority")
-    rows = lenses.detail(papers, sightings(spark, sf_dir), edges(spark, sf_dir), authors(spark, sf_dir))
+    rows = lenses.detail(papers, sightings(spark, sf_dir), pairs(spark, sf_dir), authors(spark, sf_dir))
     first = F.coalesce(F.get("sightings", 0)["source"], F.lit(""))
     return rows.select("paper_id", "o_orderpriority", F.array_join("authors", "|").alias("authors"), first.alias("first_source"), F.coalesce(F.size("sightings"), F.lit(0)).cast("long").alias("sightings"))
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from signalrank.operators import features, vectors
-from signalrank.plans import catalog, text_queries
+from signalrank.plans import catalog, lenses, text_queries
 from signalrank.sources import records
 from tests.oracle import compare
 
@@ -37,6 +37,18 @@ def test_tiers_of_edges_that_repeat(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # edges meet the tiers of authors once
 
 
+def test_edges_are_dealt_out_once_by_their_number(spark, monkeypatch):
+    edges = spark.createDataFrame([(p, a, n) for p in range(20) for a, n in ((2, 5), (1, 5), (3, 1), (1, 2), (4, 9), (2, 0), (9, 0))] + [(30, 1, None), (None, 1, 1)], "paper_id int, author_id int, position int")
+    people = spark.createDataFrame([(1, "Ann Lee"), (2, "Bo Chan"), (3, "ANN LEE"), (4, None)], "author_id int, name string")
+    papers = spark.createDataFrame([(p,) for p in [*range(20), 30, 31]], "paper_id int")
+    monkeypatch.setattr(lenses, "EDGES_PER_TASK", 10)
+    found = lenses.attach_authors(papers, edges, people)
+    got = {r["paper_id"]: r["authors"] for r in found.collect()}
+    assert got == {p: ["Bo Chan", "ANN LEE", None] for p in range(20)} | {30: ["Ann Lee"], 31: []}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(paper_id" in plan and ", 15), REPARTITION_BY_NUM" in plan and "hashpartitioning(paper_id, key" not in plan
+
+
 def test_terms_of_ids_that_repeat(spark, tmp_path):
     rows = [(1, "one two two six", "en"), (1, "two one", "en"), (2, "two six", "en"), (None, "six six", "en"), (3, "one", "de"), (3, "one", None), (4, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
