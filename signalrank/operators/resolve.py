@@ -29,10 +29,12 @@ def keyed(papers: DataFrame) -> DataFrame:
 
 
 def match_existing(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, existing_id, step) for the papers of `new` that are in `stored`. Keys and tokens of both are made once, in written tables."""
+    """(id, existing_id, step) for the papers of `new` that are in `stored`. Keys and tokens of both are made once, in written tables; an empty store costs no comparison."""
     with scratch(new.sparkSession) as kept:
-        a = cut(keyed(new).select("id", "title_key", F.col("doi").alias("doi_key"), "tokens", "families"))
         b = cut(keyed(stored).select(F.col("id").alias("existing_id"), "title_key", F.col("doi").alias("doi_key"), "tokens", F.col("families").alias("stored_families")))
+        if b.isEmpty():
+            return kept(b.where(F.lit(False)).join(new.select("id"), F.lit(True)).select("id", "existing_id", F.lit(1).alias("step")), narrow=True)
+        a = cut(keyed(new).select("id", "title_key", F.col("doi").alias("doi_key"), "tokens", "families"))
         hit = lambda df, step: df.select("id", "existing_id", F.lit(step).alias("step"))
         # The lowest id of a key decides, so many stored papers with one key are one row.
         lowest = lambda *keys: b.groupBy(*keys).agg(F.min("existing_id").alias("existing_id"))

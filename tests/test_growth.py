@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from signalrank.operators import features, vectors
+from signalrank.operators import features, resolve, vectors
 from signalrank.plans import catalog, lenses, text_queries
 from signalrank.sources import records
 from tests.oracle import compare
@@ -49,6 +49,16 @@ def test_edges_are_dealt_out_once_by_their_number(spark, monkeypatch):
     assert "hashpartitioning(paper_id" in plan and ", 15), REPARTITION_BY_NUM" in plan and "hashpartitioning(paper_id, key" not in plan
 
 
+def test_an_empty_store_is_not_searched(spark, monkeypatch):
+    paper = "id long, title string, doi string, authors array<string>"
+    new = spark.createDataFrame([(1, "Wages in towns", "10.1/a", ["Ann Lee"]), (2, "Wages in towns", None, None)], paper)
+    full = resolve.match_existing(new, new.where("id = 1").withColumn("id", F.lit(9).cast("long")))
+    assert sorted((r["id"], r["existing_id"], r["step"]) for r in full.collect()) == [(1, 9, 1), (2, 9, 2)]
+    monkeypatch.setattr(resolve, "matches", lambda *_: 1 / 0)
+    none = resolve.match_existing(new, spark.createDataFrame([], paper))
+    assert none.collect() == [] and none.dtypes == full.dtypes
+
+
 def test_terms_of_ids_that_repeat(spark, tmp_path):
     rows = [(1, "one two two six", "en"), (1, "two one", "en"), (2, "two six", "en"), (None, "six six", "en"), (3, "one", "de"), (3, "one", None), (4, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
