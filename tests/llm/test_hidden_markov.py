@@ -102,3 +102,47 @@ def test_first_rounds_together_learn_from_every_text(spark, monkeypatch):
     learned = [k for k in range(100) if k % 10]
     assert len(taken) == h.WARM_ROUNDS + h.FULL_ROUNDS and taken[-h.FULL_ROUNDS :] == [learned] * h.FULL_ROUNDS
     assert sorted(sum(taken[:4], [])) == learned and all(x != learned for x in taken[:4])
+
+
+def test_every_round_learns_from_every_text(spark, monkeypatch):
+    taken = []
+
+    def sums(rows, model):
+        taken.append(rows.agg({"doc_id": "sum"}).first()[0])
+        return np.ones(model.sums_size())
+
+    monkeypatch.setattr(h, "_train_sums", sums)
+    docs = spark.range(8000).selectExpr("id as doc_id", "'a b c' as text")
+    h.score(docs, docs["doc_id"] % 10 != 0)
+    assert taken == [sum(k for k in range(8000) if k % 10)] * (h.WARM_ROUNDS + h.FULL_ROUNDS)
+
+
+def test_expected_counts_of_runs_of_any_length():
+    m = model()
+    draw = np.random.default_rng(3)
+    sizes = np.array(sorted(draw.integers(1, 40, 30), reverse=True))
+    runs = np.zeros((30, sizes[0]), np.int64)
+    first = draw.random(30) < 0.5
+    start, middle, move, emit = m._parts(np.zeros(m.sums_size()))
+    for r, n in enumerate(sizes):
+        runs[r, :n] = draw.integers(0, m.size, n)
+        alpha, beta = [(m.start if first[r] else m.middle) * m.emit[:, runs[r, 0]]], [np.ones(h.STATES)]
+        for t in range(1, n):
+            alpha.append(alpha[-1] @ m.move * m.emit[:, runs[r, t]])
+            beta.insert(0, m.move @ (m.emit[:, runs[r, n - t]] * beta[0]))
+        total = alpha[-1].sum()
+        for t in range(n):
+            emit[:, runs[r, t]] += alpha[t] * beta[t] / total
+            if t:
+                move += np.outer(alpha[t - 1], m.emit[:, runs[r, t]] * beta[t]) * m.move / total
+        (start if first[r] else middle)[:] += alpha[0] * beta[0] / total
+    got = np.zeros(m.sums_size())
+    m.expect(runs, first, got, sizes)
+    assert np.allclose(got, np.concatenate([start, middle, move.ravel(), emit.ravel()]), rtol=1e-9, atol=1e-12)
+
+
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(h, "COUNTED", 2)
+    texts = ["A a b\x0bÉ", None, "", "c\u00a0d b \t a e f", "É é a"]
+    got = {r["word"]: r["c"] for r in h.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == Counter(w for t in texts for w in words(t))
